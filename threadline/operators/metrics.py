@@ -17,7 +17,7 @@ def _safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def align_predictions(pred: DataFrame, truth: DataFrame, key: str = "row_id") -> DataFrame:
+def align_predictions(pred: DataFrame, truth: DataFrame, key="row_id") -> DataFrame:
     """Pair each prediction with its truth by row id."""
     return pred.join(truth, key, "inner")
 

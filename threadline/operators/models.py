@@ -26,3 +26,85 @@ def num_labels(df: DataFrame, targets) -> DataFrame:
     counts = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     wide = counts.groupBy().pivot("target", targets).agg(F.first("n"))
     return wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in targets])
+
+
+# ---- M1-M3, A15 -----------------------------------------------------------------
+
+def featurize(train: DataFrame, others: DataFrame | None = None, words_col: str = "words",
+              vocab_size: int = 1 << 12, min_df: float = 2.0):
+    """Sparse term counts over a vocabulary of at most `vocab_size` words
+    fitted on the training rows (CountVectorizer), so the per-class
+    coefficient vectors -- and every gradient the optimizer aggregates -- stay
+    small.  Returns the fitted vectorizer model."""
+    from pyspark.ml.feature import CountVectorizer
+    cv = CountVectorizer(inputCol=words_col, outputCol="features", vocabSize=vocab_size, minDF=min_df)
+    return cv.fit(train)
+
+
+def train_per_target(train: DataFrame, targets, max_iter: int = 20, reg: float = 0.01,
+                     parallelism: int = 4) -> dict:
+    """M1: one multinomial logistic regression per target on the same
+    features.  Fits are independent Spark jobs, submitted from a small thread
+    pool so several run at once; each fit's optimisation is distributed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.classification import LogisticRegression
+
+    def fit(t):
+        lr = LogisticRegression(featuresCol="features", labelCol=t, family="multinomial",
+                                maxIter=max_iter, regParam=reg, probabilityCol=f"prob_{t}",
+                                predictionCol=f"pred_{t}", rawPredictionCol=f"raw_{t}")
+        return t, lr.fit(train.where(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("double")))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(fit, list(targets)))
+
+
+def score_per_target(df: DataFrame, models: dict, key: str) -> DataFrame:
+    """M2: long table (key, target, scores array, pred) for every row and
+    target; pred is the first maximum of the class scores (R3)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from threadline.functions.arrays import argmax
+    parts = []
+    for t, m in models.items():
+        s = m.transform(df.select(key, "features")).select(
+            key, F.lit(t).alias("target"),
+            vector_to_array(F.col(f"prob_{t}"), "float64").alias("scores"))
+        parts.append(s.withColumn("pred", argmax("scores")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def loss_history(models: dict) -> list[tuple[str, int, float]]:
+    """Training objective per iteration and target (bounded by maxIter)."""
+    rows = []
+    for t, m in models.items():
+        for i, v in enumerate(m.summary.objectiveHistory):
+            rows.append((t, i, float(v)))
+    return rows
+
+
+def evaluate(scored: DataFrame, truth: DataFrame, key: str, targets, label_map_df=None) -> DataFrame:
+    """M3: M2 -> J6 -> J5 (back to original labels) -> A13 per target."""
+    from threadline.operators.metrics import align_predictions, classification_report
+    long_truth = truth.select(key, *[F.col(t).cast("int").alias(t) for t in targets]) \
+        .unpivot([key], list(targets), "target", "truth")
+    pairs = align_predictions(scored, long_truth, [key, "target"]).select(key, "target", "truth", "pred")
+    if label_map_df is not None:
+        pairs = _decode_pairs(pairs, label_map_df)
+    return classification_report(pairs, group=["target"])
+
+
+def _decode_pairs(pairs: DataFrame, label_map_df: DataFrame) -> DataFrame:
+    """J5 on a long (target, truth, pred) table: a broadcast-free left join on
+    (target, encoded label) per side; the map has a row per negative label."""
+    m = label_map_df.select("target", "encoded_label", "original_label")
+    for side in ("truth", "pred"):
+        mm = m.select(F.col("target").alias("__t"), F.col("encoded_label").alias("__e"),
+                      F.col("original_label").alias("__o"))
+        pairs = pairs.join(mm, (F.col("target") == F.col("__t")) & (F.col(side) == F.col("__e")), "left") \
+            .withColumn(side, F.coalesce(F.col("__o"), F.col(side))).drop("__t", "__e", "__o")
+    return pairs

@@ -72,3 +72,11 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def materialize(df, name: str):
+    """Cut lineage with a written table in the shared checkpoint folder
+    (survives executor loss, unlike a local checkpoint), then read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
