@@ -81,10 +81,17 @@ def max_token_length(df: DataFrame, col: str = "input_ids") -> DataFrame:
 
 
 def convert_text(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
-                 max_len: int = 64, vocab_bounded: bool = True) -> DataFrame:
+                 max_len: int = 64, vocab_bounded: bool = True,
+                 cleaned_col: str | None = None) -> DataFrame:
     """T4: X7 -> N5 -> T2 -> R1 -> R2.  Truncation is post, so only the first
-    max_len - 1 words can survive; only those are exploded and re-assembled."""
-    cleaned = df.select(key, clean_text(text_col).alias("cleaned_text")).dropna()
+    max_len - 1 words can survive; only those are exploded and re-assembled.
+
+    Pass `cleaned_col` when the input already holds the cleaned text (e.g. a
+    materialised table shared with the vocabulary job), so X7 runs once."""
+    if cleaned_col is None:
+        cleaned = df.select(key, clean_text(text_col).alias("cleaned_text")).dropna()
+    else:
+        cleaned = df.select(key, F.col(cleaned_col).alias("cleaned_text")).dropna()
     cleaned = cleaned.withColumn("words", words_of("cleaned_text"))
     enc = encode(cleaned, key, vocab, max_words=max_len - 1, vocab_bounded=vocab_bounded)
     return enc.select(key, "cleaned_text",

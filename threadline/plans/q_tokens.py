@@ -9,16 +9,23 @@ from threadline.functions.text import clean_text
 from threadline.operators import tokens as TK
 from threadline.plans.catalog import register
 from threadline.plans.sql_text import sql_clean_text
-from threadline.session import spread, table
+from threadline.session import materialize, spread, table
 
 VOCAB_SIZE = 5000
 MIN_COUNT = 2
 MAX_LEN = 64
 
 
-def _words(spark, sf):
+def _cleaned(spark, sf):
+    """X7 over all documents, written once to the shared folder: the
+    vocabulary and the encoding both read it (the cleaning never runs twice,
+    and a lost executor recomputes nothing upstream)."""
     d = spread(table(spark, sf, "documents"))
-    c = d.select("doc_id", clean_text("text").alias("cleaned_text")).dropna()
+    return materialize(d.select("doc_id", clean_text("text").alias("cleaned_text")), "cleaned-docs")
+
+
+def _words(spark, sf, cleaned=None):
+    c = (cleaned if cleaned is not None else _cleaned(spark, sf)).where(F.col("cleaned_text").isNotNull())
     return c.withColumn("words", TK.words_of("cleaned_text"))
 
 
@@ -82,9 +89,9 @@ SELECT doc_id, cleaned_text, array_to_string(padded, ' ') AS padded,
        array_to_string(list_transform(padded, lambda x: CAST(x > 0 AS INTEGER)), ' ') AS mask FROM pad""")
 def q_convert_text(spark, sf):
     """T4 with the bounded explode (only words that survive truncation)."""
-    d = spread(table(spark, sf, "documents"))
-    vocab = _vocab(_words(spark, sf))
-    out = TK.convert_text(d, "doc_id", "text", vocab, MAX_LEN)
+    cleaned = _cleaned(spark, sf)
+    vocab = _vocab(_words(spark, sf, cleaned))
+    out = TK.convert_text(cleaned, "doc_id", "text", vocab, MAX_LEN, cleaned_col="cleaned_text")
     return out.select("doc_id", "cleaned_text", F.array_join("padded", " ").alias("padded"),
                       F.array_join("mask", " ").alias("mask"))
 
