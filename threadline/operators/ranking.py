@@ -20,7 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_HEX = 4          # 65,536 buckets; raise for very large tables
+DEFAULT_BUCKET_HEX = 4          # 65,536 buckets at least
+MAX_BUCKET_HEX = 8              # 8 hex digits still fit a long after conv()
+ROWS_PER_BUCKET = 2_000_000     # target upper bound of rows sorted by one task
+
+
+def bucket_digits(n_rows: int) -> int:
+    """Hex digits of the md5 bucket so that a bucket holds about
+    ROWS_PER_BUCKET rows or fewer (md5 spreads rows evenly)."""
+    d = DEFAULT_BUCKET_HEX
+    while d < MAX_BUCKET_HEX and n_rows > ROWS_PER_BUCKET * 16 ** d:
+        d += 1
+    return d
 
 
 def md5_key(seed, key: str | Column) -> Column:
@@ -58,18 +69,20 @@ def ranked(df: DataFrame, order: list[Column | str], bucket: Column,
 
 
 def global_rank(df: DataFrame, key: str, seed=None, rank_col: str = "rank",
-                hex_digits: int = DEFAULT_BUCKET_HEX) -> DataFrame:
+                hex_digits: int | None = None) -> DataFrame:
     """Global row number in md5(seed:key) order (seeded shuffle order), or
     in `key` order when no seed is given (key range buckets)."""
     if seed is None:
         lo_hi = df.agg(F.min(key), F.max(key)).first()
         lo, hi = lo_hi[0], lo_hi[1]
-        width = max(1, ((hi - lo) // (16 ** hex_digits)) + 1) if lo is not None else 1
+        n_buckets = 16 ** (hex_digits or bucket_digits(df.count()))
+        width = max(1, ((hi - lo) // n_buckets) + 1) if lo is not None else 1
         bucket = F.floor((F.col(key) - F.lit(lo or 0)) / F.lit(width)).cast("long")
         return ranked(df, [F.col(key)], bucket, rank_col=rank_col)
     sk = md5_key(seed, key)
+    digits = hex_digits if hex_digits is not None else bucket_digits(df.count())
     return ranked(df.withColumn("__sk", sk), [F.col("__sk"), F.col(key)],
-                  md5_bucket(F.col("__sk"), hex_digits), rank_col=rank_col).drop("__sk")
+                  md5_bucket(F.col("__sk"), digits), rank_col=rank_col).drop("__sk")
 
 
 def batch_number(df: DataFrame, key: str, batch_size: int, rank_col: str = "rank") -> DataFrame:
@@ -86,14 +99,28 @@ def within_key_rank(df: DataFrame, key: str, order: str, rank_col: str = "rank",
     return ranked(df, [F.col(order)], bucket, partition_cols=[key], rank_col=rank_col)
 
 
+def _md5_buckets(df: DataFrame, key: str, seed):
+    """(rows with sort key and bucket, bucket offsets, row count).  The count
+    comes from the small bucket table; only a table too large for the default
+    width is bucketed again with more digits."""
+    sk = md5_key(seed, key)
+    keyed = df.withColumn("__sk", sk)
+    digits = DEFAULT_BUCKET_HEX
+    while True:
+        b = keyed.withColumn("__bucket", md5_bucket(F.col("__sk"), digits))
+        offs = bucket_offsets(b, [])
+        total = offs.agg(F.sum("__n")).first()[0] or 0
+        want = bucket_digits(total)
+        if want <= digits:
+            return b, offs, total
+        digits = want
+
+
 def take_first(df: DataFrame, key: str, n: int, seed) -> DataFrame:
     """O3 core: the n rows with the smallest md5(seed:key) (exactly n, or an
     error when the pool is smaller).  Only the bucket that straddles the cut
     is ranked; buckets wholly before it are taken whole."""
-    sk = md5_key(seed, key)
-    b = df.withColumn("__sk", sk).withColumn("__bucket", md5_bucket(F.col("__sk")))
-    offs = bucket_offsets(b, [])
-    total = offs.agg(F.sum("__n")).first()[0] or 0
+    b, offs, total = _md5_buckets(df, key, seed)
     if n > total:
         raise ValueError(f"sample of {n} requested from a pool of {total}")
     j = b.join(offs, "__bucket")
@@ -118,10 +145,7 @@ def split_exact(df: DataFrame, key: str, seed=42, test_size: float = 0.2) -> Dat
     """O5 exact mode: train / validation / test of the Q12 sizes, membership
     by md5(seed:key) order.  Rows of buckets between the cuts are assigned by
     offset; only the (at most two) straddling buckets are row-numbered."""
-    sk = md5_key(seed, key)
-    b = df.withColumn("__sk", sk).withColumn("__bucket", md5_bucket(F.col("__sk")))
-    offs = bucket_offsets(b, [])
-    n = offs.agg(F.sum("__n")).first()[0] or 0
+    b, offs, n = _md5_buckets(df, key, seed)
     n_train, n_val, _ = split_sizes(n, test_size)
     c1, c2 = n_train, n_train + n_val
     j = b.join(offs, "__bucket")
