@@ -62,8 +62,16 @@ def q_format_duration(spark, sf):
     """X9 over the active span of every user in `events` (one partial
     aggregate per user, then a scalar render)."""
     e = table(spark, sf, "events")
+    # `ts` has no time zone: read its wall clock as UTC whatever the session
+    # zone is (to_utc_timestamp undoes the session-zone cast), so spans never
+    # gain or lose a daylight-saving hour.
+    tz = spark.conf.get("spark.sql.session.timeZone")
+
+    def micros(c):
+        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), tz))
+
     span = e.groupBy("user_id").agg(
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(1e6)).alias("s"))
+        ((micros(F.max("ts")) - micros(F.min("ts"))) / F.lit(1e6)).alias("s"))
     return span.select("user_id", F.round("s", 6).alias("span_seconds"),
                        F.bround("s", 0).cast("long").alias("rounded"),
                        format_duration("s").alias("duration"))

@@ -29,7 +29,7 @@ def build_session(master: str | None = None, app: str = "threadline",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("THREADLINE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.ansi.enabled", os.environ.get("THREADLINE_ANSI", "false"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
