@@ -68,3 +68,10 @@ def powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), np.uint64(base), dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker (tasks share it)."""
+    import sys
+    import types
+    return sys.modules.setdefault("_threadline_worker", types.ModuleType("_threadline_worker")).__dict__

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from threadline.llm.op3_html import op3_html
 from threadline.llm.op6_quality import op6_quality
+from threadline.llm.op8_packing import op8_packing
 from threadline.llm.op9_toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_quality, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_html, op6_quality, op8_packing, op9_toxicity)}
 
 ORACLE: dict[str, str] = {}
