@@ -377,9 +377,10 @@ def union_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def cut_classes(docs: DataFrame, text_col: str) -> DataFrame:
+def cut_classes(docs: DataFrame, text_col: str, characters: bool = False) -> DataFrame:
     """(cls, n_removed, n_spans, kept) of the classes that lose bytes by
-    matches; `kept` are the remaining bytes."""
+    matches; `kept` are the remaining bytes, with `characters` without those of
+    characters that were cut in two."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     fragments = max(partitions(spark), 2 * total // (LENGTH - GRAM) // FRAGMENT_ANCHORS + 1)
@@ -395,10 +396,12 @@ def cut_classes(docs: DataFrame, text_col: str) -> DataFrame:
             for s, e in spans:
                 kept.append(text[at:s])
                 at = e
-            kept.append(text[at:])
+            rest = b"".join([*kept, text[at:]])
+            if characters:
+                rest = rest.decode("utf-8", "ignore").encode("utf-8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cls], pa.int64()), pa.array([sum(e - s for s, e in spans)], pa.int64()),
-                 pa.array([len(spans)], pa.int64()), pa.array([b"".join(kept)], pa.binary())],
+                 pa.array([len(spans)], pa.int64()), pa.array([rest], pa.binary())],
                 names=["cls", "n_removed", "n_spans", "kept"])
     return texts.join(spans, "cls").mapInArrow(cut, "cls long, n_removed long, n_spans long, kept binary")
 
@@ -430,10 +433,7 @@ def remove(docs: DataFrame, text_col: str = "text") -> DataFrame:
     character drops the rest of that character; null texts stay null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = docs.columns
-    cut = cut_classes(docs, text_col).select("cls", F.try_validate_utf8(F.decode("kept", "UTF-8"))
-                                             .alias("_kept")) if False else cut_classes(docs, text_col)
-    cut = cut.select("cls", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-                     .alias("_kept"))
+    cut = cut_classes(docs, text_col, characters=True).select("cls", F.col("kept").cast("string").alias("_kept"))
     out = (docs.withColumn("_cls", F.xxhash64(text))
            .join(copies(docs, text_col).select(F.col("cls").alias("_cls"), "copies"), "_cls", "left")
            .join(cut.withColumnRenamed("cls", "_cls"), "_cls", "left"))
