@@ -82,32 +82,63 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, edges): all pieces inside each unit as (score, start, end, id),
-    best score first.  units: (unit), distinct."""
+    """(unit, edges): all pieces inside each unit as (cost, start, end, id),
+    least cost first.  units: (unit), distinct.  Dealt by unit once; the rest
+    stays in the task."""
     spark = units.sparkSession
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
+    starts = (units.select("unit").repartition(partitions(spark), "unit")
+              .select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at")))
     size = F.least(F.lit(model.longest), F.length("unit") - F.col("at") + 1)
     subs = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), size)).alias("size"))
     subs = subs.withColumn("piece", F.substring(F.col("unit"), F.col("at"), F.col("size")))
-    edges = subs.join(F.broadcast(model.table(spark)), "piece", "left")
+    found = subs.join(F.broadcast(model.table(spark)), "piece", "left").where(
+        F.col("id").isNotNull() | (F.col("at") + F.col("size") == 2))       # a unit without pieces stays
     edge = F.when(F.col("id").isNotNull(), F.struct(
         (-F.col("score")).alias("cost"), (F.col("at") - 1).alias("start"),
         (F.col("at") + F.col("size") - 1).alias("end"), "id"))
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def span(start: Column, end: Column) -> Column:
+    return start * (LONG + 1) + end
 
 
 def merge_fold(unit: Column, edges: Column) -> Column:
-    """Boundaries of the unit's ids by best merge first."""
-    n = F.length(unit)
+    """(bounds, late): boundaries of the unit's ids, taking edges best first.
+
+    One pass over the edges is the merge rule as long as no merge makes a
+    better-scored edge possible that was passed before; `late` tells if one did."""
+    multi = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+    cost = F.map_from_entries(F.transform(multi, lambda e: F.struct(span(e["start"], e["end"]), e["cost"])))
+    begin = F.struct(F.sequence(F.lit(0), F.length(unit)).alias("bounds"), F.lit(False).alias("late"))
+
+    def step(acc: Column, e: Column) -> Column:
+        bounds = acc["bounds"]
+        at = F.array_position(bounds, e["start"]).cast("int")
+        fits = (at > 0) & (F.get(bounds, at + 1) == e["end"])
+
+        def better(start, end):
+            return F.coalesce(F.try_element_at(cost, span(start, end)) < e["cost"], F.lit(False))
+        late = acc["late"] | better(F.get(bounds, at - 2), e["end"]) | better(e["start"], F.get(bounds, at + 2))
+        return F.when(F.coalesce(fits, F.lit(False)), F.struct(
+            F.array_remove(bounds, F.get(bounds, at)).alias("bounds"), late.alias("late"))).otherwise(acc)
+    return F.aggregate(multi, begin, step)
+
+
+def late_fold(unit: Column, edges: Column) -> Column:
+    """The merge rule step by step, for the few units where one pass isn't it:
+    each step takes the best edge that spans exactly two neighbours."""
     multi = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
 
     def step(bounds: Column, _):
-        def spans_two(e):
-            return F.get(bounds, (F.array_position(bounds, e["start"]) + 1).cast("int")) == e["end"]
-        first = F.get(F.filter(multi, lambda e: F.array_contains(bounds, e["start"]) & spans_two(e)), F.lit(0))
+        def fits(e):
+            at = F.array_position(bounds, e["start"]).cast("int")
+            return (at > 0) & (F.get(bounds, at + 1) == e["end"])
+        first = F.get(F.filter(multi, fits), F.lit(0))
         return F.when(first.isNull(), bounds).otherwise(
             F.filter(bounds, lambda b: (b <= first["start"]) | (b >= first["end"])))
-    return F.aggregate(F.sequence(F.lit(1), F.least(n, F.size(multi) + 1)), F.sequence(F.lit(0), n), step)
+    n = F.length(unit)
+    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
 
 def viterbi_fold(unit: Column, edges: Column) -> Column:
@@ -130,14 +161,16 @@ def viterbi_fold(unit: Column, edges: Column) -> Column:
 
 
 def path_ids(unit: Column, edges: Column, bounds: Column, model: Model) -> Column:
-    def ids(i):
-        a, b = F.get(bounds, i), F.get(bounds, i + 1)
-        edge = F.get(F.filter(edges, lambda e: (e["start"] == a) & (e["end"] == b)), F.lit(0))
+    known = F.map_from_entries(F.transform(edges, lambda e: F.struct(span(e["start"], e["end"]), e["id"])))
+
+    def ids(a, b):
+        piece = F.try_element_at(known, span(a, b))
         raw = F.hex(F.encode(F.substring(unit, a + 1, b - a), "UTF-8"))
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(F.transform(
+        return F.when(piece.isNotNull(), F.array(piece)).otherwise(F.transform(
             F.sequence(F.lit(1), F.length(raw), F.lit(2)),
             lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + model.first_byte))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), ids))
+    return F.flatten(F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1),
+                                F.slice(bounds, F.lit(2), F.size(bounds) - 1), ids))
 
 
 def heap_merge(unit: str, pieces: dict[str, tuple[int, float]], first_byte: int) -> list[int]:
@@ -175,12 +208,13 @@ def heap_merge(unit: str, pieces: dict[str, tuple[int, float]], first_byte: int)
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) for distinct units."""
-    short = lattice(units.where(F.length("unit") <= LONG).select("unit"), model)
-    fold = merge_fold if model.merges else viterbi_fold
-    found = (short.withColumn("bounds", fold(F.col("unit"), F.col("edges")))
-             .select("unit", path_ids(F.col("unit"), F.col("edges"), F.col("bounds"), model).alias("ids")))
+    edges = lattice(units.where(F.length("unit") <= LONG), model)
+    unit, e = F.col("unit"), F.col("edges")
     if not model.merges:
-        return found.union(viterbi_long(units, model))
+        return edges.select("unit", path_ids(unit, e, viterbi_fold(unit, e), model).alias("ids")).union(
+            viterbi_long(units, model))
+    found = edges.withColumn("fold", merge_fold(unit, e)).withColumn("bounds", F.when(
+        F.col("fold.late"), late_fold(unit, e)).otherwise(F.col("fold.bounds")))
     pieces, first_byte = {p: (i, s) for p, i, s in model.pieces}, model.first_byte
 
     def fn(batches):
@@ -188,7 +222,8 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
             ids = [heap_merge(u, pieces, first_byte) for u in columns(b, "unit")[0]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
     long = units.where(F.length("unit") > LONG).select("unit")
-    return found.union(long.mapInArrow(fn, "unit string, ids array<int>"))
+    return found.select("unit", path_ids(unit, e, F.col("bounds"), model).alias("ids")).union(
+        long.mapInArrow(fn, "unit string, ids array<int>"))
 
 
 def viterbi_long(units: DataFrame, model: Model) -> DataFrame:
@@ -222,15 +257,16 @@ def viterbi_long(units: DataFrame, model: Model) -> DataFrame:
 
 
 def decode_units(encoded: DataFrame, model: Model) -> DataFrame:
-    """(unit, decoded): the ids of each unit joined back to their pieces."""
+    """(unit, ids, decoded): the ids of each unit joined back to their pieces."""
     spark = encoded.sparkSession
     rows = ([(i, p.encode("utf-8").hex()) for p, i, _ in model.pieces]
             + [(model.first_byte + b, f"{b:02x}") for b in range(256)])
     names = F.broadcast(spark.createDataFrame(rows, "id int, hex string"))
+    raw = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
     return (encoded.select("unit", F.posexplode("ids").alias("at", "id")).join(names, "id", "left")
-            .groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("parts"))
-            .select("unit", F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "UTF-8")
-                    .alias("decoded")))
+            .groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("at", "id", "hex"))).alias("parts"))
+            .select("unit", F.transform("parts", lambda p: p["id"]).alias("ids"),
+                    F.decode(raw, "UTF-8").alias("decoded")))
 
 
 def occurrence(at: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -250,10 +286,10 @@ def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, n_units, n_ids, ids_hash, round_trip for every row.
 
     ids_hash is the xor over the units of a hash of (number of the unit, ids)."""
-    counted = materialize(lexicon(docs, text_col).repartition(partitions(docs.sparkSession), "unit"), "op5-lexicon")
+    counted = materialize(lexicon(docs, text_col), "op5-lexicon")
     encoded = materialize(encode_units(counted, model), "op5-encoded")
     words = materialize(
-        counted.join(encoded, "unit").join(decode_units(encoded, model), "unit")
+        counted.join(decode_units(encoded, model), "unit")
         .select("unit", "n", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("key"),
                 (F.col("unit") == F.col("decoded")).alias("same")), "op5-words")
     top = (words.where(F.length("unit") <= LONG).orderBy(F.col("n").desc(), "unit").limit(FREQUENT)
