@@ -30,6 +30,10 @@ HEADLINE = [
     "classification_report",
     "batched_f1",
     "repeated_handles",
+    "encode_words",
+    "wordpiece",
+    "stream_collect",
+    "train_and_evaluate",
 ]
 
 
@@ -37,6 +41,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     os.environ.setdefault("THREADLINE_MASTER", f"local[{cpus}]")
+    os.environ.setdefault("THREADLINE_SCAN_PARTITIONS", cpus)      # the test tables are single files
     os.environ.setdefault("THREADLINE_SHUFFLE_PARTITIONS", str(max(8, int(cpus))))
     from threadline.plans import catalog
     from threadline.session import build_session

@@ -24,7 +24,7 @@ MOJIBAKE = [
     ("‚Äî", "-"),
 ]
 CONTRACTION_SUFFIXES = ["t", "s", "d", "ll", "ve", "re", "m"]
-BROKEN_TRIPLE = ".?Ä.?"          # any other sequence around the marker letter
+BROKEN_TRIPLE = "[^Ä]?Ä.?"       # any other sequence around the marker letter
 LINK = "htt.*"                   # from the first 'htt' to the end of the word
 AMPERSAND = ("&amp;", "and")
 NOT_BASIC = "[^a-zA-Z0-9_.,:']+"  # runs of characters the cleaner drops
@@ -114,16 +114,25 @@ def clean_text(text) -> Column:
 
 
 def post_text(record) -> Column:
-    """A repost becomes 'RT @{author}: {original text}', else the text."""
+    """A repost becomes 'RT @{author}: {original text}' (null if either part
+    is), else the text."""
     r = _col(record)
     rt = r.getField("retweeted_status")
     return F.when(
         rt.isNotNull(),
-        F.format_string("RT @%s: %s", rt.getField("user").getField("screen_name"),
-                        rt.getField("full_text")),
+        F.concat(F.lit("RT @"), rt.getField("user").getField("screen_name"), F.lit(": "),
+                 rt.getField("full_text")),
     ).otherwise(r.getField("full_text"))
 
 
+def post_time(created_at) -> Column:
+    """The time of a post: the platform's form ('Wed Oct 10 20:19:24 +0000 2018')
+    or an ISO one; anything else is null."""
+    c = _col(created_at)
+    return F.coalesce(F.try_to_timestamp(F.substring(c, 5, 64), F.lit("MMM dd HH:mm:ss Z yyyy")),
+                      F.try_to_timestamp(c))
+
+
 def format_duration(seconds) -> Column:
     """Seconds rounded half-to-even, rendered 'H:MM:SS' or
     'N day[s], H:MM:SS' (days may be negative, as for a negative span)."""

@@ -1,11 +1,11 @@
 """Account lists, per-handle cursors and the incremental pull (U2, U3, N10,
 S4/J4, A9, K3).
 
-The pull is a scan of landed posts joined to the small-per-handle cursor
-table: equi-join on `handle` with the residual `id > since_id`.  Posts are
-skewed by handle (one handle may hold a third of all rows); the cursor side
-has one row per handle, so Spark broadcasts it when its measured size is under
-the threshold and otherwise AQE splits the skewed partitions of the post side.
+The pull is one join of landed posts to the table of wanted handles and their
+cursors: equal `handle`, residual `id > since_id`.  Posts are skewed by handle
+(one handle may hold a third of all rows).  The handle side is written and read
+back first, so both sides of the join are plain shuffles and AQE can split the
+skewed partitions of the post side (it can't behind an aggregate).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadline.schemas import HANDLE_COLUMN_MARKER
+from threadline.session import materialize
 
 INACTIVE = ("protected", "error")
 
@@ -50,18 +51,23 @@ def drop_unknown_accounts(handles: DataFrame, status: DataFrame | None) -> DataF
     return handles.join(bad, "handle", "left_anti")
 
 
+def handle_cursors(handles: DataFrame, cursors: DataFrame | None = None, status: DataFrame | None = None,
+                   default_since: int = 1) -> DataFrame:
+    """(handle, __since): every wanted, reachable handle with its cursor."""
+    wanted = drop_unknown_accounts(handles.select("handle").distinct(), status)
+    if cursors is None:
+        return wanted.withColumn("__since", F.lit(default_since).cast("long"))
+    cur = cursors.groupBy("handle").agg(F.max("since_id").alias("__since"))
+    return wanted.join(cur, "handle", "left").withColumn(
+        "__since", F.coalesce("__since", F.lit(default_since)).cast("long"))
+
+
 def pull_new_posts(landing: DataFrame, handles: DataFrame, cursors: DataFrame | None = None,
                    status: DataFrame | None = None, default_since: int = 1) -> DataFrame:
     """S4 + J4: for every wanted, reachable handle, its posts with
     id > since_id (exclusive; no cursor -> `default_since`)."""
-    wanted = drop_unknown_accounts(handles.select("handle").distinct(), status)
-    posts = landing.join(wanted, "handle", "left_semi")
-    if cursors is None:
-        return posts.where(F.col("id") > F.lit(default_since))
-    cur = cursors.select("handle", F.col("since_id").alias("__since"))
-    return posts.join(cur, "handle", "left") \
-        .where(F.col("id") > F.coalesce(F.col("__since"), F.lit(default_since))) \
-        .drop("__since")
+    since = materialize(handle_cursors(handles, cursors, status, default_since), "handle-cursors")
+    return landing.join(since, "handle").where(F.col("id") > F.col("__since")).drop("__since")
 
 
 def latest_cursor(posts: DataFrame, handles: DataFrame) -> DataFrame:

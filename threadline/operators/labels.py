@@ -4,7 +4,7 @@ Everything is a DataFrame -> DataFrame transformation.  The label map (A2)
 is an aggregate over (column, label) pairs whose size is bounded by the label
 domain, not by the number of rows; it is computed distributed (unpivot +
 partial aggregation) and only its few rows are turned into a literal CASE
-expression, after a size check.  Past the check the map is applied by join.
+expression, after a size check.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from threadline.functions.arrays import one_hot_decode as _one_hot
 from threadline.schemas import (ASK_LIST, LEGACY_COLUMNS, NEW_COLUMNS, POLICY_LIST,
                                 RENAME_TO_OLD, Y_COLS)
 
-# A label map larger than this is applied by join instead of a literal expression.
+# A target with more distinct negative labels than this is no label column.
 MAX_LITERAL_MAP = 10_000
 
 
@@ -138,52 +138,38 @@ def label_map(df: DataFrame, cols=None) -> DataFrame:
 def _collect_map(label_map_df: DataFrame):
     rows = label_map_df.limit(MAX_LITERAL_MAP + 1).collect()
     if len(rows) > MAX_LITERAL_MAP:
-        return None
+        raise ValueError(f"more than {MAX_LITERAL_MAP} negative labels")
     out: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         out.setdefault(r["target"], []).append((r["original_label"], r["encoded_label"]))
     return out
 
 
-def _apply_map(df: DataFrame, label_map_df: DataFrame, src: str, dst: str, fill_null: bool) -> DataFrame:
-    mapping = _collect_map(label_map_df)
-    if mapping is not None:
-        exprs = {}
-        for c, pairs in mapping.items():
-            if c not in df.columns:
-                continue
-            base: Column = F.col(c)
-            if fill_null:
-                base = F.coalesce(base, F.lit(0))
-            e = None
-            for frm, to in sorted(pairs):
-                a, b = (frm, to) if src == "original_label" else (to, frm)
-                e = (F.when(base == a, F.lit(b)) if e is None else e.when(base == a, F.lit(b)))
-            exprs[c] = e.otherwise(base).cast("int")
-        return df.withColumns(exprs) if exprs else df
-    # Large map: one equi-join per mapped column (no broadcast forced).
-    cols = [r["target"] for r in label_map_df.select("target").distinct().collect()]
-    for c in cols:
+def _apply_map(df: DataFrame, label_map_df: DataFrame, src: str, fill_null: bool) -> DataFrame:
+    exprs = {}
+    for c, pairs in _collect_map(label_map_df).items():
         if c not in df.columns:
             continue
-        m = label_map_df.where(F.col("target") == c).select(
-            F.col(src).alias("__from"), F.col(dst).alias("__to"))
-        base = F.coalesce(F.col(c), F.lit(0)) if fill_null else F.col(c)
-        df = df.withColumn("__key", base).join(m, F.col("__key") == F.col("__from"), "left") \
-            .withColumn(c, F.coalesce(F.col("__to"), F.col("__key")).cast("int")) \
-            .drop("__key", "__from", "__to")
-    return df
+        base: Column = F.col(c)
+        if fill_null:
+            base = F.coalesce(base, F.lit(0))
+        e = None
+        for frm, to in sorted(pairs):
+            a, b = (frm, to) if src == "original_label" else (to, frm)
+            e = (F.when(base == a, F.lit(b)) if e is None else e.when(base == a, F.lit(b)))
+        exprs[c] = e.otherwise(base).cast("int")
+    return df.withColumns(exprs) if exprs else df
 
 
 def encode_labels(df: DataFrame, label_map_df: DataFrame) -> DataFrame:
     """A3 (+ N2): nulls in a column with negative labels become 0, then each
     negative label becomes its encoded value."""
-    return _apply_map(df, label_map_df, "original_label", "encoded_label", fill_null=True)
+    return _apply_map(df, label_map_df, "original_label", fill_null=True)
 
 
 def decode_labels(df: DataFrame, label_map_df: DataFrame) -> DataFrame:
     """Encoded values back to the original negative labels (Q9)."""
-    return _apply_map(df, label_map_df, "encoded_label", "original_label", fill_null=False)
+    return _apply_map(df, label_map_df, "encoded_label", fill_null=False)
 
 
 # ---- set operation and the whole step ---------------------------------------
@@ -202,9 +188,9 @@ def prepare_training_set(prev: DataFrame, new: DataFrame | None = None,
 
     Returns (training rows, label map)."""
     df = merge_coded(prev, new) if new is not None else prev
-    df = fill_index(drop_exact_duplicates(df))
+    # duplicates don't change the set of labels: the map reads label columns only
     lm = label_map(df) if label_map_df is None else label_map_df
-    df = encode_labels(df, lm)
+    df = encode_labels(fill_index(drop_exact_duplicates(df)), lm)
     df = require_exactly_one(df) if policy_rule == "exactly_one" else require_any(df)
     df = at_most_one(require_differs(df))
     df = decode_one_hot(derive_no_ask(df))

@@ -77,14 +77,16 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
 
 
 def batched_weighted_f1(df: DataFrame, order_key: str, batch_size: int = 32, truth: str = "truth",
-                        pred: str = "pred", weights: str = "predicted") -> DataFrame:
+                        pred: str = "pred", weights: str = "predicted",
+                        group: list[str] | None = None) -> DataFrame:
     """Weighted F1 of every batch of `batch_size` rows in `order_key`
     order, then the plain mean over batches (the last, shorter batch counts
     fully).  `weights='predicted'` reproduces the reference's swapped
-    arguments (Q11); 'truth' weights by true support."""
-    b = batch_number(df, order_key, batch_size)
-    c = per_class_counts(b, truth, pred, ["batch"])
+    arguments (Q11); 'truth' weights by true support.  One row per group."""
+    g = list(group or [])
+    b = batch_number(df, order_key, batch_size, group=g)
+    c = per_class_counts(b, truth, pred, [*g, "batch"])
     w = F.col("n_pred") if weights == "predicted" else F.col("n_truth")
     f1 = _safe_div(2 * F.col("tp"), F.col("n_pred") + F.col("n_truth"))
-    per_batch = c.groupBy("batch").agg(_safe_div(F.sum(f1 * w), F.sum(w)).alias("f1"))
-    return per_batch.agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).cast("long").alias("n_batches"))
+    per_batch = c.groupBy(*g, "batch").agg(_safe_div(F.sum(f1 * w), F.sum(w)).alias("f1"))
+    return per_batch.groupBy(*g).agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).cast("long").alias("n_batches"))

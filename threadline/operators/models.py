@@ -2,9 +2,9 @@
 training-loss history (A15).
 
 The reference fine-tunes one transformer per target on a GPU.  Here the same
-job is a Spark ML fit per target over one cached feature frame: token ids ->
-sparse counts (CountVectorizer) -> multinomial logistic regression.  The
-optimizer's per-iteration gradient aggregation is distributed by Spark ML.
+job is a Spark ML fit per target over one written feature table: token ids ->
+hashed sparse counts -> multinomial logistic regression.  The optimizer's
+per-iteration gradient aggregation is distributed by Spark ML.
 """
 
 from __future__ import annotations
@@ -30,15 +30,13 @@ def num_labels(df: DataFrame, targets) -> DataFrame:
 
 # ---- M1-M3, A15 -----------------------------------------------------------------
 
-def featurize(train: DataFrame, others: DataFrame | None = None, words_col: str = "words",
-              vocab_size: int = 1 << 12, min_df: float = 2.0):
-    """Sparse term counts over a vocabulary of at most `vocab_size` words
-    fitted on the training rows (CountVectorizer), so the per-class
-    coefficient vectors -- and every gradient the optimizer aggregates -- stay
-    small.  Returns the fitted vectorizer model."""
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=words_col, outputCol="features", vocabSize=vocab_size, minDF=min_df)
-    return cv.fit(train)
+def featurize(df: DataFrame, ids_col: str = "padded", width: int = 1 << 16) -> DataFrame:
+    """`features`: counts of the token ids (padding left out) in a fixed wide
+    hash space.  No word is dropped, nothing is fitted, and the size of a
+    gradient is classes x width whatever the corpus."""
+    from pyspark.ml.feature import HashingTF
+    ids = df.withColumn("__ids", F.filter(ids_col, lambda x: x > 0))
+    return HashingTF(inputCol="__ids", outputCol="features", numFeatures=width).transform(ids).drop("__ids")
 
 
 def train_per_target(train: DataFrame, targets, max_iter: int = 20, reg: float = 0.01,
@@ -60,22 +58,21 @@ def train_per_target(train: DataFrame, targets, max_iter: int = 20, reg: float =
         return dict(pool.map(fit, list(targets)))
 
 
-def score_per_target(df: DataFrame, models: dict, key: str) -> DataFrame:
-    """M2: long table (key, target, scores array, pred) for every row and
-    target; pred is the first maximum of the class scores (R3)."""
+def score_per_target(df: DataFrame, models: dict, keys: list[str]) -> DataFrame:
+    """M2: long table (keys, target, scores array, pred) for every row and
+    target, in one pass over the rows; pred is the first maximum of the class
+    scores (R3)."""
     from pyspark.ml.functions import vector_to_array
 
     from threadline.functions.arrays import argmax
-    parts = []
+    out = df.select(*keys, "features")
     for t, m in models.items():
-        s = m.transform(df.select(key, "features")).select(
-            key, F.lit(t).alias("target"),
-            vector_to_array(F.col(f"prob_{t}"), "float64").alias("scores"))
-        parts.append(s.withColumn("pred", argmax("scores")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = m.transform(out).drop(f"raw_{t}", f"pred_{t}")
+    long = F.explode(F.array(*[F.struct(F.lit(t).alias("target"),
+                                        vector_to_array(F.col(f"prob_{t}"), "float64").alias("scores"))
+                               for t in models]))
+    return out.select(*keys, long.alias("s")).select(*keys, "s.target", "s.scores") \
+        .withColumn("pred", argmax("scores"))
 
 
 def loss_history(models: dict) -> list[tuple[str, int, float]]:
@@ -87,15 +84,26 @@ def loss_history(models: dict) -> list[tuple[str, int, float]]:
     return rows
 
 
-def evaluate(scored: DataFrame, truth: DataFrame, key: str, targets, label_map_df=None) -> DataFrame:
-    """M3: M2 -> J6 -> J5 (back to original labels) -> A13 per target."""
-    from threadline.operators.metrics import align_predictions, classification_report
+def paired(scored: DataFrame, truth: DataFrame, key: str, targets) -> DataFrame:
+    """(key, target, truth, pred) of the rows that have both."""
+    from threadline.operators.metrics import align_predictions
     long_truth = truth.select(key, *[F.col(t).cast("int").alias(t) for t in targets]) \
         .unpivot([key], list(targets), "target", "truth")
-    pairs = align_predictions(scored, long_truth, [key, "target"]).select(key, "target", "truth", "pred")
+    return align_predictions(scored, long_truth, [key, "target"]).select(key, "target", "truth", "pred")
+
+
+def evaluate(pairs: DataFrame, key: str, label_map_df=None, batch_size: int = 32) -> DataFrame:
+    """M3: per target the report in original labels (J5 -> A13) and the mean
+    weighted F1 over batches in key order (A14, label `mean batch f1`, its
+    support the number of batches)."""
+    from threadline.operators.metrics import batched_weighted_f1, classification_report
+    batched = batched_weighted_f1(pairs, key, batch_size, group=["target"]).select(
+        "target", F.lit("mean batch f1").alias("label"), F.lit(None).cast("double").alias("precision"),
+        F.lit(None).cast("double").alias("recall"), F.col("mean_f1").alias("f1"),
+        F.col("n_batches").alias("support"))
     if label_map_df is not None:
         pairs = _decode_pairs(pairs, label_map_df)
-    return classification_report(pairs, group=["target"])
+    return classification_report(pairs, group=["target"]).unionByName(batched)
 
 
 def _decode_pairs(pairs: DataFrame, label_map_df: DataFrame) -> DataFrame:

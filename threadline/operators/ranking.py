@@ -1,141 +1,135 @@
 """Ranking without a single-task window.
 
-A window without `partitionBy` pulls the whole table into one task.  Instead a
-global (or per-key) rank is built in two levels:
-
-1. every row gets a `bucket` that is monotone in the sort order (the leading
-   hex digits of an md5 sort key, or an id range);
-2. rows per bucket are counted (a partial aggregate -> a table with at most
-   one row per bucket) and a running sum over that small table gives each
-   bucket's offset;
-3. the offsets are joined back and `rank = offset + row_number()` inside the
-   bucket -- a window partitioned by bucket, so every task sorts one bucket.
-
-For a cut (sample size, split sizes) only the buckets that straddle a cut need
-row numbers; all other rows are decided by their bucket's offset alone.
+A window without `partitionBy` pulls the whole table into one task.  A global
+(or per-key) rank is built in two levels instead:
+
+1. rows are dealt by range of the sort order, so Spark's own sampling cuts even
+   ranges whatever the keys look like, and written with the number of their
+   range (each range is one task's sort);
+2. rows per range are counted (a table with one row per range, or per key and
+   range it touches) and a running sum over that small table gives each
+   range's offset;
+3. `rank = offset + row_number()` inside the range.
+
+A cut (sample size, split sizes) needs no rank: rows are counted by the leading
+hex digits of their md5 key, the counts (at most `16 ** BUCKET_HEX` rows) tell
+which bucket holds the cut, and only that bucket's rows are numbered.  All
+others are decided by a literal comparison where they lie.
+
+A null key sorts first and counts as the empty text in md5 order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_HEX = 4          # 65,536 buckets at least
-MAX_BUCKET_HEX = 8              # 8 hex digits still fit a long after conv()
-ROWS_PER_BUCKET = 2_000_000     # target upper bound of rows sorted by one task
-
+from threadline.session import materialize
 
-def bucket_digits(n_rows: int) -> int:
-    """Hex digits of the md5 bucket so that a bucket holds about
-    ROWS_PER_BUCKET rows or fewer (md5 spreads rows evenly)."""
-    d = DEFAULT_BUCKET_HEX
-    while d < MAX_BUCKET_HEX and n_rows > ROWS_PER_BUCKET * 16 ** d:
-        d += 1
-    return d
+BUCKET_HEX = 4                  # 65,536 buckets of the md5 order
 
 
 def md5_key(seed, key: str | Column) -> Column:
     """Sort key shared with the SQL oracle: md5('{seed}:{key}') as hex."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
-
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(""))))
 
-def md5_bucket(sort_key: Column, hex_digits: int = DEFAULT_BUCKET_HEX) -> Column:
-    return F.conv(F.substring(sort_key, 1, hex_digits), 16, 10).cast("long")
 
+def md5_bucket(sort_key: Column) -> Column:
+    return F.conv(F.substring(sort_key, 1, BUCKET_HEX), 16, 10).cast("long")
 
-def bucket_offsets(df: DataFrame, partition_cols: list[str], bucket: str = "__bucket") -> DataFrame:
-    """(partition cols, bucket, n, offset): rows per bucket and the number of
-    rows in earlier buckets of the same partition."""
-    counts = df.groupBy(*partition_cols, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*partition_cols).orderBy(bucket) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # partition_cols == [] -> the window runs over the bucket table only
-    # (at most 16**hex_digits rows), never over the data rows.
-    return counts.withColumn("__offset", F.sum("__n").over(w) - F.col("__n"))
 
-
-def ranked(df: DataFrame, order: list[Column | str], bucket: Column,
-           partition_cols: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
-    """Dense 1-based row numbers in `order` (within `partition_cols`), with the
-    two-level scheme.  `bucket` must be monotone in `order`."""
+def ranked(df: DataFrame, order: list[Column], partition_cols: list[str] | None = None,
+           rank_col: str = "rank", ranges: int | None = None) -> DataFrame:
+    """Dense 1-based row numbers in `order` (within `partition_cols`)."""
+    spark = df.sparkSession
     part = list(partition_cols or [])
-    b = df.withColumn("__bucket", bucket)
-    offs = bucket_offsets(b, part)
-    w = Window.partitionBy(*part, "__bucket").orderBy(*order)
-    return b.join(offs, [*part, "__bucket"]) \
-        .withColumn(rank_col, (F.col("__offset") + F.row_number().over(w)).cast("long")) \
-        .drop("__bucket", "__n", "__offset")
-
-
-def global_rank(df: DataFrame, key: str, seed=None, rank_col: str = "rank",
-                hex_digits: int | None = None) -> DataFrame:
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(
+        df.repartitionByRange(n, *[F.col(c).asc() for c in part], *order)
+        .withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    # no partition columns: one row per range; else one per key and range it touches
+    w = Window.partitionBy(*part).orderBy("__range")
+    offsets = counts.withColumn("__offset", F.sum("__n").over(w) - F.col("__n"))
+    if part:
+        # a key inside one range needs no offset: a boundary cuts one key, so fewer rows than ranges
+        cut = offsets.where(F.col("__offset") > 0).select(*[F.col(c).alias(f"__k_{c}") for c in part],
+                                                          F.col("__range").alias("__r"), "__offset")
+        same = [F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in part]
+        placed = dealt.join(F.broadcast(cut), [*same, F.col("__r") == F.col("__range")], "left") \
+            .drop("__r", *[f"__k_{c}" for c in part])
+    else:
+        placed = dealt.join(F.broadcast(offsets.drop("__n")), "__range")
+    inside = Window.partitionBy(*part, "__range").orderBy(*order)
+    return placed.withColumn(
+        rank_col, (F.coalesce("__offset", F.lit(0)) + F.row_number().over(inside)).cast("long")
+    ).drop("__range", "__offset")
+
+
+def global_rank(df: DataFrame, key: str, seed=None, rank_col: str = "rank") -> DataFrame:
     """Global row number in md5(seed:key) order (seeded shuffle order), or
-    in `key` order when no seed is given (key range buckets)."""
+    in `key` order when no seed is given."""
     if seed is None:
-        lo_hi = df.agg(F.min(key), F.max(key)).first()
-        lo, hi = lo_hi[0], lo_hi[1]
-        n_buckets = 16 ** (hex_digits or bucket_digits(df.count()))
-        width = max(1, ((hi - lo) // n_buckets) + 1) if lo is not None else 1
-        bucket = F.floor((F.col(key) - F.lit(lo or 0)) / F.lit(width)).cast("long")
-        return ranked(df, [F.col(key)], bucket, rank_col=rank_col)
-    sk = md5_key(seed, key)
-    digits = hex_digits if hex_digits is not None else bucket_digits(df.count())
-    return ranked(df.withColumn("__sk", sk), [F.col("__sk"), F.col(key)],
-                  md5_bucket(F.col("__sk"), digits), rank_col=rank_col).drop("__sk")
-
-
-def batch_number(df: DataFrame, key: str, batch_size: int, rank_col: str = "rank") -> DataFrame:
-    """Sequential fixed-size batches in `key` order (0-based batch id)."""
-    r = global_rank(df, key, rank_col=rank_col)
+        return ranked(df, [F.col(key)], rank_col=rank_col)
+    return ranked(df.withColumn("__sk", md5_key(seed, key)), [F.col("__sk"), F.col(key)],
+                  rank_col=rank_col).drop("__sk")
+
+
+def batch_number(df: DataFrame, key: str, batch_size: int, rank_col: str = "rank",
+                 group: list[str] | None = None) -> DataFrame:
+    """Sequential fixed-size batches in `key` order (0-based batch id), in
+    each group on its own."""
+    r = ranked(df, [F.col(key)], group, rank_col)
     return r.withColumn("batch", F.floor((F.col(rank_col) - 1) / F.lit(batch_size)).cast("long"))
 
 
-def within_key_rank(df: DataFrame, key: str, order: str, rank_col: str = "rank",
-                    width: int = 1 << 16) -> DataFrame:
-    """Row number of `order` inside each `key` (O1 as a column).  Buckets are
-    `order` ranges of fixed width, so a hot key is ranked by many tasks."""
-    bucket = F.floor(F.col(order) / F.lit(width)).cast("long")
-    return ranked(df, [F.col(order)], bucket, partition_cols=[key], rank_col=rank_col)
+def within_key_rank(df: DataFrame, key: str, order: str, rank_col: str = "rank") -> DataFrame:
+    """Row number of `order` inside each `key` (O1 as a column).  A hot key
+    spans many ranges, so many tasks rank it."""
+    return ranked(df, [F.col(order)], [key], rank_col)
+
+
+def _cut_points(keyed: DataFrame, cuts) -> tuple[int, list[tuple[int, int]]]:
+    """(rows, [(bucket, rows before it)]): the md5 bucket that each cut falls
+    into.  `cuts` makes the cut ranks from the number of rows."""
+    rows = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()   # at most 16 ** BUCKET_HEX
+    total, out = sum(r["n"] for r in rows), []
+    for cut in cuts(total):
+        before = 0
+        for r in sorted(rows, key=lambda r: r["__bucket"]):
+            if before + r["n"] >= cut:
+                out.append((r["__bucket"], before))
+                break
+            before += r["n"]
+    return total, out
 
 
-def _md5_buckets(df: DataFrame, key: str, seed):
-    """(rows with sort key and bucket, bucket offsets, row count).  The count
-    comes from the small bucket table; only a table too large for the default
-    width is bucketed again with more digits."""
-    sk = md5_key(seed, key)
-    keyed = df.withColumn("__sk", sk)
-    digits = DEFAULT_BUCKET_HEX
-    while True:
-        b = keyed.withColumn("__bucket", md5_bucket(F.col("__sk"), digits))
-        offs = bucket_offsets(b, [])
-        total = offs.agg(F.sum("__n")).first()[0] or 0
-        want = bucket_digits(total)
-        if want <= digits:
-            return b, offs, total
-        digits = want
+def _keyed(df: DataFrame, key: str, seed) -> DataFrame:
+    return df.withColumn("__sk", md5_key(seed, key)).withColumn("__bucket", md5_bucket(F.col("__sk")))
 
 
 def take_first(df: DataFrame, key: str, n: int, seed) -> DataFrame:
     """O3 core: the n rows with the smallest md5(seed:key) (exactly n, or an
-    error when the pool is smaller).  Only the bucket that straddles the cut
-    is ranked; buckets wholly before it are taken whole."""
-    b, offs, total = _md5_buckets(df, key, seed)
+    error when the pool is smaller).  Buckets before the cut are taken whole
+    where they lie; only the bucket with the cut is sorted."""
+    keyed = _keyed(df, key, seed)
+    total, points = _cut_points(keyed, lambda _: [n])
     if n > total:
         raise ValueError(f"sample of {n} requested from a pool of {total}")
-    j = b.join(offs, "__bucket")
-    inside = j.where(F.col("__offset") + F.col("__n") <= n)
-    straddle = j.where((F.col("__offset") < n) & (F.col("__offset") + F.col("__n") > n))
-    w = Window.partitionBy("__bucket").orderBy("__sk", key)
-    cut = straddle.withColumn("__rk", F.col("__offset") + F.row_number().over(w)) \
-        .where(F.col("__rk") <= n).drop("__rk")
-    return inside.unionByName(cut).drop("__sk", "__bucket", "__n", "__offset")
+    if not points:
+        return df.limit(0)
+    (bucket, before), = points
+    inside = keyed.where(F.col("__bucket") < bucket)
+    cut = keyed.where(F.col("__bucket") == bucket).orderBy("__sk", key).limit(n - before)
+    return inside.unionByName(cut).drop("__sk", "__bucket")
 
 
 def split_sizes(n: int, test_size: float = 0.2) -> tuple[int, int, int]:
     """Q12: held out = ceil(test_size * n) (float product, as the reference's
     splitter computes it); validation = floor(h / 2), test = ceil(h / 2)."""
-    import math
     held = math.ceil(test_size * n)
     val = held - math.ceil(0.5 * held)
     return n - held, val, held - val
@@ -143,22 +137,27 @@ def split_sizes(n: int, test_size: float = 0.2) -> tuple[int, int, int]:
 
 def split_exact(df: DataFrame, key: str, seed=42, test_size: float = 0.2) -> DataFrame:
     """O5 exact mode: train / validation / test of the Q12 sizes, membership
-    by md5(seed:key) order.  Rows of buckets between the cuts are assigned by
-    offset; only the (at most two) straddling buckets are row-numbered."""
-    b, offs, n = _md5_buckets(df, key, seed)
-    n_train, n_val, _ = split_sizes(n, test_size)
-    c1, c2 = n_train, n_train + n_val
-    j = b.join(offs, "__bucket")
-    lo, hi = F.col("__offset"), F.col("__offset") + F.col("__n")
-    straddles = ((lo < c1) & (hi > c1)) | ((lo < c2) & (hi > c2))
-
-    def label(rank: Column) -> Column:
-        return F.when(rank <= c1, "train").when(rank <= c2, "validation").otherwise("test")
-
-    plain = j.where(~straddles).withColumn("split", label(hi))
-    w = Window.partitionBy("__bucket").orderBy("__sk", key)
-    cut = j.where(straddles).withColumn("split", label(lo + F.row_number().over(w)))
-    return plain.unionByName(cut).drop("__sk", "__bucket", "__n", "__offset")
+    by md5(seed:key) order.  Rows outside the (at most two) buckets that hold a
+    cut are labelled where they lie; only those buckets are row-numbered."""
+    keyed = _keyed(df, key, seed)
+
+    def cuts(n: int) -> list[int]:
+        n_train, n_val, _ = split_sizes(n, test_size)
+        return [n_train, n_train + n_val]
+    total, points = _cut_points(keyed, cuts)
+    if not total:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    c1, c2 = cuts(total)
+    (b1, before1), (b2, before2) = points
+    bucket = F.col("__bucket")
+    plain = keyed.where(~bucket.isin(b1, b2)).withColumn(
+        "split", F.when(bucket < b1, "train").when(bucket < b2, "validation").otherwise("test"))
+    before = F.when(bucket == b1, before1).otherwise(before2)
+    rank = before + F.row_number().over(Window.partitionBy("__bucket").orderBy("__sk", key))
+    cut = keyed.where(bucket.isin(b1, b2)).withColumn("__rank", rank).withColumn(
+        "split", F.when(F.col("__rank") <= c1, "train").when(F.col("__rank") <= c2, "validation")
+        .otherwise("test")).drop("__rank")
+    return plain.unionByName(cut).drop("__sk", "__bucket")
 
 
 def split_hash(df: DataFrame, key: str, seed=42, train: int = 80, validation: int = 10) -> DataFrame:

@@ -17,10 +17,10 @@ def updates_projection(df: DataFrame) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, values) -> DataFrame:
-    """The row with the greatest `order` per key (ties broken by values),
-    as an aggregate -- no window, no sort of the whole table."""
-    best = F.max(F.struct(F.col(order), *[F.col(v) for v in values])).alias("__best")
-    return df.groupBy(key).agg(best).select(key, *[F.col(f"__best.{v}").alias(v) for v in values])
+    """The values of the row with the greatest `order` per key, which must
+    be unique within a key.  One max_by per value keeps fixed-width buffers, so
+    this is a hash aggregate: no window and no sort."""
+    return df.groupBy(key).agg(*[F.max_by(v, order).alias(v) for v in values])
 
 
 def refresh_metrics(posts: DataFrame, updates: DataFrame, order: str = "seq") -> DataFrame:

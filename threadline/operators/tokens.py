@@ -1,10 +1,9 @@
 """Vocabulary, token ids, padding and masks.
 
 The reference downloads a pretrained vocabulary; here it is counted from the
-corpus (or supplied as a table).  Encoding explodes words with their
-positions, joins them to the vocabulary and re-assembles each row's ids in
-word order.  The vocabulary has at most `size` rows, which is what makes the
-broadcast of it safe; without a size bound the join is left to the planner.
+corpus (or supplied as a table), whole by default.  Encoding explodes words
+with their positions, looks them up and re-assembles each row's ids in word
+order under a row number of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 
 from threadline.functions.arrays import attention_mask, pad_or_truncate
 from threadline.functions.text import clean_text
+from threadline.session import materialize
 
 # ---- fixed values: special token ids -----------------------------------------
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -22,6 +22,10 @@ FIRST_WORD_ID = 4
 # ------------------------------------------------------------------------------
 
 
+BROADCAST_WORDS = 65_536        # rows of the vocabulary that are broadcast, always
+LONG_WORD = 40
+
+
 def words_of(cleaned) -> Column:
     """Whole words of a cleaned text (cleaned text only holds ' ' as space)."""
     c = F.col(cleaned) if isinstance(cleaned, str) else cleaned
@@ -32,47 +36,57 @@ def build_vocab(df: DataFrame, words_col: str = "words", size: int | None = None
                 min_count: int = 1) -> DataFrame:
     """(token, id, n).  Order: count desc, token asc; ids from 4.
 
-    Word counts are a partial aggregate.  With `size`, the top tokens are a
-    top-k (per-partition top `size`, then a merge); without it, ids come from
-    the two-level rank so no single task sorts the whole vocabulary."""
+    Word counts are a partial aggregate; ids come from the two-level rank, so no
+    single task sorts the whole vocabulary.  By default every word has an id;
+    `size` keeps the first ids only."""
+    from threadline.operators.ranking import ranked
     counts = df.select(F.explode(words_col).alias("token")).groupBy("token") \
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    if size is not None:
-        top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)
-        w = Window.orderBy(F.col("n").desc(), F.col("token"))   # over <= size rows
-        return top.select("token", (F.row_number().over(w) + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
-    from threadline.operators.ranking import ranked
-    bucket = F.struct((-F.col("n")).alias("a"), F.substring("token", 1, 2).alias("b"))
-    r = ranked(counts, [F.col("n").desc(), F.col("token")], bucket, rank_col="__rank")
-    return r.select("token", (F.col("__rank") + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
+    vocab = ranked(counts, [F.col("n").desc(), F.col("token").asc()], rank_col="__rank") \
+        .select("token", (F.col("__rank") + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
+    return vocab if size is None else vocab.where(F.col("id") < FIRST_WORD_ID + size)
+
 
+def with_row(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written, so that every later read
+    sees the same number; repeated keys stay apart."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
-def _lookup(vocab: DataFrame, bounded: bool) -> DataFrame:
+
+def _look_up(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(__row, __pos, __id).  Ids follow frequency: the first BROADCAST_WORDS
+    of them (words of at most LONG_WORD letters: a bound in bytes) are
+    broadcast and take most occurrences, the rest is joined by a shuffle."""
     v = vocab.select(F.col("token").alias("__tok"), F.col("id").alias("__id"))
-    return F.broadcast(v) if bounded else v
-
-
-def encode(df: DataFrame, key: str, vocab: DataFrame, words_col: str = "words",
-           out: str = "input_ids", max_words: int | None = None,
-           vocab_bounded: bool = True) -> DataFrame:
-    """[CLS] + ids + [SEP], unknown -> [UNK]; no truncation unless
-    `max_words` (then only the first max_words words are looked up -- what
-    a later truncation keeps).  Rows with no words keep [CLS, SEP]."""
-    words = F.col(words_col)
-    if max_words is not None:
-        words = F.slice(words, 1, max_words)
-    exploded = df.select(key, F.posexplode(words).alias("__pos", "__tok"))
-    ids = exploded.join(_lookup(vocab, vocab_bounded), "__tok", "left") \
-        .select(key, "__pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
-    grouped = ids.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__pairs"))
-    body = grouped.select(key, F.transform("__pairs", lambda p: p["__id"]).alias("__ids"))
+    frequent = (F.col("__id") < FIRST_WORD_ID + BROADCAST_WORDS) & (F.length("__tok") <= LONG_WORD)
+    seen = exploded.join(F.broadcast(v.where(frequent)), "__tok", "left")
+    hit = seen.where(F.col("__id").isNotNull()).select("__row", "__pos", "__id")
+    rare = seen.where(F.col("__id").isNull()).drop("__id").join(v.where(~frequent), "__tok", "left") \
+        .select("__row", "__pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
+    return hit.unionByName(rare)
+
+
+def _gather(rows: DataFrame, pairs: DataFrame, value: str, out: str, flat: bool) -> DataFrame:
+    """[CLS] + values by position + [SEP] on every row."""
+    body = pairs.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", value))).alias("__pairs"))
+    ids = F.transform("__pairs", lambda p: p[value])
     empty = F.array().cast(T.ArrayType(T.IntegerType()))
-    rest = [c for c in df.columns if c != words_col]
-    joined = df.select(*rest).join(body, key, "left")
-    return joined.withColumn(out, F.concat(F.array(F.lit(CLS_ID)),
-                                           F.coalesce("__ids", empty).cast("array<int>"),
-                                           F.array(F.lit(SEP_ID)))).drop("__ids")
+    body = body.select("__row", (F.flatten(ids) if flat else ids).alias("__ids"))
+    return rows.join(body, "__row", "left").withColumn(out, F.concat(
+        F.array(F.lit(CLS_ID)), F.coalesce("__ids", empty).cast("array<int>"), F.array(F.lit(SEP_ID)))
+    ).drop("__ids", "__row")
+
+
+def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out: str = "input_ids",
+           max_words: int | None = None) -> DataFrame:
+    """[CLS] + ids + [SEP] beside all other columns, unknown -> [UNK]; no
+    truncation unless `max_words` (then only the first max_words words are
+    looked up -- what a later truncation keeps).  Rows with no words keep
+    [CLS, SEP]; rows that repeat a key are encoded each on its own."""
+    rows = with_row(df)
+    words = F.col(words_col) if max_words is None else F.slice(words_col, 1, max_words)
+    exploded = rows.select("__row", F.posexplode(words).alias("__pos", "__tok"))
+    return _gather(rows.drop(words_col), _look_up(exploded, vocab), "__id", out, flat=False)
 
 
 def max_token_length(df: DataFrame, col: str = "input_ids") -> DataFrame:
@@ -80,23 +94,19 @@ def max_token_length(df: DataFrame, col: str = "input_ids") -> DataFrame:
     return df.agg(F.max(F.size(col)).cast("long").alias("max_len"))
 
 
-def convert_text(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
-                 max_len: int = 64, vocab_bounded: bool = True,
-                 cleaned_col: str | None = None) -> DataFrame:
-    """T4: X7 -> N5 -> T2 -> R1 -> R2.  Truncation is post, so only the first
-    max_len - 1 words can survive; only those are exploded and re-assembled.
+def convert_text(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int = 64,
+                 cleaned: bool = False) -> DataFrame:
+    """T4: X7 -> N5 -> T2 -> R1 -> R2.  All columns stay; a row with a null in
+    any of them goes.  Adds cleaned_text, padded and mask.
 
-    Pass `cleaned_col` when the input already holds the cleaned text (e.g. a
-    materialised table shared with the vocabulary job), so X7 runs once."""
-    if cleaned_col is None:
-        cleaned = df.select(key, clean_text(text_col).alias("cleaned_text")).dropna()
-    else:
-        cleaned = df.select(key, F.col(cleaned_col).alias("cleaned_text")).dropna()
-    cleaned = cleaned.withColumn("words", words_of("cleaned_text"))
-    enc = encode(cleaned, key, vocab, max_words=max_len - 1, vocab_bounded=vocab_bounded)
-    return enc.select(key, "cleaned_text",
-                      pad_or_truncate("input_ids", max_len, PAD_ID).alias("padded"),
-                      ).withColumn("mask", attention_mask("padded"))
+    Truncation is post, so only the first max_len - 1 words can survive; only
+    those are looked up.  With `cleaned` the input already holds cleaned_text
+    (e.g. a written table shared with the vocabulary job), so X7 runs once."""
+    rows = df if cleaned else df.withColumn("cleaned_text", clean_text(text_col))
+    rows = rows.dropna().withColumn("words", words_of("cleaned_text"))
+    enc = encode(rows, vocab, max_words=max_len - 1)
+    return enc.withColumn("padded", pad_or_truncate("input_ids", max_len, PAD_ID)) \
+        .withColumn("mask", attention_mask("padded")).drop("input_ids")
 
 
 # ---- T3: greedy longest-match sub-words -------------------------------------------
@@ -104,13 +114,14 @@ def convert_text(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
 def basic_tokens(text) -> Column:
     """Lower-cased words and single punctuation marks."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\w+|[^\w\s])"), 1)
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s])"), 1)
 
 
 def build_wordpiece_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     """Sub-word vocabulary counted from the corpus: the `size` most frequent
     tokens plus every single character, bare and as a '##' continuation, so
-    every token can be decomposed.  (token, id)."""
+    every token can be decomposed.  (token, id).  At most size rows and two per
+    character of the script, whatever the corpus."""
     toks = df.select(F.explode(tokens_col).alias("token"))
     words = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.col("n").desc(), "token").limit(size).select("token")
@@ -123,7 +134,8 @@ def build_wordpiece_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFram
 
 def wordpiece_split(word: str, vocab: dict, max_chars: int = 100) -> list[int]:
     """Greedy longest-match-first sub-words of one word (ids); [UNK] when some
-    part cannot be matched or the word is too long."""
+    part cannot be matched or the word is too long (100 characters in the
+    published algorithm)."""
     if len(word) > max_chars:
         return [UNK_ID]
     out, start = [], 0
@@ -142,29 +154,19 @@ def wordpiece_split(word: str, vocab: dict, max_chars: int = 100) -> list[int]:
     return out
 
 
-def wordpiece(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-              out: str = "input_ids") -> DataFrame:
+def wordpiece(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "input_ids") -> DataFrame:
     """Sub-word ids for every row.  The greedy match runs once per
-    *distinct* token (mapInPandas with the broadcast vocabulary), then the
-    pieces are joined back to the positions and re-assembled in order."""
-    spark = df.sparkSession
+    *distinct* token (mapInPandas with the bounded vocabulary), then the pieces
+    are joined back to the positions and re-assembled in order."""
     vocab_map = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
-    bvocab = spark.sparkContext.broadcast(vocab_map)
 
     def split_batches(batches):
         import pandas as pd
-        v = bvocab.value
         for pdf in batches:
             yield pd.DataFrame({"__tok": pdf["__tok"],
-                                "__pieces": [wordpiece_split(t, v) for t in pdf["__tok"]]})
-
-    exploded = df.select(key, F.posexplode(tokens_col).alias("__pos", "__tok"))
-    distinct = exploded.select("__tok").distinct()
-    pieces = distinct.mapInPandas(split_batches, "__tok string, __pieces array<int>")
-    ids = exploded.join(pieces, "__tok").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("__pos", "__pieces"))).alias("__pairs"))
-    flat = ids.select(key, F.flatten(F.transform("__pairs", lambda p: p["__pieces"])).alias("__ids"))
-    empty = F.array().cast(T.ArrayType(T.IntegerType()))
-    return df.join(flat, key, "left").withColumn(
-        out, F.concat(F.array(F.lit(CLS_ID)), F.coalesce("__ids", empty), F.array(F.lit(SEP_ID)))
-    ).drop("__ids")
+                                "__pieces": [wordpiece_split(t, vocab_map) for t in pdf["__tok"]]})
+
+    rows = with_row(df)
+    exploded = rows.select("__row", F.posexplode(tokens_col).alias("__pos", "__tok"))
+    pieces = exploded.select("__tok").distinct().mapInPandas(split_batches, "__tok string, __pieces array<int>")
+    return _gather(rows, exploded.join(pieces, "__tok"), "__pieces", out, flat=True)

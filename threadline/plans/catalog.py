@@ -26,11 +26,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from threadline.plans import q_text, q_labels  # noqa: F401
-    for mod in ("q_accounts", "q_sampling", "q_tokens", "q_metrics", "q_io", "q_models",
-                "q_streaming"):
-        try:
-            __import__(f"threadline.plans.{mod}")
-        except ModuleNotFoundError as exc:  # modules land one by one
-            if exc.name != f"threadline.plans.{mod}":
-                raise
+    from threadline.plans import (q_accounts, q_io, q_labels, q_metrics, q_models,  # noqa: F401
+                                  q_sampling, q_streaming, q_text, q_tokens)

@@ -182,8 +182,10 @@ def prior_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"),
-                    F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
+    # every element counts: class c sums the elements with index mod 10 = c
+    logits = [sum((F.get("embedding", F.lit(i)).cast("double") for i in range(c + 10, 64, 10)),
+                  F.get("embedding", F.lit(c)).cast("double")) for c in range(10)]
+    return e.select(F.col("vec_id").alias("row_id"), F.array(*logits).alias("logits"),
                     F.col("label").alias("truth"))
 
 
@@ -280,9 +282,9 @@ SQL_PRIOR = """prior_samples AS (
   SELECT id, text, 'batch1' AS sample_name FROM pool WHERE id % 10 = 3
   UNION ALL SELECT id, text, 'batch2' FROM pool WHERE id % 10 = 7)"""
 
-SQL_SCORES = """scores AS (
-  SELECT vec_id AS row_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits,
-         label AS truth FROM embeddings)"""
+SQL_SCORES = "scores AS (SELECT vec_id AS row_id, [" + ", ".join(
+    " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(c, 64, 10)) for c in range(10)
+) + "] AS logits, label AS truth FROM embeddings)"
 
 
 def with_ctes(*ctes: str) -> str:

@@ -9,7 +9,7 @@ from threadline.operators import accounts as A
 from threadline.operators import audit
 from threadline.operators import labels as L
 from threadline.operators import ranking as R
-from threadline.operators.refresh import refresh_metrics
+from threadline.operators.refresh import refresh_metrics, updates_projection
 from threadline.plans import fixtures as fx
 from threadline.plans.catalog import register
 
@@ -142,6 +142,20 @@ def q_refresh_metrics(spark, sf):
     return refresh_metrics(fx.posts_for_refresh(spark, sf), fx.updates(spark, sf))
 
 
+@register("refresh_from_pull", sql=_P(fx.SQL_POSTS, fx.SQL_POSTS_FOR_REFRESH) + """
+SELECT id, handle, created_at, full_text,
+       CAST(CASE WHEN id % 3 = 0 THEN retweet_count + 5 ELSE retweet_count END AS BIGINT) AS retweets,
+       CAST(CASE WHEN id % 3 = 0 THEN favorite_count + 7 ELSE favorite_count END AS BIGINT) AS favorites
+FROM posts_for_refresh WHERE created_at IS NOT NULL""")
+def q_refresh_from_pull(spark, sf):
+    """The refresh as it is run: posts pulled anew -> P9 -> J1."""
+    again = fx.posts(spark, sf).where(F.col("id") % 3 == 0) \
+        .withColumn("retweet_count", F.col("retweet_count") + 5) \
+        .withColumn("favorite_count", F.col("favorite_count") + 7)
+    updates = updates_projection(again).withColumn("seq", F.lit(1))
+    return refresh_metrics(fx.posts_for_refresh(spark, sf), updates)
+
+
 @register("chronological", sql=_P(fx.SQL_POSTS) + """
 SELECT handle, id, CAST(row_number() OVER (PARTITION BY handle ORDER BY id) AS BIGINT) AS rank FROM posts""")
 def q_chronological(spark, sf):

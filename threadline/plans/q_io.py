@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from threadline.operators import audit
 from threadline.operators import ranking as R
+from threadline.operators.accounts import latest_cursor, pull_new_posts
 from threadline.plans import fixtures as fx
 from threadline.plans.catalog import register
-from threadline.plans.q_labels import OLD_FULL, _cols
+from threadline.plans.q_labels import MERGED, SQL_MERGED, _cols, merged
 from threadline.schemas import POSTS_SCHEMA, coded_schema
 from threadline.session import scratch_path, table
 from threadline.sources import posts as S
@@ -61,29 +62,49 @@ def q_collect_full_cursors(spark, sf):
     return S.read_cursors(spark, f"{root}/cursors")
 
 
+@register("append_pulls", sql=_P(fx.SQL_POSTS, fx.SQL_POST_HANDLES) + "SELECT * FROM posts WHERE id > 1")
+def q_append_pulls(spark, sf):
+    """S4 -> S5 -> S6 twice in a row: the posts landed first, then all of them;
+    the second pull starts from the recorded cursors, so each post is appended
+    once."""
+    root = scratch_path(spark, "append-pulls")
+    posts, handles = fx.posts(spark, sf), fx.post_handles(spark, sf)
+    middle = posts.agg(F.floor((F.min("id") + F.max("id")) / 2)).first()[0]
+    cursors = None
+    for step, landed in enumerate((posts.where(F.col("id") <= middle), posts)):
+        S.append_posts(pull_new_posts(landed, handles, cursors), f"{root}/posts")
+        collected = spark.read.parquet(f"{root}/posts")
+        S.write_cursors(latest_cursor(collected, handles), f"{root}/cursors-{step}")
+        cursors = S.read_cursors(spark, f"{root}/cursors-{step}")
+    return S.read_posts(spark, f"{root}/posts").select(*POST_NAMES)
+
+
 @register("write_splits", sql=f"""
-WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk,
+WITH r AS (SELECT doc_id, n_chars, text, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk,
                   count(*) OVER () AS n FROM documents),
-s AS (SELECT doc_id, n_chars, rk, n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS c1,
+s AS (SELECT doc_id, n_chars, text, rk, n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS c1,
              CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS h FROM r)
-SELECT doc_id, n_chars, CASE WHEN rk <= c1 THEN 'train'
+SELECT doc_id, n_chars, text, CASE WHEN rk <= c1 THEN 'train'
                     WHEN rk <= c1 + h - CAST(ceil(CAST(0.5 AS DOUBLE) * h) AS BIGINT) THEN 'validation'
                     ELSE 'test' END AS split FROM s""")
 def q_write_splits(spark, sf):
-    """O5 + S7: one Parquet table partitioned by split, read back."""
+    """O5 + S7 on whole texts: one Parquet table partitioned by split, read back."""
     path = scratch_path(spark, "splits")
-    d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    R.split_exact(d, "doc_id", 42).write.mode("overwrite").partitionBy("split").parquet(path)
-    return spark.read.parquet(path).select("doc_id", "n_chars", "split")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    S.write_splits(R.split_exact(d, "doc_id", 42), path)
+    return spark.read.parquet(path).select("doc_id", "n_chars", "text", "split")
 
 
-@register("read_csv_inputs", sql=_P(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD) + f"SELECT {_cols(OLD_FULL)} FROM coded_old")
+@register("read_csv_inputs", sql=_P(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, fx.SQL_CODED_NEW, SQL_MERGED)
+          + f"SELECT {_cols(MERGED)} FROM merged")
 def q_read_csv_inputs(spark, sf):
-    """Coded posts written as CSV (texts hold newlines and quotes) and
-    read back with an explicit schema."""
+    """Coded posts written as CSV the way columns with gaps are (`1.0`,
+    `-1.0`, empty cells; texts hold newlines and quotes), read back with an
+    explicit schema."""
     path = scratch_path(spark, "coded-csv")
-    S.write_csv(fx.coded_old(spark, sf), path)
-    (back,) = S.read_coded(spark, [path], coded_schema(OLD_FULL))
+    rows = merged(spark, sf)
+    S.write_csv(rows.select(*[F.col(c) if c == "text" else F.col(c).cast("double").alias(c) for c in MERGED]), path)
+    (back,) = S.read_coded(spark, [path], coded_schema(MERGED))
     return back
 
 

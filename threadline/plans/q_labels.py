@@ -66,7 +66,11 @@ def sql_select_mapped(cols, src: str, lm: str, fn) -> str:
     return f"SELECT {', '.join(parts)} FROM {src} t"
 
 
-OLD_FULL = MERGED + ["state", "Unnamed: 21"]
+_MERGED_CTES = (fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, fx.SQL_CODED_NEW, SQL_MERGED)
+
+
+def merged(spark, sf):
+    return L.merge_coded(fx.coded_old(spark, sf), fx.coded_new(spark, sf)).select(*MERGED)
 
 
 @register("merge_coded", sql=fx.with_ctes(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, fx.SQL_CODED_NEW,
@@ -75,29 +79,38 @@ def q_merge_coded(spark, sf):
     return L.merge_coded(fx.coded_old(spark, sf), fx.coded_new(spark, sf))
 
 
-@register("label_map", sql=fx.with_ctes(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, sql_label_map("coded_old"))
-          + "SELECT * FROM lm")
+@register("label_map", sql=fx.with_ctes(*_MERGED_CTES, sql_label_map("merged")) + "SELECT * FROM lm")
 def q_label_map(spark, sf):
-    return L.label_map(fx.coded_old(spark, sf))
+    return L.label_map(merged(spark, sf))
 
 
-@register("encode_labels", sql=fx.with_ctes(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, sql_label_map("coded_old"))
-          + sql_select_mapped(OLD_FULL, "coded_old", "lm", _sql_encode))
+@register("encode_labels", sql=fx.with_ctes(*_MERGED_CTES, sql_label_map("merged"))
+          + sql_select_mapped(MERGED, "merged", "lm", _sql_encode))
 def q_encode_labels(spark, sf):
-    old = fx.coded_old(spark, sf)
-    return L.encode_labels(old, L.label_map(old))
+    rows = merged(spark, sf)
+    return L.encode_labels(rows, L.label_map(rows))
 
 
 @register("decode_labels", sql=fx.with_ctes(
-    fx.SQL_CODED_BASE, fx.SQL_CODED_OLD, sql_label_map("coded_old"),
-    "enc AS (" + sql_select_mapped(OLD_FULL, "coded_old", "lm", _sql_encode) + ")")
-    + sql_select_mapped(OLD_FULL, "enc", "lm", _sql_decode))
+    *_MERGED_CTES, sql_label_map("merged"),
+    "enc AS (" + sql_select_mapped(MERGED, "merged", "lm", _sql_encode) + ")")
+    + sql_select_mapped(MERGED, "enc", "lm", _sql_decode))
 def q_decode_labels(spark, sf):
     """A2 -> A3 -> J5: the round trip gives the input back (nulls of mapped
     columns stay 0, as N2 made them)."""
-    old = fx.coded_old(spark, sf)
-    lm = L.label_map(old)
-    return L.decode_labels(L.encode_labels(old, lm), lm)
+    rows = merged(spark, sf)
+    lm = L.label_map(rows)
+    return L.decode_labels(L.encode_labels(rows, lm), lm)
+
+
+FIXED_LABELS = ["sentiment", "political", "ideology"]
+
+
+@register("fill_labels", sql=fx.with_ctes(*_MERGED_CTES) + "SELECT * REPLACE (" + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in FIXED_LABELS) + ") FROM merged")
+def q_fill_labels(spark, sf):
+    """N2 in its fixed form: three label columns, null -> 0."""
+    return L.fill_labels(merged(spark, sf), FIXED_LABELS)
 
 
 def _sql_m4(policy_rule: str) -> str:
@@ -136,20 +149,16 @@ def q_prepare_any_policy(spark, sf):
     return df
 
 
-@register("one_hot_decode", sql=fx.with_ctes(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD) + (
+@register("one_hot_decode", sql=fx.with_ctes(*_MERGED_CTES) + (
     "SELECT \"index\", CAST(nullif(list_position([" + _cols(POLICY_LIST) + "], 1), 0) - 1 AS INTEGER) "
     "AS policies, CAST(nullif(list_position([CASE WHEN asks_for_donation = 0 AND ask_to_etc = 0 AND "
     "ask_misc = 0 THEN 1 ELSE 0 END, asks_for_donation, ask_to_etc, ask_misc], 1), 0) - 1 AS INTEGER) "
-    "AS ask_requests FROM coded_old"))
+    "AS ask_requests FROM merged"))
 def q_one_hot_decode(spark, sf):
-    old = L.derive_no_ask(fx.coded_old(spark, sf))
-    return old.select("index", one_hot_decode(POLICY_LIST).alias("policies"),
-                      one_hot_decode(ASK_LIST).alias("ask_requests"))
+    rows = L.derive_no_ask(merged(spark, sf))
+    return rows.select("index", one_hot_decode(POLICY_LIST).alias("policies"),
+                       one_hot_decode(ASK_LIST).alias("ask_requests"))
 
 
-@register("num_labels", sql=fx.with_ctes(fx.SQL_CODED_BASE, fx.SQL_CODED_OLD) + "SELECT " + ", ".join(
-    f"count(DISTINCT {_q(c)}) AS {_q(c)}" for c in OLD_Y) + " FROM coded_old")
-def q_num_labels(spark, sf):
-    """A10 (+U4): distinct labels per target in one pass over the rows."""
-    from threadline.operators.models import num_labels
-    return num_labels(fx.coded_old(spark, sf), OLD_Y)
+def sql_m4(policy_rule: str = "exactly_one") -> str:
+    return _sql_m4(policy_rule)

@@ -4,53 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadline.functions.text import post_time
 from threadline.plans import fixtures as fx
 from threadline.plans.catalog import register
 from threadline.schemas import DEFAULT_TAGS
 from threadline.session import scratch_path
 from threadline.streaming.collect import run_collection
 
-CHUNKS = 8          # landed files, delivered one per trigger in id order
+PLATFORM_FMT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
+ROUNDS = 3
 
 
-def land_in_order(spark, sf, root: str) -> str:
-    """Write posts as JSON-lines files, one per id range, in id order, plus a
-    file re-delivering earlier posts (every tenth id of the first half) in
-    the middle.  File times are set so the stream sees them in that order."""
-    p = fx.posts(spark, sf)
-    lo, hi = p.agg(F.min("id"), F.max("id")).first()
-    width = (hi - lo) // CHUNKS + 1
+def records(posts):
     rec = F.to_json(F.struct("id", "created_at", "full_text", "retweet_count", "favorite_count",
                              F.struct(F.col("handle").alias("screen_name")).alias("user")))
-    chunked = p.select(rec.alias("value"), "id",
-                       F.floor((F.col("id") - lo) / width).cast("int").alias("chunk"))
-    redeliver = chunked.where((F.col("chunk") < CHUNKS // 2) & (F.col("id") % 10 == 0)) \
-        .withColumn("chunk", F.lit(CHUNKS // 2).cast("int"))
-    order = []
-    for c in range(CHUNKS):
-        order.append(chunked.where(F.col("chunk") == c))
-        if c == CHUNKS // 2 - 1:
-            order.append(redeliver)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base_ms = 1_600_000_000_000
-    for i, part in enumerate(order):
-        d = f"{root}/landing/file_{i:03d}"
-        part.orderBy("id").select("value").coalesce(1).write.mode("overwrite").text(d)
-        path = jvm.org.apache.hadoop.fs.Path(d)
-        fs = path.getFileSystem(conf)
-        for st in fs.listStatus(path):
-            if st.getPath().getName().startswith("part-"):
-                fs.setTimes(st.getPath(), base_ms + i * 60_000, -1)
-    return f"{root}/landing/file_*/part-*"
+    return posts.select(rec.alias("value"))
 
 
-@register("stream_collect", sql=fx.with_ctes(fx.SQL_POSTS) + "SELECT * FROM posts WHERE id > 1")
-def q_stream_collect(spark, sf):
-    """K1 + K2: availableNow stream over the landed files; the appended
-    posts read back equal the batch pull over everything (each post once)."""
-    root = scratch_path(spark, "stream")
-    landing = land_in_order(spark, sf, root)
-    posts_root, _ = run_collection(spark, landing, f"{root}/out", DEFAULT_TAGS)
+def collect_rounds(spark, deliveries, root):
+    """Land each delivery as JSON lines and collect what is new after it."""
+    for i, posts in enumerate(deliveries):
+        records(posts).write.mode("overwrite").text(f"{root}/landing/delivery_{i}")
+        posts_root, _ = run_collection(spark, f"{root}/landing/delivery_*", f"{root}/out", DEFAULT_TAGS)
     out = spark.read.parquet(posts_root)
     return out.select("handle", "created_at", "favorite_count", "full_text", "id", "retweet_count")
+
+
+@register("stream_collect", sql=fx.with_ctes(fx.SQL_POSTS) + "SELECT * FROM posts WHERE id > 1")
+def q_stream_collect(spark, sf):
+    """K1 + K2: deliveries in id order, every tenth earlier post delivered
+    again with the next one; what is collected equals the batch pull over
+    everything (each post once)."""
+    p = fx.posts(spark, sf)
+    lo, hi = p.agg(F.min("id"), F.max("id")).first()
+    width = (hi - lo) // ROUNDS + 1
+    part = F.floor((F.col("id") - lo) / width)
+    deliveries = [p.where((part == i) | ((part == i - 1) & (F.col("id") % 10 == 0))) for i in range(ROUNDS)]
+    return collect_rounds(spark, deliveries, scratch_path(spark, "stream"))
+
+
+@register("stream_backfill", sql=fx.with_ctes(fx.SQL_POSTS) + """
+SELECT p.handle, strftime(e.ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at, p.favorite_count, p.full_text, p.id,
+       p.retweet_count, strftime(date_trunc('second', e.ts), '%Y-%m-%d %H:%M:%S') AS posted_at
+FROM posts p JOIN events e ON e.event_id = p.id WHERE p.id > 1""")
+def q_stream_backfill(spark, sf):
+    """Accounts listed late land after the others with their whole, older
+    back-file, mixed with posts delivered again; times in the platform's form."""
+    p = fx.posts(spark, sf).withColumn("created_at", F.date_format(F.to_timestamp("created_at"), PLATFORM_FMT))
+    late = F.pmod(F.xxhash64("handle"), F.lit(3)) == 0
+    deliveries = [p.where(~late), p.where(late | (F.col("id") % 10 == 0))]
+    out = collect_rounds(spark, deliveries, scratch_path(spark, "backfill"))
+    return out.withColumn("posted_at", F.date_format(post_time("created_at"), "yyyy-MM-dd HH:mm:ss"))

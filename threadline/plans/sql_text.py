@@ -20,7 +20,7 @@ def sql_clean_text(expr: str) -> str:
     fix = "w"
     for bad, good in MOJIBAKE:
         fix = f"replace({fix}, {_q(bad)}, {_q(good)})"
-    fix = f"regexp_replace({fix}, '.?Ä.?', ' ', 'g')"
+    fix = f"regexp_replace({fix}, '[^Ä]?Ä.?', ' ', 'g')"
     suffixes = ", ".join(_q(s) for s in CONTRACTION_SUFFIXES)
     word = (f"CASE WHEN d IN ({suffixes}) THEN chr(2) || d ELSE "
             f"trim(regexp_replace(replace(regexp_replace(d, 'htt.*', ' '), '&amp;', 'and'), "

@@ -118,8 +118,8 @@ RAW_POST_SCHEMA = T.StructType([
 
 
 def coded_schema(columns: list[str], text_cols=("text",), id_cols=("id", "index")) -> T.StructType:
-    """Explicit schema for a coded-posts CSV: text columns are strings, ids
-    bigint, every label an int (never inferred)."""
+    """Explicit schema of coded posts: text columns are strings, ids bigint,
+    every label an int (never inferred)."""
     fields = []
     for c in columns:
         if c in text_cols or c in ("state", "Unnamed: 21"):

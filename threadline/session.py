@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+SCAN_PARTITIONS = "spark.threadline.scanPartitions"
+
+
 def build_session(master: str | None = None, app: str = "threadline",
                   shuffle_partitions: int | None = None) -> SparkSession:
     master = master or os.environ.get("THREADLINE_MASTER", "local[8]")
@@ -29,8 +32,9 @@ def build_session(master: str | None = None, app: str = "threadline",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("THREADLINE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.ansi.enabled", os.environ.get("THREADLINE_ANSI", "false"))
     )
+    if os.environ.get("THREADLINE_SCAN_PARTITIONS"):
+        builder = builder.config(SCAN_PARTITIONS, os.environ["THREADLINE_SCAN_PARTITIONS"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -40,7 +44,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or an already set
-    checkpoint directory); set a local one only where none is configured.
+    checkpoint directory).  Where none is configured a local master gets a
+    temporary one; on a cluster executors would not share it, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +53,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="threadline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir().rstrip("/")
@@ -63,15 +70,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def spread(df):
-    """Give CPU-heavy per-row work at least one partition per core.
-
-    Only a tiny input (fewer scan partitions than cores, e.g. one small file)
-    is re-split; a large table already has far more partitions than cores and
-    is left alone, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Deal CPU-heavy rows anew where the session asks for it.
+
+    A table in one unsplittable file (the small test tables) is one task.  The
+    session setting ``spark.threadline.scanPartitions`` names a number of
+    partitions; it is unset by default, and then nothing is shuffled."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def materialize(df, name: str):

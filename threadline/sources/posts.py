@@ -72,11 +72,16 @@ def read_posts(spark: SparkSession, path: str, names=None, fmt: str = "parquet")
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
+def clustered(df: DataFrame) -> DataFrame:
+    """Posts dealt by handle and sorted.  A rebalance, not a repartition: AQE
+    cuts the partition of a hot handle into several and joins small ones."""
+    return df.hint("rebalance", F.col("handle")).sortWithinPartitions("handle", "id")
+
+
 def append_posts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append a batch of posts; rows are clustered by handle and ordered by
     id inside each file (no global sort)."""
-    out = df.repartition("handle").sortWithinPartitions("handle", "id")
-    out.write.mode("append").format(fmt).save(path)
+    clustered(df).write.mode("append").format(fmt).save(path)
 
 
 def write_cursors(df: DataFrame, path: str) -> None:
@@ -89,6 +94,22 @@ def read_cursors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CURSOR_SCHEMA).parquet(path)
 
 
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Predictions stored by target."""
+    df.write.mode("overwrite").partitionBy("target").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """Stored predictions, of one target by partition pruning."""
+    df = spark.read.parquet(path)
+    return df if target is None else df.where(F.col("target") == target)
+
+
+def write_splits(df: DataFrame, path: str) -> None:
+    """Rows with their inputs, masks and labels, one folder per split."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def read_handle_list(spark: SparkSession, path: str) -> DataFrame:
     """The wide account list; every column a string (no inference)."""
     header = spark.read.option("header", True).csv(path).columns
@@ -97,11 +118,27 @@ def read_handle_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coded(spark: SparkSession, paths, schema: T.StructType) -> list[DataFrame]:
-    """One DataFrame per path, explicit schema; `paths` must be a list (Q1)."""
+    """One DataFrame per path, explicit schema; `paths` must be a list (Q1).
+
+    Columns with gaps were written as decimals (`1.0`, `-1.0`), so whole-number
+    columns are read as text and converted; anything else in them raises."""
     if isinstance(paths, str):
         raise TypeError("paths must be a list of paths, not one string")
-    return [spark.read.schema(schema).csv(p, header=True, multiLine=True, quote='"', escape='"')
-            for p in paths]
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    return [spark.read.schema(text).csv(p, header=True, multiLine=True, quote='"', escape='"')
+            .select(*[_typed(f) for f in schema]) for p in paths]
+
+
+def _typed(field: T.StructField):
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return c.alias(field.name)
+    s = F.trim(c)
+    number = s.try_cast("decimal(38,6)")
+    return (F.when(c.isNull() | (s == ""), F.lit(None).cast(field.dataType))
+            .when(number == F.floor(number), number.cast(field.dataType))
+            .otherwise(F.raise_error(F.concat(F.lit(f"column {field.name} holds no whole number: "), c))
+                       .cast(field.dataType)).alias(field.name))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

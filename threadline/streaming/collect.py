@@ -1,92 +1,99 @@
 """Incremental collection with Structured Streaming (K1, K2) and its batch
 form (K3).
 
-K1: landed JSON records are read as a stream, projected to the wanted tags
-(P1 + X8), and re-delivered posts are dropped with
-`dropDuplicatesWithinWatermark(['handle', 'id'])` (state bounded by the
-watermark on the post time).
-
-K2: every micro-batch (`foreachBatch`) keeps posts above the per-handle cursor,
-appends them, and writes the next cursor table.  Both outputs go to a
-directory named by the batch id and are overwritten on a retry, so replaying a
-batch after a failure is idempotent; the cursor of batch n is read from the
-newest snapshot written by an earlier batch, never from its own output.
+K1: landed JSON records are read as a stream and projected to the wanted tags
+(P1 + X8).
+
+K2: every micro-batch (`foreachBatch`) drops repeats inside the batch, keeps
+posts above the per-handle cursor, writes them, and writes the next cursor
+table.  A post delivered again in a later batch lies at or below its handle's
+cursor, so no state store and no watermark is needed: a handle that is listed
+late has no cursor yet and gets its whole back-file, however old.  Both outputs
+go to a directory named by the batch id and are overwritten on a retry, so
+replaying a batch is idempotent: batch n reads the cursors of batch n - 1,
+never its own.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.operators.accounts import advance_cursors, pull_new_posts
-from threadline.schemas import CURSOR_SCHEMA, RAW_POST_SCHEMA
-from threadline.sources.posts import append_posts, parse_posts
+from threadline.operators.accounts import drop_unknown_accounts, latest_cursor, pull_new_posts
+from threadline.schemas import CURSOR_SCHEMA
+from threadline.sources.posts import clustered, parse_posts, read_cursors, write_cursors
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Batch ids of the committed snapshots under root (batch_id=N dirs)."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch_id=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
-
-
-def read_cursors_before(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    older = [v for v in _versions(spark, root) if v < batch_id]
-    if not older:
+def cursors_before(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """The cursors that batch n starts from: those of batch n - 1."""
+    if batch_id == 0:
         return None
-    return spark.read.schema(CURSOR_SCHEMA).parquet(f"{root}/batch_id={older[-1]}")
+    path = f"{root}/batch_id={batch_id - 1}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(f"no committed cursors of batch {batch_id - 1} under {root}")
+    return read_cursors(spark, path)
 
 
-def stream_posts(spark: SparkSession, landing: str, tags, watermark: str = "1 day",
-                 files_per_trigger: int | None = 1) -> DataFrame:
-    """K1: stream of projected posts with re-deliveries removed."""
+def stream_posts(spark: SparkSession, landing: str, tags, files_per_trigger: int | None = None) -> DataFrame:
+    """K1: stream of projected posts, as delivered."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.load(landing)
-    posts = parse_posts(raw, tags=tags)
-    return posts.withColumn("__event_time", F.to_timestamp("created_at")) \
-        .withWatermark("__event_time", watermark) \
-        .dropDuplicatesWithinWatermark(["handle", "id"]) \
-        .drop("__event_time")
+    return parse_posts(reader.load(landing), tags=tags)
+
+
+def above_cursor(posts: DataFrame, previous: DataFrame) -> DataFrame:
+    """Posts newer than their handle's cursor; a handle without one keeps all
+    posts above 1.  The stored cursor table is joined plainly, so AQE can split
+    a hot handle."""
+    cur = previous.select("handle", F.col("since_id").alias("__since"))
+    return posts.join(cur, "handle", "left").where(
+        F.col("id") > F.coalesce("__since", F.lit(1))).drop("__since")
 
 
 def collect_increment(spark: SparkSession, posts_root: str, cursor_root: str,
-                      handles: DataFrame | None = None):
-    """K2 as a foreachBatch function."""
+                      handles: DataFrame | None = None, status: DataFrame | None = None):
+    """K2 as a foreachBatch function; without a handle list every handle met is
+    wanted."""
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        previous = read_cursors_before(spark, cursor_root, batch_id)
-        wanted = handles if handles is not None else batch_df.select("handle").distinct()
-        fresh = pull_new_posts(batch_df, wanted, previous)
-        out = f"{posts_root}/batch_id={batch_id}"
-        fresh.repartition("handle").sortWithinPartitions("handle", "id") \
-            .write.mode("overwrite").parquet(out)
-        written = spark.read.parquet(out)
-        base = wanted if previous is None else wanted.unionByName(previous.select("handle")).distinct()
-        advance_cursors(written, base, previous) \
-            .write.mode("overwrite").parquet(f"{cursor_root}/batch_id={batch_id}")
+        previous = cursors_before(spark, cursor_root, batch_id)
+        known = spark.createDataFrame([], CURSOR_SCHEMA) if previous is None else previous
+        batch = batch_df.dropDuplicates(["handle", "id"]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if handles is None:
+                fresh = above_cursor(batch, known)
+            else:
+                fresh = pull_new_posts(batch, handles, known, status)
+            out = f"{posts_root}/batch_id={batch_id}"
+            clustered(fresh).write.mode("overwrite").parquet(out)
+        finally:
+            batch.unpersist()
+        newest = spark.read.schema(fresh.schema).parquet(out).groupBy("handle").agg(F.max("id").alias("since_id"))
+        listed = [] if handles is None else [
+            drop_unknown_accounts(handles.select("handle").distinct(), status)
+            .withColumn("since_id", F.lit(1).cast("long"))]
+        merged = known
+        for part in (newest, *listed):
+            merged = merged.unionByName(part)
+        write_cursors(merged.groupBy("handle").agg(F.max("since_id").alias("since_id")),
+                      f"{cursor_root}/batch_id={batch_id}")
     return run
 
 
 def run_collection(spark: SparkSession, landing: str, out_root: str, tags,
-                   handles: DataFrame | None = None, watermark: str = "1 day") -> tuple[str, str]:
-    """K1 + K2 with an availableNow trigger: processes everything landed so
-    far in file order, then stops.  Returns (posts root, cursor root)."""
+                   handles: DataFrame | None = None, files_per_trigger: int | None = None,
+                   status: DataFrame | None = None) -> tuple[str, str]:
+    """K1 + K2 with an availableNow trigger: processes everything landed since
+    the last call, then stops.  Returns (posts root, cursor root)."""
     posts_root, cursor_root = f"{out_root}/posts", f"{out_root}/cursors"
-    stream = stream_posts(spark, landing, tags, watermark)
-    q = stream.writeStream.foreachBatch(collect_increment(spark, posts_root, cursor_root, handles)) \
+    stream = stream_posts(spark, landing, tags, files_per_trigger)
+    q = stream.writeStream.foreachBatch(collect_increment(spark, posts_root, cursor_root, handles, status)) \
         .option("checkpointLocation", f"{out_root}/_checkpoint") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
@@ -97,12 +104,5 @@ def collect_full(spark: SparkSession, landing: DataFrame, handles: DataFrame, ou
                  cursor_out: str, status: DataFrame | None = None) -> None:
     """K3: the batch form the reference runs -- every handle from since_id = 1
     (Q18), earlier output truncated (overwrite), then the cursors."""
-    pulled = pull_new_posts(landing, handles, None, status)
-    pulled.repartition("handle").sortWithinPartitions("handle", "id").write.mode("overwrite").parquet(out)
-    written = spark.read.parquet(out)
-    from threadline.operators.accounts import latest_cursor
-    latest_cursor(written, handles).write.mode("overwrite").parquet(cursor_out)
-
-
-__all__ = ["stream_posts", "collect_increment", "run_collection", "collect_full",
-           "append_posts", "RAW_POST_SCHEMA"]
+    clustered(pull_new_posts(landing, handles, None, status)).write.mode("overwrite").parquet(out)
+    write_cursors(latest_cursor(spark.read.parquet(out), handles), cursor_out)
