@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import materialize, table, texts_of
+from threadline.llm.common import columns, fresh, materialize, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -205,14 +205,14 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets.  The
     text rides through the span join once, keyed by its row."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "op2-rows")
-    spans = spans_of(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), F.col("all").alias("_all"))
+    row, found = fresh(docs, "_row"), fresh(docs, "_spans")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "op2-rows")
+    spans = spans_of(keyed, row, text_col).select(F.col("doc_id").alias(row), F.col("all").alias(found))
 
     def fn(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             out = []
-            for t, spans in zip(texts, b.column(b.schema.get_field_index("_all")).to_pylist()):
+            for t, spans in zip(*columns(b, text_col, found)):
                 if spans:
                     parts, at = [], 0
                     for s in spans:
@@ -222,19 +222,20 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     t = "".join(parts) + t[at:]
                 out.append(t)
             i = b.schema.get_field_index(text_col)
-            yield b.set_column(i, text_col, pa.array(out, pa.string())).drop_columns(["_all"])
-    marked = keyed.join(spans, "_row").drop("_row")
-    schema = ", ".join(f"`{c}` {t}" for c, t in marked.drop("_all").dtypes)
+            yield b.set_column(i, text_col, pa.array(out, pa.string())).drop_columns([found])
+    marked = keyed.join(spans, row).drop(row)
+    schema = ", ".join(f"`{c}` {t}" for c, t in marked.drop(found).dtypes)
     return marked.mapInArrow(fn, schema)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base counts, digest of the base spans and all spans."""
     rows = spans_of(docs, id_col, text_col)
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
-        "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-          for k, name in enumerate(KINDS)],
+        "doc_id", *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
