@@ -114,7 +114,8 @@ def fit_weights(y: np.ndarray, rows: list[list[int]], n_words: int,
     freq = np.bincount(col, minlength=n_words) / max(len(y), 1)
     scale = 1 / np.sqrt(np.maximum(freq, 1e-4))       # rare words may move as fast as common ones
     w, bias, vw, vb = np.zeros(n_words), 0.0, np.zeros(n_words), 0.0
-    rate = 0.5
+    pull = np.bincount(a, k, n_words) + np.bincount(b, k, n_words) if len(pairs) else np.zeros(n_words)
+    rate = 1 / (2 + 4 * counterfactual * float((pull * scale).max(initial=0)))
     for step in range(steps):
         m = step / (step + 3)
         lw, lb = w + m * vw, bias + m * vb
@@ -149,9 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = counted.where(F.col("word").isin(identity)).select("word").collect()
     top = counted.orderBy(gap.desc(), "word").limit(vocabulary).select("word").collect()
     vocab = sorted({r.word for r in top} | {r.word for r in known})
-    rows = presence(sample, vocab).orderBy(F.hash("idx", "y")).collect()   # at most sample_rows
-    idx = [r.idx for r in rows]
-    w, bias = fit_weights(np.array([r.y for r in rows]), idx, len(vocab),
+    rows = sorted((r.idx, r.y) for r in presence(sample, vocab).collect())     # at most sample_rows
+    idx = [i for i, _ in rows]
+    w, bias = fit_weights(np.array([y for _, y in rows]), idx, len(vocab),
                           swaps(idx, vocab, groups), counterfactual=counterfactual)
     return {v: float(x) for v, x in zip(vocab, w) if x}, bias
 
