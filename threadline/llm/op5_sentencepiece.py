@@ -277,8 +277,10 @@ def occurrence(at: np.ndarray, key: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, at, unit, ids): the ids of every unit of every text."""
     units = encode_units(lexicon(docs, text_col), model)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(
-        F.regexp_extract_all(marked(F.col(text_col)), F.lit(UNIT), F.lit(0))).alias("at", "unit"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+                       F.col(text_col).alias("text"))
+    src = rows.select("row", "doc_id", F.posexplode(
+        F.regexp_extract_all(marked(F.col("text")), F.lit(UNIT), F.lit(0))).alias("at", "unit"))
     return src.join(units, "unit").select("row", "doc_id", "at", "unit", "ids")
 
 
