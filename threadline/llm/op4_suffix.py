@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import chunks, mix64, partitions, powers, table
+from threadline.llm.common import chunks, fresh, mix64, partitions, powers, table
 
 LENGTH = 200
 GRAM = 64
@@ -432,13 +432,13 @@ def remove(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of the text.  A cut inside a
     character drops the rest of that character; null texts stay null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    columns = docs.columns
-    cut = cut_classes(docs, text_col, characters=True).select("cls", F.col("kept").cast("string").alias("_kept"))
-    out = (docs.withColumn("_cls", F.xxhash64(text))
-           .join(copies(docs, text_col).select(F.col("cls").alias("_cls"), "copies"), "_cls", "left")
-           .join(cut.withColumnRenamed("cls", "_cls"), "_cls", "left"))
-    new = F.when(F.col("copies").isNotNull(), F.lit("")).otherwise(F.coalesce("_kept", text_col))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), new)).select(*columns)
+    cls, kept, n = fresh(docs, "_cls"), fresh(docs, "_kept"), fresh(docs, "_copies")
+    cut = cut_classes(docs, text_col, characters=True)
+    out = (docs.withColumn(cls, F.xxhash64(text))
+           .join(copies(docs, text_col).select(F.col("cls").alias(cls), F.col("copies").alias(n)), cls, "left")
+           .join(cut.select(F.col("cls").alias(cls), F.col("kept").cast("string").alias(kept)), cls, "left"))
+    new = F.when(F.col(n).isNotNull(), F.lit("")).otherwise(F.coalesce(kept, text_col))
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), new)).select(*docs.columns)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
