@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.llm import op2_pii, op4_suffix, op8_packing, op9_toxicity, op10_ngram_join
-from threadline.llm.common import materialize, table
+from threadline.llm.common import fresh, materialize, table
 
 TOXIC_FROM = 0.5
 WORDS, SHARE = 5, 80
@@ -35,7 +35,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op9_toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return op9_toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    score = fresh(docs, "_toxicity")
+    return op9_toxicity.score(docs, model, out=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
