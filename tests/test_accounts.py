@@ -1,5 +1,10 @@
+import tempfile
+
+from pyspark.sql import functions as F
+
 from threadline.operators import accounts as A
 from threadline.operators.refresh import refresh_metrics
+from threadline.sources import posts as P
 
 
 def test_cursor_worked_example(spark):
@@ -40,3 +45,41 @@ def test_refresh_last_update_wins(spark):
                                 "id long, retweets long, favorites long, seq int")
     got = sorted((r.id, r.retweets, r.favorites) for r in refresh_metrics(posts, upd).collect())
     assert got == [(1, 20, 21), (3, 0, 0)]
+
+
+LOW = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+       "spark.sql.adaptive.coalescePartitions.enabled": "false",
+       "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+       "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+
+
+def test_hot_handle_is_split(spark):
+    """One handle with two thirds of the posts: the pull's join is a skew join
+    and the append writes the handle in several files."""
+    old = {k: spark.conf.get(k, None) for k in LOW}
+    try:
+        for k, v in LOW.items():
+            spark.conf.set(k, v)
+        posts = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 97)).alias("handle"),
+            (F.col("id") * 4_194_304_007 + 10 ** 18).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("full_text"))
+        handles = posts.select("handle").distinct()
+        cursors = handles.select("handle", F.lit(10 ** 18).cast("long").alias("since_id"))
+        pulled = A.pull_new_posts(posts, handles, cursors)
+        assert len(pulled.collect()) == 59_999
+        assert "skew=true" in pulled._jdf.queryExecution().executedPlan().toString()
+        path = tempfile.mkdtemp(prefix="threadline-append-") + "/posts"
+        P.append_posts(posts, path)
+        hot = spark.read.parquet(path).where("handle = 'hot'").select(F.input_file_name().alias("f")).distinct()
+        assert hot.count() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_latest_update_is_a_hash_aggregate(spark):
+    upd = spark.createDataFrame([(1, 10, 11, 1)], "id long, retweets long, favorites long, seq int")
+    posts = spark.createDataFrame([(1, "t", 0, 0)], "id long, created_at string, retweet_count long, favorite_count long")
+    plan = refresh_metrics(posts, upd)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

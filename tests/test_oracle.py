@@ -7,11 +7,15 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
 SF = "/root/testdata/sf0.001"
-FAST = ["clean_text", "posts_by_source", "project_posts", "prepare_training_set", "label_map",
-        "pull_new_posts", "latest_cursor", "repeated_handles", "audit_shape", "refresh_metrics",
-        "chronological", "sample_exact", "split_exact", "shuffle_order", "encode_words",
-        "convert_text", "classification_report", "batched_f1", "parse_scores", "format_duration",
-        "export_clean_posts", "read_csv_inputs", "num_labels"]
+
+
+def catalog_names():
+    from threadline.plans import catalog
+    catalog.load_all()
+    return catalog.ORACLE
+
+
+NAMES = sorted(catalog_names())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +28,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     import __spark_entry__ as E
     from check_oracle import digest
@@ -39,4 +43,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry_smoke(spark):
     import __spark_entry__ as E
-    assert E.entry(spark).count() >= 0
+    assert E.entry(spark).count() == 20

@@ -49,3 +49,41 @@ def test_sample_is_exact_and_never_overlaps(spark):
         raise AssertionError("expected an error")
     except ValueError:
         pass
+
+
+def test_hot_key_is_ranked_by_many_ranges(spark):
+    """Platform-sized ids, one handle with two thirds of the rows."""
+    base = 1_500_000_000_000_000_000
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 50)).alias("handle"),
+        (F.lit(base) + F.col("id") * 4_194_304_007).alias("id"))
+    got = R.within_key_rank(df, "handle", "id")
+    w = Window.partitionBy("handle").orderBy("id")
+    ref = df.withColumn("rank", F.row_number().over(w).cast("long"))
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+    dealt = df.repartitionByRange(8, "handle", "id").withColumn("r", F.spark_partition_id())
+    sizes = [r["count"] for r in dealt.where("handle = 'hot'").groupBy("r").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 2000
+
+
+def test_uneven_keys_give_even_batches(spark):
+    early, late = spark.range(0, 2000), spark.range(10 ** 15, 10 ** 15 + 2000)
+    got = R.batch_number(early.union(late), "id", 32)
+    assert got.where("rank != batch * 32 + (rank - 1) % 32 + 1").count() == 0
+    assert got.agg(F.max("rank")).first()[0] == 4000 and got.agg(F.max("batch")).first()[0] == 124
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.range(0, 90).select(F.col("id").alias("k")).union(spark.range(10).select(F.lit(None).cast("long")))
+    sizes = {r.split: r["count"] for r in R.split_exact(df, "k").groupBy("split").count().collect()}
+    assert sizes == {"train": 80, "validation": 10, "test": 10}
+    assert R.take_first(df, "k", 97, 1).count() == 97 and R.shuffle_order(df, "k").count() == 100
+    assert sorted(r.rank for r in R.global_rank(df, "k").collect()) == list(range(1, 101))
+
+
+def test_cuts_need_no_join(spark):
+    df = spark.range(0, 3000).select("id", F.col("id").cast("string").alias("text"))
+    for cut in (R.take_first(df, "id", 100, 5), R.split_exact(df, "id")):
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    assert R.split_exact(df.limit(0), "id").count() == 0 and R.take_first(df.limit(0), "id", 0, 5).count() == 0

@@ -1,6 +1,10 @@
 import tempfile
 
-from threadline.streaming.collect import collect_increment, read_cursors_before
+import pytest
+from pyspark.sql import functions as F
+
+from threadline.plans.q_streaming import collect_rounds
+from threadline.streaming.collect import collect_increment, cursors_before
 
 
 def test_batch_replay_is_idempotent_and_cursor_exclusive(spark):
@@ -16,5 +20,30 @@ def test_batch_replay_is_idempotent_and_cursor_exclusive(spark):
     assert first == again
     # id 4 of 'a' arrives below the cursor (5) and is left out, as the exclusive cursor does
     assert [(h, i) for h, i, _ in first] == [("a", 3), ("a", 5), ("a", 9), ("b", 2), ("c", 7)]
-    cur = {r.handle: r.since_id for r in read_cursors_before(spark, f"{root}/cursors", 2).collect()}
+    cur = {r.handle: r.since_id for r in cursors_before(spark, f"{root}/cursors", 2).collect()}
     assert cur == {"a": 9, "b": 2, "c": 7}
+    with pytest.raises(FileNotFoundError):
+        cursors_before(spark, f"{root}/cursors", 7)
+
+
+def test_late_handles_and_redelivered_posts(spark):
+    """A handle listed late keeps its whole back-file, older than anything
+    collected so far; posts delivered again are collected once."""
+    root = tempfile.mkdtemp(prefix="threadline-late-")
+    posts = spark.range(1, 41).select(
+        F.when(F.col("id") < 9, "late").otherwise("early").alias("handle"), "id",
+        F.lit("Wed Oct 10 20:19:24 +0000 2018").alias("created_at"), F.lit("x").alias("full_text"),
+        F.lit(1).cast("long").alias("retweet_count"), F.lit(2).cast("long").alias("favorite_count"))
+    early = posts.where("handle = 'early'")
+    out = collect_rounds(spark, [early, posts.where("handle = 'late' or id % 2 = 0"), posts], root)
+    got = sorted((r.handle, r.id) for r in out.collect())
+    assert got == sorted([("late", i) for i in range(2, 9)] + [("early", i) for i in range(9, 41)])
+
+
+def test_listed_handles_only(spark):
+    root = tempfile.mkdtemp(prefix="threadline-list-")
+    handles = spark.createDataFrame([("a",), ("quiet",)], "handle string")
+    run = collect_increment(spark, f"{root}/posts", f"{root}/cursors", handles)
+    run(spark.createDataFrame([("a", 3), ("a", 3), ("b", 5)], "handle string, id long"), 0)
+    assert [(r.handle, r.id) for r in spark.read.parquet(f"{root}/posts").collect()] == [("a", 3)]
+    assert {r.handle: r.since_id for r in cursors_before(spark, f"{root}/cursors", 1).collect()} == {"a": 3, "quiet": 1}

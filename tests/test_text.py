@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from threadline.functions.text import clean_text, format_duration, parse_scores, post_text
+from threadline.functions.text import MOJIBAKE, clean_text, fix_mojibake, format_duration, parse_scores, post_text, post_time
 
 LITERAL = [  # FIXTURES.md literal rows
     ("I don t  know http://x.y/z &amp; @bob #tag it s fine", "I  don't know  and bob tag  it's fine"),
@@ -45,3 +45,39 @@ def test_post_text_repost(spark):
          ({"full_text": "RT trunc", "retweeted_status": {"full_text": "orig", "user": {"screen_name": "bob"}}},)],
         "r struct<full_text:string, retweeted_status:struct<full_text:string, user:struct<screen_name:string>>>")
     assert [x[0] for x in df.select(post_text("r")).collect()] == ["mine", "RT @bob: orig"]
+
+
+def test_post_text_with_a_null_part_is_null(spark):
+    df = spark.createDataFrame(
+        [({"full_text": "x", "retweeted_status": {"full_text": None, "user": {"screen_name": "bob"}}},),
+         ({"full_text": "x", "retweeted_status": {"full_text": "y", "user": None}},)],
+        "r struct<full_text:string, retweeted_status:struct<full_text:string, user:struct<screen_name:string>>>")
+    assert [x[0] for x in df.select(post_text("r")).collect()] == [None, None]
+
+
+def test_marker_letters_left_to_right(spark):
+    """The rule word by word: known triples, then any one around a marker letter."""
+    import random
+    rng = random.Random(3)
+
+    def rule(w):
+        for bad, good in MOJIBAKE:
+            w = w.replace(bad, good)
+        out, i = "", 0
+        while i < len(w):
+            if w[i] == "\u00c4":
+                out, i = out + " ", i + 2
+            elif i + 1 < len(w) and w[i + 1] == "\u00c4":
+                out, i = out + " ", i + 3
+            else:
+                out, i = out + w[i], i + 1
+        return out
+    words = ["".join(rng.choice("ab\u00c4\u201a\u00f4") for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").coalesce(1)
+    assert [r[0] for r in df.select(fix_mojibake("w")).collect()] == [rule(w) for w in words]
+
+
+def test_post_time_forms(spark):
+    df = spark.createDataFrame([("Wed Oct 10 20:19:24 +0000 2018",), ("2018-10-10 20:19:24",), ("soon",), (None,)], "t string")
+    t = datetime.datetime(2018, 10, 10, 20, 19, 24)
+    assert [r[0] for r in df.select(post_time("t")).collect()] == [t, t, None, None]

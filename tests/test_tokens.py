@@ -12,7 +12,38 @@ def test_vocab_and_encode(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c", "b", "a", "zz"])], "k long, words array<string>")
     v = TK.build_vocab(df, size=3, min_count=1)
     assert [(r.token, r.id) for r in v.orderBy("id").collect()] == [("b", 4), ("a", 5), ("c", 6)]
-    enc = {r.k: r.input_ids for r in TK.encode(df, "k", v).collect()}
+    enc = {r.k: r.input_ids for r in TK.encode(df, v).collect()}
     assert enc == {1: [2, 4, 5, 4, 3], 2: [2, 6, 4, 5, 1, 3]}
     unbounded = TK.build_vocab(df, size=None)
     assert sorted((r.token, r.id) for r in unbounded.collect()) == [("a", 5), ("b", 4), ("c", 6), ("zz", 7)]
+
+
+def test_repeated_keys_and_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b", 7), (1, "c", 8), (2, "...", 9), (3, "a", None)], "k long, text string, label int")
+    v = TK.build_vocab(spark.createDataFrame([(["a", "a", "a", "b", "b", "c"],)], "words array<string>"))
+    got = sorted((r.k, r.text, r.label, r.padded, r.mask) for r in TK.convert_text(df, "text", v, 5).collect())
+    assert got == [(1, "a b", 7, [2, 4, 5, 3, 0], [1, 1, 1, 1, 0]), (1, "c", 8, [2, 6, 3, 0, 0], [1, 1, 1, 0, 0])]
+
+
+def test_rare_words_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "c" * 50]), (2, ["zz"])], "k long, words array<string>")
+    v = TK.build_vocab(df.limit(1))
+    want = {r.k: r.input_ids for r in TK.encode(df, v).collect()}
+    assert want == {1: [2, 4, 5, 4, 6, 3], 2: [2, 1, 3]}
+    monkeypatch.setattr(TK, "BROADCAST_WORDS", 1)
+    assert {r.k: r.input_ids for r in TK.encode(df, v).collect()} == want
+
+
+def test_basic_tokens_keep_accented_words(spark):
+    df = spark.createDataFrame([("Caf\u00e9 na\u00efve, it's 3_4!",)], "t string")
+    assert df.select(TK.basic_tokens("t")).first()[0] == ["caf\u00e9", "na\u00efve", ",", "it", "'", "s", "3_4", "!"]
+
+
+def test_wordpiece_returns_every_id_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, ["aa", "b"] * 100), (1, [])], "k long, tokens array<string>")
+    v = TK.build_wordpiece_vocab(df, "tokens", 1)
+    ids = {r.token: r.id for r in v.collect()}
+    got = sorted((r.input_ids for r in TK.wordpiece(df, "tokens", v).collect()), key=len)
+    assert got[0] == [2, 3]
+    word = [ids["aa"]] if "aa" in ids else [ids["a"], ids["##a"]]
+    assert got[1] == [2] + (word + [ids["b"]]) * 100 + [3]
