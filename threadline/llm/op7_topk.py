@@ -4,7 +4,7 @@ Every component becomes floor(1024 * x); the score is the integer inner
 product.  All rows are scored against the stated query set, in blocks: query
 vectors lie in blocks of `QUERY_BLOCK`, candidates in blocks of
 `CANDIDATE_BLOCK`, and a block meets a block through an equi-join on the query
-block number.
+block number and a salt of the candidates.
 
 Selection, round by round: each task scores its blocks and counts scores per
 (query, bin) of the query's current range.  It reports only the bins from its
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import materialize, table
+from threadline.llm.common import materialize, partitions, table
 
 K = 10
 EVERY = 100
@@ -165,9 +165,14 @@ def ask(queries: DataFrame, ranges: DataFrame, candidates: DataFrame) -> DataFra
     q = (queries.join(ranges.drop("dim"), "query_id")
          .groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "lo", "width")).alias("rows"))
          .mapInArrow(fn, "dim int, block long, qids binary, qmatrix binary, lo binary, width binary"))
+    # query blocks go to every one of `salts` parts of the candidates, so a query
+    # block meets the candidates in that many tasks
+    salts = partitions(queries.sparkSession)
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     numbers = queries.groupBy("dim").agg(F.collect_set("block").alias("blocks"))
-    return (candidates.join(numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-            .join(q, ["dim", "block"]))
+    return (candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+            .join(numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
+            .join(q, ["dim", "block", "salt"]))
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
