@@ -45,7 +45,7 @@ WORDS, SHARE = 4, 85             # n-gram length; least Jaccard similarity in pe
 SMALL = 64                       # sets up to this size send all grams in step 2
 FRAGMENT_GRAMS = 2_000_000       # grams a fragment task holds
 SEGMENTS = 8                     # fragments of the pair counts
-BINS = 128                       # fragments of the histograms
+BINS = 256                       # fragments of the histograms
 CHUNK = 1024
 EARLIER = 4
 PIVOTS = 2
@@ -56,7 +56,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def reach(share: int) -> float:
-    return min(1.0, 2.4 * (1 - share / 100))
+    return min(1.0, 2 * (1 - share / 100))
 
 
 def gram_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -183,73 +183,54 @@ def unshared(docs: DataFrame, words: int, share: int, fragments: int) -> DataFra
     return counted.groupBy("bucket").applyInPandas(total, "cls long, unshared long")
 
 
-def segments(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """(cls, part, grams): the segments of the chosen classes, once each.
-    chosen: (id, cls), one id a class."""
+def segments(docs: DataFrame, chosen: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(cls, n, parts, hist): the segments of the chosen classes and their gram
+    counts in BINS fragments (up to 255, which keeps the distance of two
+    histograms a lower bound).  chosen: (id, cls), one id a class."""
     def fn(batches):
         for b in batches:
-            cls, part, grams = [], [], []
+            cls, parts, hist, n = [], [], [], []
             for want, s in zip(b.column(0).to_pylist(), gram_sets(texts_of(b, "text"), words)):
                 if fingerprint(s) != want:              # another text under the same id
                     continue
                 cut = np.searchsorted(s >> np.uint64(61), np.arange(SEGMENTS + 1, dtype=np.uint64))
-                for p in range(SEGMENTS):
-                    if cut[p] < cut[p + 1]:
-                        cls.append(want)
-                        part.append(p)
-                        grams.append(s[cut[p]:cut[p + 1]].view(np.int64))
+                cls.append(want)
+                n.append(len(s))
+                parts.append([s[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])])
+                bins = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS)
+                hist.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))],
-                names=["cls", "part", "grams"])
-    return (docs.join(chosen, "id").select("cls", "text").mapInArrow(fn, "cls long, part int, grams array<long>")
-            .groupBy("cls", "part").agg(F.any_value("grams").alias("grams")))
-
-
-def decide(pairs: DataFrame, segs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by segment, summed by pair."""
-    left = segs.select(F.col("cls").alias("a"), "part", F.col("grams").alias("x"))
-    right = segs.select(F.col("cls").alias("b"), "part", F.col("grams").alias("y"))
-    n = classes.select("cls", "n")
-    both = (pairs.join(left, "a").join(right, ["b", "part"])
-            .select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"))
-            .groupBy("a", "b").agg(F.sum("common").alias("common"))
-            .join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b"))
+                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
+                 pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(hist, pa.binary())],
+                names=["cls", "n", "parts", "hist"])
+    out = docs.join(chosen, "id").select("cls", "text").mapInArrow(
+        fn, "cls long, n long, parts array<array<long>>, hist binary")
+    return out.dropDuplicates(["cls"]) if repeated else out
+
+
+def decide(pairs: DataFrame, segs: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps counted segment by segment, summed
+    by pair."""
+    left = segs.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parts").alias("x"))
+    right = segs.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("y"))
+    common = F.aggregate(F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y))),
+                         F.lit(0), lambda total, k: total + k)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
     return both.where(100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def prefixes(segs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """(gram, cls, n, unshared, before): prefix grams with up to EARLIER prefix
     grams that precede them, in the (unsigned) order."""
-    whole = segs.groupBy("cls").agg(F.flatten(F.transform(
-        F.sort_array(F.collect_list(F.struct("part", "grams"))), lambda s: s["grams"])).alias("g"))
     length = F.col("n") - F.ceil(F.col("n") * share / F.lit(100)) + 1
-    return (whole.join(classes, "cls").withColumn("g", F.slice("g", 1, length.cast("int")))
+    return (segs.select("cls", "n", F.slice(F.flatten("parts"), F.lit(1), length.cast("int")).alias("g"))
+            .join(classes.select("cls", "unshared"), "cls")
             .select("cls", "n", "unshared", "g", F.posexplode("g").alias("at", "gram"))
             .select("gram", "cls", "n", "unshared", F.slice(
                 "g", F.greatest(F.lit(1), F.col("at") + 1 - EARLIER), F.least(F.col("at"), F.lit(EARLIER))
             ).alias("before")))
 
 
-def histograms(segs: DataFrame) -> DataFrame:
-    """(cls, hist): gram counts in BINS fragments of the order."""
-    def fn(batches):
-        for b in batches:
-            hist = []
-            for g in b.column(2).to_pylist():
-                bins = np.array(g, dtype=np.int64).view(np.uint64) >> np.uint64(57)
-                hist.append(np.bincount(bins.astype(np.int64), minlength=BINS))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hist, pa.list_(pa.int64()))], names=["cls", "part", "h"])
-    per = BINS // SEGMENTS
-    # a segment fills its own run of bins
-    return (segs.mapInArrow(fn, "cls long, part int, h array<long>")
-            .select("cls", "part", F.slice("h", F.col("part") * per + 1, per).alias("h"))
-            .groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("part", "h"))).alias("m"))
-            .select("cls", F.flatten(F.array(*[
-                F.coalesce(F.col("m")[p], F.array_repeat(F.lit(0).cast("long"), per)) for p in range(SEGMENTS)
-            ])).alias("hist")))
-
-
 def close_pairs(members: DataFrame, share: int) -> DataFrame:
     """Pairs of a block that may link: other component, sizes and histograms
     close enough, no earlier common prefix gram known."""
@@ -257,7 +238,8 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
         def side(s):
             own = [r for r in rows if r[0] == s]
             return (np.array([r[1] for r in own]), np.array([r[2] for r in own]), np.array([r[3] for r in own]),
-                    np.array([r[4] for r in own], dtype=np.int32), np.array([r[5] for r in own]))
+                    np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(-1, BINS).astype(np.int16),
+                    np.array([r[5] for r in own]))
         a = side(0)
         b = a if alone else side(1)
         if not len(a[0]) or not len(b[0]):
@@ -269,7 +251,7 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
                 ok[:i + 1] = False
             j = np.flatnonzero(ok)
             if len(j):
-                gap = np.abs(b[3][j] - a[3][i]).sum(axis=1)
+                gap = np.abs(b[3][j] - a[3][i]).sum(axis=1, dtype=np.int64)
                 j = j[gap * (100 + share) <= (100 - share) * (n + m[j])]
             if len(j):
                 mine = a[4][i][a[4][i] != 0]
@@ -280,7 +262,7 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
         rows, now, res = [], None, []
         for b in batches:
             cols = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
-            hist = cols["hist"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
+            hist = cols["hist"].to_pylist()
             before = [x + [0] * (EARLIER - len(x)) for x in cols["before"].to_pylist()]
             keys = zip(*(cols[c].to_pylist() for c in ("gram", "lo", "hi", "side", "cls", "n", "root")))
             for k, (gram, lo, hi, s, cls, n, root) in enumerate(keys):
@@ -315,8 +297,10 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         .join(lonely, "cls", "left").withColumn("unshared", F.coalesce("unshared", F.lit(0)))
         .where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * share / F.lit(100)))
         .where(F.col("id").isNotNull()), "op10-classes")
-    segs = materialize(segments(src, classes.select("id", "cls"), words), "op10-segments")
-    index = prefixes(segs, classes.select("cls", "n", "unshared"), share)
+    # a table that repeats ids may bring a class's text several times
+    repeated = bool(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").head(1))
+    segs = materialize(segments(src, classes.select("id", "cls"), words, repeated), "op10-segments")
+    index = prefixes(segs, classes, share)
     index = materialize(index.join(
         index.groupBy("gram").agg(
             F.count("*").alias("met"),
@@ -328,7 +312,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     most = Window.partitionBy("cls").orderBy(F.col("votes").desc(), "other")
     first = (votes.withColumn("k", F.row_number().over(most)).where(F.col("k") <= PIVOTS)
              .select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct())
-    links = materialize(decide(first, segs, classes, share), "op10-links")
+    links = materialize(decide(first, segs, share), "op10-links")
 
     roots = components(links, "op10-components").toDF("cls", "root")
     known = index.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -341,11 +325,11 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
                .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
                .select("gram", "lo", "hi", "side", "cls", "n", "root", "before")
-               .join(histograms(segs), "cls"))
+               .join(segs.select("cls", "hist"), "cls"))
     blocks = (members.repartition(partitions(spark), "gram", "lo", "hi")
               .sortWithinPartitions("gram", "lo", "hi"))
     rest = close_pairs(blocks, share).distinct()
-    links = links.union(materialize(decide(rest, segs, classes, share), "op10-more-links"))
+    links = links.union(materialize(decide(rest, segs, share), "op10-more-links"))
 
     roots = components(links, "op10-components").toDF("cls", "root")
     placed = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
