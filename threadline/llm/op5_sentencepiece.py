@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from threadline.llm.common import columns, materialize, mix64, partitions, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
-FREQUENT = 262_144
+FREQUENT = 65_536
 LONG = 64
 MARK = "▁"
 UNIT = f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
@@ -295,8 +295,8 @@ def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         .select("unit", "n", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("key"),
                 (F.col("unit") == F.col("decoded")).alias("same")), "op5-words")
     top = (words.where(F.length("unit") <= LONG).orderBy(F.col("n").desc(), "unit").limit(FREQUENT)
-           .select("unit", "n_ids", "key", "same").toPandas())
-    known = dict(zip(top["unit"], zip(top["n_ids"].tolist(), top["key"].tolist(), top["same"].tolist())))
+           .select("unit", "n_ids", "key", "same").toArrow().to_pydict())
+    known = dict(zip(top["unit"], zip(top["n_ids"], top["key"], top["same"])))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def look_up(batches):
