@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def semi_join_filter(spark: SparkSession):
+    """Jobs inside let Spark filter the large side of a selective shuffle join
+    by a Bloom filter of the other side (2 MB of bits) before it is
+    shuffled, whatever the sizes; the join itself stays exact."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g",
+              "expectedNumItems": "1500000", "numBits": "16777216"}
+    old = {k: spark.conf.get(prefix + k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(prefix + k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(prefix + k) if v is None else spark.conf.set(prefix + k, v)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -77,8 +96,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker (tasks share it)."""
-    import sys
-    import types
-    return sys.modules.setdefault("_threadline_worker", types.ModuleType("_threadline_worker")).__dict__
+def slices(batches, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

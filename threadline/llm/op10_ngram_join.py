@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import chunks, materialize, mix64, partitions, powers, table, texts_of
+from threadline.llm.common import (chunks, materialize, mix64, partitions, powers, semi_join_filter, slices, table,
+                                   texts_of)
 from threadline.llm.components import components
 
 WORDS, SHARE = 4, 85             # n-gram length; least Jaccard similarity in per cent
@@ -107,7 +108,7 @@ def must_share(n, share: int):
 def sizes(docs: DataFrame, words: int) -> DataFrame:
     """(id, cls, n) for every row."""
     def fn(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = gram_sets(texts_of(b, "text"), words)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()),
@@ -292,14 +293,15 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     grams = rows.agg(F.sum("n").alias("n")).first().n or 0
     fragments = max(partitions(spark), int(grams * reach(share)) // FRAGMENT_GRAMS + 1)
     lonely = unshared(src, words, share, fragments)
-    classes = materialize(
+    every = materialize(
         rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-        .join(lonely, "cls", "left").withColumn("unshared", F.coalesce("unshared", F.lit(0)))
-        .where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * share / F.lit(100)))
-        .where(F.col("id").isNotNull()), "op10-classes")
+        .join(lonely, "cls", "left").withColumn("unshared", F.coalesce("unshared", F.lit(0))), "op10-classes")
+    classes = every.where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * share / F.lit(100))).where(
+        F.col("id").isNotNull())
     # a table that repeats ids may bring a class's text several times
     repeated = bool(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").head(1))
-    segs = materialize(segments(src, classes.select("id", "cls"), words, repeated), "op10-segments")
+    with semi_join_filter(spark):
+        segs = materialize(segments(src, classes.select("id", "cls"), words, repeated), "op10-segments")
     index = prefixes(segs, classes, share)
     index = materialize(index.join(
         index.groupBy("gram").agg(

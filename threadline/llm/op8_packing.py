@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import materialize, table, texts_of, worker_cache
+from threadline.llm.common import materialize, slices, table, texts_of
 
 WIDTH = 1024
 END_ID = 0
 BUCKET_ROWS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 # The tokenizer's own word split, with the letters and numbers below U+0100
 # written out; other texts take the library's split.
@@ -86,11 +86,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     step = 4 * width
 
     def fn(batches):
-        cache = worker_cache()
-        if tokenizer not in cache:
-            cache[tokenizer] = Encoder(tokenizer)
-        encode, end = cache[tokenizer], array.array("I", [END_ID]).tobytes()
-        for b in batches:
+        encode, end = Encoder(tokenizer), array.array("I", [END_ID]).tobytes()      # goes with the task
+        for b in slices(batches):
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, t in enumerate(texts_of(b, "text")):
                 data = encode(t) + end
