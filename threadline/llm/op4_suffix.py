@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import chunks, fresh, mix64, partitions, powers, table
+from threadline.llm.common import chunks, fresh, mix64, partitions, powers, slices, table
 
 LENGTH = 200
 GRAM = 64
@@ -112,7 +112,7 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def unseen(batches, column: str) -> Iterator[dict]:
     """Rows of a partition, one per class (all copies lie in one partition)."""
     seen: set[int] = set()
-    for b in batches:
+    for b in slices(batches):
         for row in zip(b.column(0).to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist(),
                        b.column(b.schema.get_field_index(column)).to_pylist()):
             if row[0] not in seen:
@@ -125,7 +125,7 @@ def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
     def deal(batches):
         find = Anchors()
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if c not in seen:
@@ -377,33 +377,39 @@ def union_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def cut_classes(docs: DataFrame, text_col: str, characters: bool = False) -> DataFrame:
-    """(cls, n_removed, n_spans, kept) of the classes that lose bytes by
-    matches; `kept` are the remaining bytes, with `characters` without those of
-    characters that were cut in two."""
+def covered_classes(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(cls, text) of the distinct texts and (cls, ranges) of those that lose
+    bytes by matches, both dealt by class."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     fragments = max(partitions(spark), 2 * total // (LENGTH - GRAM) // FRAGMENT_ANCHORS + 1)
     texts = distinct_texts(docs, text_col)
     anchors = repeated_anchors(texts, fragments)
     ranges = merged_ranges(texts, anchors, fragments).union(hot_ranges(texts, anchors))
-    spans = ranges.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return texts, ranges.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+
+
+def keep(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    parts, at = [], 0
+    for s, e in spans:
+        parts.append(text[at:s])
+        at = e
+    return b"".join([*parts, text[at:]])
+
+
+def cut_classes(docs: DataFrame, text_col: str) -> DataFrame:
+    """(cls, n_removed, n_spans, kept_sha256) of the classes that lose bytes by
+    matches."""
+    texts, spans = covered_classes(docs, text_col)
 
     def cut(batches):
         for cls, text, ranges in unseen(batches, "ranges"):
             spans = union_ranges([(r["start"], r["end"]) for r in ranges])
-            kept, at = [], 0
-            for s, e in spans:
-                kept.append(text[at:s])
-                at = e
-            rest = b"".join([*kept, text[at:]])
-            if characters:
-                rest = rest.decode("utf-8", "ignore").encode("utf-8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cls], pa.int64()), pa.array([sum(e - s for s, e in spans)], pa.int64()),
-                 pa.array([len(spans)], pa.int64()), pa.array([rest], pa.binary())],
+                 pa.array([len(spans)], pa.int64()), pa.array([hashlib.sha256(keep(text, spans)).hexdigest()])],
                 names=["cls", "n_removed", "n_spans", "kept"])
-    return texts.join(spans, "cls").mapInArrow(cut, "cls long, n_removed long, n_spans long, kept binary")
+    return texts.join(spans, "cls").mapInArrow(cut, "cls long, n_removed long, n_spans long, kept string")
 
 
 def copies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -418,7 +424,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("cls"),
                        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    cut = cut_classes(docs, text_col).withColumn("kept", F.sha2("kept", 256))
+    cut = cut_classes(docs, text_col)
     twice = F.col("copies").isNotNull()
     none = hashlib.sha256(b"").hexdigest()
     return (rows.join(copies(docs, text_col), "cls", "left").join(cut, "cls", "left").select(
@@ -430,15 +436,45 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of the text.  A cut inside a
-    character drops the rest of that character; null texts stay null."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cls, kept, n = fresh(docs, "_cls"), fresh(docs, "_kept"), fresh(docs, "_copies")
-    cut = cut_classes(docs, text_col, characters=True)
-    out = (docs.withColumn(cls, F.xxhash64(text))
-           .join(copies(docs, text_col).select(F.col("cls").alias(cls), F.col("copies").alias(n)), cls, "left")
-           .join(cut.select(F.col("cls").alias(cls), F.col("kept").cast("string").alias(kept)), cls, "left"))
-    new = F.when(F.col(n).isNotNull(), F.lit("")).otherwise(F.coalesce(kept, text_col))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), new)).select(*docs.columns)
+    character drops the rest of that character; null texts stay null.
+
+    Texts too short to lose anything pass, copies become empty, and a text that
+    occurs once meets its other columns where the texts already lie by class, so
+    they are not shuffled again."""
+    cls, n, rest = fresh(docs, "_cls"), fresh(docs, "_n"), fresh(docs, "_rest")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    other = [c for c in docs.columns if c != text_col]
+    short = docs.where(size < LENGTH)
+    slim = docs.where(size >= LENGTH).select(F.xxhash64(text_col).alias(cls), F.struct(
+        F.lit(0).alias(fresh(docs, "_none")), *other).alias(rest))
+    once = slim.groupBy(cls).agg(F.count("*").alias(n), F.first(rest).alias(rest)).where(F.col(n) == 1).drop(n)
+    more = slim.groupBy(cls).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
+    texts, spans = covered_classes(docs, text_col)
+
+    def cut(batches):
+        seen: set[int] = set()
+        for b in slices(batches):
+            at, out = [], []
+            for i, (c, text, ranges) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+                if c in seen:
+                    continue
+                seen.add(c)
+                at.append(i)
+                if ranges:
+                    data = keep(text.encode("utf-8", "surrogatepass"),
+                                union_ranges([(r["start"], r["end"]) for r in ranges]))
+                    text = data.decode("utf-8", "ignore")
+                out.append(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()), b.column(3).take(pa.array(at, pa.int64()))], names=["text", "rest"])
+    whole = (texts.join(spans, "cls", "left").join(once.select(F.col(cls).alias("cls"), F.col(rest).alias("rest")), "cls")
+             .select("cls", "text", "ranges", "rest"))
+    kind = dict(whole.dtypes)["rest"]
+    done = whole.mapInArrow(cut, f"text string, rest {kind}").select(
+        *[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    copied = slim.join(more, cls, "left_semi").select(
+        *[F.lit("").alias(c) if c == text_col else F.col(rest).getField(c).alias(c) for c in docs.columns])
+    return short.unionByName(done).unionByName(copied)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
