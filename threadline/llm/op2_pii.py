@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import columns, fresh, materialize, table, texts_of
+from threadline.llm.common import columns, fresh, materialize, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -137,7 +137,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                       ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
     def fn(batches):
-        for b in batches:
+        for b in slices(batches):
             base, found = [], []
             for t in texts_of(b, "text"):
                 spans = base_spans(t)
@@ -191,41 +191,51 @@ def joined(spans) -> F.Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def discovered(found: DataFrame, key: str) -> DataFrame:
+    """(key, more): spans of unseen identifiers, for the rows that have any."""
+    return (found.select(key, F.explode("found").alias("f")).where("f.kind < 0")
+            .select(key, "f.start", "f.end", "f.instance").join(bootstrap(found), "instance")
+            .groupBy(key).agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")))
+
+
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, base, all): base spans and all spans of every row, sorted."""
     found = materialize(find(docs, id_col, text_col), "op2-found")
-    more = (found.select("row", F.explode("found").alias("f")).where("f.kind < 0")
-            .select("row", "f.start", "f.end", "f.instance").join(bootstrap(found), "instance")
-            .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
-    return (found.drop("found").join(more, "row", "left")
+    return (found.drop("found").join(discovered(found, "row"), "row", "left")
             .withColumn("all", F.when(F.col("more").isNull(), F.col("base"))
                         .otherwise(F.sort_array(F.concat("base", "more")))).drop("more"))
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets.  The
-    text rides through the span join once, keyed by its row."""
-    row, found = fresh(docs, "_row"), fresh(docs, "_spans")
-    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "op2-rows")
-    spans = spans_of(keyed, row, text_col).select(F.col("doc_id").alias(row), F.col("all").alias(found))
+    """docs with every span of the text replaced by its kind in brackets.
+
+    Spans depend on the text alone: base spans are found again where the text
+    lies, and only texts with discovered identifiers have a row to join, by the
+    hash of the text."""
+    key, more = fresh(docs, "_text_hash"), fresh(docs, "_more")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = materialize(find(docs.select(hashed.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text"),
+                        "op2-found")
+    extra = materialize(discovered(found.withColumnRenamed("doc_id", "key"), "key"), "op2-more")
+    marked = (docs.withColumn(key, hashed)
+              .join(extra.select(F.col("key").alias(key), F.col("more").alias(more)), key, "left").drop(key))
 
     def fn(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for t, spans in zip(*columns(b, text_col, found)):
-                if spans:
+            for t, spans in zip(*columns(b, text_col, more)):
+                if t:
                     parts, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            parts += [t[at:s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                        at = max(at, s["end"])
+                    for s, k, e in sorted(base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in spans or ()]):
+                        if s >= at:
+                            parts += [t[at:s], f"[{KINDS[k].upper()}]"]
+                        at = max(at, e)
                     t = "".join(parts) + t[at:]
                 out.append(t)
             i = b.schema.get_field_index(text_col)
-            yield b.set_column(i, text_col, pa.array(out, pa.string())).drop_columns([found])
-    marked = keyed.join(spans, row).drop(row)
-    schema = ", ".join(f"`{c}` {t}" for c, t in marked.drop(found).dtypes)
-    return marked.mapInArrow(fn, schema)
+            yield b.set_column(i, text_col, pa.array(out, pa.string())).drop_columns([more])
+    schema = ", ".join(f"`{c}` {t}" for c, t in marked.drop(more).dtypes)
+    return marked.mapInArrow(fn, schema).select(*docs.columns)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
