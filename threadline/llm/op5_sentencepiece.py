@@ -19,11 +19,15 @@ ids of a text are the ids of its units in a row.
    (on 70 % of the distinct words measured); the model's own type decides.
    Characters without a piece become their UTF-8 bytes.
 4. Units back to documents: the `FREQUENT` commonest units (a bound of rows, of
-   at most `LONG` characters) are looked up from a broadcast dictionary, all
-   other occurrences join the lexicon by a shuffle.
-
-Decoding joins ids back to pieces, turns byte pieces into characters and drops
-the leading space.  Units longer than `LONG` characters are merged by a heap in
+   at most `LONG` characters) are looked up from a broadcast dictionary where the
+   text lies; any other occurrence leaves a hole in the text's ids, joins the
+   lexicon by a shuffle and fills the hole.
+
+Decoding turns the ids of a whole document back into text: ids to pieces, byte
+pieces to characters, marks to spaces, and one leading space goes.  A document
+survives (`round_trip`) if that is its own text; one that holds the mark itself
+does not, as in the library.  The two are compared by their SHA-256, so that no
+text is shuffled.  Units longer than `LONG` characters are merged by a heap in
 a task of their own kind (the same rule; a lattice of theirs would be quadratic).
 Null or empty text: no unit, no id.  Repeated rows and null ids: each row on its
 own.
@@ -31,6 +35,7 @@ own.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import columns, materialize, mix64, partitions, table, texts_of
+from threadline.llm.common import columns, materialize, mix64, partitions, slices, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
 FREQUENT = 65_536
@@ -287,7 +292,8 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_units, n_ids, ids_hash, round_trip for every row.
 
-    ids_hash is the xor over the units of a hash of (number of the unit, ids)."""
+    ids_hash is the xor over the units of a hash of (number of the unit, ids).
+    round_trip is that of the marked units; see `documents` for that of the text."""
     counted = materialize(lexicon(docs, text_col), "op5-lexicon")
     encoded = materialize(encode_units(counted, model), "op5-encoded")
     words = materialize(
@@ -337,5 +343,79 @@ def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         (F.col("same") & F.coalesce("all", F.lit(True))).alias("round_trip")))
 
 
+def text_hash(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def decoder(model: Model):
+    """ids of a whole text -> the text."""
+    raw = {i: p.encode("utf-8") for p, i, _ in model.pieces} | {model.first_byte + b: bytes([b]) for b in range(256)}
+
+    def decode(ids: list[int]) -> str:
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+    return decode
+
+
+def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded, n_units, n_ids, round_trip for every row: all ids of
+    the text in order, the text they decode to, and if that is the row's own."""
+    counted = materialize(lexicon(docs, text_col), "op5-lexicon")
+    encoded = materialize(encode_units(counted, model), "op5-encoded")
+    top = (counted.where(F.length("unit") <= LONG).orderBy(F.col("n").desc(), "unit").limit(FREQUENT)
+           .select("unit").join(encoded, "unit").toArrow().to_pydict())
+    known = {u: np.array(ids, "<i4").tobytes() for u, ids in zip(top["unit"], top["ids"])}
+    hole = np.array([-1], "<i4").tobytes()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(src.dtypes)["doc_id"]
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts]), pa.int32()))
+
+    def look_up(batches):
+        find = re.compile(UNIT).findall
+        for b in slices(batches, 500):
+            ids, n_units, rare, own = [], [], [], []
+            for t in texts_of(b, "text"):
+                units = find(MARK + t.replace(" ", MARK)) if t else []
+                ids.append(np.frombuffer(b"".join([known.get(u, hole) for u in units]), "<i4"))
+                n_units.append(len(units))
+                rare.append([{"at": i, "unit": u} for i, u in enumerate(u for u in units if u not in known)])
+                own.append(text_hash(t))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), lists(ids), pa.array(n_units, pa.int64()), pa.array(own, pa.binary()),
+                 pa.array(rare, pa.list_(pa.struct([("at", pa.int32()), ("unit", pa.string())])))],
+                names=["doc_id", "ids", "n_units", "own", "rare"])
+
+    def fill(batches):
+        decode = decoder(model)
+        for b in slices(batches, 500):
+            ids, decoded, same = [], [], []
+            for i, own in enumerate(columns(b, "own")[0]):
+                flat, more = (b.column(b.schema.get_field_index(c))[i] for c in ("ids", "more"))
+                flat = flat.values.to_numpy(zero_copy_only=False)
+                if more.is_valid:
+                    at = np.flatnonzero(flat < 0)
+                    parts = np.split(flat, at)
+                    flat = np.concatenate([parts[0], *[x for m, p in zip(more.as_py(), parts[1:], strict=True)
+                                                       for x in (np.array(m, np.int32), p[1:])]])
+                ids.append(flat)
+                decoded.append(decode(flat.tolist()))
+                same.append(text_hash(decoded[-1]) == own)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), lists(ids), pa.array(decoded, pa.string()), b.column(b.schema.get_field_index("n_units")),
+                 pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())],
+                names=["doc_id", "ids", "decoded", "n_units", "n_ids", "round_trip"])
+    found = materialize(src.mapInArrow(
+        look_up, f"doc_id {kind}, ids array<int>, n_units long, own binary, rare array<struct<at:int,unit:string>>")
+        .withColumn("row", F.monotonically_increasing_id()), "op5-found")
+    more = (found.select("row", F.explode("rare").alias("r")).select("row", "r.at", "r.unit")
+            .join(encoded, "unit").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+            .select("row", F.transform("parts", lambda p: p["ids"]).alias("more")))
+    return (found.drop("rare").join(more, "row", "left").select("doc_id", "ids", "n_units", "own", "more")
+            .mapInArrow(fill, f"doc_id {kind}, ids array<int>, decoded string, n_units long, n_ids long, round_trip boolean"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), Model())
+    return documents(table(spark, sf_dir, "documents"), Model())
