@@ -1,6 +1,7 @@
 """The whole job: results that a shorter way would leave out."""
 import pytest
 
+from threadline.llm import op3_html as op3
 from threadline.llm import op5_sentencepiece as op5
 
 
@@ -18,3 +19,21 @@ def test_op5_documents_hold_ids_and_decoded_text(spark, documents, texts, monkey
              sp.decode(sp.encode(t or "")) == (t or "")) for i, t in pairs]
     assert sorted(((r.doc_id, r.ids, r.decoded, r.n_ids, r.round_trip) for r in got), key=str) == sorted(want, key=str)
     assert not {r.doc_id: r.round_trip for r in got}[1003]
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><p class="ad">x<p>Real one</p><p>Real two</p></article>', "Real one\nReal two"),
+    ('<article><p class="ad">x<div>Real one</div><p>Real two</p></article>', "Real one\nReal two"),
+    ('<div><div class="ad">x<p>y</div><p>Real one</p><p>Real two</p>', "Real one\nReal two"),
+    ('<div><nav>menu<p>y</div><p>Real one</p><p>Real two</p>', "Real one\nReal two"),
+    ('<article><ul><li><span class="ad">x<li>Real one<li>Real two</ul></article>', "Real one\nReal two"),
+    ('<article><table><tr><td><p class="ad">x<td>Real one<tr><td>Real two</table></article>', "Real one\nReal two"),
+    ('<article><p>Real one</p><section class="related"><article>card</article></section><p>Real two</p></article>',
+     "Real one\nReal two"),
+    ("<head><meta charset=x><body><p>Real one<p>Real two", "Real one\nReal two"),
+    ("<div><article><p>Real one</p></div><p>Real two</p></article><p>after</p>", "Real one\nReal two"),
+    ('<article><div class="ad"><p>x<ul><li>y<li>z</ul><div>w</div></div><p>Real one</p><p>Real two</article>',
+     "Real one\nReal two"),
+])
+def test_op3_open_elements(page, want):
+    assert op3.main_text(page) == want

@@ -11,7 +11,10 @@ together with those of at least `SHARE` of its weight.  Everything between
 surge and dive is kept: no line is dropped for being short.
 
 Null or empty html gives the empty text.  An unclosed element ends where its
-parent or the page ends; a stray `<` is text.  One row per input row, so
+parent or the page ends, an unclosed paragraph, list item, cell or head also
+where the next one or a block starts; an end tag without its start is ignored,
+and only one of article, main, body or html ends a main part.  A stray `<` is
+text.  One row per input row, so
 repeated rows give repeated results.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +42,12 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr "
     "ul aside".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PARAGRAPH_ENDS = frozenset("p li dd dt tr td th".split())
+# Start tags that end an open element of `ends`, looked for through `through` (None: up to a table).
+PARAGRAPH_ENDS = BLOCK - {"body", "br", "html"} | {"dialog", "menu"}
+ITEM = frozenset("span p div address".split())
+ENDS = {"li": ({"li"}, ITEM), "dt": ({"dt", "dd"}, ITEM), "dd": ({"dt", "dd"}, ITEM), "td": ({"td", "th"}, None),
+        "th": ({"td", "th"}, None), "tr": ({"tr"}, None)} | dict.fromkeys(
+            ("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, None))
 ROLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|"
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|comments?|replies|disqus|respond|"
@@ -47,14 +56,71 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 QUOTED_END = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 CONTAINER = frozenset("div section ul ol table header span p details figure".split())
+SPAN = frozenset(["span"])
+KEPT_OPEN = (BLOCK | CONTAINER | SKIP | MAIN) - VOID
+
+
+class Open:
+    """The open elements of a page, inline ones but spans left out."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.counts: Counter = Counter()
+        self.mains: list[int] = []             # places of the main elements that count
+        self.skip: int | None = None           # place of the element that is being left out
+
+    def cut(self, at: int) -> None:
+        """Close everything from place `at` on."""
+        for name in self.names[at:]:
+            self.counts[name] -= 1
+        del self.names[at:]
+        while self.mains and self.mains[-1] >= at:
+            self.mains.pop()
+        if self.skip is not None and self.skip >= at:
+            self.skip = None
+
+    def end(self, ends: set[str], through: frozenset[str] | None) -> None:
+        """Close the innermost element of `ends` that only `through` lies in."""
+        if not any(self.counts[n] for n in ends):
+            return
+        least = self.mains[-1] if self.mains else -1
+        for i in range(len(self.names) - 1, least, -1):
+            if self.names[i] in ends:
+                return self.cut(i)
+            if self.names[i] == "table" if through is None else self.names[i] not in through:
+                return
+
+    def start(self, name: str) -> None:
+        """What the start tag of `name` closes."""
+        if name in BLOCK:
+            self.end({"head"}, SPAN)
+        if name in PARAGRAPH_ENDS:
+            self.end({"p"}, SPAN)
+        if name in ENDS:
+            self.end(*ENDS[name])
+
+    def push(self, name: str) -> None:
+        if name in MAIN and self.skip is None:
+            self.mains.append(len(self.names))
+        self.names.append(name)
+        self.counts[name] += 1
+
+    def close(self, name: str) -> None:
+        """The end tag of `name`."""
+        if not self.counts[name] or name == "span" and self.names[-1] != "span":
+            return
+        at = len(self.names) - 1
+        while self.names[at] != name:
+            at -= 1
+        if not self.mains or at > self.mains[-1] or name in MAIN or name in ("body", "html"):
+            self.cut(at)
 
 
 def lines_of(html: str) -> list[tuple[str, bool]]:
     """(text, inside the main element) per line; gaps are empty lines."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    skip: str | None = None           # the element that is being left out, and its open namesakes
-    depth = main = 0
+    open_ = Open()
     low = html.lower()
 
     def close() -> None:
@@ -62,16 +128,16 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, main > 0))
+                out.append((text, bool(open_.mains)))
 
     def gap() -> None:
         close()
-        out.extend([("", main > 0)] * WINDOW)
+        out.extend([("", bool(open_.mains))] * WINDOW)
 
     at, size = 0, len(html)
     while at < size:
         m = TAG.search(html, at)
-        if skip is None:
+        if open_.skip is None:
             parts.append(html[at:m.start() if m else size])
         if not m:
             break
@@ -89,33 +155,26 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             if html[end - 2:end] != "/>":
                 stop = low.find("</" + name, end)
                 at = size if stop < 0 else (low.find(">", stop) + 1 or size)
-            if skip is None and name in BLOCK:
+            if open_.skip is None and name in BLOCK:
                 close()
             continue
-        if skip is not None:
-            if name in MAIN and not closing and not main:      # a part left open must not swallow the article
-                skip = None
-            elif name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = None
-                continue
-            else:
-                if name in MAIN and closing and main:
-                    main, skip = main - 1, None
-                continue
-        if name in MAIN:
+        if open_.skip is None and (name in BLOCK or name in MAIN):
+            gap() if name in MAIN else close()
+        if closing:
+            open_.close(name)
+            continue
+        if open_.skip is not None and name in MAIN and not open_.mains:
+            open_.cut(open_.skip)               # a part left open must not swallow the article
             gap()
-            main = max(0, main + (-1 if closing else 1))
+        open_.start(name)
+        if name in VOID or name not in KEPT_OPEN:
             continue
-        if not closing and name not in VOID and (name in SKIP or name == "header" and not main or (
+        if open_.skip is None and name not in MAIN and (name in SKIP or name == "header" and not open_.mains or (
                 name in CONTAINER and any(ROLE.search(next(filter(None, a), ""))
                                           for a in ATTRIBUTE.findall(html[m.end():end])))):
             gap()
-            skip, depth = name, 1
-            continue
-        if name in BLOCK:
-            close()
+            open_.skip = len(open_.names)
+        open_.push(name)
     close()
     return out
 
