@@ -37,3 +37,22 @@ def test_op5_documents_hold_ids_and_decoded_text(spark, documents, texts, monkey
 ])
 def test_op3_open_elements(page, want):
     assert op3.main_text(page) == want
+
+
+LONG_PART = "<p>" + "many words of the middle part " * 20 + "</p>"
+LONG_LINE = ("many words of the middle part " * 20).strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><div id="content"><p>Short.</p><div class="ad">buy</div>{LONG_PART}<aside>x</aside><p>End.</p></div>',
+     f"Short.\n{LONG_LINE}\nEnd."),
+    (f"<body><p>Short.</p><form>mail</form><aside>x</aside>{LONG_PART}<aside>x</aside><p>End.</p>",
+     f"Short.\n{LONG_LINE}\nEnd."),
+    (f'<div id="c"><div><p>Short.</p></div><aside>x</aside><div>{LONG_PART}</div></div>', f"Short.\n{LONG_LINE}"),
+    (f'<div id="page"><div>Site</div><nav>x</nav><div id="c">{LONG_PART}</div><form>x</form><div>(c) us</div></div>', LONG_LINE),
+    ('<article><section id="related-work"><p>a</p></section><section id="binary-search"><p>b</p></section>'
+     '<div class="article-header"><h1>c</h1></div><div class="header"><h1>d</h1></div><div class="ads wide">no</div>'
+     '<div class="ad-banner">no</div><div id="comments">no</div><div role="navigation">no</div></article>', "a\nb\nc\nd"),
+])
+def test_op3_parts_of_the_article_stay(page, want):
+    assert op3.main_text(page) == want

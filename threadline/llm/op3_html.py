@@ -7,8 +7,16 @@ of empty lines.  The text lengths are summed over windows of `WINDOW` lines;
 text starts at a surge (a window sum rises from zero) and ends at a dive (it
 falls back to zero).  Pages that name their main part (article or main
 element) have no weight outside it; on others the heaviest stretch wins,
-together with those of at least `SHARE` of its weight.  Everything between
-surge and dive is kept: no line is dropped for being short.
+together with those of at least `SHARE` of its weight.  Stretches that only an
+element left out inside one content container keeps apart are one stretch.  A
+container's content is what lies in it directly (sections, lists and paragraphs
+don't count as containers), and all it holds unless it is the body or
+also holds a menu, header or footer of the page.  Everything between surge and
+dive is kept: no line is dropped for being short.
+
+Role names in classes and ids are looked for between hyphens, too, except in
+the main element: there a class counts if all its parts are role names, an id or
+role if it is one as a whole ("ad-banner" goes, "related-work" stays).
 
 Null or empty html gives the empty text.  An unclosed element ends where its
 parent or the page ends, an unclosed paragraph, list item, cell or head also
@@ -48,15 +56,21 @@ ITEM = frozenset("span p div address".split())
 ENDS = {"li": ({"li"}, ITEM), "dt": ({"dt", "dd"}, ITEM), "dd": ({"dt", "dd"}, ITEM), "td": ({"td", "th"}, None),
         "th": ({"td", "th"}, None), "tr": ({"tr"}, None)} | dict.fromkeys(
             ("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, None))
-ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|"
+ROLE_NAME = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|"
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|comments?|replies|disqus|respond|"
-    r"share|social|related|recommended|newsletter|subscribe|login|search)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+    r"share|social|related|recommended|newsletter|subscribe|login|search)")
+ROLE = re.compile(rf"(?:^|[\s_-]){ROLE_NAME}(?:$|[\s_-])", re.I)
+# inside the main element; its own header stays
+ROLE_CLASS = re.compile(rf"(?<!\S)(?!header(?!\S)){ROLE_NAME}(?:[_-]+{ROLE_NAME})*(?!\S)", re.I)
+ROLE_ID = re.compile(rf"(?<!\S)(?!header(?!\S)){ROLE_NAME}(?!\S)", re.I)
+FRAME = re.compile(r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|header|footer)(?:$|[\s_-])", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 QUOTED_END = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 CONTAINER = frozenset("div section ul ol table header span p details figure".split())
 SPAN = frozenset(["span"])
+BOX = frozenset("div td th body html".split())
 KEPT_OPEN = (BLOCK | CONTAINER | SKIP | MAIN) - VOID
 
 
@@ -68,6 +82,9 @@ class Open:
         self.counts: Counter = Counter()
         self.mains: list[int] = []             # places of the main elements that count
         self.skip: int | None = None           # place of the element that is being left out
+        self.boxes: list[tuple[int, int]] = [(-1, 0)]       # (place, number) of the open containers
+        self.parent = [0]                      # of every container; 0 is the page
+        self.wide = {0}                        # containers of the page rather than of its content
 
     def cut(self, at: int) -> None:
         """Close everything from place `at` on."""
@@ -76,6 +93,8 @@ class Open:
         del self.names[at:]
         while self.mains and self.mains[-1] >= at:
             self.mains.pop()
+        while self.boxes[-1][0] >= at:
+            self.boxes.pop()
         if self.skip is not None and self.skip >= at:
             self.skip = None
 
@@ -102,6 +121,11 @@ class Open:
     def push(self, name: str) -> None:
         if name in MAIN and self.skip is None:
             self.mains.append(len(self.names))
+        if name in BOX and self.skip is None:
+            if name in ("body", "html"):
+                self.wide.add(len(self.parent))
+            self.boxes.append((len(self.names), len(self.parent)))
+            self.parent.append(self.boxes[-2][1])
         self.names.append(name)
         self.counts[name] += 1
 
@@ -116,9 +140,23 @@ class Open:
             self.cut(at)
 
 
-def lines_of(html: str) -> list[tuple[str, bool]]:
-    """(text, inside the main element) per line; gaps are empty lines."""
-    out: list[tuple[str, bool]] = []
+def left_out(name: str, markup: str, inside: bool) -> bool:
+    """Is this element (its attributes in `markup`) no part of the text?"""
+    if name in SKIP or name == "header" and not inside:
+        return True
+    if name not in CONTAINER:
+        return False
+    for kind, *value in ATTRIBUTE.findall(markup):
+        role = (ROLE_CLASS if kind.lower() == "class" else ROLE_ID) if inside else ROLE
+        if role.search(next(filter(None, value), "")):
+            return True
+    return False
+
+
+def lines_of(html: str) -> tuple[list[tuple[str, bool, int | None]], Open]:
+    """(text, inside the main element, container) per line, and the containers;
+    gaps are empty lines in the container of the element left out."""
+    out: list[tuple[str, bool, int | None]] = []
     parts: list[str] = []
     open_ = Open()
     low = html.lower()
@@ -128,11 +166,11 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, bool(open_.mains)))
+                out.append((text, bool(open_.mains), open_.boxes[-1][1]))
 
-    def gap() -> None:
+    def gap(box: int | None = None) -> None:
         close()
-        out.extend([("", bool(open_.mains))] * WINDOW)
+        out.extend([("", bool(open_.mains), box)] * WINDOW)
 
     at, size = 0, len(html)
     while at < size:
@@ -169,14 +207,16 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
         open_.start(name)
         if name in VOID or name not in KEPT_OPEN:
             continue
-        if open_.skip is None and name not in MAIN and (name in SKIP or name == "header" and not open_.mains or (
-                name in CONTAINER and any(ROLE.search(next(filter(None, a), ""))
-                                          for a in ATTRIBUTE.findall(html[m.end():end])))):
-            gap()
+        markup = html[m.end():end]
+        if open_.skip is None and name not in MAIN and left_out(name, markup, bool(open_.mains)):
+            gap(open_.boxes[-1][1])
+            if name in ("nav", "header", "footer", "menu") or any(
+                    FRAME.search(" ".join(value)) for _, *value in ATTRIBUTE.findall(markup)):
+                open_.wide.update(n for _, n in open_.boxes)
             open_.skip = len(open_.names)
         open_.push(name)
     close()
-    return out
+    return out, open_
 
 
 def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -196,12 +236,38 @@ def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out + ([(first, n)] if first is not None else [])
 
 
+def joined(lines: list[tuple[str, bool, int | None]], found: list[tuple[int, int]], boxes: Open) -> list[tuple[int, int]]:
+    """The stretches, those that only elements left out of a common content
+    container keep apart as one."""
+    out, before = [], set()
+
+    def around(i: int) -> set[int]:
+        box, all_ = lines[i][2], set()
+        while box:
+            all_.add(box)
+            box = boxes.parent[box]
+        return all_ - boxes.wide
+    for a, b in found:
+        here = {box for text, _, box in lines[a:b] if text}
+        if out:
+            last, first = out[-1][1] - 1, next(i for i in range(a, b) if lines[i][0])
+            gaps = {box for _, _, box in lines[last + 1:first] if box is not None}
+            if gaps & (before & here | around(last) & around(first)):
+                out[-1] = (out[-1][0], b)
+                before |= here
+                continue
+        out.append((a, b))
+        before = here
+    return out
+
+
 def main_text(html: str) -> str:
-    lines = lines_of(html)
-    named = any(inside and text for text, inside in lines)
-    weights = [len(text) if inside or not named else 0 for text, inside in lines]
+    lines, boxes = lines_of(html)
+    named = any(inside and text for text, inside, _ in lines)
+    weights = [len(text) if inside or not named else 0 for text, inside, _ in lines]
     found = surges(weights)
     if not named and found:
+        found = joined(lines, found, boxes)
         most = max(sum(weights[a:b]) for a, b in found)
         found = [(a, b) for a, b in found if sum(weights[a:b]) >= SHARE * most]
     return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
