@@ -1,8 +1,11 @@
 """The whole job: results that a shorter way would leave out."""
+import random
+
 import pytest
 
 from threadline.llm import op3_html as op3
 from threadline.llm import op5_sentencepiece as op5
+from threadline.llm import op9_toxicity as op9
 
 
 @pytest.mark.parametrize("frequent", [op5.FREQUENT, 3])
@@ -56,3 +59,27 @@ LONG_LINE = ("many words of the middle part " * 20).strip()
 ])
 def test_op3_parts_of_the_article_stay(page, want):
     assert op3.main_text(page) == want
+
+
+@pytest.mark.parametrize("counterparts", [0, 2])
+def test_op9_swaps_into_terms_the_sample_lacks(spark, counterparts):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        w = [f"w{rng.randrange(30)}" for _ in range(12)]
+        toxic = rng.random() < 0.4
+        if rng.random() < (0.9 if toxic else 0.05):
+            w[0] = "muslims"
+        if toxic and rng.random() < 0.9:
+            w[1] = rng.choice(["idiot", "scum"])
+        rows.append((i, " ".join(w), int(toxic)))
+    rows += [(600 + i, "christians w1 w2", 0) for i in range(counterparts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    plain, fair = (op9.fit(docs, labels, counterfactual=c)[0] for c in (0.0, 1.0))
+    assert plain["muslims"] > 1 and 0 <= fair["muslims"] < 0.5 * plain["muslims"]
+    assert "christians" not in fair and fair["idiot"] > 1
+    weak = op9.fit(docs, labels, counterfactual=20.0)
+    probe = spark.createDataFrame([("muslims w3 w4",), ("christians w3 w4",)], "text string")
+    a, b = (r.score for r in op9.score(probe, weak).collect())
+    assert abs(a - b) < 0.05

@@ -3,7 +3,10 @@
 A logistic regression over word presence.  Besides the log loss and an L2
 term it pays for every change of score when an identity term of a labelled
 sentence is swapped for another term of the same group, so that a neutral
-mention of a group does not raise the score.
+mention of a group does not raise the score.  All terms of a group that has a
+term in the sample take part: one with fewer than `MIN_DOCS` rows of its own has
+the weight 0 and keeps it, so that a swap into it costs the whole weight of the
+frequent term instead of giving that weight to both.
 
 * Fit: on at most `SAMPLE_ROWS` labelled rows outside the held-out fold, those
   with the smallest hash of their id (a documented bound).  Only this bounded
@@ -102,9 +105,11 @@ def swaps(rows: list[list[int]], vocab: list[str], groups) -> list[tuple[int, in
 
 def fit_weights(y: np.ndarray, rows: list[list[int]], n_words: int,
                 pairs: list[tuple[int, int, int]], l2: float = L2,
-                counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
+                counterfactual: float = COUNTERFACTUAL, steps: int = STEPS,
+                fixed: list[int] = ()) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on class-weighted log loss + l2 |w|^2 +
-    counterfactual * mean (score change under a swap)^2."""
+    counterfactual * mean (score change under a swap)^2.  The words of `fixed`
+    keep the weight 0."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=len(at))
     pos = max(y.sum(), 1)
@@ -115,7 +120,8 @@ def fit_weights(y: np.ndarray, rows: list[list[int]], n_words: int,
     scale = 1 / np.sqrt(np.maximum(freq, 1e-4))       # rare words may move as fast as common ones
     w, bias, vw, vb = np.zeros(n_words), 0.0, np.zeros(n_words), 0.0
     pull = np.bincount(a, k, n_words) + np.bincount(b, k, n_words) if len(pairs) else np.zeros(n_words)
-    rate = 1 / (2 + 4 * counterfactual * float((pull * scale).max(initial=0)))
+    scale[list(fixed)] = 0
+    rate = scale / (2 + 4 * counterfactual * pull * scale)      # a term's swaps slow down that term alone
     for step in range(steps):
         m = step / (step + 3)
         lw, lb = w + m * vw, bias + m * vb
@@ -125,7 +131,7 @@ def fit_weights(y: np.ndarray, rows: list[list[int]], n_words: int,
         if len(pairs):
             d = 2 * counterfactual * k * (lw[a] - lw[b])
             g += np.bincount(a, d, minlength=n_words) - np.bincount(b, d, minlength=n_words)
-        nw, nb = lw - rate * scale * g, lb - rate * e.sum()
+        nw, nb = lw - rate * g, lb - e.sum() / 2
         vw, vb, w, bias = nw - w, nb - bias, nw, nb
     return w, float(bias)
 
@@ -146,14 +152,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     identity = sorted({w for g in groups for w in g})
     p0, p1 = (F.col("n0") + 0.5) / (n[0] + 1), (F.col("n1") + 0.5) / (n[1] + 1)
     gap = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n[0] + p1 * (1 - p1) / n[1])
-    counted = count_words(sample).where(F.col("n0") + F.col("n1") >= min_docs)
-    known = counted.where(F.col("word").isin(identity)).select("word").collect()
+    counts = count_words(sample)
+    seen = {r.word: r.n for r in counts.where(F.col("word").isin(identity))
+            .select("word", (F.col("n0") + F.col("n1")).alias("n")).collect()}
+    known = {w for g in groups if any(w in seen for w in g) for w in g}
+    counted = counts.where(F.col("n0") + F.col("n1") >= min_docs)
     top = counted.orderBy(gap.desc(), "word").limit(vocabulary).select("word").collect()
-    vocab = sorted({r.word for r in top} | {r.word for r in known})
+    vocab = sorted({r.word for r in top} | known)
+    fixed = [i for i, v in enumerate(vocab) if v in known and seen.get(v, 0) < min_docs]
     rows = sorted((r.idx, r.y) for r in presence(sample, vocab).collect())     # at most sample_rows
     idx = [i for i, _ in rows]
     w, bias = fit_weights(np.array([y for _, y in rows]), idx, len(vocab),
-                          swaps(idx, vocab, groups), counterfactual=counterfactual)
+                          swaps(idx, vocab, groups), counterfactual=counterfactual, fixed=fixed)
     return {v: float(x) for v, x in zip(vocab, w) if x}, bias
 
 
