@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from threadline.llm import op2_pii as op2
 from threadline.llm import op3_html as op3
 from threadline.llm import op5_sentencepiece as op5
 from threadline.llm import op9_toxicity as op9
@@ -83,3 +84,39 @@ def test_op9_swaps_into_terms_the_sample_lacks(spark, counterparts):
     probe = spark.createDataFrame([("muslims w3 w4",), ("christians w3 w4",)], "text string")
     a, b = (r.score for r in op9.score(probe, weak).collect())
     assert abs(a - b) < 0.05
+
+
+def test_op2_identifiers_written_with_spaces(spark):
+    rng = random.Random(6)
+    rows = [(i, f"please ring +1 555 01{i:02d} {rng.randrange(1000, 9999)} tomorrow") for i in range(60)]
+    rows += [(100 + i, f"then mail u{i}@example.org today") for i in range(60)]
+    rows += [(200 + i, f"their card {n} expires") for i, n in enumerate(
+        ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "4012 8888 8888 1881",
+         "4222 2222 2222 2220", "5555 5555 5555 4444", "5105 1051 0510 5100", "4000 0566 5566 5556", "4242 4242 4242 4242"])]
+    cases = {300: ("please ring (555) 010-9999 tomorrow", "please ring [PHONE] tomorrow"),
+             301: ("please ring 030 123 4567 tomorrow", "please ring [PHONE] tomorrow"),
+             302: ("please ring 030 - 123 45, tomorrow", "please ring [PHONE], tomorrow"),
+             303: ("then mail joe at example dot org today", "then mail [EMAIL] today"),
+             304: ("then mail joe.b [at] example [dot] co.uk today", "then mail [EMAIL] today"),
+             305: ("their card DE89 3704 0044 0532 0130 00 expires", "their card [CARD] expires"),
+             306: ("they sold 031 123 4567 units", "they sold 031 123 4567 units"),
+             307: ("look at me", "look at me")}
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in cases.items()], "doc_id long, text string").repartition(3)
+    masked = {r.doc_id: r.text for r in op2.mask(df).collect()}
+    assert {i: masked[i] for i in cases} == {i: want for i, (_, want) in cases.items()}
+    spans = {r.doc_id: r.spans for r in op2.personal_data(df).collect()}
+    assert spans[300] == "phone:12:26" and spans[306] == ""
+
+
+def test_op2_candidates():
+    def found(text):
+        return [text[s:e] for s, e in op2.candidates(text, op2.base_spans(text))]
+    assert found("tel (555) 010-9999.") == ["(555) 010-9999"]
+    assert found("in 2019, 2020 and 5 men") == ["2019", "2020"]
+    assert found("net 10.0.0.1 8080 9090 x") == ["8080 9090"]
+    assert found("DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("write to joe @ example.org or a@b dot org, not at 10.30") == ["joe @ example.org", "a@b dot org", "10.30"]
+    assert found(" ".join(["123456"] * 9)) == ["123456"] * 9
+    assert found("7536784127813051 4845168114407320") == ["7536784127813051", "4845168114407320"]
+    for text in ("1 " * 200_000, "(" * 200_000, "1(" * 200_000, " " * 200_000 + "at", "a at " * 100_000, "a at a dot " * 50_000):
+        found(text)

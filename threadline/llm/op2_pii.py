@@ -2,7 +2,9 @@
 
 * Base: four fixed patterns give the seed entities of every whole text.
 * Bootstrapping: a seed's neighbouring words are lexical patterns.  Spark keeps
-  the graph pattern - instance (an identifier-like string) and scores it for
+  the graph pattern - instance (an identifier-like string, which may be written
+  with spaces: a run of digit groups, or an address with "at" and "dot" as
+  words, is one instance) and scores it for
   `ROUNDS` rounds: a pattern's confidence for a kind is the mean confidence of
   all its distinct instances, an instance's is the noisy-or over its trusted
   patterns; seeds stay at 1.  A pattern is trusted from `MIN_SEEDS` distinct
@@ -44,6 +46,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S++")
+GROUP = r"[+(\[]*+[A-Z]{0,4}[0-9](?:[./()\[\]-]*[0-9A-Z)\]])*+"
+RUN = re.compile(rf"(?<!\S){GROUP}(?:[ \t\xa0]{{1,3}}(?:[-/–][ \t\xa0]{{1,3}}|[A-Z]{{2,4}}[ \t\xa0]{{1,3}})?{GROUP})++(?![\w@])")
+AT = re.compile(r"[ \t\xa0]{1,3}at[ \t\xa0]{1,3}|[ \t\xa0]{0,3}(?:@|[\[({<]at[\])}>])[ \t\xa0]{0,3}", re.I)
+HOST = re.compile(r"(?=[0-9-]*+[a-z])[a-z0-9-]++(?:(?:[ \t\xa0]{1,3}dot[ \t\xa0]{1,3}|"
+                  r"[ \t\xa0]{0,3}[\[({<]dot[\])}>][ \t\xa0]{0,3}|\.)[a-z][a-z0-9-]*+)++", re.I)
+RUN_LETTERS = 34                 # letters and digits of the longest spaced identifier (IBAN)
+GROUP_WIDTH = 14                 # a longer word in a run is an identifier by itself
 EDGE = ".,;:!?()[]{}<>\"'`#$%&*=|~^/\\"
 
 
@@ -104,22 +113,70 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses with spaces, or with "at" and "dot" as words."""
+    out, done = [], 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end()) if m.start() >= done else None
+        if host:
+            left = m.start()
+            while left > done and text[left - 1] in LOCAL:
+                left -= 1
+            if left < m.start():
+                out.append((left, host.end()))
+                done = host.end()
+    return out
+
+
+def grouped(text: str, at: int, end: int) -> list[tuple[int, int]]:
+    """Runs of digit groups in text[at:end] that may be one identifier."""
+    out = []
+    for m in RUN.finditer(text, at, end):
+        word = m[0].strip(EDGE)
+        start = m.start() + m[0].find(word)
+        if start > m.start() and text[start - 1] in "([" and word.count(")") + word.count("]") > word.count("(") + word.count("["):
+            start, word = start - 1, text[start - 1] + word          # (555) 010-9999
+        if (len(word) >= 4 and len(DIGIT.findall(word)) >= 3 and sum(c.isalnum() for c in word) <= RUN_LETTERS
+                and max(map(len, word.split())) <= GROUP_WIDTH):
+            out.append((start, start + len(word)))
+    return out
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings outside the base spans: words that hold an @ or
-    three digits."""
-    if not (DIGIT.search(text) or "@" in text):
-        return []
-    out, k = [], 0
+    """Identifier-like strings outside the base spans: spelled addresses, runs of
+    digit groups, and other words that hold an @ or three digits."""
+    digits = DIGIT.search(text)
     taken = sorted((s, e) for s, _, e in spans)
-    for m in TOKEN.finditer(text):
-        if "@" not in m[0] and len(DIGIT.findall(m[0])) < 3:
-            continue
-        word = m[0].strip(EDGE)
-        start = m.start() + m[0].find(word) if word else m.start()
-        end = start + len(word)
+    out = without(spelled(text), taken)
+    taken = sorted(taken + out)
+    if digits:
+        at, runs = 0, []
+        for s, e in taken + [(len(text), len(text))]:
+            if at < s:
+                runs += grouped(text, at, s)
+            at = max(at, e)
+        out += runs
+        taken = sorted(taken + runs)
+    if digits or "@" in text:
+        words = []
+        for m in TOKEN.finditer(text):
+            if "@" not in m[0] and len(DIGIT.findall(m[0])) < 3:
+                continue
+            word = m[0].strip(EDGE)
+            start = m.start() + m[0].find(word) if word else m.start()
+            if len(word) >= 4:
+                words.append((start, start + len(word)))
+        out += without(words, taken)
+    return sorted(out)
+
+
+def without(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of `found` that meet none of `taken`, both sorted."""
+    out, k = [], 0
+    for start, end in found:
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if len(word) >= 4 and not any(s < end and e > start for s, e in taken[k:k + 4]):
+        if not any(s < end and e > start for s, e in taken[k:k + 4]):
             out.append((start, end))
     return out
 
