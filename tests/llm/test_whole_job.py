@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadline.llm import op2_pii as op2
 from threadline.llm import op3_html as op3
@@ -120,3 +121,17 @@ def test_op2_candidates():
     assert found("7536784127813051 4845168114407320") == ["7536784127813051", "4845168114407320"]
     for text in ("1 " * 200_000, "(" * 200_000, "1(" * 200_000, " " * 200_000 + "at", "a at " * 100_000, "a at a dot " * 50_000):
         found(text)
+
+
+def test_every_training_query_trains(spark, monkeypatch):
+    from threadline.plans import q_models
+    runs = []
+    df = spark.createDataFrame([("k", "train")], "row_key string, split string").select(
+        "*", F.lit(0).alias("features"), *[F.lit(0).alias(c) for c in q_models.Y_COLS])
+    monkeypatch.setattr(q_models, "training_inputs", lambda spark, sf: (df, {}))
+    monkeypatch.setattr(q_models.MD, "featurize", lambda rows: rows)
+    monkeypatch.setattr(q_models.MD, "train_per_target", lambda *a, **k: runs.append(1))
+    monkeypatch.setattr(q_models.MD, "score_per_target", lambda *a: df)
+    monkeypatch.setattr(q_models.MD, "loss_history", lambda models: [("t", len(runs), 0.0)])
+    monkeypatch.setattr(q_models.S, "write_predictions", lambda *a: None)
+    assert [q_models.q_loss_history(spark, "same").first().iteration for _ in range(2)] == [1, 2]
