@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,13 @@ def slices(batches, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def sized(batches, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of about `limit` bytes of a text column (one row at
+    least), however long the texts are."""
+    for b in batches:
+        at = b.schema.get_field_index(column)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_pylist()
+        for lo, hi in chunks(lengths, limit):
+            yield b.slice(lo, hi - lo)
