@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment (11) against the libraries' own encoders."""
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,8 @@ from threadline.llm import op11_alignment as op11
 
 ODD = ["", None, "a▁b", "▁", " ", "  ", " x", "x ", "a  b   c", "\n", "a\n b", "a \n b", "a \n  b\t c ", "é 中文 😀x", "İ y  z",
        "<|endoftext|> <s> </s> <unk> <0x0A>", "don't it's I'll", "a\x00b", "a\x1c b \x1d c", "x" * 3000, " " * 2000, "ab " * 2000,
-       "ﬁ Ａ ①", "́ é", "1234 56,78 9.", "\r\n\r\n  end"]
+       "ﬁ Ａ ①", "́ é", "1234 56,78 9.", "\r\n\r\n  end",
+       "a" + " " * 120 + "b", "a" + "\n" * 120, " \n" * 70 + "b\t" + "\u3000" * 110 + "c", "a " + "\n" * 110 + "b c" + "\x1c" * 60]
 
 
 @pytest.fixture(scope="module")
@@ -65,9 +67,12 @@ def random_texts(n, seed):
     return ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(n)]
 
 
-def test_units_encode_as_the_whole_text(plain):
+@pytest.mark.parametrize("long", [op11.LONG, 20])
+def test_units_encode_as_the_whole_text(plain, monkeypatch, long):
+    monkeypatch.setattr(op11, "LONG", long)
+    monkeypatch.setattr(op11, "LONG_RUN", re.compile(f"[{op11.BLANK}]{{{long},}}"))
     align = op11.Aligner()
-    for text in [t for t in ODD if t] + random_texts(3000, 1):
+    for text in [t for t in ODD if t] + random_texts(2000, 1):
         names = op11.units(" " + text)
         assert "".join(" " + u for u in names) == " " + text
         both = align.encode(names)
@@ -81,6 +86,15 @@ def test_units_encode_as_the_whole_text(plain):
         assert Counter((k & 0xFFFF, k >> 16) for p in parts for k in p[0]) == Counter(links)
 
 
+def test_runs_of_white_space_of_any_length():
+    align = op11.Aligner()
+    for text in (" " * 3_000_000, "a" + " \n" * 1_000_000 + "b", "x" * 300_000):
+        (a, b), = align.encode(op11.units(" " + text))
+        assert b"".join(align.bytes_a[i] for i in a) == b"".join(align.bytes_b[i] for i in b) == b" " + text.encode()
+        links, ends = align.align(a, b)
+        assert len(links) == len(a) + len(b) - len(ends)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
 def test_perfect_hash_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2 ** 31, n, dtype=np.uint32))

@@ -61,6 +61,10 @@ MARK = "▁"
 
 CLINGS = re.compile(r" (?=\s|\Z)")               # a space that starts no unit of its own, nor the next
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+# white space as A's word split has it; a run longer than the split's stack is cut out before it
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 10_000
+LONG_RUN = re.compile(f"[{BLANK}]{{{LONG},}}")
 
 
 def units(text: str) -> list[str]:
@@ -81,8 +85,7 @@ class Aligner:
         import tiktoken
         with open(files.path(a + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
-        self.encode_a = tiktoken.Encoding(a, pat_str=files.PATTERN, mergeable_ranks=ranks,
-                                          special_tokens={}).encode_ordinary
+        self.model_a = tiktoken.Encoding(a, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_a = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.bytes_a[v] = k
@@ -98,6 +101,18 @@ class Aligner:
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.names = list(map(str, range(max(len(pieces), len(self.bytes_a)))))
 
+    def encode_a(self, text: str) -> list[int]:
+        """A's ids.  A run of white space is one word of A, but for its last
+        character where another word follows."""
+        out, at = [], 0
+        if len(text) >= LONG:
+            for m in LONG_RUN.finditer(text):
+                end = m.end() - (m.end() < len(text))
+                out += self.model_a.encode_ordinary(text[at:m.start()])
+                out += self.model_a._encode_single_piece(text[m.start():end])
+                at = end
+        return out + self.model_a.encode_ordinary(text[at:] if at else text)
+
     def encode(self, keys: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """(ids of A, ids of B) of each unit; None if their bytes aren't its own."""
         out = []
