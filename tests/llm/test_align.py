@@ -69,30 +69,38 @@ def random_texts(n, seed):
 
 @pytest.mark.parametrize("long", [op11.LONG, 20])
 def test_units_encode_as_the_whole_text(plain, monkeypatch, long):
+    """Ids, groups and links of texts by their units, encoded side by side."""
     monkeypatch.setattr(op11, "LONG", long)
     monkeypatch.setattr(op11, "LONG_RUN", re.compile(f"[{op11.BLANK}]{{{long},}}"))
     align = op11.Aligner()
-    for text in [t for t in ODD if t] + random_texts(2000, 1):
-        names = op11.units(" " + text)
-        assert "".join(" " + u for u in names) == " " + text
-        both = align.encode(names)
-        a, b, groups, links = plain(text)
-        if None in both:
+    texts = ODD + random_texts(1500, 1)
+    names = sorted({u for t in texts if t for u in op11.units(" " + t)})
+    found = op11.Units(align, names, True)
+    number = {u: i for i, u in enumerate(names)}
+    links = {i: [] for i in range(len(names))}
+    for key, unit in zip(found.links.tolist(), found.owners.tolist()):
+        links[unit].append((key & 0xFFFF, key >> 16))
+    for text in filter(None, texts):
+        own = [number[u] for u in op11.units(" " + text)]
+        assert "".join(" " + names[i] for i in own) == " " + text
+        a, b, groups, pairs = plain(text)
+        if found.broken[own].any():
             assert not a
             continue
-        assert [i for x, _ in both for i in x] == a and [i for _, y in both for i in y] == b
-        parts = [align.align(*x) for x in both]
-        assert ";".join(align.groups(*x, p[1]) for x, p in zip(both, parts)) == ";".join(groups)
-        assert Counter((k & 0xFFFF, k >> 16) for p in parts for k in p[0]) == Counter(links)
+        assert ";".join(found.groups[i] for i in own) == ";".join(groups)
+        assert found.counts[:, own].sum(axis=1).tolist() == [len(a), len(b), len(groups), len(pairs)]
+        assert Counter(x for i in own for x in links[i]) == Counter(pairs)
 
 
 def test_runs_of_white_space_of_any_length():
     align = op11.Aligner()
     for text in (" " * 3_000_000, "a" + " \n" * 1_000_000 + "b", "x" * 300_000):
-        (a, b), = align.encode(op11.units(" " + text))
+        unit, = op11.units(" " + text)
+        a, b = align.encode(" " + unit)
         assert b"".join(align.bytes_a[i] for i in a) == b"".join(align.bytes_b[i] for i in b) == b" " + text.encode()
-        links, ends = align.align(a, b)
-        assert len(links) == len(a) + len(b) - len(ends)
+        found = op11.Units(align, [unit], False)
+        n_a, n_b, n_groups, n_links = found.counts[:, 0].tolist()
+        assert (n_a, n_b, n_links) == (len(a), len(b), n_a + n_b - n_groups) and len(found.links) == n_links
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
@@ -108,10 +116,11 @@ def test_perfect_hash_is_minimal_and_perfect(n):
             op11.verified(number, ordered, np.array([k for k in range(n + 1) if k not in set(keys.tolist())][:1], np.uint32))
 
 
-@pytest.mark.parametrize("chunk,held,fan", [(op11.CHUNK_BYTES, op11.HELD_UNITS, op11.FAN), (2000, 40, 2)])
-def test_op11_equals_brute_force(spark, tmp_path, texts, plain, monkeypatch, chunk, held, fan):
+@pytest.mark.parametrize("chunk,stretch,encoded,fan", [(op11.CHUNK_BYTES, op11.STRETCH, op11.ENCODED, op11.FAN), (4000, 900, 50, 2)])
+def test_op11_equals_brute_force(spark, tmp_path, texts, plain, monkeypatch, chunk, stretch, encoded, fan):
     monkeypatch.setattr(op11, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(op11, "HELD_UNITS", held)
+    monkeypatch.setattr(op11, "STRETCH", stretch)
+    monkeypatch.setattr(op11, "ENCODED", encoded)
     monkeypatch.setattr(op11, "FAN", fan)
     rows = [(i, t) for i, t in texts if len(t or "") < 10_000] + [(1000 + i, t) for i, t in enumerate(ODD + random_texts(40, 2))]
     rows += [(None, rows[3][1]), (3, rows[3][1]), (None, None)] + [(5000 + i, "copy of a text") for i in range(30)]

@@ -7,12 +7,13 @@ groups; a link is an occurrence of an A and a B token whose byte ranges overlap.
 Both encoders work on units: a text is cut before each single space that a
 character other than white space follows and none but a space precedes.  A's own
 word split and B's pieces never cross such a place (checked when the model is
-read), so the ids of a text are those of its units in a row, and a task encodes
-and aligns a unit once, however often it occurs.
+read), so the ids of a text are those of its units in a row.  A stretch of texts is
+split into units, each distinct unit is encoded and aligned once, and the texts look
+their units up; ends of tokens are merged as sorted arrays.
 
 1. Documents are dealt into chunks of about `CHUNK_BYTES` by hash.  First pass: a
-   task adds up the links of a chunk per id pair and sends them as packed arrays,
-   one row per chunk and shard (`SHARDS` shards by B id).
+   task adds up the links of a stretch of a chunk per id pair and sends them as packed
+   arrays, one row per stretch and shard (`SHARDS` shards by B id).
 2. The distinct pairs of a shard meet in a tree (`FAN` chunks a node).  A minimal
    perfect hash numbers them: levels of bits, each keeping the keys that are alone
    at their place; a pair's number is its bit's rank.  A shard has at most
@@ -26,8 +27,8 @@ and aligns a unit once, however often it occurs.
 6. Second pass: chunks are dealt again, each behind the counts of its pairs; the
    documents stream past them, are aligned anew and look their links up.
 
-A task holds the pairs of one chunk and at most `HELD_UNITS` units; no table of all
-pairs goes to the driver or into one task.
+A task holds the pairs of one chunk and the units of one stretch of `STRETCH` bytes
+(or one text); no table of all pairs goes to the driver or into one task.
 
 Texts that are null or empty, or whose tokens' bytes don't make up the text with
 its space (texts that hold B's space mark), have no tokens: zeros and ''.
@@ -40,27 +41,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import materialize, mix64, partitions, sized, table
+from threadline.llm.common import chunks, materialize, mix64, partitions, sized, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k.model"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+STRETCH = 8 << 20
+ENCODED = 1 << 16                # characters encoded at once
 SHARDS = 128
 FAN = 32
-HELD_UNITS = 150_000
-HELD_BYTES = 16 << 20
 LEVEL_SPACE = 1.5                # places per key of a hash level
 MARK = "▁"
 
 CLINGS = re.compile(r" (?=\s|\Z)")               # a space that starts no unit of its own, nor the next
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+PLAIN = re.compile(r"\S")
 # white space as A's word split has it; a run longer than the split's stack is cut out before it
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG = 10_000
@@ -98,7 +100,7 @@ class Aligner:
             raise ValueError("a piece crosses a unit boundary of this model")
         if len(self.bytes_a) > 1 << 16 or len(pieces) > 1 << 15:
             raise ValueError("a pair of ids doesn't fit 31 bits")
-        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.names = list(map(str, range(max(len(pieces), len(self.bytes_a)))))
 
     def encode_a(self, text: str) -> list[int]:
@@ -113,48 +115,115 @@ class Aligner:
                 at = end
         return out + self.model_a.encode_ordinary(text[at:] if at else text)
 
-    def encode(self, keys: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(ids of A, ids of B) of each unit; None if their bytes aren't its own."""
-        out = []
-        a_bytes, b_bytes = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for key, b in zip(keys, self.encode_b(keys, num_threads=1)):
-            text = " " + key
-            a, raw = self.encode_a(text), text.encode()
-            ok = b"".join(map(b_bytes, b)) == raw and b"".join(map(a_bytes, a)) == raw
-            out.append((a, b) if ok else None)
-        return out
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of A, ids of B) of a text that has a space in front; None if their
+        bytes aren't its own."""
+        raw = text.encode()
+        a, b = self.encode_a(text), self.encode_b(text[1:])
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+    def encoded(self, keys: list[str]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]]:
+        """(numbers of units, their ids in a row): units side by side where that is
+        their own text again, others alone; None for a unit that fails."""
+        def joined(part: list[int]):
+            both = self.encode(" " + " ".join([keys[i] for i in part]))
+            if both is not None or len(part) == 1:
+                yield np.array(part), both
+            else:                                        # find the unit that fails
+                yield from joined(part[:len(part) // 2])
+                yield from joined(part[len(part) // 2:])
+        alone = [i for i, k in enumerate(keys) if len(k) >= LONG or not PLAIN.match(k) or k[-1] == " " or MARK in k]
+        for i in alone:
+            yield from joined([i])
+        rest = sorted(set(range(len(keys))).difference(alone))
+        for lo, hi in chunks((len(keys[i]) for i in rest), ENCODED):
+            yield from joined(rest[lo:hi])
+
+
+class Units:
+    """Distinct units of a stretch, encoded and aligned: token and link counts per
+    unit, the pair key of every link with its unit, and which units fail."""
+
+    def __init__(self, align: Aligner, keys: list[str], with_groups: bool):
+        n = len(keys)
+        self.counts = np.zeros((4, n), dtype=np.int64)               # n_a, n_b, n_groups, n_links
+        self.broken = np.zeros(n, dtype=bool)
+        self.groups: list[str] = [""] * n if with_groups else []
+        links, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, both in align.encoded(keys):
+            if both is None:
+                self.broken[part] = True
+                continue
+            a, b = both
+            end_a, end_b = np.cumsum(align.size_a[a]), np.cumsum(align.size_b[b])
+            unit_end = np.cumsum([len(keys[i].encode()) + 1 for i in part.tolist()])
+            ends = np.union1d(end_a, end_b)                          # every link ends at one of them
+            at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+            both_end = (end_a[at_a] == ends) & (end_b[at_b] == ends)
+            unit = lambda x: np.searchsorted(unit_end, x)
+            for row, x in enumerate((end_a, end_b, ends[both_end], ends)):
+                self.counts[row, part] = np.bincount(unit(x), minlength=len(part))
+            links.append(b[at_b] << 16 | a[at_a])
+            owners.append(part[unit(ends)])
+            if with_groups:
+                shown = self.shown(align, a, b, at_a[both_end] + 1, at_b[both_end] + 1)
+                cut = np.cumsum([0, *self.counts[2, part].tolist()]).tolist()
+                for i, x, y in zip(part.tolist(), cut[:-1], cut[1:]):
+                    self.groups[i] = ";".join(shown[x:y])
+        self.links, self.owners = np.concatenate(links), np.concatenate(owners)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[array, list[tuple[int, int]]]:
-        """(pair keys of all links, [(A tokens, B tokens) ending each group])."""
-        size_a, size_b = self.size_a, self.size_b
-        links, ends = array("I"), []
-        i = j = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            links.append(b[j] << 16 | a[i])
-            if end_a == end_b:
-                i += 1
-                j += 1
-                ends.append((i, j))
-                if i == len(a):
-                    return links, ends
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            else:
-                j += 1
-                end_b += size_b[b[j]]
-
-    def groups(self, a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-        """`a1,a2|b1;a3|b2,b3` of the groups."""
-        name = self.names.__getitem__
+    @staticmethod
+    def shown(align: Aligner, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> list[str]:
+        """`a1,a2|b1` of each group."""
+        name = align.names.__getitem__
+        x, y = list(map(name, a.tolist())), list(map(name, b.tolist()))
         out, i, j = [], 0, 0
-        for x, y in ends:
-            out.append(f"{','.join(map(name, a[i:x]))}|{','.join(map(name, b[j:y]))}")
-            i, j = x, y
-        return ";".join(out)
+        for k, m in zip(stop_a.tolist(), stop_b.tolist()):
+            out.append(f"{x[i]}|{y[j]}" if k - i == 1 == m - j else f"{','.join(x[i:k])}|{','.join(y[j:m])}")
+            i, j = k, m
+        return out
+
+    def per_unit(self, values: np.ndarray) -> np.ndarray:
+        """Sums of link values by unit."""
+        out = np.zeros(len(self.broken), dtype=np.int64)
+        np.add.at(out, self.owners, values)
+        return out
+
+
+class Stretch:
+    """Texts of a stretch by their distinct units."""
+
+    def __init__(self, align: Aligner, texts: pa.Array, with_groups: bool = False):
+        whole = texts.to_pylist()
+        clings = np.array([CLINGS.search(" " + t) is not None for t in whole], dtype=bool)
+        filled = np.array([bool(t) for t in whole], dtype=bool)
+        plain, odd = np.flatnonzero(filled & ~clings), np.flatnonzero(filled & clings)
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        more = [units(" " + whole[i]) for i in odd.tolist()]
+        flat = pa.concat_arrays([split.flatten(), pa.array([u for x in more for u in x], texts.type)])
+        found = flat.dictionary_encode()
+        self.docs = np.concatenate([plain, odd])                     # texts, in the order of their units
+        self.sizes = np.concatenate([pc.list_value_length(split).to_numpy(zero_copy_only=False),
+                                     np.array([len(x) for x in more], dtype=np.int64)]).astype(np.int64)
+        self.at = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.units = Units(align, found.dictionary.to_pylist(), with_groups)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        good = ~np.logical_or.reduceat(self.units.broken[self.at], self.starts) if len(self.at) else np.zeros(0, bool)
+        self.docs, self.starts, self.sizes = self.docs[good], self.starts[good], self.sizes[good]
+
+    def times(self) -> np.ndarray:
+        """Occurrences of each unit in texts that have tokens."""
+        step = np.zeros(len(self.at) + 1, dtype=np.int64)
+        np.add.at(step, self.starts, 1)
+        np.add.at(step, self.starts + self.sizes, -1)
+        return np.bincount(self.at[np.cumsum(step[:-1]) > 0], minlength=len(self.units.broken))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of unit values by text, for the texts that have tokens."""
+        total = np.concatenate([[0], np.cumsum(values[self.at])])
+        return total[self.starts + self.sizes] - total[self.starts]
 
 
 class PerfectHash:
@@ -232,29 +301,14 @@ def added(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.add.reduceat(w, first) if len(k) else w
 
 
-class Held:
-    """Units a task has met, up to a bound."""
-
-    def __init__(self):
-        self.records: dict[str, object] = {}
-        self.broken: set[str] = set()
-        self.size = 0
-
-    def missing(self, keys: list[str]) -> list[str]:
-        return [k for k in set(keys) if k not in self.records]
-
-    def add(self, key: str, record) -> None:
-        self.records[key] = record
-        self.size += len(key)
-        if record is None:
-            self.broken.add(key)
-
-    def whole(self, keys: list[str]) -> bool:
-        return not self.broken or self.broken.isdisjoint(keys)
-
-    @property
-    def full(self) -> bool:
-        return len(self.records) > HELD_UNITS or self.size > HELD_BYTES
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows) of at most about STRETCH bytes, each within one chunk."""
+    for b in sized(batches, "text", STRETCH):
+        chunk = b.column(b.schema.get_field_index("chunk")).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(chunk)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]):
+            if lo < hi:
+                yield int(chunk[lo]), b.slice(lo, hi - lo)
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -265,49 +319,25 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     return src.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)).alias("chunk"), "doc_id", "text"), number
 
 
-def chunk_links(chunks: DataFrame) -> DataFrame:
-    """(chunk, shard, keys, counts): the links of each chunk by pair.  A chunk
-    may send a shard several rows."""
+def chunk_links(docs: DataFrame) -> DataFrame:
+    """(chunk, shard, keys, counts): the links of each stretch of a chunk by pair."""
     def fn(batches):
-        align, held, now = Aligner(), Held(), None
-        met: Counter[str] = Counter()
-
-        def send() -> pa.RecordBatch:
-            parts = [held.records[u] for u in met]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            times = np.fromiter(met.values(), np.int64, len(parts))
-            keys, counts = added(np.frombuffer(b"".join(p.tobytes() for p in parts), np.uint32), np.repeat(times, sizes))
+        align = Aligner()
+        for chunk, b in stretches(batches):
+            texts = Stretch(align, b.column(1))
+            keys, counts = added(texts.units.links, texts.times()[texts.units.owners])
+            keys, counts = keys[counts > 0].astype(np.uint32), counts[counts > 0]
             shard = (keys >> np.uint32(16)) % np.uint32(SHARDS)
             order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+            cut = np.searchsorted(shard[order], np.arange(SHARDS + 1)).tolist()
             rows = [(s, keys[order[x:y]].tobytes(), counts[order[x:y]].tobytes())
-                    for s, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if x < y]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                    for s, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if x < y]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
                  pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["chunk", "shard", "keys", "counts"])
-
-        for b in sized(batches, "text"):
-            for chunk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if chunk != now or held.full:
-                    if met:
-                        yield send()
-                    met, now = Counter(), chunk
-                    if held.full:
-                        held = Held()
-                if not text:
-                    continue
-                keys = units(" " + text)
-                new = held.missing(keys)
-                if new:
-                    for key, both in zip(new, align.encode(new)):
-                        held.add(key, both and align.align(*both)[0])
-                if held.whole(keys):
-                    met.update(keys)
-        if met:
-            yield send()
-    spark = chunks.sparkSession
-    return (chunks.select("chunk", "text").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
+    spark = docs.sparkSession
+    return (docs.select("chunk", "text").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
             .mapInArrow(fn, "chunk long, shard int, keys binary, counts binary"))
 
 
@@ -431,44 +461,34 @@ def documents(chunks: DataFrame, looked_up: DataFrame, with_groups: bool) -> Dat
     spark = chunks.sparkSession
 
     def fn(batches):
-        align, held, now = Aligner(), Held(), None
+        align, now = Aligner(), None
         packed: list[tuple] = []                          # look-up rows of the chunk
         keys = counts = best = None
-        for b in sized(batches, "text"):
-            out, shown = [], []
-            for chunk, turn, text, *own in zip(*[b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]):
-                if chunk != now:
-                    packed, now, keys = [], chunk, None
-                if not turn:
-                    packed.append(own)
-                    continue
-                if keys is None and packed:
-                    keys, at = np.unique(np.concatenate([keys_of(p[0]) for p in packed]), return_index=True)
-                    counts = np.concatenate([np.frombuffer(p[1], np.int64) for p in packed])[at]
-                    best = np.concatenate([np.frombuffer(p[2], bool) for p in packed])[at]
-                    packed = []
-                names = units(" " + text) if text else []
-                new = held.missing(names)
-                both = align.encode(new) if new else []
-                for u, ids in zip(new, both):
-                    if ids is None:
-                        held.add(u, None)
-                if not names or not held.whole(names):
-                    out.append((0,) * len(COUNTS))
-                    shown.append("")
-                    continue
-                for u, ids in zip(new, both):
-                    links, ends = align.align(*ids)
-                    at = np.searchsorted(keys, np.frombuffer(links, np.uint32))
-                    held.add(u, (len(ids[0]), len(ids[1]), len(ends), len(links), int(best[at].sum()),
-                                 int(counts[at].sum()), align.groups(*ids, ends)))
-                *sums, groups = zip(*map(held.records.__getitem__, names))
-                out.append(tuple(map(sum, sums)))
-                shown.append(";".join(groups))
-                if held.full:
-                    held = Held()
-            ids = b.column(2).filter(pa.array([t == 1 for t in b.column(1).to_pylist()], pa.bool_()))
-            cols = [ids, *[pa.array([r[i] for r in out], pa.int64()) for i in range(len(COUNTS))],
+        for chunk, b in stretches(batches):
+            if chunk != now:
+                packed, now, keys = [], chunk, None
+            ahead = b.filter(pc.equal(b.column(1), 0))
+            packed += zip(*[ahead.column(i).to_pylist() for i in (4, 5, 6)])
+            b = b.filter(pc.equal(b.column(1), 1))
+            if not b.num_rows:
+                continue
+            if packed:                                    # all lie before the chunk's first document
+                keys, at = np.unique(np.concatenate([keys_of(p[0]) for p in packed]), return_index=True)
+                counts = np.concatenate([np.frombuffer(p[1], np.int64) for p in packed])[at]
+                best = np.concatenate([np.frombuffer(p[2], bool) for p in packed])[at]
+                packed = []
+            texts = Stretch(align, b.column(3), True)
+            per = [*texts.units.counts, *np.zeros((2, len(texts.units.broken)), np.int64)]
+            if keys is not None:                          # else no text of the chunk has tokens
+                at = np.minimum(np.searchsorted(keys, texts.units.links), len(keys) - 1)
+                own = keys[at] == texts.units.links       # links of units in failing texts only may have no count
+                per[4:] = [texts.units.per_unit(np.where(own, x[at], 0).astype(np.int64)) for x in (best, counts)]
+            out = np.zeros((len(COUNTS), b.num_rows), dtype=np.int64)
+            out[:, texts.docs] = [texts.sums(x) for x in per]
+            shown, group = [""] * b.num_rows, texts.units.groups.__getitem__
+            for i, x, n in zip(texts.docs.tolist(), texts.starts.tolist(), texts.sizes.tolist()):
+                shown[i] = ";".join(map(group, texts.at[x:x + n].tolist()))
+            cols = [b.column(2), *map(pa.array, out),
                     pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in shown], pa.string())]
             if with_groups:
                 cols.append(pa.array(shown, pa.string()))
