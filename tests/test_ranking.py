@@ -87,3 +87,63 @@ def test_cuts_need_no_join(spark):
         plan = cut._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan
     assert R.split_exact(df.limit(0), "id").count() == 0 and R.take_first(df.limit(0), "id", 0, 5).count() == 0
+
+
+def row_numbers(df, part, order):
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long"))
+
+
+def test_a_rank_is_a_position(spark):
+    """One shuffle of the rows, no window; keys of several columns, nulls, a key
+    over many ranges and batches of any size."""
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 == 8, F.concat(F.lit("k"), F.col("id") % 300)).alias("a"),
+        (F.col("id") % 2).alias("b"), (F.col("id") * 7919 % 5003).alias("o"), F.col("id").cast("string").alias("text"))
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for n in (1, 3, 16):
+            for part in (["a"], ["a", "b"]):
+                got, want = R.ranked(df, [F.col("o")], part, ranges=n), row_numbers(df, part, ["o"])
+                assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 5000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = R.ranked(df, [F.col("o")], ranges=16)
+    assert got.exceptAll(row_numbers(df, [], ["o"]).select(*got.columns)).count() == 0
+    for plan in (got, R.ranked(df, [F.col("o")], ["a"])):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "Exchange" not in text and "Join" not in text
+    assert R.ranked(df.limit(0), [F.col("o")]).count() == R.ranked(df.limit(0), [F.col("o")], ["a"]).count() == 0
+
+
+def test_the_cut_bucket_is_refined(spark, monkeypatch):
+    df = spark.range(0, 3000).withColumnRenamed("id", "k")
+    want = {r.k: r.split for r in R.split_exact(df, "k", 42).collect()}
+    first = sorted(R.take_first(df, "k", 700, 5).toPandas()["k"])
+    monkeypatch.setattr(R, "BUCKET_HEX", 1)                # 16 buckets of about 190 rows
+    rounds, prefix = [], R._prefix
+    monkeypatch.setattr(R, "_prefix", lambda b: rounds.append(len(b)) or prefix(b))
+    assert {r.k: r.split for r in R.split_exact(df, "k", 42).collect()} == want and set(rounds) == {1}
+    monkeypatch.setattr(R, "CUT_ROWS", 20)
+    rounds.clear()
+    assert {r.k: r.split for r in R.split_exact(df, "k", 42).collect()} == want and set(rounds) == {2}
+    monkeypatch.setattr(R, "SUMMARY_ROWS", 0)
+    assert sorted(R.take_first(df, "k", 700, 5).toPandas()["k"]) == first
+    same = spark.range(0, 500).select((F.col("id") % 2).alias("k"), "id")      # two keys: no digit tells their rows apart
+    sizes = sorted(r["count"] for r in R.split_exact(same, "k").groupBy("split").count().collect())
+    assert sizes == [50, 50, 400]
+
+
+def test_a_sample_evaluates_the_pool_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    pool = spark.range(0, 20_000, 1, 40).withColumnRenamed("id", "k")
+    keyed = R._keyed(pool, "k", 9)
+    assert keyed.count() == 20_000
+    got = R.take_first(pool.mapInArrow(count, pool.schema), "k", 300, 9)
+    want = [r.k for r in keyed.orderBy("__sk", "k").limit(300).collect()]
+    assert sorted(r.k for r in got.collect()) == sorted(want) and seen.value == 20_000
+    nulls = pool.where("k < 3").union(spark.range(2).select(F.lit(None).cast("long")))
+    assert R.take_first(nulls, "k", 5, 1).count() == 5 and R.take_first(pool, "k", 0, 1).count() == 0

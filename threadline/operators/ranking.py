@@ -1,20 +1,27 @@
 """Ranking without a single-task window.
 
-A window without `partitionBy` pulls the whole table into one task.  A global
-(or per-key) rank is built in two levels instead:
+A window without `partitionBy` pulls the whole table into one task.  A rank is a
+position instead:
 
 1. rows are dealt by range of the sort order, so Spark's own sampling cuts even
-   ranges whatever the keys look like, and written with the number of their
-   range (each range is one task's sort);
-2. rows per range are counted (a table with one row per range, or per key and
-   range it touches) and a running sum over that small table gives each
-   range's offset;
-3. `rank = offset + row_number()` inside the range.
-
-A cut (sample size, split sizes) needs no rank: rows are counted by the leading
-hex digits of their md5 key, the counts (at most `16 ** BUCKET_HEX` rows) tell
-which bucket holds the cut, and only that bucket's rows are numbered.  All
-others are decided by a literal comparison where they lie.
+   ranges whatever the keys look like, sorted inside their range and written with
+   their position there (`monotonically_increasing_id` is range and position);
+2. rows per range are counted (one row per range) and summed up to each range's
+   offset;
+3. `rank = offset + position`, an expression on the written rows.
+
+So the rows are shuffled once, sorted once and written once; no window runs, and
+a later read of the rank repeats none of it.  For a rank inside keys the sorted
+rows are counted from the last change of the key; a key that a range boundary cuts
+goes on from the ranges before, and there are fewer of these than ranges.
+
+A cut (sample size, split sizes) needs no rank.  A small sample is a bottom-k
+summary: each task keeps its n rows with the least md5 keys, and these are merged
+in a tree, so the pool is evaluated once.  For large samples and splits, rows are
+counted by the leading hex digits of their md5 key; the counts (at most
+`16 ** BUCKET_HEX` rows) tell which bucket holds the cut, and a bucket of more than
+`CUT_ROWS` rows is counted again by its next digits.  Only the last bucket's rows
+are numbered, all others are decided by a literal comparison where they lie.
 
 A null key sorts first and counts as the empty text in md5 order.
 """
@@ -23,12 +30,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadline.session import materialize
 
-BUCKET_HEX = 4                  # 65,536 buckets of the md5 order
+BUCKET_HEX = 4                  # 65,536 buckets of the md5 order, a round
+CUT_ROWS = 100_000              # rows of the last bucket, which one task sorts
+SUMMARY_ROWS = 10_000           # samples up to this size are kept in tasks
+FAN_IN = 16
+POSITION_BITS = 33              # of monotonically_increasing_id
 
 
 def md5_key(seed, key: str | Column) -> Column:
@@ -37,36 +50,77 @@ def md5_key(seed, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(""))))
 
 
-def md5_bucket(sort_key: Column) -> Column:
-    return F.conv(F.substring(sort_key, 1, BUCKET_HEX), 16, 10).cast("long")
-
-
 def ranked(df: DataFrame, order: list[Column], partition_cols: list[str] | None = None,
            rank_col: str = "rank", ranges: int | None = None) -> DataFrame:
     """Dense 1-based row numbers in `order` (within `partition_cols`)."""
-    spark = df.sparkSession
     part = list(partition_cols or [])
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(
-        df.repartitionByRange(n, *[F.col(c).asc() for c in part], *order)
-        .withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    # no partition columns: one row per range; else one per key and range it touches
-    w = Window.partitionBy(*part).orderBy("__range")
-    offsets = counts.withColumn("__offset", F.sum("__n").over(w) - F.col("__n"))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(c).asc() for c in part], *order]
+    dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     if part:
-        # a key inside one range needs no offset: a boundary cuts one key, so fewer rows than ranges
-        cut = offsets.where(F.col("__offset") > 0).select(*[F.col(c).alias(f"__k_{c}") for c in part],
-                                                          F.col("__range").alias("__r"), "__offset")
-        same = [F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in part]
-        placed = dealt.join(F.broadcast(cut), [*same, F.col("__r") == F.col("__range")], "left") \
-            .drop("__r", *[f"__k_{c}" for c in part])
-    else:
-        placed = dealt.join(F.broadcast(offsets.drop("__n")), "__range")
-    inside = Window.partitionBy(*part, "__range").orderBy(*order)
-    return placed.withColumn(
-        rank_col, (F.coalesce("__offset", F.lit(0)) + F.row_number().over(inside)).cast("long")
-    ).drop("__range", "__offset")
+        return _ranked_in_keys(dealt, part, rank_col)
+    dealt = materialize(dealt, "ranks")
+    position = F.col("__at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    at = F.shiftright("__at", POSITION_BITS).cast("int")
+    sizes = {r["r"]: r["n"] for r in dealt.groupBy(at.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return dealt.withColumn(rank_col, _offset(_running(sizes), at) + position + 1).drop("__at")
+
+
+def _running(sizes: dict[int, int]) -> list[int]:
+    """Rows before each range, by its number."""
+    return np.cumsum([0, *[sizes.get(r, 0) for r in range(max(sizes, default=0) + 1)]]).tolist()
+
+
+def _offset(offsets: list[int], at: Column) -> Column:
+    return F.get(F.lit(np.array(offsets, dtype=np.int64)), at)
+
+
+def run_positions(batches, keys: list[str]):
+    """Arrow batches of sorted rows with two columns more: the row's 0-based
+    position since the key last changed, and if it is in the first run."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    last, length, runs = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, dtype=bool)
+        for k in keys:
+            c = b.column(b.schema.get_field_index(k))
+            x, y = c.slice(1), c.slice(0, b.num_rows - 1)
+            same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+            change[1:] |= ~same.to_numpy(zero_copy_only=False)
+        ends = [[b.column(b.schema.get_field_index(k))[i].as_py() for k in keys] for i in (0, b.num_rows - 1)]
+        change[0] = last is not None and ends[0] != last
+        number = np.cumsum(change)                       # 0: goes on with the run of the batch before
+        row = np.arange(b.num_rows)
+        start = np.maximum.accumulate(np.where(change, row, 0))
+        position = row - start + np.where(number == 0, length, 0)
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array(position, pa.int64()), pa.array(number + runs == 0)],
+            names=[*b.schema.names, "__in", "__lead"])
+        last, length, runs = ends[1], int(position[-1]) + 1, runs + int(number[-1])
+
+
+def _ranked_in_keys(dealt: DataFrame, part: list[str], rank_col: str) -> DataFrame:
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__in", T.LongType()), T.StructField("__lead", T.BooleanType())])
+    runs = materialize(dealt.mapInArrow(lambda batches: run_positions(batches, part), schema), "ranks")
+    at = F.shiftright("__at", POSITION_BITS).cast("int")
+    key = F.struct(*part)
+    ends = runs.groupBy(at.alias("r")).agg(                     # one row per range
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("__lead").cast("long")).alias("lead"),
+        F.min_by(key, "__at").alias("first"), F.max_by(key, "__at").alias("last"),
+        (F.max_by("__in", "__at") + 1).alias("tail")).collect()
+    offsets: dict[int, int] = {}
+    before = None
+    for r in sorted(ends, key=lambda r: r["r"]):
+        goes_on = before is not None and before["last"] == r["first"]
+        offsets[r["r"]] = 0 if not goes_on else before["tail"] + (
+            offsets[before["r"]] if before["lead"] == before["n"] else 0)
+        before = r
+    values = [offsets.get(r, 0) for r in range(max(offsets, default=0) + 1)]
+    carried = F.when(F.col("__lead"), _offset(values, at)).otherwise(0)
+    return runs.withColumn(rank_col, (F.col("__in") + carried + 1).cast("long")).drop("__at", "__in", "__lead")
 
 
 def global_rank(df: DataFrame, key: str, seed=None, rank_col: str = "rank") -> DataFrame:
@@ -92,39 +146,81 @@ def within_key_rank(df: DataFrame, key: str, order: str, rank_col: str = "rank")
     return ranked(df, [F.col(order)], [key], rank_col)
 
 
-def _cut_points(keyed: DataFrame, cuts) -> tuple[int, list[tuple[int, int]]]:
-    """(rows, [(bucket, rows before it)]): the md5 bucket that each cut falls
-    into.  `cuts` makes the cut ranks from the number of rows."""
-    rows = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()   # at most 16 ** BUCKET_HEX
-    total, out = sum(r["n"] for r in rows), []
+def _cut_points(keyed: DataFrame, cuts) -> tuple[int, list[tuple[str, int]]]:
+    """(rows, [(md5 prefix, rows before it)]): the bucket that each cut falls
+    into.  `cuts` makes the cut ranks from the number of rows.  A bucket above
+    CUT_ROWS is refined by its next digits."""
+    def histogram(rows: DataFrame, digits: int) -> list:                   # at most 16 ** BUCKET_HEX rows
+        return sorted(rows.groupBy(F.substring("__sk", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def find(counts: list, cut: int, before: int):
+        for bucket, n in counts:
+            if before + n >= cut:
+                return bucket, before, n
+            before += n
+        return None
+
+    first = histogram(keyed, BUCKET_HEX)
+    total, out = sum(n for _, n in first), []
     for cut in cuts(total):
-        before = 0
-        for r in sorted(rows, key=lambda r: r["__bucket"]):
-            if before + r["n"] >= cut:
-                out.append((r["__bucket"], before))
-                break
-            before += r["n"]
+        found, digits = find(first, cut, 0), BUCKET_HEX
+        while found and found[2] > CUT_ROWS and digits < 32:
+            digits = min(32, digits + BUCKET_HEX)
+            found = find(histogram(keyed.where(F.col("__sk").startswith(found[0])), digits), cut, found[1])
+        if found:
+            out.append(found[:2])
     return total, out
 
 
+def _prefix(bucket: str) -> Column:
+    return F.substring("__sk", 1, len(bucket))
+
+
 def _keyed(df: DataFrame, key: str, seed) -> DataFrame:
-    return df.withColumn("__sk", md5_key(seed, key)).withColumn("__bucket", md5_bucket(F.col("__sk")))
+    return df.withColumn("__sk", md5_key(seed, key))
+
+
+def least_rows(keyed: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the least (__sk, key): each task keeps its own n, FAN_IN of
+    these are merged at a time."""
+    def keep(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        held = None
+        for b in batches:
+            held = pa.table(b) if held is None else pa.concat_tables([held, pa.table(b)])
+            order = pc.sort_indices(held, sort_keys=[("__sk", "ascending"), (key, "ascending")], null_placement="at_start")
+            held = held.take(order[:n]).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+    out = keyed.mapInArrow(keep, keyed.schema)
+    tasks = max(FAN_IN, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        out = out.repartition(tasks).mapInArrow(keep, keyed.schema)
+    return out
 
 
 def take_first(df: DataFrame, key: str, n: int, seed) -> DataFrame:
     """O3 core: the n rows with the smallest md5(seed:key) (exactly n, or an
-    error when the pool is smaller).  Buckets before the cut are taken whole
-    where they lie; only the bucket with the cut is sorted."""
+    error when the pool is smaller).  Up to SUMMARY_ROWS the pool is evaluated
+    once, as a bottom-k summary, and the sample written; beyond, buckets before
+    the cut are taken whole where they lie and only the one with the cut is
+    sorted."""
     keyed = _keyed(df, key, seed)
+    if n <= SUMMARY_ROWS:
+        sample = materialize(least_rows(keyed, key, n).drop("__sk"), "sample")
+        total = sample.count()
+        if total < n:
+            raise ValueError(f"sample of {n} requested from a pool of {total}")
+        return sample
     total, points = _cut_points(keyed, lambda _: [n])
     if n > total:
         raise ValueError(f"sample of {n} requested from a pool of {total}")
-    if not points:
-        return df.limit(0)
     (bucket, before), = points
-    inside = keyed.where(F.col("__bucket") < bucket)
-    cut = keyed.where(F.col("__bucket") == bucket).orderBy("__sk", key).limit(n - before)
-    return inside.unionByName(cut).drop("__sk", "__bucket")
+    inside = keyed.where(_prefix(bucket) < bucket)
+    cut = keyed.where(_prefix(bucket) == bucket).orderBy("__sk", key).limit(n - before)
+    return inside.unionByName(cut).drop("__sk")
 
 
 def split_sizes(n: int, test_size: float = 0.2) -> tuple[int, int, int]:
@@ -148,16 +244,20 @@ def split_exact(df: DataFrame, key: str, seed=42, test_size: float = 0.2) -> Dat
     if not total:
         return df.withColumn("split", F.lit(None).cast("string"))
     c1, c2 = cuts(total)
+    if c1 == 0:                                             # one row: held out
+        points = [(points[0][0], 0)] * 2
     (b1, before1), (b2, before2) = points
-    bucket = F.col("__bucket")
-    plain = keyed.where(~bucket.isin(b1, b2)).withColumn(
-        "split", F.when(bucket < b1, "train").when(bucket < b2, "validation").otherwise("test"))
-    before = F.when(bucket == b1, before1).otherwise(before2)
-    rank = before + F.row_number().over(Window.partitionBy("__bucket").orderBy("__sk", key))
-    cut = keyed.where(bucket.isin(b1, b2)).withColumn("__rank", rank).withColumn(
+    at1, at2 = _prefix(b1), _prefix(b2)
+    in_cut = (at1 == b1) | (at2 == b2)
+    plain = keyed.where(~in_cut).withColumn(
+        "split", F.when(at1 < b1, "train").when(at2 < b2, "validation").otherwise("test"))
+    first = at1 == b1
+    before = F.when(first, before1).otherwise(before2)
+    rank = before + F.row_number().over(Window.partitionBy(first).orderBy("__sk", key))
+    cut = keyed.where(in_cut).withColumn("__rank", rank).withColumn(
         "split", F.when(F.col("__rank") <= c1, "train").when(F.col("__rank") <= c2, "validation")
         .otherwise("test")).drop("__rank")
-    return plain.unionByName(cut).drop("__sk", "__bucket")
+    return plain.unionByName(cut).drop("__sk")
 
 
 def split_hash(df: DataFrame, key: str, seed=42, train: int = 80, validation: int = 10) -> DataFrame:
