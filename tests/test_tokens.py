@@ -47,3 +47,49 @@ def test_wordpiece_returns_every_id_of_repeated_keys(spark):
     assert got[0] == [2, 3]
     word = [ids["aa"]] if "aa" in ids else [ids["a"], ids["##a"]]
     assert got[1] == [2] + (word + [ids["b"]]) * 100 + [3]
+
+
+def test_trie_equals_greedy_matching():
+    import random
+    rng = random.Random(6)
+    for _ in range(200):
+        letters = "abc#"[:rng.choice([2, 3, 3, 4])]
+        vocab = {}
+        for _ in range(rng.randrange(1, 25)):
+            word = "".join(rng.choices(letters, k=rng.randrange(1, 6)))
+            vocab[("##" if rng.random() < 0.6 else "") + word] = len(vocab) + 10
+        trie = TK.PieceTrie(vocab)
+        for _ in range(100):
+            word = "".join(rng.choices(letters, k=rng.randrange(0, 12)))
+            assert trie(word) == TK.wordpiece_split(word, vocab)
+
+
+def test_trie_is_linear_on_long_words():
+    class Steps(dict):
+        taken = 0
+
+        def get(self, *a):
+            Steps.taken += 1
+            return super().get(*a)
+    vocab = {"a": 1, "##a": 2} | {"##" + "a" * n + "b": 10 + n for n in range(2, 90)}      # greedy matching is quadratic here
+    trie = TK.PieceTrie(vocab)
+    trie.next = [Steps(x) for x in trie.next]
+    for word in ("a" * 100, "a" * 99 + "b", "a" * 50 + "c"):
+        Steps.taken = 0
+        assert trie(word) == TK.wordpiece_split(word, vocab) and Steps.taken <= 2 * len(word) + 2
+
+
+def test_rows_without_holes_stay(spark, monkeypatch):
+    """Only rare occurrences are shuffled: words of the dictionary are looked up
+    where the row lies; null and empty word lists are [CLS, SEP]."""
+    rows = [(1, ["b", "a", "b", "zz", "c" * 50]), (2, []), (3, None), (4, ["a"] * 500 + ["zz"] + ["q", "b"] * 30), (4, ["a"])]
+    df = spark.createDataFrame(rows, "k long, words array<string>").repartition(3)
+    v = TK.build_vocab(spark.createDataFrame([(["a"] * 5 + ["b"] * 4 + ["zz"] * 3 + ["c" * 50],)], "words array<string>"))
+    ids = {"a": 4, "b": 5, "zz": 6, "c" * 50: 7, "q": TK.UNK_ID}
+    want = sorted([(k, [2, *[ids[w] for w in words or []], 3]) for k, words in rows])
+    for size in (TK.BROADCAST_WORDS, 1, 0):
+        monkeypatch.setattr(TK, "BROADCAST_WORDS", size)
+        assert sorted((r.k, r.input_ids) for r in TK.encode(df, v).collect()) == want
+    monkeypatch.undo()
+    plan = TK.encode(df, v.where("length(token) < 5"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1          # the test's own repartition

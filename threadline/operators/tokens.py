@@ -1,16 +1,24 @@
 """Vocabulary, token ids, padding and masks.
 
 The reference downloads a pretrained vocabulary; here it is counted from the
-corpus (or supplied as a table), whole by default.  Encoding explodes words
-with their positions, looks them up and re-assembles each row's ids in word
-order under a row number of its own.
+corpus (or supplied as a table), whole by default.
+
+Ids are looked up where the row lies: the most frequent words are a dictionary of
+a bounded size, broadcast, and one vectorised look-up turns a row's words into its
+ids.  Words beyond it leave holes.  Only those occurrences are exploded, joined to
+the rest of the vocabulary and sent back to their row; a row without holes is
+never shuffled.  Sub-words need no join at all, since their vocabulary is bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadline.functions.arrays import attention_mask, pad_or_truncate
 from threadline.functions.text import clean_text
@@ -22,8 +30,10 @@ FIRST_WORD_ID = 4
 # ------------------------------------------------------------------------------
 
 
-BROADCAST_WORDS = 65_536        # rows of the vocabulary that are broadcast, always
+BROADCAST_WORDS = 65_536        # words of the dictionary, always, of at most LONG_WORD letters
 LONG_WORD = 40
+HOLE = -1                       # an id that the dictionary doesn't hold
+HELD_TOKENS = 200_000           # distinct tokens a task keeps the pieces of
 
 
 def words_of(cleaned) -> Column:
@@ -47,34 +57,30 @@ def build_vocab(df: DataFrame, words_col: str = "words", size: int | None = None
     return vocab if size is None else vocab.where(F.col("id") < FIRST_WORD_ID + size)
 
 
-def with_row(df: DataFrame) -> DataFrame:
-    """The rows with a number of their own, written, so that every later read
-    sees the same number; repeated keys stay apart."""
-    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def list_of(values: pa.Array, sizes: pa.Array) -> pa.ListArray:
+    """Flat values as lists of the given sizes (a null list is empty)."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _look_up(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(__row, __pos, __id).  Ids follow frequency: the first BROADCAST_WORDS
-    of them (words of at most LONG_WORD letters: a bound in bytes) are
-    broadcast and take most occurrences, the rest is joined by a shuffle."""
-    v = vocab.select(F.col("token").alias("__tok"), F.col("id").alias("__id"))
-    frequent = (F.col("__id") < FIRST_WORD_ID + BROADCAST_WORDS) & (F.length("__tok") <= LONG_WORD)
-    seen = exploded.join(F.broadcast(v.where(frequent)), "__tok", "left")
-    hit = seen.where(F.col("__id").isNotNull()).select("__row", "__pos", "__id")
-    rare = seen.where(F.col("__id").isNull()).drop("__id").join(v.where(~frequent), "__tok", "left") \
-        .select("__row", "__pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
-    return hit.unionByName(rare)
+def dictionary_ids(words: Column, dictionary) -> Column:
+    """The id of each word by a broadcast (words, ids), else HOLE."""
+    @F.arrow_udf("array<int>")
+    def look_up(batch: pa.Array) -> pa.Array:
+        known, ids = dictionary.value
+        at = pc.index_in(batch.flatten(), value_set=known)
+        return list_of(pc.fill_null(ids.take(at), HOLE), pc.list_value_length(batch))
+    return look_up(words)
 
 
-def _gather(rows: DataFrame, pairs: DataFrame, value: str, out: str, flat: bool) -> DataFrame:
-    """[CLS] + values by position + [SEP] on every row."""
-    body = pairs.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", value))).alias("__pairs"))
-    ids = F.transform("__pairs", lambda p: p[value])
-    empty = F.array().cast(T.ArrayType(T.IntegerType()))
-    body = body.select("__row", (F.flatten(ids) if flat else ids).alias("__ids"))
-    return rows.join(body, "__row", "left").withColumn(out, F.concat(
-        F.array(F.lit(CLS_ID)), F.coalesce("__ids", empty).cast("array<int>"), F.array(F.lit(SEP_ID)))
-    ).drop("__ids", "__row")
+def filled(ids: Column, found: Column) -> Column:
+    """ids with its holes filled in order."""
+    @F.arrow_udf("array<int>")
+    def fill(batch: pa.Array, values: pa.Array) -> pa.Array:
+        flat = batch.flatten().to_numpy(zero_copy_only=False).copy()
+        flat[flat == HOLE] = values.flatten().to_numpy(zero_copy_only=False)
+        return list_of(pa.array(flat, pa.int32()), pc.list_value_length(batch))
+    return fill(ids, found)
 
 
 def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out: str = "input_ids",
@@ -83,10 +89,30 @@ def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out: str =
     truncation unless `max_words` (then only the first max_words words are
     looked up -- what a later truncation keeps).  Rows with no words keep
     [CLS, SEP]; rows that repeat a key are encoded each on its own."""
-    rows = with_row(df)
+    frequent = (F.col("id") < FIRST_WORD_ID + BROADCAST_WORDS) & (F.length("token") <= LONG_WORD)
+    known = vocab.where(frequent).select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+    dictionary = df.sparkSession.sparkContext.broadcast(tuple(
+        pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in known.columns))
     words = F.col(words_col) if max_words is None else F.slice(words_col, 1, max_words)
-    exploded = rows.select("__row", F.posexplode(words).alias("__pos", "__tok"))
-    return _gather(rows.drop(words_col), _look_up(exploded, vocab), "__id", out, flat=False)
+    rows = df.withColumn("__ids", dictionary_ids(words, dictionary))
+    rest = vocab.where(~frequent)
+    if rest.isEmpty():
+        rows = rows.withColumn("__ids", F.transform("__ids", lambda i: F.when(i == HOLE, UNK_ID).otherwise(i)))
+    else:
+        # written, so that a row keeps its number
+        rows = materialize(rows.withColumn("__words", words).withColumn("__row", F.monotonically_increasing_id()), "encoded")
+        has_hole = F.array_contains("__ids", HOLE)
+        at_hole = F.filter(F.transform("__words", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))),
+                           lambda s: F.get("__ids", s["pos"]) == HOLE)
+        holes = rows.where(has_hole).select("__row", F.explode(at_hole).alias("s")).select("__row", "s.pos", "s.token")
+        found = holes.join(rest.select("token", "id"), "token", "left").groupBy("__row").agg(
+            F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("int").alias("id")))).alias("s"))
+        mended = rows.where(has_hole).join(found.select("__row", F.col("s.id").alias("__found")), "__row") \
+            .withColumn("__ids", filled(F.col("__ids"), F.col("__found")))
+        whole = rows.where(F.coalesce(~has_hole, F.lit(True)))
+        rows = whole.unionByName(mended.drop("__found")).drop("__row", "__words")
+    body = F.coalesce("__ids", F.array().cast("array<int>"))
+    return rows.withColumn(out, F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))).drop("__ids", words_col)
 
 
 def max_token_length(df: DataFrame, col: str = "input_ids") -> DataFrame:
@@ -128,15 +154,18 @@ def build_wordpiece_vocab(df: DataFrame, tokens_col: str, size: int) -> DataFram
     chars = toks.select(F.explode(F.split("token", "")).alias("c")).where(F.col("c") != "").distinct()
     pieces = words.unionByName(chars.select(F.col("c").alias("token"))) \
         .unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token"))).distinct()
-    w = Window.orderBy("token")     # over the bounded vocabulary only
-    return pieces.select("token", (F.row_number().over(w) + FIRST_WORD_ID - 1).cast("int").alias("id"))
+    from threadline.operators.ranking import ranked
+    return ranked(pieces, [F.col("token")], rank_col="__rank") \
+        .select("token", (F.col("__rank") + FIRST_WORD_ID - 1).cast("int").alias("id"))
+
 
+MAX_CHARS = 100                 # longer words are unknown, as in the published algorithm
 
-def wordpiece_split(word: str, vocab: dict, max_chars: int = 100) -> list[int]:
+
+def wordpiece_split(word: str, vocab: dict) -> list[int]:
     """Greedy longest-match-first sub-words of one word (ids); [UNK] when some
-    part cannot be matched or the word is too long (100 characters in the
-    published algorithm)."""
-    if len(word) > max_chars:
+    part cannot be matched or the word is too long."""
+    if len(word) > MAX_CHARS:
         return [UNK_ID]
     out, start = [], 0
     while start < len(word):
@@ -154,19 +183,84 @@ def wordpiece_split(word: str, vocab: dict, max_chars: int = 100) -> list[int]:
     return out
 
 
+class PieceTrie:
+    """Greedy longest match in one pass over a word (LinMaxMatch, Song et al.,
+    2021): a trie of the pieces whose failure links lead, where a word can't go
+    on, to the node of what is left after the pieces that are sure by then."""
+
+    def __init__(self, vocab: dict):
+        self.vocab = vocab
+        self.next: list[dict] = [{}, {}]                 # node 0: word starts, node 1: behind a piece
+        self.piece: list[int | None] = [None, None]
+        self.link: list[int] = [-1, -1]
+        self.sure: list[tuple] = [(), ()]
+        for token, number in vocab.items():
+            node, rest = (1, token[2:]) if token.startswith("##") else (0, token)
+            for c in rest:
+                child = self.next[node].get(c)
+                if child is None:
+                    child = self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.piece.append(None)
+                    self.link.append(-1)
+                    self.sure.append(())
+                node = child
+            if rest:
+                self.piece[node] = number
+        queue = [0, 1]
+        for node in queue:                               # breadth first
+            for c, child in self.next[node].items():
+                if self.piece[child] is not None:
+                    self.link[child], self.sure[child] = 1, (self.piece[child],)
+                else:
+                    at, sure = self.link[node], self.sure[node]
+                    while at >= 0 and c not in self.next[at]:
+                        sure, at = sure + self.sure[at], self.link[at]
+                    if at >= 0:
+                        self.link[child], self.sure[child] = self.next[at][c], sure
+                queue.append(child)
+
+    def __call__(self, word: str) -> list[int]:
+        if len(word) > MAX_CHARS:
+            return [UNK_ID]
+        if "#" in word:                                  # might spell the mark of a continuation
+            return wordpiece_split(word, self.vocab)
+        follow, link, sure = self.next, self.link, self.sure
+        out: list[int] = []
+        node = 0
+        for c in word:
+            while (child := follow[node].get(c)) is None:
+                if link[node] < 0:
+                    return [UNK_ID]
+                out += sure[node]
+                node = link[node]
+            node = child
+        while link[node] >= 0:
+            out += sure[node]
+            node = link[node]
+        return out if node < 2 else [UNK_ID]
+
+
 def wordpiece(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "input_ids") -> DataFrame:
-    """Sub-word ids for every row.  The greedy match runs once per
-    *distinct* token (mapInPandas with the bounded vocabulary), then the pieces
-    are joined back to the positions and re-assembled in order."""
-    vocab_map = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
-
-    def split_batches(batches):
-        import pandas as pd
-        for pdf in batches:
-            yield pd.DataFrame({"__tok": pdf["__tok"],
-                                "__pieces": [wordpiece_split(t, vocab_map) for t in pdf["__tok"]]})
-
-    rows = with_row(df)
-    exploded = rows.select("__row", F.posexplode(tokens_col).alias("__pos", "__tok"))
-    pieces = exploded.select("__tok").distinct().mapInPandas(split_batches, "__tok string, __pieces array<int>")
-    return _gather(rows, exploded.join(pieces, "__tok"), "__pieces", out, flat=True)
+    """[CLS] + sub-word ids + [SEP] for every row, where it lies.  The
+    vocabulary is bounded (its size, and two pieces a character of the script), so
+    its trie is broadcast; a batch matches each distinct token once."""
+    trie = df.sparkSession.sparkContext.broadcast(PieceTrie({r["token"]: r["id"] for r in vocab.select("token", "id").collect()}))
+
+    @F.arrow_udf("array<int>")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        split, held = trie.value, {}
+        for batch in batches:
+            tokens = batch.flatten().dictionary_encode()
+            if len(held) > HELD_TOKENS:
+                held = {}
+            own = []
+            for t in tokens.dictionary.to_pylist():
+                if t not in held:
+                    held[t] = split(t)
+                own.append(held[t])
+            of_token = pa.array(own, pa.list_(pa.int32())).take(tokens.indices)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(of_token).to_numpy(zero_copy_only=False))])
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
+            yield pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), of_token.flatten())
+    return df.withColumn(out, F.concat(F.array(F.lit(CLS_ID)), pieces(F.col(tokens_col)), F.array(F.lit(SEP_ID))))
