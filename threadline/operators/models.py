@@ -1,10 +1,7 @@
-"""Per-target classifiers with Spark ML (M1-M3), label counts (A10/U4) and the
-training-loss history (A15).
+"""Label counts (A10/U4), pairing and evaluation of stored predictions.
 
-The reference fine-tunes one transformer per target on a GPU.  Here the same
-job is a Spark ML fit per target over one written feature table: token ids ->
-hashed sparse counts -> multinomial logistic regression.  The optimizer's
-per-iteration gradient aggregation is distributed by Spark ML.
+The heads themselves are trained and scored by `operators/trainer.py` (M1, M2,
+A15).
 """
 
 from __future__ import annotations
@@ -28,62 +25,6 @@ def num_labels(df: DataFrame, targets) -> DataFrame:
     return wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in targets])
 
 
-# ---- M1-M3, A15 -----------------------------------------------------------------
-
-def featurize(df: DataFrame, ids_col: str = "padded", width: int = 1 << 16) -> DataFrame:
-    """`features`: counts of the token ids (padding left out) in a fixed wide
-    hash space.  No word is dropped, nothing is fitted, and the size of a
-    gradient is classes x width whatever the corpus."""
-    from pyspark.ml.feature import HashingTF
-    ids = df.withColumn("__ids", F.filter(ids_col, lambda x: x > 0))
-    return HashingTF(inputCol="__ids", outputCol="features", numFeatures=width).transform(ids).drop("__ids")
-
-
-def train_per_target(train: DataFrame, targets, max_iter: int = 20, reg: float = 0.01,
-                     parallelism: int = 4) -> dict:
-    """M1: one multinomial logistic regression per target on the same
-    features.  Fits are independent Spark jobs, submitted from a small thread
-    pool so several run at once; each fit's optimisation is distributed."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.classification import LogisticRegression
-
-    def fit(t):
-        lr = LogisticRegression(featuresCol="features", labelCol=t, family="multinomial",
-                                maxIter=max_iter, regParam=reg, probabilityCol=f"prob_{t}",
-                                predictionCol=f"pred_{t}", rawPredictionCol=f"raw_{t}")
-        return t, lr.fit(train.where(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("double")))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return dict(pool.map(fit, list(targets)))
-
-
-def score_per_target(df: DataFrame, models: dict, keys: list[str]) -> DataFrame:
-    """M2: long table (keys, target, scores array, pred) for every row and
-    target, in one pass over the rows; pred is the first maximum of the class
-    scores (R3)."""
-    from pyspark.ml.functions import vector_to_array
-
-    from threadline.functions.arrays import argmax
-    out = df.select(*keys, "features")
-    for t, m in models.items():
-        out = m.transform(out).drop(f"raw_{t}", f"pred_{t}")
-    long = F.explode(F.array(*[F.struct(F.lit(t).alias("target"),
-                                        vector_to_array(F.col(f"prob_{t}"), "float64").alias("scores"))
-                               for t in models]))
-    return out.select(*keys, long.alias("s")).select(*keys, "s.target", "s.scores") \
-        .withColumn("pred", argmax("scores"))
-
-
-def loss_history(models: dict) -> list[tuple[str, int, float]]:
-    """Training objective per iteration and target (bounded by maxIter)."""
-    rows = []
-    for t, m in models.items():
-        for i, v in enumerate(m.summary.objectiveHistory):
-            rows.append((t, i, float(v)))
-    return rows
-
-
 def paired(scored: DataFrame, truth: DataFrame, key: str, targets) -> DataFrame:
     """(key, target, truth, pred) of the rows that have both."""
     from threadline.operators.metrics import align_predictions

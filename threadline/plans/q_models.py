@@ -11,6 +11,7 @@ from threadline.operators import labels as L
 from threadline.operators import models as MD
 from threadline.operators import ranking as R
 from threadline.operators import tokens as TK
+from threadline.operators import trainer as TR
 from threadline.plans import fixtures as fx
 from threadline.plans.catalog import register
 from threadline.plans.q_labels import MERGED, _cols, sql_m4
@@ -20,7 +21,6 @@ from threadline.schemas import Y_COLS
 from threadline.session import materialize, scratch_path
 from threadline.sources import posts as S
 
-MAX_ITER = 20
 SPLITS = ("train", "validation", "test")
 
 
@@ -88,21 +88,20 @@ def q_num_labels(spark, sf):
 
 
 def trained(spark, sf):
-    """(rows, label map, stored predictions, stored losses) of one training run:
-    M1, M2 on every row of every split, S8, A15.  Every call trains anew."""
+    """(rows, label map, stored predictions, model) of one training run: A10 over
+    all splits, M1 on the train split in O6's order, M2 on every row of every
+    split, S8.  Every call trains anew."""
     rows, lm = training_inputs(spark, sf)
-    feats = materialize(MD.featurize(rows).select("row_key", "split", "features", *Y_COLS), "features")
-    models = MD.train_per_target(feats.where(F.col("split") == "train"), Y_COLS, max_iter=MAX_ITER)
+    _, classes = TR.class_counts(rows, Y_COLS)
+    model = TR.train_joint(rows.where(F.col("split") == "train"), Y_COLS, classes=classes)
     path = scratch_path(spark, "predictions")
-    S.write_predictions(MD.score_per_target(feats, models, ["row_key", "split"]), path)
-    losses = materialize(spark.createDataFrame(
-        MD.loss_history(models), "target string, iteration int, objective double"), "losses")
-    return rows, lm, path, losses
+    S.write_predictions(TR.score_joint(rows, model, ["row_key", "split"]), path)
+    return rows, lm, path, model
 
 
 @register("train_and_evaluate")
 def q_train_and_evaluate(spark, sf):
-    """Fit one classifier per target on the train split, store the predictions
+    """Train all targets' heads on the train split, store the predictions
     of every row by target (S8), read them back and report on the validation
     split per target in the original label space."""
     rows, lm, path, _ = trained(spark, sf)
@@ -127,5 +126,6 @@ def q_prediction_support(spark, sf):
 
 @register("loss_history")
 def q_loss_history(spark, sf):
-    """Objective per target and iteration."""
-    return trained(spark, sf)[3]
+    """Average loss of an epoch's batches, per target and epoch."""
+    model = trained(spark, sf)[3]
+    return spark.createDataFrame(model.losses, "target string, epoch int, loss double")
