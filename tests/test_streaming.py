@@ -47,3 +47,30 @@ def test_listed_handles_only(spark):
     run(spark.createDataFrame([("a", 3), ("a", 3), ("b", 5)], "handle string, id long"), 0)
     assert [(r.handle, r.id) for r in spark.read.parquet(f"{root}/posts").collect()] == [("a", 3)]
     assert {r.handle: r.since_id for r in cursors_before(spark, f"{root}/cursors", 1).collect()} == {"a": 3, "quiet": 1}
+
+
+def rows_of(spark, path):
+    return spark.read.parquet(path).count()
+
+
+def test_cursor_log_follows_the_handles_met(spark):
+    """Many known handles, batches that meet few: a batch writes only these; a
+    snapshot every three batches, older versions go; any batch can be replayed."""
+    import os
+    root = tempfile.mkdtemp(prefix="threadline-log-")
+    run = collect_increment(spark, f"{root}/posts", f"{root}/cursors", every=3)
+    run(spark.createDataFrame([(f"h{i}", 10) for i in range(200)], "handle string, id long"), 0)
+    want = {f"h{i}": 10 for i in range(200)}
+    for n in range(1, 11):
+        batch = spark.createDataFrame([(f"h{n}", 10 * n + 10), (f"h{n}", 10 * n + 5), (f"h{n}", 10 * n + 10), ("h0", 3)],
+                                      "handle string, id long")
+        run(batch, n)
+        want[f"h{n}"] = 10 * n + 10
+        assert rows_of(spark, f"{root}/cursors/changes/batch_id={n}") == 1
+        assert rows_of(spark, f"{root}/posts/batch_id={n}") == 2
+        first = {r.handle: r.since_id for r in cursors_before(spark, f"{root}/cursors", n + 1, 3).collect()}
+        run(batch, n)                                     # replay
+        again = {r.handle: r.since_id for r in cursors_before(spark, f"{root}/cursors", n + 1, 3).collect()}
+        assert first == again == want
+    assert sorted(os.listdir(f"{root}/cursors/snapshots")) == ["batch_id=5", "batch_id=8"]
+    assert sorted(os.listdir(f"{root}/cursors/changes"), key=lambda x: int(x[9:])) == [f"batch_id={n}" for n in range(6, 11)]

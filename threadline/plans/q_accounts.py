@@ -12,24 +12,39 @@ from threadline.operators import ranking as R
 from threadline.operators.refresh import refresh_metrics, updates_projection
 from threadline.plans import fixtures as fx
 from threadline.plans.catalog import register
+from threadline.session import scratch_path
+from threadline.sources.store import PostStore
 
 QUOTA_AT_SMALL_SF = 80      # the audit quota used on the driver tables (FIXTURES)
+SPAN_AT_SMALL_SF = 1000     # ids per range of the stored posts
 
 _P = fx.with_ctes
 _POSTS_COLS = "handle, created_at, favorite_count, full_text, id, retweet_count"
 
 
-@register("pull_new_posts", sql=_P(fx.SQL_POSTS, fx.SQL_POST_HANDLES, fx.SQL_CURSORS, fx.SQL_ACCOUNT_STATUS) + f"""
+_PULL = _P(fx.SQL_POSTS, fx.SQL_POST_HANDLES, fx.SQL_CURSORS, fx.SQL_ACCOUNT_STATUS) + f"""
 SELECT {", ".join("p." + c for c in _POSTS_COLS.split(", "))} FROM posts p
 JOIN post_handles h ON h.handle = p.handle
 LEFT JOIN cursors c ON c.handle = p.handle
 WHERE p.handle NOT IN (SELECT handle FROM account_status WHERE status IN ('protected', 'error'))
-  AND p.id > coalesce(c.since_id, 1)""")
+  AND p.id > coalesce(c.since_id, 1)"""
+
+
+@register("pull_new_posts", sql=_PULL)
 def q_pull_new_posts(spark, sf):
     return A.pull_new_posts(fx.posts(spark, sf), fx.post_handles(spark, sf),
                             fx.cursors(spark, sf), fx.account_status(spark, sf))
 
 
+@register("pull_landed", sql=_PULL)
+def q_pull_landed(spark, sf):
+    """S5 + S4 on a stored collection: posts are landed by handle bucket and id
+    range, and the pull reads only the folders that its cursors leave."""
+    store = PostStore(scratch_path(spark, "landed"), buckets=8, span=SPAN_AT_SMALL_SF)
+    store.append(fx.posts(spark, sf))
+    return store.pull(fx.post_handles(spark, sf), fx.cursors(spark, sf), fx.account_status(spark, sf))
+
+
 @register("latest_cursor", sql=_P(fx.SQL_POSTS, fx.SQL_POST_HANDLES) + """
 SELECT h.handle, CAST(coalesce(max(p.id), 1) AS BIGINT) AS since_id
 FROM post_handles h LEFT JOIN posts p ON p.handle = h.handle GROUP BY h.handle""")
@@ -148,12 +163,18 @@ SELECT id, handle, created_at, full_text,
        CAST(CASE WHEN id % 3 = 0 THEN favorite_count + 7 ELSE favorite_count END AS BIGINT) AS favorites
 FROM posts_for_refresh WHERE created_at IS NOT NULL""")
 def q_refresh_from_pull(spark, sf):
-    """The refresh as it is run: posts pulled anew -> P9 -> J1."""
+    """The refresh as it is run: posts pulled anew -> P9 -> J1, written back into
+    the stored collection (only folders that hold an updated post) and read."""
     again = fx.posts(spark, sf).where(F.col("id") % 3 == 0) \
         .withColumn("retweet_count", F.col("retweet_count") + 5) \
         .withColumn("favorite_count", F.col("favorite_count") + 7)
     updates = updates_projection(again).withColumn("seq", F.lit(1))
-    return refresh_metrics(fx.posts_for_refresh(spark, sf), updates)
+    store = PostStore(scratch_path(spark, "collection"), buckets=2, span=10 * SPAN_AT_SMALL_SF)
+    store.append(fx.posts_for_refresh(spark, sf))
+    store.refresh(updates)
+    return store.read(spark).dropna(subset=["created_at"]).select(
+        "id", "handle", "created_at", "full_text", F.col("retweet_count").alias("retweets"),
+        F.col("favorite_count").alias("favorites"))
 
 
 @register("chronological", sql=_P(fx.SQL_POSTS) + """

@@ -90,8 +90,8 @@ def write_cursors(df: DataFrame, path: str) -> None:
         .write.mode("overwrite").parquet(path)
 
 
-def read_cursors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CURSOR_SCHEMA).parquet(path)
+def read_cursors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.schema(CURSOR_SCHEMA).parquet(*([path] if isinstance(path, str) else path))
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -4,19 +4,24 @@ form (K3).
 K1: landed JSON records are read as a stream and projected to the wanted tags
 (P1 + X8).
 
-K2: every micro-batch (`foreachBatch`) drops repeats inside the batch, keeps
-posts above the per-handle cursor, writes them, and writes the next cursor
-table.  A post delivered again in a later batch lies at or below its handle's
-cursor, so no state store and no watermark is needed: a handle that is listed
-late has no cursor yet and gets its whole back-file, however old.  Both outputs
-go to a directory named by the batch id and are overwritten on a retry, so
-replaying a batch is idempotent: batch n reads the cursors of batch n - 1,
-never its own.
+K2: every micro-batch (`foreachBatch`) keeps posts above the per-handle cursor,
+drops repeats among them, writes them, and logs the cursors that moved.  A post
+delivered again in a later batch lies at or below its handle's cursor, so no state
+store and no watermark is needed: a handle that is listed late has no cursor yet
+and gets its whole back-file, however old.  Both outputs go to a directory named by
+the batch id and are overwritten on a retry, so replaying a batch is idempotent:
+batch n reads the cursors of batch n - 1, never its own.
+
+The cursor log: a batch writes the cursors of the handles it met, and every
+SNAPSHOT_EVERY batches a snapshot of all.  The cursors before batch n are the last
+snapshot and the changes since, at most SNAPSHOT_EVERY small tables; their names
+follow from n, so nothing is listed.  Cursors only rise, so the greatest one of a
+handle is its last.  A snapshot removes what lies before the snapshot before it;
+a replay never goes back that far.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +35,55 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def cursors_before(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """The cursors that batch n starts from: those of batch n - 1."""
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+SNAPSHOT_EVERY = 16
+
+
+def _changes(root: str, batch_id: int) -> str:
+    return f"{root}/changes/batch_id={batch_id}"
+
+
+def _snapshot(root: str, batch_id: int) -> str:
+    return f"{root}/snapshots/batch_id={batch_id}"
+
+
+def _newest(cursors: DataFrame) -> DataFrame:
+    return cursors.groupBy("handle").agg(F.max("since_id").alias("since_id"))
+
+
+def logged_cursors(spark: SparkSession, root: str, batch_id: int, every: int = SNAPSHOT_EVERY) -> DataFrame | None:
+    """The log that batch n starts from, a handle up to once per version."""
     if batch_id == 0:
         return None
-    path = f"{root}/batch_id={batch_id - 1}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not _exists(spark, f"{_changes(root, batch_id - 1)}/_SUCCESS"):
         raise FileNotFoundError(f"no committed cursors of batch {batch_id - 1} under {root}")
-    return read_cursors(spark, path)
+    last = batch_id // every * every - 1                     # -1: no snapshot yet
+    paths = [_changes(root, b) for b in range(last + 1, batch_id)] + [_snapshot(root, last)] * (last >= 0)
+    return read_cursors(spark, paths)
+
+
+def cursors_before(spark: SparkSession, root: str, batch_id: int, every: int = SNAPSHOT_EVERY) -> DataFrame | None:
+    """The cursors that batch n starts from: those after batch n - 1."""
+    log = logged_cursors(spark, root, batch_id, every)
+    return None if log is None else _newest(log)
+
+
+def log_cursors(spark: SparkSession, root: str, batch_id: int, moved: DataFrame, every: int = SNAPSHOT_EVERY) -> None:
+    """The moved cursors of a batch, and a snapshot where one is due."""
+    write_cursors(moved, _changes(root, batch_id))
+    if (batch_id + 1) % every:
+        return
+    before = cursors_before(spark, root, batch_id, every)
+    after = read_cursors(spark, _changes(root, batch_id))
+    write_cursors(after if before is None else _newest(before.unionByName(after)), _snapshot(root, batch_id))
+    for b in range(max(0, batch_id - 2 * every + 1), batch_id - every + 1):
+        _delete(spark, _changes(root, b))
+    if batch_id >= 2 * every:
+        _delete(spark, _snapshot(root, batch_id - 2 * every))
 
 
 def stream_posts(spark: SparkSession, landing: str, tags, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,41 +94,36 @@ def stream_posts(spark: SparkSession, landing: str, tags, files_per_trigger: int
     return parse_posts(reader.load(landing), tags=tags)
 
 
-def above_cursor(posts: DataFrame, previous: DataFrame) -> DataFrame:
-    """Posts newer than their handle's cursor; a handle without one keeps all
-    posts above 1.  The stored cursor table is joined plainly, so AQE can split
-    a hot handle."""
-    cur = previous.select("handle", F.col("since_id").alias("__since"))
-    return posts.join(cur, "handle", "left").where(
-        F.col("id") > F.coalesce("__since", F.lit(1))).drop("__since")
+def above_cursor(posts: DataFrame, log: DataFrame) -> DataFrame:
+    """Posts above every logged cursor of their handle, or above 1.  The log is
+    joined as it is stored, so both sides are plain shuffles and AQE can split a
+    hot handle."""
+    at = log.select(F.col("handle").alias("__handle"), "since_id")
+    return posts.where(F.col("id") > 1).join(
+        at, (F.col("handle") == F.col("__handle")) & (F.col("id") <= F.col("since_id")), "left_anti")
 
 
 def collect_increment(spark: SparkSession, posts_root: str, cursor_root: str,
-                      handles: DataFrame | None = None, status: DataFrame | None = None):
+                      handles: DataFrame | None = None, status: DataFrame | None = None,
+                      every: int = SNAPSHOT_EVERY):
     """K2 as a foreachBatch function; without a handle list every handle met is
-    wanted."""
+    wanted.  Repeats are dropped by (handle, id), after the cursor has taken out
+    what was collected before, so a hot handle's posts spread over all tasks."""
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        previous = cursors_before(spark, cursor_root, batch_id)
+        previous = logged_cursors(spark, cursor_root, batch_id, every)
         known = spark.createDataFrame([], CURSOR_SCHEMA) if previous is None else previous
-        batch = batch_df.dropDuplicates(["handle", "id"]).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if handles is None:
-                fresh = above_cursor(batch, known)
-            else:
-                fresh = pull_new_posts(batch, handles, known, status)
-            out = f"{posts_root}/batch_id={batch_id}"
-            clustered(fresh).write.mode("overwrite").parquet(out)
-        finally:
-            batch.unpersist()
-        newest = spark.read.schema(fresh.schema).parquet(out).groupBy("handle").agg(F.max("id").alias("since_id"))
-        listed = [] if handles is None else [
-            drop_unknown_accounts(handles.select("handle").distinct(), status)
-            .withColumn("since_id", F.lit(1).cast("long"))]
-        merged = known
-        for part in (newest, *listed):
-            merged = merged.unionByName(part)
-        write_cursors(merged.groupBy("handle").agg(F.max("since_id").alias("since_id")),
-                      f"{cursor_root}/batch_id={batch_id}")
+        fresh = above_cursor(batch_df, known)
+        wanted = None if handles is None else drop_unknown_accounts(handles.select("handle").distinct(), status)
+        if wanted is not None:
+            fresh = fresh.join(wanted, "handle", "left_semi")
+        out = f"{posts_root}/batch_id={batch_id}"
+        fresh.repartition("handle", "id").dropDuplicates(["handle", "id"]).sortWithinPartitions("handle", "id") \
+            .write.mode("overwrite").parquet(out)
+        moved = spark.read.schema(fresh.schema).parquet(out).groupBy("handle").agg(F.max("id").alias("since_id"))
+        if wanted is not None:                               # listed, but never met
+            new = wanted.join(known, "handle", "left_anti").withColumn("since_id", F.lit(1).cast("long"))
+            moved = _newest(moved.unionByName(new))
+        log_cursors(spark, cursor_root, batch_id, moved, every)
     return run
 
 
