@@ -81,3 +81,9 @@ def test_post_time_forms(spark):
     df = spark.createDataFrame([("Wed Oct 10 20:19:24 +0000 2018",), ("2018-10-10 20:19:24",), ("soon",), (None,)], "t string")
     t = datetime.datetime(2018, 10, 10, 20, 19, 24)
     assert [r[0] for r in df.select(post_time("t")).collect()] == [t, t, None, None]
+
+
+def test_parse_scores_of_bad_cells(spark):
+    df = spark.createDataFrame([("[1.5 x -2e1]\n[nan 3]",), (None,)], "t string")
+    rows = [r[0] for r in df.select(parse_scores("t")).collect()]
+    assert rows[0][0] == [1.5, None, -20.0] and rows[0][1][1] == 3.0 and rows[1] is None

@@ -148,12 +148,13 @@ def format_duration(seconds) -> Column:
 
 def parse_scores(text) -> Column:
     """A printed block '[a b c]\\n[d e f]' back to an array of rows
-    (array<array<double>>), one row per bracketed line."""
+    (array<array<double>>), one row per bracketed line; a cell that is no number
+    is null."""
     rows = F.split(F.trim(_col(text)), r"\]\s*\n")
     return F.transform(
         rows,
         lambda r: F.transform(
             F.filter(F.split(F.trim(F.regexp_replace(r, r"[\[\]]", "")), r"\s+"),
                      lambda x: x != F.lit("")),
-            lambda x: x.cast("double")),
+            lambda x: x.try_cast("double")),
     )
