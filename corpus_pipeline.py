@@ -13,8 +13,9 @@ columns of `documents`, with n_chars kept in step with the text.
 * personal_data: every span is replaced by its kind in brackets.
 * packing: one row per piece, see the operator.
 
-An empty table passes through every stage as an empty table.  Rows that repeat
-a doc_id stand for one document and stay or go together.
+An empty table passes through every stage as an empty table.  Rows are told apart
+by doc_id and text: rows that repeat both are one document and stay or go together;
+different texts under one doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = op10_ngram_join.join_sets(docs, words=WORDS, share=SHARE)
-    copies = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_row")
+    rows = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))))
+    groups = op10_ngram_join.join_sets(rows, id_col=key, words=WORDS, share=SHARE)
+    copies = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
+    return rows.join(copies, key, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

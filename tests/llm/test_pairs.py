@@ -44,22 +44,37 @@ def valid(v):
 
 
 def test_op1_equals_brute_force(spark, vectors, monkeypatch):
+    """One row per vector: rows that repeat an id, with the same vector or
+    another, and rows without an id."""
     monkeypatch.setattr(op1, "CHUNK", 4)                       # several blocks a bucket
-    rows = vectors + [vectors[3]]                              # a repeated row counts once
-    got = {r.vec_id: r for r in op1.near_duplicates(frame(spark, rows)).collect()}
-    ids = [r[0] for r in vectors]
+    rows = vectors + [vectors[3], (3, vectors[90][1], vectors[90][2]), (5, None, 1), (5, vectors[41][1], vectors[41][2]),
+                      (None, vectors[3][1], vectors[3][2]), (None, None, None)]
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept)
+                              for r in op1.near_duplicates(frame(spark, rows)).collect())
     links = []
-    for i, (_, v, a) in enumerate(vectors):
-        for j, (_, w, b) in enumerate(vectors[:i]):
-            if a is not None and a == b and valid(v) and valid(w) and len(v) == len(w):
+    for i, (p, v, a) in enumerate(rows):
+        for j, (q, w, b) in enumerate(rows[:i]):
+            if None not in (a, p, q) and a == b and valid(v) and valid(w) and len(v) == len(w):
                 x, y = np.float32(v).astype(float), np.float32(w).astype(float)
                 if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
                     links.append((i, j))
     n = collections.Counter(x for link in links for x in link)
-    assert len(links) > 30 and len(got) == len(ids)
-    for i, r in enumerate(roots(len(ids), links)):
-        g = got[ids[i]]
-        assert (g.n_links, g.component_id, g.kept) == (n[i], ids[r], r == i)
+    root = roots(len(rows), links)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None)
+             for i, r in enumerate(root) if rows[i][0] is not None}
+    want = collections.Counter((x, n[i], least.get(root[i]), x is not None and x == least[root[i]])
+                               for i, (x, _, _) in enumerate(rows))
+    assert len(links) > 30 and got == want
+
+
+def test_op4_run_of_one_byte(spark, monkeypatch):
+    """Every position of a run of one byte is an anchor; its windows are counted
+    in bounded batches."""
+    monkeypatch.setattr(op4, "HOT", 1_000)
+    rows = [(1, "head of a text " + "x" * 120_000 + " and its tail"), (2, "y" * 300), (3, "nothing here " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in op4.repeated_bytes(df).collect()}
+    assert got == {1: (120_000, 1), 2: (300, 1), 3: (0, 0)}
 
 
 def test_op1_empty(spark):
@@ -88,6 +103,28 @@ def test_op7_equals_brute_force(spark, vectors, monkeypatch):
     assert op7.top_k(op7.valid_vectors(frame(spark, [])), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op7_large_values(spark):
+    """Scores beyond the exact range of doubles are exact; vectors whose scores
+    may not fit 64 bits raise, and none is left out."""
+    rng = random.Random(77)
+    rows = [(i, [float(np.float32(rng.uniform(-2e5, 2e5))) for _ in range(64)], 1) for i in range(60)]
+    rows += [(60 + i, [x * (1 if i else -1) for x in rows[0][1]], 1) for i in range(3)]
+    got = collections.defaultdict(list)
+    for r in op7.top_k(op7.valid_vectors(frame(spark, rows)), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    vs = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows}
+    largest = 0
+    for q in (0, 20, 40, 60):
+        s = sorted((-sum(a * b for a, b in zip(vs[q], vs[i])), i) for i in vs if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+        largest = max(largest, -s[0][0])
+    assert largest > 2 ** 53
+    for big in (1e6, 1e12, 3e38):
+        with pytest.raises(OverflowError):
+            op7.top_k(op7.valid_vectors(frame(spark, [(0, [big] * 64, 1), (1, [big] * 64, 1), (3, [-big] * 64, 1)])),
+                      F.col("vec_id") == 0)
+
+
 def gram_set(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()

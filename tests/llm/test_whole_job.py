@@ -123,15 +123,48 @@ def test_op2_candidates():
         found(text)
 
 
-def test_every_training_query_trains(spark, monkeypatch):
-    from threadline.plans import q_models
-    runs = []
-    df = spark.createDataFrame([("k", "train")], "row_key string, split string").select(
-        "*", F.lit(0).alias("features"), *[F.lit(0).alias(c) for c in q_models.Y_COLS])
-    monkeypatch.setattr(q_models, "training_inputs", lambda spark, sf: (df, {}))
-    monkeypatch.setattr(q_models.MD, "featurize", lambda rows: rows)
-    monkeypatch.setattr(q_models.MD, "train_per_target", lambda *a, **k: runs.append(1))
-    monkeypatch.setattr(q_models.MD, "score_per_target", lambda *a: df)
-    monkeypatch.setattr(q_models.MD, "loss_history", lambda models: [("t", len(runs), 0.0)])
-    monkeypatch.setattr(q_models.S, "write_predictions", lambda *a: None)
-    assert [q_models.q_loss_history(spark, "same").first().iteration for _ in range(2)] == [1, 2]
+PART = "<p>" + "many words of the middle part " * 20 + "</p>"
+LINE = ("many words of the middle part " * 20).strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><form id=aspnetForm><div>{PART}<p>End.</p></div></form>", LINE + "\nEnd."),
+    (f"<form><form><div class='x-sidebar'>{PART}</div></form>", LINE),
+    (f"<div>{PART}<form><p>mail us</p></form></div>", LINE),
+    (f'<div class="page-with-sidebar">{PART}</div>', LINE), (f'<div class="has-header content">{PART}</div>', LINE),
+    (f'<div>{PART}<section class="side-effects"><p>Side.</p></section><div class="search-results"><p>Found.</p></div></div>',
+     LINE + "\nSide.\nFound."),
+    (f'<div id="c">{PART}<div class="left-sidebar"><p>menu</p></div><div class="site-header"><p>x</p></div></div>', LINE),
+    (f'<div>{PART}<div class="post-comments">{PART * 5}</div></div>', LINE),
+    ("<article><canvas><p>a</p></article><canvas>", "a"), ("<body><canvas><article><p>a</p><p>b</p></article>", "a\nb"),
+    ("<article><canvas id=x>no</canvas><svg/><p>a</p></article>", "a"), ("<p>a <svg><text>no</text></svg>b</p>", "a b"),
+    (f"<article><p>x</p><div><canvas></div>{PART}</article>", "x\n" + LINE),
+    ("<p>\u0130\u0130\u0130</p><SCRIPT>x</Script><p>Hello world this</p>", "\u0130\u0130\u0130\nHello world this"),
+])
+def test_op3_keeps_the_page(page, want):
+    assert op3.main_text(page) == want
+
+
+def test_op3_many_wrappers():
+    assert op3.main_text("<form>" * 3000 + "<p>x</p>") == "x"
+
+
+def test_pipeline_removes_rows_not_ids(spark):
+    """Two documents under one id: the copy of another goes, the unique one
+    stays; rows without an id all stay."""
+    import corpus_pipeline
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (2, "quite another text of its own that nothing else is like"), (None, text), (3, text + " w60")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_op9_with_labels_of_one_class(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y) for i in range(20)], "doc_id long, toxic int")
+        got = op9.toxicity(docs, labels).collect()
+        assert len(got) == 20 and all(r.predicted == y and abs(r.score - y) < 1e-9 for r in got)
+    assert [r.score for r in op9.toxicity(docs, labels.limit(0)).limit(2).collect()] == [0.0, 0.0]

@@ -32,19 +32,18 @@ class if that has an id.  Repeated rows are copies of one another.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import (chunks, materialize, mix64, partitions, powers, semi_join_filter, slices, table,
+from threadline.llm.common import (chunks, materialize, mix64, partitions, powers, semi_join_filter, sized, table,
                                    texts_of)
 from threadline.llm.components import components
 
 WORDS, SHARE = 4, 85             # n-gram length; least Jaccard similarity in per cent
 SMALL = 64                       # sets up to this size send all grams in step 2
-FRAGMENT_GRAMS = 2_000_000       # grams a fragment task holds
+FRAGMENT_GRAMS = 500_000         # grams a fragment task holds
 SEGMENTS = 8                     # fragments of the pair counts
 BINS = 256                       # fragments of the histograms
 CHUNK = 1024
@@ -108,7 +107,7 @@ def must_share(n, share: int):
 def sizes(docs: DataFrame, words: int) -> DataFrame:
     """(id, cls, n) for every row."""
     def fn(batches):
-        for b in slices(batches):
+        for b in sized(batches, "text", 4 << 20):
             sets = gram_sets(texts_of(b, "text"), words)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()),
@@ -123,36 +122,36 @@ def unshared(docs: DataFrame, words: int, share: int, fragments: int) -> DataFra
     reaches = SMALL * 100 // share + 1          # a partner of a small set sends all its grams too
 
     def deal(batches):
-        for b in batches:
-            texts = texts_of(b, "text")
-            for lo, hi in chunks(map(len, texts), 8 << 20):
-                own = {fingerprint(s): s for s in gram_sets(texts[lo:hi], words) if len(s)}
-                sent = [s if len(s) <= reaches else s[:np.searchsorted(s, low)] for s in own.values()]
-                if not sent:
-                    continue
-                cls = np.fromiter(own.keys(), np.int64, len(own))
-                n = np.fromiter(map(len, own.values()), np.int32, len(own))
-                grams = np.concatenate(sent)
-                at = np.repeat(np.arange(len(sent), dtype=np.int32), [len(s) for s in sent])
-                to = (grams % np.uint64(fragments)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(fragments + 1))
-                rows = []
-                for f in np.flatnonzero(np.diff(cut)):
-                    pick = order[cut[f]:cut[f + 1]]
-                    who, local = np.unique(at[pick], return_inverse=True)
-                    rows.append((int(f), grams[pick].tobytes(), local.astype(np.uint32).tobytes(),
-                                 cls[who].tobytes(), n[who].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32())]
-                    + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)],
-                    names=["fragment", "grams", "at", "cls", "n"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, cls, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+        for b in sized(batches, "text", 8 << 20):
+            own = {fingerprint(s): s for s in gram_sets(texts_of(b, "text"), words) if len(s)}
+            sent = [s if len(s) <= reaches else s[:np.searchsorted(s, low)] for s in own.values()]
+            if not sent:
+                continue
+            cls = np.fromiter(own.keys(), np.int64, len(own))
+            n = np.fromiter(map(len, own.values()), np.int32, len(own))
+            grams = np.concatenate(sent)
+            at = np.repeat(np.arange(len(sent), dtype=np.int32), [len(s) for s in sent])
+            to = (grams % np.uint64(fragments)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(fragments + 1))
+            rows = []
+            for f in np.flatnonzero(np.diff(cut)):
+                pick = order[cut[f]:cut[f + 1]]
+                who, local = np.unique(at[pick], return_inverse=True)
+                rows.append((int(f), grams[pick].tobytes(), local.astype(np.uint32).tobytes(),
+                             cls[who].tobytes(), n[who].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32())]
+                + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)],
+                names=["fragment", "grams", "at", "cls", "n"])
+
+    def count(found: pa.Table) -> pa.Table:
+        held = {c: found.column(c).to_pylist() for c in ("grams", "at", "cls", "n")}
+        grams, cls, n = (np.concatenate([np.frombuffer(x, t) for x in held[c]])
                          for c, t in (("grams", np.uint64), ("cls", np.int64), ("n", np.int32)))
-        shift = np.concatenate([[0], np.cumsum([len(x) // 8 for x in pdf["cls"]])])
-        at = np.concatenate([np.frombuffer(x, np.uint32) + shift[i] for i, x in enumerate(pdf["at"])])
+        shift = np.concatenate([[0], np.cumsum([len(x) // 8 for x in held["cls"]])])
+        at = np.concatenate([np.frombuffer(x, np.uint32) + shift[i] for i, x in enumerate(held.pop("at"))])
+        held.clear()
         names, one, number = np.unique(cls, return_index=True, return_inverse=True)
         who = number[at]
         order = np.lexsort((who, grams))
@@ -164,24 +163,26 @@ def unshared(docs: DataFrame, words: int, share: int, fragments: int) -> DataFra
         alone[1:] &= g[1:] != g[:-1]
         alone[:-1] &= g[1:] != g[:-1]
         counted = alone & ((g < low) | (n[one][w] <= SMALL))
-        found = np.bincount(w[counted], minlength=len(names))
+        counts = np.bincount(w[counted], minlength=len(names))
         bucket = names % buckets
-        keep = np.flatnonzero(found)
+        keep = np.flatnonzero(counts)
         keep = keep[np.argsort(bucket[keep], kind="stable")]
         cut = np.flatnonzero(np.diff(bucket[keep], prepend=-1, append=-1)) if len(keep) else []
-        return pd.DataFrame([(int(bucket[keep[a]]), names[keep[a:b]].tobytes(),
-                              found[keep[a:b]].astype(np.int32).tobytes())
-                             for a, b in zip(cut[:-1], cut[1:])], columns=["bucket", "cls", "alone"])
+        parts = [(int(bucket[keep[a]]), names[keep[a:b]].tobytes(), counts[keep[a:b]].astype(np.int32).tobytes())
+                 for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table([pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
+                        names=["bucket", "cls", "alone"])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["cls"]]), return_inverse=True)
-        return pd.DataFrame({"cls": cls, "unshared": np.bincount(number, np.concatenate(
-            [np.frombuffer(x, np.int32) for x in pdf["alone"]])).astype(np.int64)})
+    def total(parts: pa.Table) -> pa.Table:
+        cls, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in parts.column("cls").to_pylist()]),
+                                return_inverse=True)
+        return pa.table({"cls": cls, "unshared": np.bincount(number, np.concatenate(
+            [np.frombuffer(x, np.int32) for x in parts.column("alone").to_pylist()])).astype(np.int64)})
 
     buckets = fragments
     dealt = docs.select("text").mapInArrow(deal, "fragment int, grams binary, at binary, cls binary, n binary")
-    counted = dealt.groupBy("fragment").applyInPandas(count, "bucket long, cls binary, alone binary")
-    return counted.groupBy("bucket").applyInPandas(total, "cls long, unshared long")
+    counted = dealt.groupBy("fragment").applyInArrow(count, "bucket long, cls binary, alone binary")
+    return counted.groupBy("bucket").applyInArrow(total, "cls long, unshared long")
 
 
 def segments(docs: DataFrame, chosen: DataFrame, words: int, repeated: bool) -> DataFrame:

@@ -19,9 +19,10 @@ missed; closer pairs are missed far more rarely.
 * A pair is counted in the first table where its keys agree, so it counts once.
 
 No link: vectors that are null, empty or zero, or hold null or non-finite
-components; null labels; unlike lengths; unlike labels.  Rows with a null
-vec_id are left out.  Repeated rows of a vec_id count once, with the smallest
-(label, vector).
+components; null labels; unlike lengths; unlike labels; rows with a null vec_id
+(n_links 0, component_id null, kept false).  Every row is a vector and one row of
+the result: rows that repeat a vec_id, with the same vector or another, are
+vectors of their own, each linked by its own components.
 """
 
 from __future__ import annotations
@@ -46,15 +47,13 @@ def directions(dim: int, bits: int = BITS, tables: int = TABLES, seed: int = SEE
 
 
 def classes(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, v, ok): one row per vec_id."""
-    one = (rows.where(F.col(id_col).isNotNull())
-           .groupBy(F.col(id_col).alias("vec_id"))
-           .agg(F.min(F.struct(F.col(label_col).alias("label"),
-                               F.col(vec_col).cast("array<double>").alias("v"))).alias("s"))
-           .select("vec_id", "s.label", "s.v"))
+    """(vec_id, label, v, ok) for every row."""
+    every = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"),
+                        F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("v", lambda x: x != 0)
-    return one.withColumn("ok", F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False)))
+    return every.withColumn("ok", F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False))
+                            & F.col("vec_id").isNotNull())
 
 
 def signs(vectors: DataFrame) -> DataFrame:
@@ -177,8 +176,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = rows.sparkSession
     every = materialize(classes(rows, id_col, vec_col, label_col), "op1-vectors")
     groups = materialize(
-        every.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size")),
-        "op1-classes")
+        every.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+        .withColumn("cls", F.monotonically_increasing_id()), "op1-classes")          # written, so a class keeps its number
     hashed = materialize(signs(groups), "op1-signs")
     keyed = hashed.select("cls", F.posexplode("codes").alias("t", "code"),
                           "label", "dim").select("cls", "t", F.xxhash64("label", "dim", "t", "code").alias("key"))
@@ -199,13 +198,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = materialize(compare(blocks, threshold), "op1-links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b"), "op1-components")
-    per_class = (groups.join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-                 .select("label", "v", F.coalesce("root", "cls").alias("component_id"),
-                         (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    placed = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    per_class = (placed.join(links, "cls", "left").join(least, "root")
+                 .select("label", "v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
     alone = every.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                              F.col("vec_id").alias("component_id"))
     linked = every.where("ok").join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

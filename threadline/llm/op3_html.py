@@ -14,12 +14,18 @@ don't count as containers), and all it holds unless it is the body or
 also holds a menu, header or footer of the page.  Everything between surge and
 dive is kept: no line is dropped for being short.
 
-Role names in classes and ids are looked for between hyphens, too, except in
-the main element: there a class counts if all its parts are role names, an id or
-role if it is one as a whole ("ad-banner" goes, "related-work" stays).
-
-Null or empty html gives the empty text.  An unclosed element ends where its
-parent or the page ends, an unclosed paragraph, list item, cell or head also
+Role names count in classes, ids and roles.  A class counts if all its parts
+between hyphens are role names ("ad-banner" goes, "related-work" and "side-effects"
+stay); in the main element an id or role counts as a whole.  Outside it, names that
+mean nothing else also count as one part among others ("left-sidebar",
+"site-header"), unless the class says that something has one ("page-with-sidebar",
+"has-header").  Forms and elements that go by such a part alone may be wrappers of
+the whole page: one that holds more than half of the page's text stays, and what
+lies in it is judged by itself.  Comments go whatever their size.
+
+Null or empty html gives the empty text.  An embedded part (canvas, svg, ...) without an
+end tag is no element at all.  Any other unclosed element ends where its parent or
+the page ends, an unclosed paragraph, list item, cell or head also
 where the next one or a block starts; an end tag without its start is ignored,
 and only one of article, main, body or html ends a main part.  A stray `<` is
 text.  One row per input row, so
@@ -40,10 +46,12 @@ from threadline.llm.common import columns, table
 
 WINDOW = 3
 SHARE = 0.25
+WRAPPED = 8                      # wrappers looked for one by one
 
 # Element names by their role.
-RAW = frozenset("script style noscript template textarea title iframe svg object canvas".split())
-SKIP = frozenset("nav aside form footer head select button dialog menu".split())
+RAW = frozenset("script style textarea title".split())              # their content is no markup
+QUIET = frozenset("noscript template iframe svg object canvas".split())   # left out without ending a line
+SKIP = frozenset("nav aside form footer head select button dialog menu".split()) | QUIET
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure footer form "
@@ -60,13 +68,18 @@ ROLE_NAME = (
     r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|"
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|comments?|replies|disqus|respond|"
     r"share|social|related|recommended|newsletter|subscribe|login|search)")
-ROLE = re.compile(rf"(?:^|[\s_-]){ROLE_NAME}(?:$|[\s_-])", re.I)
+PART_NAME = (r"(?:ads|advert\w*|sponsor\w*|cookies?|consent|popup|modal|sidebar|menu|nav|navbar|navigation|"
+             r"breadcrumbs?|footer|comments|disqus|newsletter|subscribe)")
+ROLE_PART = re.compile(rf"(?<!\S)(?!\S*\b(?:with|without|has|no|is|not)[_-])"
+                       rf"(?:\S*[_-])?(?:{PART_NAME}|(?:site|page|main|top|global)[_-]header)(?![^\s_-])\S*", re.I)
+COMMENTS = re.compile(r"(?<![^\s_-])(?:comments?|replies|disqus|respond)(?![^\s_-])", re.I)
 # inside the main element; its own header stays
 ROLE_CLASS = re.compile(rf"(?<!\S)(?!header(?!\S)){ROLE_NAME}(?:[_-]+{ROLE_NAME})*(?!\S)", re.I)
 ROLE_ID = re.compile(rf"(?<!\S)(?!header(?!\S)){ROLE_NAME}(?!\S)", re.I)
 FRAME = re.compile(r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|header|footer)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+RAW_END = {name: re.compile(f"</{name}(?![a-z0-9])", re.I | re.A) for name in RAW}
 QUOTED_END = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 CONTAINER = frozenset("div section ul ol table header span p details figure".split())
 SPAN = frozenset(["span"])
@@ -140,26 +153,36 @@ class Open:
             self.cut(at)
 
 
-def left_out(name: str, markup: str, inside: bool) -> bool:
-    """Is this element (its attributes in `markup`) no part of the text?"""
+def left_out(name: str, markup: str, inside: bool) -> tuple[bool, bool]:
+    """(is this element, its attributes in `markup`, no part of the text; may it
+    yet be a wrapper of the page)."""
     if name in SKIP or name == "header" and not inside:
-        return True
+        return True, name == "form" and not inside
     if name not in CONTAINER:
-        return False
+        return False, False
+    part = False
     for kind, *value in ATTRIBUTE.findall(markup):
-        role = (ROLE_CLASS if kind.lower() == "class" else ROLE_ID) if inside else ROLE
-        if role.search(next(filter(None, value), "")):
-            return True
-    return False
-
-
-def lines_of(html: str) -> tuple[list[tuple[str, bool, int | None]], Open]:
-    """(text, inside the main element, container) per line, and the containers;
-    gaps are empty lines in the container of the element left out."""
+        value = next(filter(None, value), "")
+        if (ROLE_ID if inside and kind.lower() != "class" else ROLE_CLASS).search(value):
+            return True, False
+        if not inside and ROLE_PART.search(value):
+            if COMMENTS.search(value):
+                return True, False
+            part = True
+    return part, part
+
+
+def lines_of(html: str, wrappers=frozenset(), every: bool = False) -> tuple[list[tuple[str, bool, int | None]], Open, int, dict[int, int]]:
+    """(text, inside the main element, container) per line, the containers, the
+    characters of all text, and those of each element left out that may be a
+    wrapper, by its place (all text's for embedded parts without an end tag); gaps
+    are empty lines in the container of the element left out.  Elements at the places
+    of `wrappers` stay, and with `every` all that may be wrappers."""
     out: list[tuple[str, bool, int | None]] = []
     parts: list[str] = []
     open_ = Open()
-    low = html.lower()
+    whole, doubtful, hidden = 0, -1, {}
+    embedded, unclosed = (-1, ""), set()
 
     def close() -> None:
         if parts:
@@ -175,8 +198,12 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, int | None]], Open]:
     at, size = 0, len(html)
     while at < size:
         m = TAG.search(html, at)
+        piece = html[at:m.start() if m else size]
+        whole += len(piece.strip())
         if open_.skip is None:
-            parts.append(html[at:m.start() if m else size])
+            parts.append(piece)
+        elif doubtful >= 0:
+            hidden[doubtful] += len(piece.strip())
         if not m:
             break
         if m[1]:
@@ -191,32 +218,43 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, int | None]], Open]:
         name, closing = m[4].lower(), bool(m[3])
         if name in RAW and not closing:
             if html[end - 2:end] != "/>":
-                stop = low.find("</" + name, end)
-                at = size if stop < 0 else (low.find(">", stop) + 1 or size)
+                stop = RAW_END[name].search(html, end)
+                at = (html.find(">", stop.end()) + 1 or size) if stop else size
             if open_.skip is None and name in BLOCK:
                 close()
             continue
         if open_.skip is None and (name in BLOCK or name in MAIN):
             gap() if name in MAIN else close()
         if closing:
+            skipping = open_.skip is not None
             open_.close(name)
+            if skipping and open_.skip is None and embedded[0] >= 0 and name != embedded[1]:
+                unclosed.add(embedded[0])
             continue
         if open_.skip is not None and name in MAIN and not open_.mains:
             open_.cut(open_.skip)               # a part left open must not swallow the article
             gap()
         open_.start(name)
-        if name in VOID or name not in KEPT_OPEN:
+        if name in VOID or name not in KEPT_OPEN or name in QUIET and html[end - 2:end] == "/>":
             continue
         markup = html[m.end():end]
-        if open_.skip is None and name not in MAIN and left_out(name, markup, bool(open_.mains)):
-            gap(open_.boxes[-1][1])
+        gone, unsure = left_out(name, markup, bool(open_.mains)) if open_.skip is None and name not in MAIN else (False, False)
+        if gone and m.start() not in wrappers and not (unsure and every):
+            doubtful = m.start() if unsure else -1
+            embedded = (m.start(), name) if name in QUIET and html[end - 2:end] != "/>" else (-1, "")
+            if unsure:
+                hidden[doubtful] = 0
+            if name not in QUIET:
+                gap(open_.boxes[-1][1])
             if name in ("nav", "header", "footer", "menu") or any(
                     FRAME.search(" ".join(value)) for _, *value in ATTRIBUTE.findall(markup)):
                 open_.wide.update(n for _, n in open_.boxes)
             open_.skip = len(open_.names)
         open_.push(name)
+    if open_.skip is not None and embedded[0] >= 0:
+        unclosed.add(embedded[0])
     close()
-    return out, open_
+    return out, open_, whole, hidden | dict.fromkeys(unclosed, whole + 1)
 
 
 def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -262,7 +300,13 @@ def joined(lines: list[tuple[str, bool, int | None]], found: list[tuple[int, int
 
 
 def main_text(html: str) -> str:
-    lines, boxes = lines_of(html)
+    wrappers: set[int] = set()
+    for turn in range(WRAPPED + 1):              # a page in very many wrappers: all that may be one
+        lines, boxes, whole, hidden = lines_of(html, wrappers, turn == WRAPPED)
+        more = {at for at, size in hidden.items() if 2 * size > whole}
+        if not more:
+            break
+        wrappers |= more
     named = any(inside and text for text, inside, _ in lines)
     weights = [len(text) if inside or not named else 0 for text, inside, _ in lines]
     found = surges(weights)

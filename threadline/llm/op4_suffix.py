@@ -33,22 +33,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import chunks, fresh, mix64, partitions, powers, slices, table
+from threadline.llm.common import chunks, fresh, mix64, partitions, powers, sized, table
 
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM                # bytes to the left of an anchor that matter
 HOT = 50_000
 RUN = 100_000                        # suffixes a run is sorted from
-FRAGMENT_ANCHORS = 1_000_000
+FRAGMENT_ANCHORS = 500_000
+CHUNK = 1 << 18                      # bytes hashed at once: some 80 bytes of arrays a byte
+SLICE = 2 << 20                      # bytes of texts held as Python objects
+DEALT = 200_000                      # anchors, or windows, sent at once
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -112,7 +115,7 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def unseen(batches, column: str) -> Iterator[dict]:
     """Rows of a partition, one per class (all copies lie in one partition)."""
     seen: set[int] = set()
-    for b in slices(batches):
+    for b in sized(batches, "text", SLICE):
         for row in zip(b.column(0).to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist(),
                        b.column(b.schema.get_field_index(column)).to_pylist()):
             if row[0] not in seen:
@@ -122,43 +125,48 @@ def unseen(batches, column: str) -> Iterator[dict]:
 
 def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
     """(cls, pos, hot): anchors whose gram occurs twice or more."""
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        cls, pos, h = (np.concatenate(x) for x in zip(*held))
+        to = (h >> np.uint64(8)) % np.uint64(fragments)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(fragments + 1, dtype=np.uint64))
+        rows = [(int(f), *(x[order[cut[f]:cut[f + 1]]].tobytes() for x in (h, cls, pos)))
+                for f in np.flatnonzero(np.diff(cut))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32())]
+            + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4)],
+            names=["fragment", "grams", "cls", "pos"])
+
     def deal(batches):
         find = Anchors()
         seen: set[int] = set()
-        for b in slices(batches):
+        held: list[tuple] = []
+        for b in sized(batches, "text", SLICE):
             rows = []
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if c not in seen:
                     seen.add(c)
                     rows.append((c, t.encode("utf-8", "surrogatepass")))
-            held: list[tuple] = []
-            for lo, hi in chunks((len(t) for _, t in rows), 1 << 20):
+            for lo, hi in chunks((len(t) for _, t in rows), CHUNK):
                 text, pos, h = find([t for _, t in rows[lo:hi]])
                 held.append((np.array([c for c, _ in rows[lo:hi]], dtype=np.int64)[text], pos.astype(np.int32), h))
-            if not held:
-                continue
-            cls, pos, h = (np.concatenate(x) for x in zip(*held))
-            to = (h >> np.uint64(8)) % np.uint64(fragments)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(fragments + 1, dtype=np.uint64))
-            rows = [(int(f), *(x[order[cut[f]:cut[f + 1]]].tobytes() for x in (h, cls, pos)))
-                    for f in np.flatnonzero(np.diff(cut))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32())]
-                + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4)],
-                names=["fragment", "grams", "cls", "pos"])
+                if sum(len(x) for x, _, _ in held) >= DEALT:
+                    yield send(held)
+                    held = []
+        if held:
+            yield send(held)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, cls, pos = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+    def count(found: pa.Table) -> pa.Table:
+        h, cls, pos = (np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()])
                        for c, t in (("grams", np.uint64), ("cls", np.int64), ("pos", np.int32)))
         order = np.argsort(h, kind="stable")
         h = h[order]
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.repeat(np.diff(np.append(edge, len(h))), np.diff(np.append(edge, len(h))))
         keep = size > 1
-        return pd.DataFrame({"cls": cls[order][keep], "pos": pos[order][keep], "hot": size[keep] > HOT})
+        return pa.table({"cls": cls[order][keep], "pos": pos[order][keep], "hot": size[keep] > HOT})
     return (texts.mapInArrow(deal, "fragment int, grams binary, cls binary, pos binary")
-            .groupBy("fragment").applyInPandas(count, "cls long, pos int, hot boolean"))
+            .groupBy("fragment").applyInArrow(count, "cls long, pos int, hot boolean"))
 
 
 def front_code(records: list[tuple[bytes, bytes, int, int]]) -> dict:
@@ -334,9 +342,9 @@ def merged_ranges(texts: DataFrame, anchors: DataFrame, parts: int) -> DataFrame
         if held:
             yield flush(held)
 
-    def merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge_runs(runs: pa.Table) -> pa.Table:
         out, group = [], []
-        for common, *record in merge([decode(r) for r in pdf.itertuples()]):
+        for common, *record in merge([decode(SimpleNamespace(**r)) for r in runs.to_pylist()]):
             if common < GRAM:
                 if len(group) > 1:
                     out += covered(group)
@@ -344,11 +352,12 @@ def merged_ranges(texts: DataFrame, anchors: DataFrame, parts: int) -> DataFrame
             group.append(tuple(record))
         if len(group) > 1:
             out += covered(group)
-        return pd.DataFrame(out, columns=["cls", "start", "end"])
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))],
+                        names=["cls", "start", "end"])
 
     at = anchors.where(~F.col("hot")).groupBy("cls").agg(F.collect_set("pos").alias("positions"))
     return (texts.join(at, "cls").mapInArrow(sort_runs, RUN_SCHEMA)
-            .groupBy("part").applyInPandas(merge_runs, "cls long, start int, end int"))
+            .groupBy("part").applyInArrow(merge_runs, "cls long, start int, end int"))
 
 
 def hot_ranges(texts: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -356,11 +365,12 @@ def hot_ranges(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     by hash."""
     def windows(batches):
         for cls, text, positions in unseen(batches, "positions"):
-            starts = sorted({p for s in positions for p in range(max(0, s - REACH), min(s, len(text) - LENGTH) + 1)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_64_intdigest(text[p:p + LENGTH]) - 2 ** 63 for p in starts], pa.int64()),
-                 pa.array([cls] * len(starts), pa.int64()), pa.array(starts, pa.int32())],
-                names=["key", "cls", "start"])
+            near = union_ranges([(max(0, s - REACH), min(s, len(text) - LENGTH) + 1) for s in positions])
+            for lo, hi in [(x, min(x + DEALT, b)) for a, b in near for x in range(a, b, DEALT)]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh3_64_intdigest(text[p:p + LENGTH]) - 2 ** 63 for p in range(lo, hi)], pa.int64()),
+                     pa.array([cls] * (hi - lo), pa.int64()), pa.array(np.arange(lo, hi, dtype=np.int32))],
+                    names=["key", "cls", "start"])
     at = anchors.where("hot").groupBy("cls").agg(F.collect_set("pos").alias("positions"))
     found = texts.join(at, "cls").mapInArrow(windows, "key long, cls long, start int")
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -453,7 +463,7 @@ def remove(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def cut(batches):
         seen: set[int] = set()
-        for b in slices(batches):
+        for b in sized(batches, "text", SLICE):
             at, out = [], []
             for i, (c, text, ranges) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
                 if c in seen:

@@ -14,6 +14,11 @@ and narrows every query's range to the bin that holds its k-th value, until
 bins are one value wide.  A last pass keeps the scores that reach the k-th
 value; ties go to the smaller vec_id, and a task reports at most k rows a query.
 
+Scores are 64-bit integers.  Before anything is scored, the largest |score| that
+the vectors allow (the squared length of the longest, by Cauchy-Schwarz) is
+held against 2^62; vectors too long for it raise an OverflowError, and nothing is
+left out or wrapped.
+
 A vector that is null or has a null or non-finite component takes no part; nor
 has a row with a null vec_id.  Vectors of unlike length don't meet.  Repeated
 rows (same vec_id) stay separate candidates, but a query is not its own
@@ -41,11 +46,23 @@ BINS = 4096
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, v): integer vectors that may take part."""
     x = F.col(vec_col).cast("array<double>")
-    # |x| below 2**40 keeps floor(1024 x) a long; larger values can't be scored in 64 bits
-    good = F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < 2.0 ** 40))
+    good = F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < float("inf")))
+    # a component that no long holds stands as the largest one, which no score fits either
+    limit = 2.0 ** 62
+    whole = lambda c: F.floor(F.least(F.greatest(c * SCALE, F.lit(-limit)), F.lit(limit)))
     return (rows.select(F.col(id_col).alias("vec_id"), vec_col)
             .where(F.col("vec_id").isNotNull() & F.col(vec_col).isNotNull() & good)
-            .select("vec_id", F.transform(x, lambda c: F.floor(c * SCALE)).alias("v")))
+            .select("vec_id", F.transform(x, whole).alias("v")))
+
+
+def score_bound(vectors: DataFrame) -> float:
+    """A bound of |score|: the longest vector's squared length (with room for the
+    rounding of this sum).  Raises where it doesn't fit 62 bits."""
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    most = vectors.agg(F.max(square).alias("m")).first().m or 0.0
+    if most >= 2.0 ** 62:
+        raise OverflowError(f"vectors of squared length {most:.3g}: inner products don't fit 64-bit integers")
+    return most * 1.000001 + 1
 
 
 def blocks(vectors: DataFrame, size: int, prefix: str) -> DataFrame:
@@ -169,10 +186,9 @@ def ask(queries: DataFrame, ranges: DataFrame, candidates: DataFrame) -> DataFra
     # block meets the candidates in that many tasks
     salts = partitions(queries.sparkSession)
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    numbers = queries.groupBy("dim").agg(F.collect_set("block").alias("blocks"))
+    # candidates are dealt by salt once a round, whatever the number of query blocks
     return (candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-            .join(numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-            .join(q, ["dim", "block", "salt"]))
+            .join(q, ["dim", "salt"]))
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -195,6 +211,7 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, query_ids, k: int = K, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id, score; `query_ids` is a condition on vec_id."""
+    most = score_bound(vectors)
     candidates = materialize(blocks(vectors, CANDIDATE_BLOCK, ""), "op7-candidates")
     asked = (vectors.where(query_ids).groupBy(F.col("vec_id").alias("query_id"))
              .agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
@@ -202,11 +219,7 @@ def top_k(vectors: DataFrame, query_ids, k: int = K, bins: int = BINS) -> DataFr
     number = max(1, -(-n // QUERY_BLOCK))
     queries = materialize(
         asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(number))), "op7-queries")
-    # |score| <= dim * max|q| * max|c| bounds the first range
-    top = lambda c: F.array_max(F.transform(c, F.abs))
-    most = vectors.agg(F.max(top(F.col("v"))).alias("m")).first()
-    bound = F.least(F.col("dim") * top(F.col("v")).cast("double") * float((most.m if most else 0) or 0) + 1,
-                    F.lit(2.0 ** 61)).cast("long")
+    bound = F.lit(int(most)).cast("long")
     ranges = queries.select("query_id", "dim", (-bound).alias("lo"),
                             F.ceil((2 * bound + 1) / bins).cast("long").alias("width"))
     span = ranges.agg(F.max("width").alias("w")).first()

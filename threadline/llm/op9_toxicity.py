@@ -16,7 +16,8 @@ frequent term instead of giving that weight to both.
 
 Null or empty text: no word, so its score is the model's base rate.  Rows with
 a null id are scored (held_out null is given as false).  Repeated rows are
-scored alike.  With no labelled row of either class every score is 0.
+scored alike.  Labels of one class only: every score is that class (0 or 1).  No
+labelled row: every score is 0.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ MIN_DOCS = 5
 L2 = 1e-3
 COUNTERFACTUAL = 1.0
 STEPS = 300
+CERTAIN = float("inf")           # a bias whose score is 1
 
 # Groups of identity terms that may stand for one another (lower case).
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -139,8 +141,8 @@ def fit_weights(y: np.ndarray, rows: list[list[int]], n_words: int,
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY,
         min_docs: int = MIN_DOCS, counterfactual: float = COUNTERFACTUAL,
-        groups=IDENTITY_GROUPS) -> tuple[dict[str, float], float] | None:
-    """Word weights and bias, or None when a class has no labelled row."""
+        groups=IDENTITY_GROUPS) -> tuple[dict[str, float], float]:
+    """Word weights and bias; no weights where a class has no labelled row."""
     chosen = (clean_labels(labels, label_col).where(~held_out("id"))
               .orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     sample = materialize(
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(F.broadcast(chosen), "id").select("y", "text"), "op9-sample")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return None
+        return {}, CERTAIN if n.get(1) else -CERTAIN
     identity = sorted({w for g in groups for w in g})
     p0, p1 = (F.col("n0") + 0.5) / (n[0] + 1), (F.col("n1") + 0.5) / (n[1] + 1)
     gap = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n[0] + p1 * (1 - p1) / n[1])
@@ -167,18 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {v: float(x) for v, x in zip(vocab, w) if x}, bias
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float] | None,
-          text_col: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text",
+          out: str = "score") -> DataFrame:
     """All columns of docs and the score of the whole text."""
-    if model is None:
-        return docs.withColumn(out, F.lit(0.0))
     weights, bias = model
 
     def fn(batches):
         known = weights.keys()
         for b in batches:
             z = [bias + sum(sorted(weights[w] for w in words(t) & known)) for t in texts_of(b, text_col)]
-            s = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -500, 500)))
+            with np.errstate(over="ignore"):
+                s = 1 / (1 + np.exp(-np.array(z, dtype=float)))
             yield b.append_column(out, pa.array(s, pa.float64()))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(fn, f"{schema}, `{out}` double")
