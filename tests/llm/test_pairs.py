@@ -67,14 +67,48 @@ def test_op1_equals_brute_force(spark, vectors, monkeypatch):
     assert len(links) > 30 and got == want
 
 
-def test_op4_run_of_one_byte(spark, monkeypatch):
-    """Every position of a run of one byte is an anchor; its windows are counted
-    in bounded batches."""
-    monkeypatch.setattr(op4, "HOT", 1_000)
-    rows = [(1, "head of a text " + "x" * 120_000 + " and its tail"), (2, "y" * 300), (3, "nothing here " * 10)]
+def covered_bytes(texts, length):
+    """Removed flags per text by plain counting of all strings."""
+    seen = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        flags = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                flags[i:i + length] = [True] * length
+        out.append(flags)
+    return out
+
+
+@pytest.mark.parametrize("hot,piece", [(op4.HOT, op4.PIECE), (50, 300)])
+def test_op4_runs_of_one_byte(spark, monkeypatch, hot, piece):
+    """Runs around the length where they count as long, with the same and with
+    other surroundings, at the ends of a text and alone; texts hashed in pieces."""
+    monkeypatch.setattr(op4, "HOT", hot)
+    monkeypatch.setattr(op4, "PIECE", piece)
+    rng = random.Random(44)
+    side = [words_of(rng, 40) for _ in range(3)]
+    rows = [side[0] + "x" * 900 + side[1], side[0][-150:] + "x" * 1500 + side[1][:150], "x" * 199 + side[2], side[2][:80] + "x" * 200,
+            "y" * 700, "y" * 650 + "z", "z" * 200, "z" * 600, "q" * 199, "ab" * 500, "head " + "x" * 601, "x" * 599 + " tail"]
+    rows += [side[0] + words_of(rng, 300), words_of(rng, 90) + side[0] + side[2], words_of(rng, 100) + side[2][-230:]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in op4.repeated_bytes(df).collect()}
+    data = [t.encode() for t in rows]
+    for i, flags in enumerate(covered_bytes(data, op4.LENGTH)):
+        kept = bytes(b for b, f in zip(data[i], flags) if not f)
+        spans = sum(f and not (j and flags[j - 1]) for j, f in enumerate(flags))
+        assert got[i] == (sum(flags), spans, hashlib.sha256(kept).hexdigest())
+
+
+def words_of(rng, n):
+    return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+
+
+def test_op4_long_padding(spark):
+    rows = [(1, "head of a text " + "x" * 20_000_000 + " and its tail"), (2, "nothing here " * 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in op4.repeated_bytes(df).collect()}
-    assert got == {1: (120_000, 1), 2: (300, 1), 3: (0, 0)}
+    assert got == {1: (20_000_000, 1), 2: (0, 0)}
 
 
 def test_op1_empty(spark):

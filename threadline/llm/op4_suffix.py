@@ -21,6 +21,9 @@ removed; strings are judged on the input and matches never cross documents.
    Grams with more than `HOT` anchors don't become a group: their windows of
    LENGTH bytes are counted by hash in Spark instead, which is as exact and
    spreads over all tasks.
+   A run of one byte makes every place in it an anchor.  A run of `LONG_RUN` bytes is
+   covered wholly (its LENGTH-byte strings are all the same), so only anchors within
+   LENGTH bytes of its ends go on: those that a string beyond the run can hold.
 5. Covered ranges are gathered per class and cut out of its text.
 
 The texts are shuffled once (an exchange that the plan uses again).  Null text
@@ -51,6 +54,8 @@ RUN = 100_000                        # suffixes a run is sorted from
 FRAGMENT_ANCHORS = 500_000
 CHUNK = 1 << 18                      # bytes hashed at once: some 80 bytes of arrays a byte
 SLICE = 2 << 20                      # bytes of texts held as Python objects
+LONG_RUN = 3 * LENGTH
+PIECE = 1 << 20                      # a longer text is hashed in pieces
 DEALT = 200_000                      # anchors, or windows, sent at once
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -67,6 +72,14 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(back[:n - w + 1], front[w - 1:n])
 
 
+def long_runs(text: bytes) -> np.ndarray:
+    """(start, end) of the runs of one byte of at least LONG_RUN bytes."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    edge = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1], [True]]))
+    long = np.flatnonzero(np.diff(edge) >= LONG_RUN)
+    return np.stack([edge[long], edge[long + 1]], axis=1).astype(np.int32)
+
+
 class Anchors:
     """Anchor positions of texts, with the hash of the gram at each."""
 
@@ -95,6 +108,17 @@ class Anchors:
         return text, at - (end - [len(t) for t in texts])[text], h[at]
 
 
+def pieces(cls: int, text: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(cls, bytes, their place, [first, stop) of their own anchors): a long text in
+    overlapping pieces.  A place is an anchor by the LENGTH bytes around it."""
+    if len(text) <= PIECE:
+        yield cls, text, 0, 0, len(text)
+        return
+    for at in range(0, len(text), PIECE):
+        lo = max(0, at - 2 * LENGTH)
+        yield cls, text[lo:at + PIECE + 2 * LENGTH], lo, at, min(at + PIECE, len(text))
+
+
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """(cls, text) dealt by class; a task sends a class once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,7 +148,8 @@ def unseen(batches, column: str) -> Iterator[dict]:
 
 
 def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
-    """(cls, pos, hot): anchors whose gram occurs twice or more."""
+    """(cls, pos, hot, end): anchors whose gram occurs twice or more, and long runs
+    from pos to end (hot is null)."""
     def send(held: list[tuple]) -> pa.RecordBatch:
         cls, pos, h = (np.concatenate(x) for x in zip(*held))
         to = (h >> np.uint64(8)) % np.uint64(fragments)
@@ -132,6 +157,9 @@ def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
         cut = np.searchsorted(to[order], np.arange(fragments + 1, dtype=np.uint64))
         rows = [(int(f), *(x[order[cut[f]:cut[f + 1]]].tobytes() for x in (h, cls, pos)))
                 for f in np.flatnonzero(np.diff(cut))]
+        return packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32())]
             + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4)],
@@ -147,9 +175,22 @@ def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     rows.append((c, t.encode("utf-8", "surrogatepass")))
-            for lo, hi in chunks((len(t) for _, t in rows), CHUNK):
-                text, pos, h = find([t for _, t in rows[lo:hi]])
-                held.append((np.array([c for c, _ in rows[lo:hi]], dtype=np.int64)[text], pos.astype(np.int32), h))
+            runs = {c: r for c, r in ((c, long_runs(t)) for c, t in rows) if len(r)}
+            if runs:                                       # fragments of their own kind: no grams
+                yield packed([(-1 - c % fragments, b"", np.full(len(r), c, dtype=np.int64).tobytes(), r.tobytes())
+                              for c, r in runs.items()])
+            parts = [x for c, t in rows for x in pieces(c, t)]
+            for lo, hi in chunks((len(t) for _, t, *_ in parts), CHUNK):
+                text, pos, h = find([t for _, t, *_ in parts[lo:hi]])
+                cls, shift, first, stop = (np.array([x[i] for x in parts[lo:hi]], dtype=np.int64)[text] for i in (0, 2, 3, 4))
+                pos = pos + shift
+                good = (pos >= first) & (pos < stop)
+                for c in runs.keys() & set(cls.tolist()):
+                    own = np.flatnonzero(cls == c)
+                    k = np.searchsorted(runs[c][:, 0], pos[own], side="right") - 1
+                    start, end = runs[c][k, 0], runs[c][k, 1]
+                    good[own] &= ~((k >= 0) & (pos[own] >= start + LENGTH) & (pos[own] + GRAM <= end - LENGTH))
+                held.append((cls[good], pos[good].astype(np.int32), h[good]))
                 if sum(len(x) for x, _, _ in held) >= DEALT:
                     yield send(held)
                     held = []
@@ -157,6 +198,10 @@ def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
             yield send(held)
 
     def count(found: pa.Table) -> pa.Table:
+        if found.column("fragment")[0].as_py() < 0:
+            bounds = np.frombuffer(b"".join(found.column("pos").to_pylist()), np.int32).reshape(-1, 2)
+            return pa.table({"cls": np.frombuffer(b"".join(found.column("cls").to_pylist()), np.int64), "pos": bounds[:, 0],
+                             "hot": pa.nulls(len(bounds), pa.bool_()), "end": bounds[:, 1]})
         h, cls, pos = (np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()])
                        for c, t in (("grams", np.uint64), ("cls", np.int64), ("pos", np.int32)))
         order = np.argsort(h, kind="stable")
@@ -164,9 +209,10 @@ def repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.repeat(np.diff(np.append(edge, len(h))), np.diff(np.append(edge, len(h))))
         keep = size > 1
-        return pa.table({"cls": cls[order][keep], "pos": pos[order][keep], "hot": size[keep] > HOT})
+        return pa.table({"cls": cls[order][keep], "pos": pos[order][keep], "hot": size[keep] > HOT,
+                         "end": pa.nulls(int(keep.sum()), pa.int32())})
     return (texts.mapInArrow(deal, "fragment int, grams binary, cls binary, pos binary")
-            .groupBy("fragment").applyInArrow(count, "cls long, pos int, hot boolean"))
+            .groupBy("fragment").applyInArrow(count, "cls long, pos int, hot boolean, end int"))
 
 
 def front_code(records: list[tuple[bytes, bytes, int, int]]) -> dict:
@@ -395,7 +441,8 @@ def covered_classes(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFram
     fragments = max(partitions(spark), 2 * total // (LENGTH - GRAM) // FRAGMENT_ANCHORS + 1)
     texts = distinct_texts(docs, text_col)
     anchors = repeated_anchors(texts, fragments)
-    ranges = merged_ranges(texts, anchors, fragments).union(hot_ranges(texts, anchors))
+    runs = anchors.where(F.col("hot").isNull()).select("cls", F.col("pos").alias("start"), "end")
+    ranges = merged_ranges(texts, anchors, fragments).union(hot_ranges(texts, anchors)).union(runs)
     return texts, ranges.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
