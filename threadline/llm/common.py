@@ -97,11 +97,23 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on between
+    stages, and what they keep counts against the executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):                    # another C library: it keeps what it keeps
+        pass
+
+
 def slices(batches, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that a worker holds few texts as Python objects."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    give_back()
 
 
 def sized(batches, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -112,3 +124,4 @@ def sized(batches, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch
         lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_pylist()
         for lo, hi in chunks(lengths, limit):
             yield b.slice(lo, hi - lo)
+        give_back()

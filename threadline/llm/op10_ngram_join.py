@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import (chunks, materialize, mix64, partitions, powers, semi_join_filter, sized, table,
+from threadline.llm.common import (chunks, give_back, materialize, mix64, partitions, powers, semi_join_filter, sized, table,
                                    texts_of)
 from threadline.llm.components import components
 
@@ -100,10 +100,6 @@ def fingerprint(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2 ** 63
 
 
-def must_share(n, share: int):
-    return -(-share * n // 100)
-
-
 def sizes(docs: DataFrame, words: int) -> DataFrame:
     """(id, cls, n) for every row."""
     def fn(batches):
@@ -174,6 +170,7 @@ def unshared(docs: DataFrame, words: int, share: int, fragments: int) -> DataFra
                         names=["bucket", "cls", "alone"])
 
     def total(parts: pa.Table) -> pa.Table:
+        give_back()
         cls, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in parts.column("cls").to_pylist()]),
                                 return_inverse=True)
         return pa.table({"cls": cls, "unshared": np.bincount(number, np.concatenate(

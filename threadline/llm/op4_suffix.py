@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import chunks, fresh, mix64, partitions, powers, sized, table
+from threadline.llm.common import chunks, fresh, give_back, mix64, partitions, powers, sized, table
 
 LENGTH = 200
 GRAM = 64
@@ -389,6 +389,7 @@ def merged_ranges(texts: DataFrame, anchors: DataFrame, parts: int) -> DataFrame
             yield flush(held)
 
     def merge_runs(runs: pa.Table) -> pa.Table:
+        give_back()
         out, group = [], []
         for common, *record in merge([decode(SimpleNamespace(**r)) for r in runs.to_pylist()]):
             if common < GRAM:

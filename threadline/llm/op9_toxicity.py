@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import clean_labels, columns, held_out, materialize, table, texts_of
+from threadline.llm.common import clean_labels, columns, held_out, materialize, slices, table, texts_of
 
 SAMPLE_ROWS = 30_000
 VOCABULARY = 1_024
@@ -64,7 +64,7 @@ def words(text: str) -> set[str]:
 def count_words(sample: DataFrame) -> DataFrame:
     """(word, n0, n1): labelled rows of each class that hold the word."""
     def fn(batches):
-        for b in batches:
+        for b in slices(batches):
             seen = {0: Counter(), 1: Counter()}
             for t, y in zip(texts_of(b, "text"), columns(b, "y")[0]):
                 seen[y].update(words(t))
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str
 
     def fn(batches):
         known = weights.keys()
-        for b in batches:
+        for b in slices(batches):
             z = [bias + sum(sorted(weights[w] for w in words(t) & known)) for t in texts_of(b, text_col)]
             with np.errstate(over="ignore"):
                 s = 1 / (1 + np.exp(-np.array(z, dtype=float)))
