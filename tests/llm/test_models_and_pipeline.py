@@ -153,7 +153,7 @@ def test_registered_queries_and_sql():
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_embeddings", "op7_topk", "op10_ngram_join"])
+@pytest.mark.parametrize("name", ["op1_embeddings", "op7_topk", "op10_ngram_join", "op13_divergence"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
