@@ -87,3 +87,17 @@ def test_parse_scores_of_bad_cells(spark):
     df = spark.createDataFrame([("[1.5 x -2e1]\n[nan 3]",), (None,)], "t string")
     rows = [r[0] for r in df.select(parse_scores("t")).collect()]
     assert rows[0][0] == [1.5, None, -20.0] and rows[0][1][1] == 3.0 and rows[1] is None
+
+
+def test_cleaning_has_no_pattern_per_word(spark):
+    """All words of a text are rewritten at once; only pieces with a glued suffix
+    are looked at one by one."""
+    plan = spark.createDataFrame([("a",)], "t string").select(clean_text("t"))._jdf.queryExecution().analyzed().toString()
+    assert " IN (t" not in plan
+
+
+def test_marker_letters_of_the_text_itself(spark):
+    rows = [("a\x01b \x02t x\x03s", "a b t x s"), ("a\x01 t", "a't"), ("\x02 s", "'s"), ("I t s\x01 d", "I't s'd"), ("\x01", None)]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "t string").coalesce(1)
+    got = [r[0] for r in df.select(clean_text("t")).collect()]
+    assert [g.strip() if g else g for g in got] == [b for _, b in rows]

@@ -1,8 +1,8 @@
 """Scalar text functions (Column -> Column), all native Spark expressions.
 
 ``clean_text`` is linear in the text length and runs entirely inside the JVM:
-the text is split into words, each word is rewritten with built-in string
-expressions, and contraction suffixes are glued back with marker characters.
+words are separated by a marker, all words of a text are rewritten at once by
+built-in string expressions, and contraction suffixes are glued back.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ MOJIBAKE = [
 ]
 CONTRACTION_SUFFIXES = ["t", "s", "d", "ll", "ve", "re", "m"]
 BROKEN_TRIPLE = "[^Ä]?Ä.?"       # any other sequence around the marker letter
-LINK = "htt.*"                   # from the first 'htt' to the end of the word
+LINK = "htt[^\x01]*"             # from the first 'htt' to the end of the word
 AMPERSAND = ("&amp;", "and")
-NOT_BASIC = "[^a-zA-Z0-9_.,:']+"  # runs of characters the cleaner drops
+# Runs of characters the cleaner drops (markers stay).  \w is [a-zA-Z_0-9], a table
+# look-up; written as ranges the class costs twenty times as much.
+NOT_BASIC = r"[^\w.,:'\x01\x02]+"
 TRASH_RESULTS = ["", "..."]
 # ---- end of fixed values -----------------------------------------------------
 
-_SEP = "\x01"      # word separator while gluing suffixes
+_SEP = "\x01"      # word separator
 _SUF = "\x02"      # marks a word that is a contraction suffix
 _GLUE = "\x03"     # separates a word from its glued suffixes
 
@@ -41,22 +43,27 @@ def _col(c) -> Column:
 
 
 def split_words(text) -> Column:
-    """Split on Unicode whitespace, no empty tokens."""
-    return F.filter(F.split(_col(text), WHITESPACE), lambda w: w != F.lit(""))
+    """X1 on a whole text: its words (split on Unicode whitespace, no empty
+    tokens), separated by one marker.  Marker letters of the text itself become
+    another letter that the cleaner drops."""
+    own = F.regexp_replace(_col(text), f"[{_SEP}{_SUF}{_GLUE}]", "-")
+    return F.btrim(F.regexp_replace(own, WHITESPACE, _SEP), F.lit(_SEP))
 
 
-def fix_mojibake(word) -> Column:
+def fix_mojibake(word, separator: str = "") -> Column:
     """The seven known triples to punctuation, any other triple around the
-    marker letter to one space (always terminates, see SURVEY Q14)."""
+    marker letter to one space (always terminates, see SURVEY Q14).  With a
+    separator for all words of a text at once."""
     w = _col(word)
     for bad, good in MOJIBAKE:
         w = F.replace(w, F.lit(bad), F.lit(good))
-    return F.regexp_replace(w, BROKEN_TRIPLE, " ")
+    triple = f"[^Ä{separator}]?Ä[^{separator}]?" if separator else BROKEN_TRIPLE
+    return F.regexp_replace(w, triple, " ")
 
 
-def strip_links(word) -> Column:
-    """X4."""
-    return F.regexp_replace(_col(word), LINK, " ")
+def strip_links(words) -> Column:
+    """X4, in each of the separated words."""
+    return F.regexp_replace(_col(words), LINK, " ")
 
 
 def decode_amp(word) -> Column:
@@ -64,20 +71,30 @@ def decode_amp(word) -> Column:
     return F.replace(_col(word), F.lit(AMPERSAND[0]), F.lit(AMPERSAND[1]))
 
 
-def keep_basic_chars(word) -> Column:
-    """Runs outside the basic set become one space, then trim."""
-    return F.trim(F.regexp_replace(_col(word), NOT_BASIC, " "))
+def keep_basic_chars(words) -> Column:
+    """X6, in each of the separated words: runs outside the basic set become one
+    space."""
+    return F.regexp_replace(_col(words), NOT_BASIC, " ")
 
 
-def _clean_word(word: Column) -> Column:
-    """X2, then a contraction suffix gets its marker, any other word X4-X6.
+def _once(value: Column, use) -> Column:
+    """use(value), with `value` evaluated once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    A suffix holds no marker letter and X2 never yields a suffix, so the
-    suffix test reads the raw word; X2 runs only on words holding the letter.
+
+def _clean_words(marked: Column) -> Column:
+    """X2, then a contraction suffix gets its marker, any other word X4-X6; all
+    words of a text at once, since no pattern crosses a separator.
+
+    X2 never yields a suffix, so the suffix test may read its result; X2 runs only
+    on texts holding the letter.  X6 leaves at most one space at the ends of a
+    word, which goes beside the separator.
     """
-    decoded = F.when(F.instr(word, "Ä") > 0, fix_mojibake(word)).otherwise(word)
-    return F.when(word.isin(*CONTRACTION_SUFFIXES), F.concat(F.lit(_SUF), word)) \
-        .otherwise(keep_basic_chars(decode_amp(strip_links(decoded))))
+    decoded = _once(marked, lambda t: F.when(F.instr(t, "Ä") > 0, fix_mojibake(t, _SEP)).otherwise(t))
+    suffixes = F.regexp_replace(
+        decoded, f"(\\A|{_SEP})({'|'.join(CONTRACTION_SUFFIXES)})(?={_SEP}|\\z)", f"$1{_SUF}$2")
+    basic = keep_basic_chars(decode_amp(strip_links(suffixes)))
+    return F.trim(F.replace(F.replace(basic, F.lit(f" {_SEP}"), F.lit(_SEP)), F.lit(f"{_SEP} "), F.lit(_SEP)))
 
 
 def _glue_piece(piece: Column) -> Column:
@@ -85,13 +102,14 @@ def _glue_piece(piece: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), F.size(parts) - 1), F.array_join(parts, "'"))
 
 
-def merge_contractions(words) -> Column:
-    """X3 on an array of cleaned words whose suffixes carry the marker: glue
+def merge_contractions(words: Column) -> Column:
+    """X3 on cleaned, separated words whose suffixes carry the marker: glue
     each suffix to the previous word with an apostrophe; every absorbed slot
     stays as an empty word (one extra space before the merged word)."""
-    joined = F.replace(F.array_join(_col(words), _SEP), F.lit(_SEP + _SUF), F.lit(_GLUE))
-    pieces = F.split(joined, _SEP)
-    text = F.array_join(F.transform(pieces, _glue_piece), " ")
+    joined = F.replace(words, F.lit(_SEP + _SUF), F.lit(_GLUE))
+    text = _once(joined, lambda t: F.when(
+        F.instr(t, _GLUE) > 0, F.array_join(F.transform(F.split(t, _SEP), _glue_piece), " "))
+        .otherwise(F.replace(t, F.lit(_SEP), F.lit(" "))))
     # a suffix in first position has nothing before it: an ordinary word (Q15);
     # its marker is the only one left (word content never holds a marker)
     return F.replace(text, F.lit(_SUF), F.lit(""))
@@ -106,11 +124,10 @@ def _null_if_trash(out: Column) -> Column:
 def clean_text(text) -> Column:
     """X1-X6, join by one space, trim; '' and '...' become null. Case kept.
 
-    One native expression, linear in the text: split, per-word rewrite,
-    marker-based gluing of contraction suffixes, join.
+    One native expression, linear in the text: words separated by a marker,
+    rewritten by passes over the whole text, contraction suffixes glued.
     """
-    words = F.transform(split_words(text), _clean_word)
-    return _null_if_trash(F.trim(merge_contractions(words)))
+    return _null_if_trash(F.trim(merge_contractions(_clean_words(split_words(text)))))
 
 
 def post_text(record) -> Column:
