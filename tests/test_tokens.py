@@ -93,3 +93,21 @@ def test_rows_without_holes_stay(spark, monkeypatch):
     monkeypatch.undo()
     plan = TK.encode(df, v.where("length(token) < 5"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1          # the test's own repartition
+
+
+def test_only_missing_words_are_written(spark, monkeypatch):
+    """Beside its ids a row is written with the words at its holes, not all words;
+    stretches of a batch give the ids of the whole."""
+    rows = [(1, ["b", "a", "b", "zz"]), (2, None), (3, []), (4, ["a", "q", None, "zz", "a"])]
+    df = spark.createDataFrame(rows, "k long, words array<string>").coalesce(1)
+    v = TK.build_vocab(spark.createDataFrame([(["a"] * 5 + ["b"] * 4 + ["zz"] * 3,)], "words array<string>"))
+    written = []
+    plain = TK.materialize
+    monkeypatch.setattr(TK, "BROADCAST_WORDS", 1)
+    monkeypatch.setattr(TK, "STRETCH", 2)
+    monkeypatch.setattr(TK, "materialize", lambda d, name: written.append(plain(d, name)) or written[-1])
+    got = {r.k: r.input_ids for r in TK.encode(df, v).collect()}
+    assert got == {1: [2, 5, 4, 5, 6, 3], 2: [2, 3], 3: [2, 3], 4: [2, 4, 1, 1, 6, 4, 3]}
+    assert sorted(written[0].columns) == ["__ids", "__missing", "__row", "k"]
+    assert {r["k"]: r["__missing"] for r in written[0].collect()} == {
+        1: ["b", "b", "zz"], 2: None, 3: [], 4: ["q", None, "zz"]}

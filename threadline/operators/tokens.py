@@ -5,13 +5,14 @@ corpus (or supplied as a table), whole by default.
 
 Ids are looked up where the row lies: the most frequent words are a dictionary of
 a bounded size, broadcast, and one vectorised look-up turns a row's words into its
-ids.  Words beyond it leave holes.  Only those occurrences are exploded, joined to
-the rest of the vocabulary and sent back to their row; a row without holes is
-never shuffled.  Sub-words need no join at all, since their vocabulary is bounded.
+ids.  Words beyond it leave holes and are listed beside the ids.  Only those are
+exploded, joined to the rest of the vocabulary and sent back to their row; a row
+without holes is never shuffled.  Sub-words need no join at all, since their vocabulary is bounded.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ FIRST_WORD_ID = 4
 BROADCAST_WORDS = 65_536        # words of the dictionary, always, of at most LONG_WORD letters
 LONG_WORD = 40
 HOLE = -1                       # an id that the dictionary doesn't hold
-HELD_TOKENS = 200_000           # distinct tokens a task keeps the pieces of
+HELD_TOKENS = 50_000            # distinct tokens a task keeps the pieces of
+STRETCH = 1 << 18               # words or tokens that a task works on at a time
 
 
 def words_of(cleaned) -> Column:
@@ -63,23 +65,59 @@ def list_of(values: pa.Array, sizes: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on between
+    stages, and what they keep counts against the executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):                    # another C library: it keeps what it keeps
+        pass
+
+
+def stretches(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """A batch of lists in stretches of about STRETCH values (one list at least),
+    so that what a worker holds beside a batch doesn't follow its size."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STRETCH, side="right")))
+        yield lists.slice(lo, hi - lo)
+        lo = hi
+    give_back()
+
+
 def dictionary_ids(words: Column, dictionary) -> Column:
-    """The id of each word by a broadcast (words, ids), else HOLE."""
-    @F.arrow_udf("array<int>")
-    def look_up(batch: pa.Array) -> pa.Array:
+    """(ids, missing): the id of each word by a broadcast (words, ids), else HOLE,
+    and the words at the holes in order; null for a null list."""
+    @F.arrow_udf("struct<ids:array<int>,missing:array<string>>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, ids = dictionary.value
-        at = pc.index_in(batch.flatten(), value_set=known)
-        return list_of(pc.fill_null(ids.take(at), HOLE), pc.list_value_length(batch))
+        for batch in batches:
+            parts = []
+            for words in stretches(batch):
+                flat, sizes = words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                found = pc.fill_null(ids.take(pc.index_in(flat, value_set=known)), HOLE)
+                hole = pc.equal(found, HOLE)
+                row = np.repeat(np.arange(len(words)), sizes)[hole.to_numpy(zero_copy_only=False)]
+                holes = pa.array(np.bincount(row, minlength=len(words)), pa.int64())
+                parts.append(pa.StructArray.from_arrays(
+                    [list_of(found, pa.array(sizes)), list_of(flat.filter(hole), holes)],
+                    names=["ids", "missing"], mask=words.is_null()))
+            yield pa.concat_arrays(parts)
     return look_up(words)
 
 
 def filled(ids: Column, found: Column) -> Column:
     """ids with its holes filled in order."""
     @F.arrow_udf("array<int>")
-    def fill(batch: pa.Array, values: pa.Array) -> pa.Array:
-        flat = batch.flatten().to_numpy(zero_copy_only=False).copy()
-        flat[flat == HOLE] = values.flatten().to_numpy(zero_copy_only=False)
-        return list_of(pa.array(flat, pa.int32()), pc.list_value_length(batch))
+    def fill(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, values in batches:
+            flat = batch.flatten().to_numpy(zero_copy_only=False).copy()
+            flat[flat == HOLE] = values.flatten().to_numpy(zero_copy_only=False)
+            yield list_of(pa.array(flat, pa.int32()), pc.list_value_length(batch))
+            give_back()
     return fill(ids, found)
 
 
@@ -94,25 +132,25 @@ def encode(df: DataFrame, vocab: DataFrame, words_col: str = "words", out: str =
     dictionary = df.sparkSession.sparkContext.broadcast(tuple(
         pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in known.columns))
     words = F.col(words_col) if max_words is None else F.slice(words_col, 1, max_words)
-    rows = df.withColumn("__ids", dictionary_ids(words, dictionary))
+    rows = df.withColumn("__at", dictionary_ids(words, dictionary)).drop(words_col) \
+        .withColumns({"__ids": F.col("__at.ids"), "__missing": F.col("__at.missing")}).drop("__at")
     rest = vocab.where(~frequent)
     if rest.isEmpty():
-        rows = rows.withColumn("__ids", F.transform("__ids", lambda i: F.when(i == HOLE, UNK_ID).otherwise(i)))
+        rows = rows.drop("__missing").withColumn(
+            "__ids", F.transform("__ids", lambda i: F.when(i == HOLE, UNK_ID).otherwise(i)))
     else:
-        # written, so that a row keeps its number
-        rows = materialize(rows.withColumn("__words", words).withColumn("__row", F.monotonically_increasing_id()), "encoded")
-        has_hole = F.array_contains("__ids", HOLE)
-        at_hole = F.filter(F.transform("__words", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))),
-                           lambda s: F.get("__ids", s["pos"]) == HOLE)
-        holes = rows.where(has_hole).select("__row", F.explode(at_hole).alias("s")).select("__row", "s.pos", "s.token")
+        # written, so that a row keeps its number; only the words at holes go with it
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "encoded")
+        has_hole = F.size("__missing") > 0
+        holes = rows.where(has_hole).select("__row", F.posexplode("__missing").alias("pos", "token"))
         found = holes.join(rest.select("token", "id"), "token", "left").groupBy("__row").agg(
             F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("int").alias("id")))).alias("s"))
         mended = rows.where(has_hole).join(found.select("__row", F.col("s.id").alias("__found")), "__row") \
             .withColumn("__ids", filled(F.col("__ids"), F.col("__found")))
         whole = rows.where(F.coalesce(~has_hole, F.lit(True)))
-        rows = whole.unionByName(mended.drop("__found")).drop("__row", "__words")
+        rows = whole.unionByName(mended.drop("__found")).drop("__row", "__missing")
     body = F.coalesce("__ids", F.array().cast("array<int>"))
-    return rows.withColumn(out, F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))).drop("__ids", words_col)
+    return rows.withColumn(out, F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))).drop("__ids")
 
 
 def max_token_length(df: DataFrame, col: str = "input_ids") -> DataFrame:
@@ -251,16 +289,20 @@ def wordpiece(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "inpu
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         split, held = trie.value, {}
         for batch in batches:
-            tokens = batch.flatten().dictionary_encode()
-            if len(held) > HELD_TOKENS:
-                held = {}
-            own = []
-            for t in tokens.dictionary.to_pylist():
-                if t not in held:
-                    held[t] = split(t)
-                own.append(held[t])
-            of_token = pa.array(own, pa.list_(pa.int32())).take(tokens.indices)
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(of_token).to_numpy(zero_copy_only=False))])
-            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
-            yield pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), of_token.flatten())
+            parts = []
+            for lists in stretches(batch):
+                tokens = lists.flatten().dictionary_encode()
+                if len(held) > HELD_TOKENS:
+                    held = {}
+                own = []
+                for t in tokens.dictionary.to_pylist():
+                    if t not in held:
+                        held[t] = array("i", split(t))
+                    own.append(held[t])
+                of_token = list_of(pa.array(np.concatenate([*own, np.zeros(0, np.int32)]), pa.int32()),
+                                   pa.array([len(x) for x in own], pa.int64())).take(tokens.indices)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(of_token).to_numpy(zero_copy_only=False))])
+                at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                parts.append(pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), of_token.flatten()))
+            yield pa.concat_arrays(parts)
     return df.withColumn(out, F.concat(F.array(F.lit(CLS_ID)), pieces(F.col(tokens_col)), F.array(F.lit(SEP_ID))))

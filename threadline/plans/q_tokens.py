@@ -52,7 +52,7 @@ def q_build_vocab(spark, sf):
 @register("encode_words", sql=_SQL_WORDS + """
 SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, CAST(len(input_ids) AS INTEGER) AS n_ids FROM enc""")
 def q_encode_words(spark, sf):
-    w = _words(spark, sf)
+    w = _words(spark, sf).select("doc_id", "words")
     enc = TK.encode(w, TK.build_vocab(w))
     return enc.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
                       F.size("input_ids").alias("n_ids"))
@@ -64,7 +64,7 @@ _PAD_OUT = """SELECT doc_id, array_to_string(padded, ' ') AS padded,
 
 @register("pad_and_mask", sql=_SQL_WORDS + _PAD_OUT)
 def q_pad_and_mask(spark, sf):
-    w = _words(spark, sf)
+    w = _words(spark, sf).select("doc_id", "words")
     enc = TK.encode(w, TK.build_vocab(w))
     padded = enc.select("doc_id", pad_or_truncate("input_ids", MAX_LEN, TK.PAD_ID).alias("padded"))
     return padded.select("doc_id", F.array_join("padded", " ").alias("padded"),
@@ -73,7 +73,7 @@ def q_pad_and_mask(spark, sf):
 
 @register("max_token_length", sql=_SQL_WORDS + "SELECT CAST(max(len(input_ids)) AS BIGINT) AS max_len FROM enc")
 def q_max_token_length(spark, sf):
-    w = _words(spark, sf)
+    w = _words(spark, sf).select("words")
     return TK.max_token_length(TK.encode(w, TK.build_vocab(w)))
 
 
