@@ -74,3 +74,19 @@ def test_refresh_rewrites_touched_folders_only(spark, tmp_path):
     assert got == want
     again = tree(path)
     assert store.refresh(updates.where("id = 1000000000")) == 0 and tree(path) == again
+
+
+def test_folders_do_not_grow_with_the_posts(spark, tmp_path):
+    """Ranges widen with the ids; whatever they are, a pull is that of the plain join."""
+    for n, (factor, first) in enumerate([(1, 0), (1000, -7), (10 ** 12, 5)]):
+        rows = posts(spark).withColumn("id", F.col("id") * factor + first)
+        store = PostStore.fitting(str(tmp_path / f"posts{n}"), rows, buckets=4, ranges=8, least=10)
+        store.append(rows)
+        assert store.read(spark).select("id_range").distinct().count() <= 8
+        handles = rows.select("handle").distinct()
+        cursors = rows.groupBy("handle").agg(F.floor(F.avg("id")).alias("since_id"))
+        got = store.pull(handles, cursors).select("handle", "id")
+        want = pull_new_posts(rows, handles, cursors).select("handle", "id")
+        assert sorted(got.collect()) == sorted(want.collect())
+    empty = posts(spark, 0)
+    assert PostStore.fitting(str(tmp_path / "none"), empty, least=10).span == 10

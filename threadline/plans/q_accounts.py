@@ -16,7 +16,7 @@ from threadline.session import scratch_path
 from threadline.sources.store import PostStore
 
 QUOTA_AT_SMALL_SF = 80      # the audit quota used on the driver tables (FIXTURES)
-SPAN_AT_SMALL_SF = 1000     # ids per range of the stored posts
+SPAN_AT_SMALL_SF = 1000     # ids per range of the stored posts, at least
 
 _P = fx.with_ctes
 _POSTS_COLS = "handle, created_at, favorite_count, full_text, id, retweet_count"
@@ -39,9 +39,11 @@ def q_pull_new_posts(spark, sf):
 @register("pull_landed", sql=_PULL)
 def q_pull_landed(spark, sf):
     """S5 + S4 on a stored collection: posts are landed by handle bucket and id
-    range, and the pull reads only the folders that its cursors leave."""
-    store = PostStore(scratch_path(spark, "landed"), buckets=8, span=SPAN_AT_SMALL_SF)
-    store.append(fx.posts(spark, sf))
+    range, and the pull reads only the folders that its cursors leave.  Ranges
+    widen with the ids, so the folders stay at most 8 x 64."""
+    posts = fx.posts(spark, sf)
+    store = PostStore.fitting(scratch_path(spark, "landed"), posts, buckets=8, least=SPAN_AT_SMALL_SF)
+    store.append(posts)
     return store.pull(fx.post_handles(spark, sf), fx.cursors(spark, sf), fx.account_status(spark, sf))
 
 
@@ -169,8 +171,9 @@ def q_refresh_from_pull(spark, sf):
         .withColumn("retweet_count", F.col("retweet_count") + 5) \
         .withColumn("favorite_count", F.col("favorite_count") + 7)
     updates = updates_projection(again).withColumn("seq", F.lit(1))
-    store = PostStore(scratch_path(spark, "collection"), buckets=2, span=10 * SPAN_AT_SMALL_SF)
-    store.append(fx.posts_for_refresh(spark, sf))
+    posts = fx.posts_for_refresh(spark, sf)
+    store = PostStore.fitting(scratch_path(spark, "collection"), posts, buckets=2, least=10 * SPAN_AT_SMALL_SF)
+    store.append(posts)
     store.refresh(updates)
     return store.read(spark).dropna(subset=["created_at"]).select(
         "id", "handle", "created_at", "full_text", F.col("retweet_count").alias("retweets"),

@@ -36,6 +36,15 @@ class PostStore:
     buckets: int = 32
     span: int = 1 << 48
 
+    @classmethod
+    def fitting(cls, path: str, posts: DataFrame, buckets: int = 32, ranges: int = 64, least: int = 1) -> PostStore:
+        """A store whose first batch takes at most `ranges` id ranges a bucket, so
+        that the folders don't grow with the posts: a range spans at least `least`
+        ids and a share of the batch's ids otherwise."""
+        low, high = posts.agg(F.min("id"), F.max("id")).first()
+        share = 0 if low is None else -(-(high - low + 1) // (ranges - 1))       # a range is cut at both ends
+        return cls(path, buckets, max(least, share))
+
     def bucket(self, handle: str = "handle") -> Column:
         return F.pmod(F.xxhash64(handle), F.lit(self.buckets)).cast("int")
 
