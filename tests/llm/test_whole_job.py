@@ -168,3 +168,46 @@ def test_op9_with_labels_of_one_class(spark):
         got = op9.toxicity(docs, labels).collect()
         assert len(got) == 20 and all(r.predicted == y and abs(r.score - y) < 1e-9 for r in got)
     assert [r.score for r in op9.toxicity(docs, labels.limit(0)).limit(2).collect()] == [0.0, 0.0]
+
+
+def test_op5_shuffles_no_text_and_no_ids(documents):
+    plan = op5.documents(documents, op5.Model())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Generate" in plan
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_op5_names_of_units():
+    import re
+
+    import pyarrow as pa
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([" ", "\n", "ab", "c", "▁", "\0"][:rng.choice([4, 6])]) for _ in range(rng.randrange(9)))
+             for _ in range(3000)] + [None]
+    names, sizes, order = op5.keys_in(pa.array(texts, pa.string()))
+    names, ends = names.to_pylist(), sizes.cumsum()
+    for t, i in zip(texts, order):
+        units = re.findall(op5.UNIT, op5.MARK + t.replace(" ", op5.MARK)) if t else []
+        assert [op5.unit_of(k) for k in names[ends[i] - sizes[i]:ends[i]]] == units
+
+
+def test_op5_edges_of_another_string_go():
+    """Two strings of one hash: the edge is there, its characters are others."""
+    import numpy as np
+    model = op5.Model()
+    fold = op5.Fold(model)
+    ids = {p: i for p, i, _ in model.pieces}
+    true = [(0, ids["th"]), (1, ids["the"])]                       # places: th, the, he
+    false = [(1, ids["ing"]), (2, ids["th"]), (0, ids["the"])]
+    edges = [np.array([(place << op5.ID_BITS) + i for place, i in e]) for e in (true, true + false)]
+    tables = [op5.Lattice(["the"], 0, e, fold).ids for e in edges]
+    assert (tables[0] == tables[1]).all() and tables[0][0, 2] == ids["th"] and tables[0][0, 3] == ids["the"]
+
+
+@pytest.mark.parametrize("text", ["word. word, word; a.b,c (d) e-mail: 3.14 5,000! x_y z\"", "été, 中文。 ½. x²,y"])
+def test_op5_cuts_before_marks(spark, text):
+    import public_tokenizers as files
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=files.path(op5.MODEL))
+    assert op5.Model().closers().split("▁word,") == ["▁word", ","]
+    row = op5.documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), op5.Model()).first()
+    assert row.ids == sp.encode(text) and row.round_trip

@@ -5,30 +5,37 @@ put in front, and it is cut before each run of marks and around line ends.  No
 piece of the model crosses such a cut (checked when the model is read), so the
 ids of a text are the ids of its units in a row.
 
-1. Lexicon: Spark counts the distinct units of all whole texts.
-2. Lattice: substrings of up to the longest piece's length are exploded and
-   equi-joined to the piece table (bounded by the model file, broadcast); the
-   matching edges are grouped by unit.  Distinct units are hashed by unit, and
-   neither the explosion nor the join moves a row, so this shuffles nothing.
-3. Fold: a Spark higher-order aggregate folds the edges of a unit into its best
-   path.  `viterbi` keeps the best score and last edge for every position: the
-   rule of unigram models.  `merges` is the rule of BPE models: from single
-   characters, take the best-scored edge that spans exactly two neighbours,
-   leftmost first, until none is left.  A BPE model's scores are merge ranks and
-   not log probabilities, so Viterbi over them gives other ids than the library
-   (on 70 % of the distinct words measured); the model's own type decides.
+1. Lexicon: Spark counts the distinct units of all whole texts.  The `FREQUENT`
+   commonest (a bound of rows, of at most `LONG` characters; units of one count all
+   or none) are encoded once and sent to the tasks as a dictionary; it saves work
+   and decides no id.
+2. Lattice: a task cuts its texts into stretches of about `STRETCH` bytes.  The
+   distinct units of a stretch that the dictionary lacks are cut once more, before
+   marks like commas (again where no piece of the model crosses), and the parts that
+   it lacks exploded into all substrings of two characters up to the longest piece's length, each as a
+   64-bit hash, and equi-joined to the piece table (bounded by the model file, broadcast).  A hash
+   that several strings share gives edges too many; they are compared character by
+   character and go.  Neither the explosion nor the join moves a row, so this
+   shuffles nothing and writes nothing.
+3. Fold: behind the edges of some units (`CHUNK` characters) comes one row that
+   holds the units, and behind those of a stretch one with its texts' units by
+   number.  The task folds the edges of all units of a chunk into their best paths,
+   a position or a merge of every unit at a time.  `viterbi` keeps the best score and last edge
+   for every position: the rule of unigram models.  `merges` is the rule of BPE
+   models: from single characters, take the best-scored edge that spans exactly
+   two neighbours, leftmost first, until none is left.  A BPE model's scores are
+   merge ranks and not log probabilities, so Viterbi over them gives other ids than
+   the library (on 70 % of the distinct words measured); the model's own type decides.
    Characters without a piece become their UTF-8 bytes.
-4. Units back to documents: the `FREQUENT` commonest units (a bound of rows, of
-   at most `LONG` characters) are looked up from a broadcast dictionary where the
-   text lies; any other occurrence leaves a hole in the text's ids, joins the
-   lexicon by a shuffle and fills the hole.
+4. Documents: the ids of a text are those of its units in a row, put together where
+   the text lies.
 
 Decoding turns the ids of a whole document back into text: ids to pieces, byte
 pieces to characters, marks to spaces, and one leading space goes.  A document
 survives (`round_trip`) if that is its own text; one that holds the mark itself
-does not, as in the library.  The two are compared by their SHA-256, so that no
-text is shuffled.  Units longer than `LONG` characters are merged by a heap in
-a task of their own kind (the same rule; a lattice of theirs would be quadratic).
+does not, as in the library.  The two are compared by their SHA-256.  Units longer
+than `LONG` characters are merged by a heap (the same rule; a lattice of theirs
+would be quadratic).
 Null or empty text: no unit, no id.  Repeated rows and null ids: each row on its
 own.
 """
@@ -37,19 +44,27 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import re
+import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import columns, materialize, mix64, partitions, slices, table, texts_of
+from threadline.llm.common import chunks, columns, give_back, materialize, mix64, sized, slices, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
-FREQUENT = 65_536
+FREQUENT = 131_072
 LONG = 64
+STRETCH = 4 << 20               # bytes of text whose distinct units are encoded once
+CHUNK = 1 << 16                 # characters of units folded side by side
 MARK = "▁"
+# an edge is one number: the unit's number in its task, the substring's place in it, the piece's id
+ID_BITS, POS_BITS = 20, 11
 UNIT = f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
 
 
@@ -64,6 +79,8 @@ class Model:
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in plain]
         self.longest = max(len(p) for p, _, _ in self.pieces)
+        if self.longest * LONG >= 1 << POS_BITS or max(ids) >= 1 << ID_BITS:
+            raise ValueError("an edge of this model doesn't fit a number")
         self.first_byte = next(i for i in ids if sp.is_byte(i) and sp.id_to_piece(i) == "<0x00>")
         ranks = sorted(s for _, _, s in self.pieces)
         # merge ranks are whole numbers, log probabilities are not
@@ -72,7 +89,18 @@ class Model:
             raise ValueError("a piece crosses a unit boundary of this model")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        """(key, id) of the pieces of two characters and more."""
+        many = [(p, i) for p, i, _ in self.pieces if len(p) > 1]
+        size = np.array([len(p) for p, _ in many])
+        keys = hashes(code_points([p for p, _ in many]), self.longest)[np.cumsum(size) - size, size - 2].view(np.int64)
+        return spark.createDataFrame([(k, i) for k, (_, i) in zip(keys.tolist(), many)], "key long, id int")
+
+    def closers(self) -> re.Pattern:
+        """Matches between a letter or digit and a mark that no piece has behind one."""
+        marks = set(string.punctuation)
+        for p, _, _ in self.pieces:
+            marks -= {b for a, b in zip(p, p[1:]) if a.isalnum()}
+        return re.compile(f"(?<=[^\\W_])(?=[{re.escape(''.join(sorted(marks)))}])" if marks else "(?!)")
 
 
 def marked(text: Column) -> Column:
@@ -80,102 +108,257 @@ def marked(text: Column) -> Column:
     return F.when(t == "", t).otherwise(F.concat(F.lit(MARK), F.replace(t, F.lit(" "), F.lit(MARK))))
 
 
+def key_of(unit: str) -> str:
+    """A unit's short name: without its first mark; one that has none stands behind
+    a line end."""
+    return unit[1:] if unit[0] == MARK else unit if unit == "\n" else "\n" + unit
+
+
+def unit_of(key: str) -> str:
+    return MARK + key if key[:1] != "\n" else key[1:] or key
+
+
+def keys_of(text: str) -> list[str]:
+    """The units of a text by short names."""
+    return list(map(key_of, re.findall(UNIT, MARK + text.replace(" ", MARK)))) if text else []
+
+
+def keys_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(short names of all units, numbers of units, place of each text among them):
+    texts with single spaces between words, nearly all, are split at those, and the
+    others come behind them."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.equal(texts, "")
+    for test, what in ((pc.starts_with, " "), (pc.ends_with, " "), (pc.match_substring, "  "), (pc.match_substring, " \n"),
+                       (pc.match_substring, MARK), (pc.match_substring, "\0")):
+        odd = pc.or_(odd, test(texts, what))
+    lists = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n \0"), " ")
+    words = lists.flatten()
+    keep = pc.not_equal(words, "\0")                      # a line that is empty or begins with a space
+    words = pc.replace_substring(words.filter(keep), "\0", "\n")
+    kept = np.append(0, np.cumsum(keep.to_numpy(zero_copy_only=False)))
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    others = [keys_of(t) for t in texts.filter(odd).to_pylist()]
+    found = pa.concat_arrays([words, pa.array([k for o in others for k in o], pa.string())])
+    odd = odd.to_numpy(zero_copy_only=False)
+    return found, np.append(np.diff(kept[ends]), [len(o) for o in others]).astype(np.int64), np.argsort(
+        np.argsort(odd, kind="stable"), kind="stable")
+
+
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(unit, n) over all whole texts."""
-    return (docs.select(F.explode(F.regexp_extract_all(marked(F.col(text_col)), F.lit(UNIT), F.lit(0))).alias("unit"))
-            .groupBy("unit").agg(F.count("*").alias("n")))
-
-
-def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, edges): all pieces inside each unit as (cost, start, end, id),
-    least cost first.  units: (unit), distinct.  Dealt by unit once; the rest
-    stays in the task."""
-    spark = units.sparkSession
-    starts = (units.select("unit").repartition(partitions(spark), "unit")
-              .select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at")))
-    size = F.least(F.lit(model.longest), F.length("unit") - F.col("at") + 1)
-    subs = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), size)).alias("size"))
-    subs = subs.withColumn("piece", F.substring(F.col("unit"), F.col("at"), F.col("size")))
-    found = subs.join(F.broadcast(model.table(spark)), "piece", "left").where(
-        F.col("id").isNotNull() | (F.col("at") + F.col("size") == 2))       # a unit without pieces stays
-    edge = F.when(F.col("id").isNotNull(), F.struct(
-        (-F.col("score")).alias("cost"), (F.col("at") - 1).alias("start"),
-        (F.col("at") + F.col("size") - 1).alias("end"), "id"))
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def span(start: Column, end: Column) -> Column:
-    return start * (LONG + 1) + end
-
-
-def merge_fold(unit: Column, edges: Column) -> Column:
-    """(bounds, late): boundaries of the unit's ids, taking edges best first.
-
-    One pass over the edges is the merge rule as long as no merge makes a
-    better-scored edge possible that was passed before; `late` tells if one did."""
-    multi = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    cost = F.map_from_entries(F.transform(multi, lambda e: F.struct(span(e["start"], e["end"]), e["cost"])))
-    begin = F.struct(F.sequence(F.lit(0), F.length(unit)).alias("bounds"), F.lit(False).alias("late"))
-
-    def step(acc: Column, e: Column) -> Column:
-        bounds = acc["bounds"]
-        at = F.array_position(bounds, e["start"]).cast("int")
-        fits = (at > 0) & (F.get(bounds, at + 1) == e["end"])
-
-        def better(start, end):
-            return F.coalesce(F.try_element_at(cost, span(start, end)) < e["cost"], F.lit(False))
-        late = acc["late"] | better(F.get(bounds, at - 2), e["end"]) | better(e["start"], F.get(bounds, at + 2))
-        return F.when(F.coalesce(fits, F.lit(False)), F.struct(
-            F.array_remove(bounds, F.get(bounds, at)).alias("bounds"), late.alias("late"))).otherwise(acc)
-    return F.aggregate(multi, begin, step)
-
-
-def late_fold(unit: Column, edges: Column) -> Column:
-    """The merge rule step by step, for the few units where one pass isn't it:
-    each step takes the best edge that spans exactly two neighbours."""
-    multi = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-
-    def step(bounds: Column, _):
-        def fits(e):
-            at = F.array_position(bounds, e["start"]).cast("int")
-            return (at > 0) & (F.get(bounds, at + 1) == e["end"])
-        first = F.get(F.filter(multi, fits), F.lit(0))
-        return F.when(first.isNull(), bounds).otherwise(
-            F.filter(bounds, lambda b: (b <= first["start"]) | (b >= first["end"])))
-    n = F.length(unit)
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
-
-
-def viterbi_fold(unit: Column, edges: Column) -> Column:
-    """Boundaries of the path of least cost; unknown characters cost more than
-    any path; ties go to the longer last piece."""
-    unknown = F.lit(1e6)
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("path")))
-
-    def step(best: Column, end: Column):
-        one = F.get(best, end - 1)
-        ways = F.concat(
-            F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: F.struct(
-                (F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"))),
-            F.array(F.struct((one["cost"] + unknown).alias("cost"), (end - 1).alias("start"))))
-        win = F.array_min(ways)
-        return F.concat(best, F.array(F.struct(
-            win["cost"].alias("cost"),
-            F.concat(F.get(best, win["start"])["path"], F.array(end)).alias("path"))))
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(unit)), start, step), -1)["path"]
-
-
-def path_ids(unit: Column, edges: Column, bounds: Column, model: Model) -> Column:
-    known = F.map_from_entries(F.transform(edges, lambda e: F.struct(span(e["start"], e["end"]), e["id"])))
-
-    def ids(a, b):
-        piece = F.try_element_at(known, span(a, b))
-        raw = F.hex(F.encode(F.substring(unit, a + 1, b - a), "UTF-8"))
-        return F.when(piece.isNotNull(), F.array(piece)).otherwise(F.transform(
-            F.sequence(F.lit(1), F.length(raw), F.lit(2)),
-            lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + model.first_byte))
-    return F.flatten(F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1),
-                                F.slice(bounds, F.lit(2), F.size(bounds) - 1), ids))
+    """(unit, n) over all whole texts; a task counts a stretch before it sends."""
+    def count(batches):
+        for b in sized(batches, "text", STRETCH):
+            found = keys_in(b.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([pa.array(map(unit_of, found.field(0).to_pylist()), pa.string()), found.field(1)],
+                                             names=["unit", "n"])
+    return (docs.select(F.col(text_col).alias("text")).mapInArrow(count, "unit string, n long")
+            .groupBy("unit").agg(F.sum("n").alias("n")))
+
+
+def code_points(units: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def hashes(codes: np.ndarray, longest: int) -> np.ndarray:
+    """[at, size - 2]: hash of the `size` characters from `at` on, two at least."""
+    out = np.zeros((len(codes), longest - 1), dtype=np.uint64)
+    one, h = codes.astype(np.uint64) + np.uint64(1), np.zeros(len(codes), dtype=np.uint64)
+    for k in range(min(longest, len(codes))):
+        h = h[:len(codes) - k] * np.uint64(0x9E3779B97F4A7C15) + one[k:]
+        if k:
+            out[:len(h), k - 1] = h ^ (h >> np.uint64(29))
+    return out
+
+
+def inside(sizes: np.ndarray, longest: int) -> np.ndarray:
+    """[at, size - 2]: does that substring end inside its unit?"""
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+    return np.arange(1, longest) < left[:, None]
+
+
+def stretch_rows(units: list[str], first: int, longest: int, held) -> Iterator[pa.RecordBatch]:
+    """A stretch's distinct units by chunks, numbered from `first`: their substrings,
+    and behind them the row that holds the units.  The last holds `held` as well:
+    whatever the stretch needs after the fold."""
+    cuts = list(chunks(map(len, units), CHUNK)) or [(0, 0)]
+    for lo, hi in cuts:
+        own = units[lo:hi]
+        short = [i for i, u in enumerate(own) if len(u) <= LONG]
+        sizes = np.array([len(own[i]) for i in short], dtype=np.int64)
+        fits = inside(sizes, longest)
+        keys = hashes(code_points([own[i] for i in short]), longest)[fits].view(np.int64)
+        ends = np.cumsum(np.append(0, fits.sum(axis=1)))[np.append(0, np.cumsum(sizes))]
+        substrings = pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1]), pa.int32()), pa.array(keys))
+        rest = pickle.dumps((first + lo, own, (held,) if hi == cuts[-1][1] else None), protocol=5)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([first + lo + i for i in short] + [None], pa.int64()), substrings,
+             pa.array([None] * len(short) + [rest], pa.binary())], names=["number", "substrings", "held"])
+
+
+STRETCHES = "number long, substrings array<long>, held binary"
+
+
+def lattice(stretches: DataFrame, model: Model) -> DataFrame:
+    """(edge, held): all pieces inside each unit, and the held rows, in the order of
+    the stretches.  stretches: see `stretch_rows`.  Nothing leaves its task."""
+    subs = stretches.select("number", "held", F.posexplode_outer("substrings").alias("pos", "key"))
+    found = subs.join(F.broadcast(model.table(stretches.sparkSession)), "key", "left").where(
+        F.col("id").isNotNull() | F.col("held").isNotNull())
+    return found.select((F.shiftleft("number", POS_BITS + ID_BITS) + F.shiftleft(F.col("pos").cast("long"), ID_BITS)
+                         + F.col("id")).alias("edge"), "held")
+
+
+class Lattice:
+    """The edges of some units as a table: row = character, column = size."""
+
+    def __init__(self, units: list[str], first: int, edges: np.ndarray, model: Fold):
+        self.units, self.model, self.beyond = units, model, model.longest + 1
+        self.sizes = np.array([len(u) if len(u) <= LONG else 0 for u in units], dtype=np.int64)
+        self.base = np.cumsum(self.sizes) - self.sizes
+        number = (edges >> (ID_BITS + POS_BITS)) - first
+        if len(edges) and not (0 <= number.min() and number.max() < len(units)):
+            raise RuntimeError("an edge came behind the units it belongs to")
+        fits = inside(self.sizes, model.longest)
+        begin = np.append(0, np.cumsum(fits.sum(axis=1)))[self.base]        # of a unit's substrings
+        where = np.flatnonzero(fits)[begin[number] + (edges >> ID_BITS & ((1 << POS_BITS) - 1))]
+        row, size, ids = where // (model.longest - 1), where % (model.longest - 1) + 2, edges & ((1 << ID_BITS) - 1)
+        codes = code_points([u for u in units if len(u) <= LONG])
+        same = model.sizes[ids] == size
+        at = np.flatnonzero(same)
+        for k in range(model.longest):                    # the hash's word is not taken for it
+            at = at[size[at] > k]
+            same[at] &= codes[row[at] + k] == model.codes[ids[at], k]
+        self.ids = np.full((len(codes), self.beyond + 1), -1, dtype=np.int32)
+        self.ids[row[same], size[same]] = ids[same]
+        one = np.minimum(np.searchsorted(model.one, codes), len(model.one) - 1)
+        self.ids[:, 1] = np.where(model.one[one] == codes, model.one_ids[one], -1)
+
+    def cost(self, row: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.model.costs[self.ids[row, np.minimum(size, self.beyond)]]
+
+    def merges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, row) of the symbols left when no pair of neighbours is a piece.
+        Every round merges the best pair of each unit, leftmost first."""
+        unit = np.repeat(np.arange(len(self.units)), self.sizes)
+        row = np.arange(len(unit))
+        done = []
+        while len(row):
+            end = (self.base + self.sizes)[unit]
+            nxt = np.append(row[1:], -1)
+            nxt = np.where(np.append(unit[1:], -1) == unit, nxt, end)     # where the symbol ends
+            last = nxt == end
+            stop = np.where(last, end, np.append(nxt[1:], 0))             # where its neighbour ends
+            cost = np.where(last, np.inf, self.cost(row, stop - row))
+            heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            best = np.minimum.reduceat(cost, heads)
+            counts = np.diff(np.append(heads, len(row)))
+            going = np.repeat(np.isfinite(best), counts)
+            done.append((unit[~going], row[~going]))
+            hit = np.flatnonzero((cost == np.repeat(best, counts)) & going)
+            hit = hit[np.append(True, unit[hit][1:] != unit[hit][:-1])[:len(hit)]]
+            going[hit + 1] = False                                        # swallowed by its neighbour
+            unit, row = unit[going], row[going]
+        unit, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*done)) if done else (row, row)
+        order = np.argsort(row)
+        return unit[order], row[order]
+
+    def viterbi(self) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, row) of the symbols of the path of least cost; unknown characters
+        cost more than any path; ties go to the longer last piece."""
+        n, most = len(self.units), int(self.sizes.max(initial=0))
+        best = np.full((n, most + 1), np.inf)
+        best[:, 0] = 0
+        back = np.zeros((n, most + 1), dtype=np.int64)
+        for end in range(1, most + 1):
+            on = np.flatnonzero(self.sizes >= end)
+            for size in range(min(end, self.model.longest), 0, -1):
+                row = self.base[on] + end - size
+                edge = self.cost(row, np.full(len(row), size))
+                way = best[on, end - size] + (np.minimum(edge, 1e6) if size == 1 else edge)
+                better = way < best[on, end]
+                best[on[better], end], back[on[better], end] = way[better], size
+        unit, row, at = [], [], self.sizes.copy()
+        while (on := np.flatnonzero(at > 0)).size:
+            at[on] -= back[on, at[on]]
+            unit.append(on)
+            row.append(self.base[on] + at[on])
+        unit, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (unit, row))
+        order = np.argsort(row)
+        return unit[order], row[order]
+
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids): the ids of all units in a row."""
+        model = self.model
+        unit, row = self.merges() if model.merges else self.viterbi()
+        end = np.where(np.append(unit[1:], -1) == unit, np.append(row[1:], 0), (self.base + self.sizes)[unit])
+        ids = self.ids[row, end - row]
+        counts = np.bincount(unit, minlength=len(self.units))
+        odd = {u for u in unit[ids < 0].tolist()} | {i for i, u in enumerate(self.units) if len(u) > LONG}
+        if not odd:
+            return ids, counts
+        ends = np.cumsum(counts)
+        parts, lo = [], 0
+        for u in sorted(odd):                             # with bytes, or too long for the lattice
+            own = slice(ends[u] - counts[u], ends[u])
+            parts.append(ids[lo:own.start])
+            if len(self.units[u]) > LONG:
+                got = model.long(self.units[u])
+            else:
+                got = []
+                for r, i in zip(row[own] - self.base[u], ids[own]):
+                    got += [i] if i >= 0 else spelled(self.units[u][r], model.first_byte)
+            parts.append(np.array(got, dtype=np.int32))
+            lo, counts[u] = own.stop, len(got)
+        return np.concatenate([*parts, ids[lo:]]), counts
+
+
+class Fold:
+    """What tasks need of a model."""
+
+    def __init__(self, model: Model):
+        self.longest, self.merges, self.first_byte = model.longest, model.merges, model.first_byte
+        self.pieces = {p: (i, s) for p, i, s in model.pieces}
+        # the last one is that of no piece, -1
+        self.costs = np.full(2 + max(i for _, i, _ in model.pieces), np.inf)
+        for _, i, score in model.pieces:
+            self.costs[i] = -score
+        self.codes = np.zeros((len(self.costs), self.longest), dtype=np.uint32)
+        self.sizes = np.zeros(len(self.costs), dtype=np.int64)
+        for p, i, _ in model.pieces:
+            self.codes[i, :len(p)] = code_points([p])
+            self.sizes[i] = len(p)
+        single = sorted((ord(p), i) for p, i, _ in model.pieces if len(p) == 1)
+        self.one, self.one_ids = (np.array([x[k] for x in single] or [-1], dtype=np.int64) for k in range(2))
+
+    def long(self, unit: str) -> list[int]:
+        return heap_merge(unit, self.pieces, self.first_byte) if self.merges else viterbi_long(
+            unit, self.pieces, self.longest, self.first_byte)
+
+    def stretches(self, batches) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, object]]:
+        """(units, their ids in a row, numbers of ids, what was held) a stretch."""
+        edges: list[np.ndarray] = []
+        names, parts, numbers = [], [], []
+        for b in batches:
+            edge, held = b.column(0), b.column(1)
+            lo = 0
+            for i in np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                edges.append(edge.slice(lo, i - lo).to_numpy(zero_copy_only=False))
+                first, units, rest = pickle.loads(held[i].as_py())
+                ids, counts = Lattice(units, first, np.concatenate(edges).astype(np.int64), self).paths()
+                names, parts, numbers = names + units, [*parts, ids], [*numbers, counts]
+                edges, lo = [], i + 1
+                if rest:
+                    yield names, np.concatenate(parts), np.concatenate(numbers), rest[0]
+                    names, parts, numbers = [], [], []
+                    give_back()
+            edges.append(edge.slice(lo).to_numpy(zero_copy_only=False).copy())
+        if any(map(len, edges)) or parts:
+            raise RuntimeError("an edge came behind the units it belongs to")
+
+
+def spelled(char: str, first_byte: int) -> list[int]:
+    return [first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
 
 def heap_merge(unit: str, pieces: dict[str, tuple[int, float]], first_byte: int) -> list[int]:
@@ -206,59 +389,50 @@ def heap_merge(unit: str, pieces: dict[str, tuple[int, float]], first_byte: int)
     out, i = [], 0
     while i < n:
         got = pieces.get(unit[i:end[i]])
-        out += [got[0]] if got else [first_byte + b for b in unit[i:end[i]].encode("utf-8", "surrogatepass")]
+        out += [got[0]] if got else spelled(unit[i:end[i]], first_byte)
         i = after[i]
     return out
 
 
+def viterbi_long(u: str, pieces: dict[str, tuple[int, float]], longest: int, first_byte: int) -> list[int]:
+    """The path of least cost of one long unit under a unigram model."""
+    best, back = [0.0], [(0, None)]
+    for end in range(1, len(u) + 1):
+        ways = [(best[end - 1] + 1e6, end - 1, None)]
+        for start in range(max(0, end - longest), end):
+            got = pieces.get(u[start:end])
+            if got:
+                ways.append((best[start] - got[1], start, got[0]))
+        cost, start, piece = min(ways, key=lambda w: (w[0], w[1], w[2] is None))
+        best.append(cost)
+        back.append((start, piece))
+    out, end = [], len(u)
+    while end:
+        start, piece = back[end]
+        out.append([piece] if piece is not None else spelled(u[start:end], first_byte))
+        end = start
+    return [i for part in reversed(out) for i in part]
+
+
+def lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) for distinct units."""
-    edges = lattice(units.where(F.length("unit") <= LONG), model)
-    unit, e = F.col("unit"), F.col("edges")
-    if not model.merges:
-        return edges.select("unit", path_ids(unit, e, viterbi_fold(unit, e), model).alias("ids")).union(
-            viterbi_long(units, model))
-    found = edges.withColumn("fold", merge_fold(unit, e)).withColumn("bounds", F.when(
-        F.col("fold.late"), late_fold(unit, e)).otherwise(F.col("fold.bounds")))
-    pieces, first_byte = {p: (i, s) for p, i, s in model.pieces}, model.first_byte
-
-    def fn(batches):
-        for b in batches:
-            ids = [heap_merge(u, pieces, first_byte) for u in columns(b, "unit")[0]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-    long = units.where(F.length("unit") > LONG).select("unit")
-    return found.select("unit", path_ids(unit, e, F.col("bounds"), model).alias("ids")).union(
-        long.mapInArrow(fn, "unit string, ids array<int>"))
-
-
-def viterbi_long(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of long units under a unigram model, position by position."""
-    pieces, longest, first_byte = {p: (i, s) for p, i, s in model.pieces}, model.longest, model.first_byte
-
-    def path(u: str) -> list[int]:
-        best, back = [0.0], [(0, None)]
-        for end in range(1, len(u) + 1):
-            ways = [(best[end - 1] + 1e6, end - 1, None)]
-            for start in range(max(0, end - longest), end):
-                got = pieces.get(u[start:end])
-                if got:
-                    ways.append((best[start] - got[1], start, got[0]))
-            cost, start, piece = min(ways, key=lambda w: (w[0], w[1], w[2] is None))
-            best.append(cost)
-            back.append((start, piece))
-        out, end = [], len(u)
-        while end:
-            start, piece = back[end]
-            out.append([piece] if piece is not None else
-                       [first_byte + b for b in u[start:end].encode("utf-8", "surrogatepass")])
-            end = start
-        return [i for part in reversed(out) for i in part]
-
-    def fn(batches):
-        for b in batches:
-            ids = [path(u) for u in columns(b, "unit")[0]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-    return units.where(F.length("unit") > LONG).select("unit").mapInArrow(fn, "unit string, ids array<int>")
+    fold = Fold(model)
+
+    def cut(batches):
+        first = 0
+        for b in slices(batches, 20_000):
+            own = columns(b, "unit")[0]
+            yield from stretch_rows(own, first, fold.longest, None)
+            first += len(own)
+
+    def ids(batches):
+        for own, flat, counts, _ in fold.stretches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), lists(flat, counts)], names=["unit", "ids"])
+    return lattice(units.select("unit").mapInArrow(cut, STRETCHES), model).mapInArrow(ids, "unit string, ids array<int>")
 
 
 def decode_units(encoded: DataFrame, model: Model) -> DataFrame:
@@ -357,64 +531,84 @@ def decoder(model: Model):
     return decode
 
 
+class Numbers(dict):
+    """name -> number; one that isn't there gets the next one."""
+
+    def __missing__(self, name: str) -> int:
+        self[name] = n = len(self)
+        return n
+
+
+def ragged(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, .. counts[i] numbers of each, in a row."""
+    ends = np.cumsum(counts)
+    return np.repeat(start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, decoded, n_units, n_ids, round_trip for every row: all ids of
     the text in order, the text they decode to, and if that is the row's own."""
-    counted = materialize(lexicon(docs, text_col), "op5-lexicon")
-    encoded = materialize(encode_units(counted, model), "op5-encoded")
-    top = (counted.where(F.length("unit") <= LONG).orderBy(F.col("n").desc(), "unit").limit(FREQUENT)
-           .select("unit").join(encoded, "unit").toArrow().to_pydict())
-    known = {u: np.array(ids, "<i4").tobytes() for u, ids in zip(top["unit"], top["ids"])}
-    hole = np.array([-1], "<i4").tobytes()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
-
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts]), pa.int32()))
-
-    def look_up(batches):
-        find = re.compile(UNIT).findall
-        for b in slices(batches, 500):
-            ids, n_units, rare, own = [], [], [], []
-            for t in texts_of(b, "text"):
-                units = find(MARK + t.replace(" ", MARK)) if t else []
-                ids.append(np.frombuffer(b"".join([known.get(u, hole) for u in units]), "<i4"))
-                n_units.append(len(units))
-                rare.append([{"at": i, "unit": u} for i, u in enumerate(u for u in units if u not in known)])
-                own.append(text_hash(t))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), lists(ids), pa.array(n_units, pa.int64()), pa.array(own, pa.binary()),
-                 pa.array(rare, pa.list_(pa.struct([("at", pa.int32()), ("unit", pa.string())])))],
-                names=["doc_id", "ids", "n_units", "own", "rare"])
-
-    def fill(batches):
+    # a unit that occurs once gains nothing by being known beforehand
+    counted = materialize(lexicon(src).where((F.length("unit") <= LONG) & (F.col("n") > 1)), "op5-lexicon")
+    room, least = FREQUENT, None
+    for n, size in sorted(counted.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        room -= size
+        if room < 0:
+            break
+        least = n
+    top = counted.where(F.col("n") >= F.lit(least).cast("long")).select("unit")
+    known = encode_units(top, model).toArrow().combine_chunks()
+    known_ids = known.column("ids").to_pylist()
+    sc = src.sparkSession.sparkContext
+    names = sc.broadcast(pa.array(map(key_of, known.column("unit").to_pylist()), pa.string()))
+    dictionary = sc.broadcast((np.array([i for ids in known_ids for i in ids], dtype=np.int32),
+                               np.array([len(i) for i in known_ids], dtype=np.int64)))
+    fold = Fold(model)
+
+    between = model.closers()
+
+    def cut(batches):
+        first = 0
+        for b in sized(batches, "text", STRETCH):
+            keys, n_units, order = keys_in(b.column(1))
+            at = pc.index_in(keys, value_set=names.value)
+            rare = keys.filter(at.is_null()).dictionary_encode()
+            at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+            at[at < 0] = len(names.value) + rare.indices.to_numpy(zero_copy_only=False)
+            at = at[ragged((np.cumsum(n_units) - n_units)[order], n_units[order])]
+            own = list(map(text_hash, texts_of(b, "text")))
+            parts, numbers, counts = Numbers(), [], []
+            for u in map(unit_of, rare.dictionary.to_pylist()):
+                cuts = [u] if u[-1].isalnum() else between.split(u)
+                numbers += [parts[p] for p in cuts]
+                counts.append(len(cuts))
+            of_part = pc.index_in(pa.array(map(key_of, parts), pa.string()), value_set=names.value)
+            of_part = pc.fill_null(of_part, -1).to_numpy(zero_copy_only=False).copy()
+            missing = [p for p, n in zip(parts, of_part) if n < 0]
+            of_part[of_part < 0] = len(names.value) + np.arange(len(missing))
+            yield from stretch_rows(missing, first, fold.longest, (
+                b.column(0), at, n_units[order], own, of_part[np.array(numbers, dtype=np.int64)], np.array(counts, dtype=np.int64)))
+            first += len(missing)
+
+    def join(batches):
         decode = decoder(model)
-        for b in slices(batches, 500):
-            ids, decoded, same = [], [], []
-            for i, own in enumerate(columns(b, "own")[0]):
-                flat, more = (b.column(b.schema.get_field_index(c))[i] for c in ("ids", "more"))
-                flat = flat.values.to_numpy(zero_copy_only=False)
-                if more.is_valid:
-                    at = np.flatnonzero(flat < 0)
-                    parts = np.split(flat, at)
-                    flat = np.concatenate([parts[0], *[x for m, p in zip(more.as_py(), parts[1:], strict=True)
-                                                       for x in (np.array(m, np.int32), p[1:])]])
-                ids.append(flat)
-                decoded.append(decode(flat.tolist()))
-                same.append(text_hash(decoded[-1]) == own)
+        flat, counts = dictionary.value
+        for _, more, n_more, (doc_ids, at, n_units, own, numbers, n_parts) in fold.stretches(batches):
+            ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, n_more])
+            more = ids[ragged((np.cumsum(sizes) - sizes)[numbers], sizes[numbers])]
+            ends = np.append(0, np.cumsum(sizes[numbers]))[np.append(0, np.cumsum(n_parts))]
+            ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, np.diff(ends)])
+            ids = ids[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+            ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(n_units))]
+            decoded = [decode(ids[lo:hi].tolist()) for lo, hi in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), lists(ids), pa.array(decoded, pa.string()), b.column(b.schema.get_field_index("n_units")),
-                 pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())],
+                [doc_ids, lists(ids, np.diff(ends)), pa.array(decoded, pa.string()), pa.array(n_units), pa.array(np.diff(ends)),
+                 pa.array([text_hash(d) == o for d, o in zip(decoded, own)], pa.bool_())],
                 names=["doc_id", "ids", "decoded", "n_units", "n_ids", "round_trip"])
-    found = materialize(src.mapInArrow(
-        look_up, f"doc_id {kind}, ids array<int>, n_units long, own binary, rare array<struct<at:int,unit:string>>")
-        .withColumn("row", F.monotonically_increasing_id()), "op5-found")
-    more = (found.select("row", F.explode("rare").alias("r")).select("row", "r.at", "r.unit")
-            .join(encoded, "unit").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-            .select("row", F.transform("parts", lambda p: p["ids"]).alias("more")))
-    return (found.drop("rare").join(more, "row", "left").select("doc_id", "ids", "n_units", "own", "more")
-            .mapInArrow(fill, f"doc_id {kind}, ids array<int>, decoded string, n_units long, n_ids long, round_trip boolean"))
+    return lattice(src.mapInArrow(cut, STRETCHES), model).mapInArrow(
+        join, f"doc_id {kind}, ids array<int>, decoded string, n_units long, n_ids long, round_trip boolean")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
