@@ -165,3 +165,27 @@ def test_no_cached_frame_is_left(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     rows, _ = training_inputs(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_a_shard_takes_little_beside_the_model(monkeypatch):
+    """Only met features are copied, and their changes leave a few at a time."""
+    import tracemalloc
+    classes, width = [3] * 20, 1 << 16
+    model = TR.JointModel([str(i) for i in range(20)], classes, width, *(np.zeros((width + 1, 60)) for _ in range(2)))
+    rng = np.random.default_rng(5)
+    flat, sizes = rng.integers(0, 1_000, 4_000), np.full(400, 10)
+    labels = rng.integers(-1, 3, (400, 20))
+
+    def run():
+        return list(TR.train_shard(model, flat, sizes, labels, 0, 4, 32, 0.5))
+    tracemalloc.start()
+    whole = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < model.weights.nbytes / 4
+    monkeypatch.setattr(TR, "SENT", 64)
+    parts = run()
+    assert max(len(f) for f, _, _ in parts) == 64 and len(parts) > 10
+    for k in range(3):
+        assert np.array_equal(np.concatenate([x[k] for x in whole[:-1]]), np.concatenate([x[k] for x in parts[:-1]]))
+        assert np.array_equal(whole[-1][k], parts[-1][k])

@@ -25,13 +25,15 @@ head's loss is null.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadline.operators.ranking import md5_key
+from threadline.operators.tokens import give_back
 
 EPOCHS, BATCH = 4, 32            # as the reference trains
 CLIP = 1.0
@@ -39,6 +41,7 @@ RATE = 0.5
 TINY = 1e-8
 WIDTH = 1 << 16
 SHARD_ROWS = 1 << 15
+SENT = 1 << 12                   # features whose changes a task sends at a time
 
 
 @dataclass
@@ -100,23 +103,31 @@ def step(weights: np.ndarray, squares: np.ndarray, ids: list[np.ndarray], labels
     return met, loss / np.maximum(known, 1), known > 0
 
 
-def train_shard(model: JointModel, ids: list[np.ndarray], labels: np.ndarray, epoch: int, epochs: int,
-                batch_size: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's batches in order, from the model's weights: (features met, change
-    of weights, change of squares, loss sums, batches with labels)."""
-    weights, squares = model.weights.copy(), model.squares.copy()
-    starts, met = model.starts, np.zeros(len(model.weights), dtype=bool)
+def train_shard(model: JointModel, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epoch: int, epochs: int,
+                batch_size: int, rate: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A shard's batches in order, from the model's weights: (features met, change of
+    weights, change of squares), some features at a time; feature -1 has the loss
+    sums and the numbers of batches with labels.  flat, sizes: the rows' ids.
+
+    Only the features met are copied: numbered in order from 1, the bias last."""
+    met = np.unique(flat[flat > 0] % model.width)
+    at = np.append(met, model.width)
+    weights, squares = (np.concatenate([x[:1], x[at]]) for x in (model.weights, model.squares))
+    place = np.where(flat > 0, np.searchsorted(met, flat % model.width) + 1, 0).astype(np.int32)
+    ids = np.split(place, np.cumsum(sizes)[:-1])
+    starts, rows = model.starts, len(sizes)
     losses, counted = np.zeros(len(model.classes)), np.zeros(len(model.classes))
-    batches = -(-len(ids) // batch_size)
+    batches = -(-rows // batch_size)
     for i in range(batches):
         part = slice(i * batch_size, (i + 1) * batch_size)
         falling = rate * (1 - (epoch * batches + i) / (epochs * batches))
-        seen, loss, known = step(weights, squares, ids[part], labels[part], starts, model.classes, model.width, falling)
-        met[seen] = True
+        _, loss, known = step(weights, squares, ids[part], labels[part], starts, model.classes, len(at), falling)
         losses += np.where(known, loss, 0)
         counted += known
-    at = np.flatnonzero(met)
-    return at, weights[at] - model.weights[at], squares[at] - model.squares[at], losses, counted
+    for lo in range(0, len(at), SENT):
+        own = at[lo:lo + SENT]
+        yield own, weights[1 + lo:1 + lo + SENT] - model.weights[own], squares[1 + lo:1 + lo + SENT] - model.squares[own]
+    yield np.array([-1]), losses[None, :], counted[None, :]
 
 
 def epoch_order(rows: DataFrame, key: str, seed, epoch: int, shards: int) -> DataFrame:
@@ -131,29 +142,43 @@ def epoch_order(rows: DataFrame, key: str, seed, epoch: int, shards: int) -> Dat
 
 def shard_changes(ordered: DataFrame, shared, epoch: int, epochs: int, batch_size: int, rate: float) -> DataFrame:
     """(feature, w, g): a shard's changes times its rows; feature -1 holds its
-    loss sums and batch counts."""
+    loss sums and batch counts.  A worker holds a shard's ids and labels as arrays
+    and sends some features at a time."""
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def lists(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
     def fn(batches):
-        model, now, ids, labels = shared.value, None, [], []
-
-        def send() -> pa.RecordBatch:
-            met, w, g, losses, counted = train_shard(model, ids, np.array(labels, dtype=np.int64).reshape(len(ids), -1),
-                                                     epoch, epochs, batch_size, rate)
-            w, g = list(w * len(ids)) + [losses], list(g * len(ids)) + [counted]
-            numbers = pa.list_(pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array([*met.tolist(), -1], pa.int32()), pa.array(w, numbers),
-                                               pa.array(g, numbers)], names=["feature", "w", "g"])
+        model, now, parts = shared.value, None, []
+
+        def send():
+            flat, sizes, labels = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            for feature, w, g in train_shard(model, flat, sizes, labels, epoch, epochs, batch_size, rate):
+                if feature[0] >= 0:
+                    w, g = w * len(sizes), g * len(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), lists(w), lists(g)],
+                                                 names=["feature", "w", "g"])
+            del flat, sizes, labels
+            give_back()
         for b in batches:
-            for shard, x, y in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                if shard != now:
-                    if ids:
-                        yield send()
-                    now, ids, labels = shard, [], []
-                ids.append(np.array(x or [], dtype=np.int64))
-                labels.append([-1 if v is None else v for v in y])
-        if ids:
-            yield send()
+            shard = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(shard)]):
+                if lo == hi:
+                    continue
+                if shard[lo] != now:
+                    if parts:
+                        yield from send()
+                    now = shard[lo]
+                ids, labels = b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)
+                parts.append((ids.flatten().to_numpy(zero_copy_only=False).copy(),
+                              pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False),
+                              pc.fill_null(labels.flatten(), -1).to_numpy(zero_copy_only=False).reshape(hi - lo, -1).astype(np.int16)))
+        if parts:
+            yield from send()
     return ordered.mapInArrow(fn, "feature int, w array<double>, g array<double>")
 
 
@@ -194,7 +219,7 @@ def score_joint(df: DataFrame, model: JointModel, keys: list[str], ids_col: str
     """M2: (keys, target, scores, pred) for every row and target, in one pass;
     pred is the first maximum of the class scores (R3)."""
     import pyarrow as pa
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(replace(model, squares=model.squares[:0]))
     src = df.select(*keys, F.col(ids_col).alias("__ids"))
     rows_at_once = 64                                    # a dense block of 64 x features met
 
@@ -214,5 +239,6 @@ def score_joint(df: DataFrame, model: JointModel, keys: list[str], ids_col: str
                        pa.array([s[r] for r in range(b.num_rows) for s in scores], pa.list_(pa.float64())),
                        pa.array(np.stack([s.argmax(axis=1) for s in scores], axis=1).ravel(), pa.int32())],
                     names=[*keys, "target", "scores", "pred"])
+            give_back()
     kinds = dict(src.dtypes)
     return src.mapInArrow(fn, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", target string, scores array<double>, pred int")
