@@ -211,3 +211,35 @@ def test_op5_cuts_before_marks(spark, text):
     assert op5.Model().closers().split("▁word,") == ["▁word", ","]
     row = op5.documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), op5.Model()).first()
     assert row.ids == sp.encode(text) and row.round_trip
+
+
+def test_op5_join_sees_little_but_edges(spark):
+    """Rows of the join: no more than the pieces inside the units and a few, and twice the units make twice the rows."""
+    model = op5.Model()
+    rng, pieces = random.Random(4), {p for p, _, _ in model.pieces}
+    words = sorted({"".join(rng.choice("etaonisrhl") for _ in range(12)) for _ in range(2000)})
+    made = []
+    for units in (words[:len(words) // 2], words):
+        bits, rows = op5.sieve(model.keys([p for p in pieces if len(p) > 1])), 0
+        for b in op5.stretch_rows(units, 0, model.longest, bits, None):
+            rows += len(b.column(1).flatten())
+        edges = sum(u[i:j] in pieces for u in units for i in range(len(u)) for j in range(i + 2, len(u) + 1))
+        assert edges <= rows <= 1.1 * edges
+        made.append(rows)
+    assert made[1] <= 2.2 * made[0]
+
+
+def test_op5_pieces_have_keys_of_their_own(spark):
+    keys = [r.key for r in op5.Model().table(spark).collect()]
+    assert len(set(keys)) == len(keys)
+
+
+def test_op5_parts_of_units():
+    import pyarrow as pa
+    model, rng = op5.Model(), random.Random(6)
+    keys = ["\n", "word,", "a.b,c", "e-mail:"] + [rng.choice(["", "\n"]) + "".join(
+        rng.choice("ab1,.é_-▁x!\"]\\^中") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    parts, counts = op5.parts_of(pa.array(keys), model.marks())
+    units, ends, between = op5.units_of(parts).to_pylist(), counts.cumsum(), model.closers()
+    for k, n, end in zip(keys, counts, ends):
+        assert units[end - n:end] == between.split(op5.unit_of(k))

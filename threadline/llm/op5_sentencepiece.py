@@ -12,8 +12,10 @@ ids of a text are the ids of its units in a row.
 2. Lattice: a task cuts its texts into stretches of about `STRETCH` bytes.  The
    distinct units of a stretch that the dictionary lacks are cut once more, before
    marks like commas (again where no piece of the model crosses), and the parts that
-   it lacks exploded into all substrings of two characters up to the longest piece's length, each as a
-   64-bit hash, and equi-joined to the piece table (bounded by the model file, broadcast).  A hash
+   it lacks exploded into their substrings of two characters up to the longest piece's length, each as a
+   hash, and equi-joined to the piece table (bounded by the model file, broadcast).  A substring
+   that no piece can equal, by a bit table of the pieces' hashes (a Bloom filter of one hash), is not
+   sent, so the join sees little but edges; their number follows the length of the texts.  A hash
    that several strings share gives edges too many; they are compared character by
    character and go.  Neither the explosion nor the join moves a row, so this
    shuffles nothing and writes nothing.
@@ -65,6 +67,7 @@ CHUNK = 1 << 16                 # characters of units folded side by side
 MARK = "▁"
 # an edge is one number: the unit's number in its task, the substring's place in it, the piece's id
 ID_BITS, POS_BITS = 20, 11
+SIEVE_BITS = 21                 # the bit table of the pieces' hashes goes by so many bits
 UNIT = f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
 
 
@@ -91,16 +94,24 @@ class Model:
     def table(self, spark: SparkSession) -> DataFrame:
         """(key, id) of the pieces of two characters and more."""
         many = [(p, i) for p, i, _ in self.pieces if len(p) > 1]
-        size = np.array([len(p) for p, _ in many])
-        keys = hashes(code_points([p for p, _ in many]), self.longest)[np.cumsum(size) - size, size - 2].view(np.int64)
+        keys = self.keys([p for p, _ in many]).view(np.int64) >> POS_BITS
         return spark.createDataFrame([(k, i) for k, (_, i) in zip(keys.tolist(), many)], "key long, id int")
 
-    def closers(self) -> re.Pattern:
-        """Matches between a letter or digit and a mark that no piece has behind one."""
+    def keys(self, pieces: list[str]) -> np.ndarray:
+        """The hash of each piece of two characters and more."""
+        size = np.array([len(p) for p in pieces])
+        return hashes(code_points(pieces), self.longest)[np.cumsum(size) - size, size - 2]
+
+    def marks(self) -> str:
+        """Marks that no piece has behind a letter or digit, as inside a regular expression's []."""
         marks = set(string.punctuation)
         for p, _, _ in self.pieces:
             marks -= {b for a, b in zip(p, p[1:]) if a.isalnum()}
-        return re.compile(f"(?<=[^\\W_])(?=[{re.escape(''.join(sorted(marks)))}])" if marks else "(?!)")
+        return re.escape("".join(sorted(marks)))
+
+    def closers(self) -> re.Pattern:
+        """Matches between a letter or digit and such a mark."""
+        return re.compile(f"(?<=[^\\W_])(?=[{self.marks()}])" if self.marks() else "(?!)")
 
 
 def marked(text: Column) -> Column:
@@ -118,6 +129,13 @@ def unit_of(key: str) -> str:
     return MARK + key if key[:1] != "\n" else key[1:] or key
 
 
+def units_of(keys: pa.Array) -> pa.Array:
+    """`unit_of` of each."""
+    behind = pc.starts_with(keys, "\n")
+    return pc.if_else(pc.and_(behind, pc.not_equal(keys, "\n")), pc.utf8_slice_codeunits(keys, 1),
+                      pc.if_else(behind, keys, pc.binary_join_element_wise(MARK, keys, "")))
+
+
 def keys_of(text: str) -> list[str]:
     """The units of a text by short names."""
     return list(map(key_of, re.findall(UNIT, MARK + text.replace(" ", MARK)))) if text else []
@@ -145,13 +163,21 @@ def keys_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         np.argsort(odd, kind="stable"), kind="stable")
 
 
+def parts_of(keys: pa.Array, marks: str) -> tuple[pa.Array, np.ndarray]:
+    """(short names of the parts of all units, numbers of parts): units cut where
+    `Model.closers` matches.  A part with such a mark in front stands behind no space."""
+    if marks:
+        keys = pc.replace_substring_regex(keys, f"([\\pL\\p{{Nd}}])([{marks}])", "\\1 \n\\2")
+    cuts = pc.split_pattern(keys, " ")
+    return cuts.flatten(), pc.list_value_length(cuts).to_numpy(zero_copy_only=False)
+
+
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(unit, n) over all whole texts; a task counts a stretch before it sends."""
     def count(batches):
         for b in sized(batches, "text", STRETCH):
             found = keys_in(b.column(0))[0].value_counts()
-            yield pa.RecordBatch.from_arrays([pa.array(map(unit_of, found.field(0).to_pylist()), pa.string()), found.field(1)],
-                                             names=["unit", "n"])
+            yield pa.RecordBatch.from_arrays([units_of(found.field(0)), found.field(1)], names=["unit", "n"])
     return (docs.select(F.col(text_col).alias("text")).mapInArrow(count, "unit string, n long")
             .groupBy("unit").agg(F.sum("n").alias("n")))
 
@@ -167,7 +193,8 @@ def hashes(codes: np.ndarray, longest: int) -> np.ndarray:
     for k in range(min(longest, len(codes))):
         h = h[:len(codes) - k] * np.uint64(0x9E3779B97F4A7C15) + one[k:]
         if k:
-            out[:len(h), k - 1] = h ^ (h >> np.uint64(29))
+            # the upper bits, which are used, depend on every character
+            out[:len(h), k - 1] = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     return out
 
 
@@ -177,19 +204,30 @@ def inside(sizes: np.ndarray, longest: int) -> np.ndarray:
     return np.arange(1, longest) < left[:, None]
 
 
-def stretch_rows(units: list[str], first: int, longest: int, held) -> Iterator[pa.RecordBatch]:
-    """A stretch's distinct units by chunks, numbered from `first`: their substrings,
-    and behind them the row that holds the units.  The last holds `held` as well:
-    whatever the stretch needs after the fold."""
+def sieve(keys: np.ndarray) -> np.ndarray:
+    """A bit table of the pieces' hashes."""
+    bits = np.zeros(1 << SIEVE_BITS, dtype=bool)
+    bits[keys >> np.uint64(64 - SIEVE_BITS)] = True
+    return bits
+
+
+def stretch_rows(units: list[str], first: int, longest: int, bits: np.ndarray, held) -> Iterator[pa.RecordBatch]:
+    """A stretch's distinct units by chunks, numbered from `first`: their substrings
+    that may be pieces, as (upper bits of the hash, place among the unit's), and behind
+    them the row that holds the units.  The last holds `held` as well: whatever the
+    stretch needs after the fold."""
     cuts = list(chunks(map(len, units), CHUNK)) or [(0, 0)]
     for lo, hi in cuts:
         own = units[lo:hi]
         short = [i for i, u in enumerate(own) if len(u) <= LONG]
         sizes = np.array([len(own[i]) for i in short], dtype=np.int64)
         fits = inside(sizes, longest)
-        keys = hashes(code_points([own[i] for i in short]), longest)[fits].view(np.int64)
+        keys = hashes(code_points([own[i] for i in short]), longest)[fits]
         ends = np.cumsum(np.append(0, fits.sum(axis=1)))[np.append(0, np.cumsum(sizes))]
-        substrings = pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1]), pa.int32()), pa.array(keys))
+        at = np.flatnonzero(bits[keys >> np.uint64(64 - SIEVE_BITS)])
+        places = at - np.repeat(ends[:-1], np.diff(found := np.searchsorted(at, ends)))
+        keys = (keys[at].view(np.int64) >> POS_BITS << POS_BITS) + places
+        substrings = pa.ListArray.from_arrays(pa.array(np.append(found, found[-1]), pa.int32()), pa.array(keys))
         rest = pickle.dumps((first + lo, own, (held,) if hi == cuts[-1][1] else None), protocol=5)
         yield pa.RecordBatch.from_arrays(
             [pa.array([first + lo + i for i in short] + [None], pa.int64()), substrings,
@@ -202,10 +240,12 @@ STRETCHES = "number long, substrings array<long>, held binary"
 def lattice(stretches: DataFrame, model: Model) -> DataFrame:
     """(edge, held): all pieces inside each unit, and the held rows, in the order of
     the stretches.  stretches: see `stretch_rows`.  Nothing leaves its task."""
-    subs = stretches.select("number", "held", F.posexplode_outer("substrings").alias("pos", "key"))
+    subs = stretches.select("number", "held", F.explode_outer("substrings").alias("substring")).withColumn(
+        "key", F.shiftright("substring", POS_BITS))
     found = subs.join(F.broadcast(model.table(stretches.sparkSession)), "key", "left").where(
         F.col("id").isNotNull() | F.col("held").isNotNull())
-    return found.select((F.shiftleft("number", POS_BITS + ID_BITS) + F.shiftleft(F.col("pos").cast("long"), ID_BITS)
+    place = F.col("substring").bitwiseAND(F.lit((1 << POS_BITS) - 1))
+    return found.select((F.shiftleft("number", POS_BITS + ID_BITS) + F.shiftleft(place, ID_BITS)
                          + F.col("id")).alias("edge"), "held")
 
 
@@ -318,6 +358,7 @@ class Fold:
 
     def __init__(self, model: Model):
         self.longest, self.merges, self.first_byte = model.longest, model.merges, model.first_byte
+        self.keys = model.keys([p for p, _, _ in model.pieces if len(p) > 1])
         self.pieces = {p: (i, s) for p, i, s in model.pieces}
         # the last one is that of no piece, -1
         self.costs = np.full(2 + max(i for _, i, _ in model.pieces), np.inf)
@@ -423,10 +464,10 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     fold = Fold(model)
 
     def cut(batches):
-        first = 0
+        first, bits = 0, sieve(fold.keys)
         for b in slices(batches, 20_000):
             own = columns(b, "unit")[0]
-            yield from stretch_rows(own, first, fold.longest, None)
+            yield from stretch_rows(own, first, fold.longest, bits, None)
             first += len(own)
 
     def ids(batches):
@@ -522,23 +563,20 @@ def text_hash(text: str) -> bytes:
 
 
 def decoder(model: Model):
-    """ids of a whole text -> the text."""
+    """(ids of some texts in a row, where each text ends) -> the texts."""
     raw = {i: p.encode("utf-8") for p, i, _ in model.pieces} | {model.first_byte + b: bytes([b]) for b in range(256)}
-
-    def decode(ids: list[int]) -> str:
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    table = [raw.get(i, b"") for i in range(max(raw) + 1)]
+
+    def decode(ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        found = pa.array(table, pa.large_binary()).take(pa.array(ids))
+        places = np.frombuffer(found.buffers()[1], np.int64)[found.offset:][np.append(0, ends)].tolist()
+        spelled = memoryview(found.buffers()[2] or b"")
+        for lo, hi in zip(places, places[1:]):
+            text = str(spelled[lo:hi], "utf-8", "replace").replace(MARK, " ")
+            yield text[1:] if text.startswith(" ") else text
     return decode
 
 
-class Numbers(dict):
-    """name -> number; one that isn't there gets the next one."""
-
-    def __missing__(self, name: str) -> int:
-        self[name] = n = len(self)
-        return n
-
-
 def ragged(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, .. counts[i] numbers of each, in a row."""
     ends = np.cumsum(counts)
@@ -567,10 +605,10 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                                np.array([len(i) for i in known_ids], dtype=np.int64)))
     fold = Fold(model)
 
-    between = model.closers()
+    marks = model.marks()
 
     def cut(batches):
-        first = 0
+        first, bits = 0, sieve(fold.keys)
         for b in sized(batches, "text", STRETCH):
             keys, n_units, order = keys_in(b.column(1))
             at = pc.index_in(keys, value_set=names.value)
@@ -579,17 +617,15 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             at[at < 0] = len(names.value) + rare.indices.to_numpy(zero_copy_only=False)
             at = at[ragged((np.cumsum(n_units) - n_units)[order], n_units[order])]
             own = list(map(text_hash, texts_of(b, "text")))
-            parts, numbers, counts = Numbers(), [], []
-            for u in map(unit_of, rare.dictionary.to_pylist()):
-                cuts = [u] if u[-1].isalnum() else between.split(u)
-                numbers += [parts[p] for p in cuts]
-                counts.append(len(cuts))
-            of_part = pc.index_in(pa.array(map(key_of, parts), pa.string()), value_set=names.value)
+            parts, counts = parts_of(rare.dictionary, marks)
+            parts = parts.dictionary_encode()
+            of_part = pc.index_in(parts.dictionary, value_set=names.value)
+            missing = units_of(parts.dictionary.filter(of_part.is_null())).to_pylist()
             of_part = pc.fill_null(of_part, -1).to_numpy(zero_copy_only=False).copy()
-            missing = [p for p, n in zip(parts, of_part) if n < 0]
             of_part[of_part < 0] = len(names.value) + np.arange(len(missing))
-            yield from stretch_rows(missing, first, fold.longest, (
-                b.column(0), at, n_units[order], own, of_part[np.array(numbers, dtype=np.int64)], np.array(counts, dtype=np.int64)))
+            numbers = of_part[parts.indices.to_numpy(zero_copy_only=False)]
+            del keys, rare, parts
+            yield from stretch_rows(missing, first, fold.longest, bits, (b.column(0), at, n_units[order], own, numbers, counts))
             first += len(missing)
 
     def join(batches):
@@ -602,7 +638,7 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, np.diff(ends)])
             ids = ids[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
             ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(n_units))]
-            decoded = [decode(ids[lo:hi].tolist()) for lo, hi in zip(ends, ends[1:])]
+            decoded = list(decode(ids, ends[1:]))
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, lists(ids, np.diff(ends)), pa.array(decoded, pa.string()), pa.array(n_units), pa.array(np.diff(ends)),
                  pa.array([text_hash(d) == o for d, o in zip(decoded, own)], pa.bool_())],
