@@ -229,6 +229,37 @@ def test_op5_join_sees_little_but_edges(spark):
     assert made[1] <= 2.2 * made[0]
 
 
+def test_op5_held_rows_are_small(spark, monkeypatch):
+    """What a stretch of texts needs after the fold goes through the lattice in small rows, whatever the
+    stretch holds, and the piece table needs no Python on the executors."""
+    rng, seen = random.Random(8), []
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(20_000)) for _ in range(80)]          # 3.2 MB
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    lattice = op5.lattice
+    monkeypatch.setattr(op5, "lattice", lambda stretches, model: seen.append(stretches) or lattice(stretches, model))
+    op5.documents(df, op5.Model())
+    held = [len(r.held) for r in seen[-1].where("held is not null").collect()]
+    assert len(held) >= 7 and max(held) < 3 * op5.PIECE             # a unit has two bytes here
+    assert "ExistingRDD" not in op5.Model().table(spark)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("piece", [1, 300])
+def test_op5_pieces_of_a_stretch_give_the_same_rows(spark, monkeypatch, piece):
+    import public_tokenizers as files
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=files.path(op5.MODEL))
+    rng = random.Random(9)
+    texts = [rng.choice(["", " "]).join(rng.choice(["the", "word,", " two", "\n", "été", "½中", "a.b", "rare" + str(i % 7)])
+                                        for _ in range(rng.randrange(60))) for i in range(60)]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts + [None, "", "x y " * 400, "marks \u2581 here"])] + [(None, "two"), ("d1", texts[1])]
+    df = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    monkeypatch.setattr(op5, "PIECE", piece)
+    got = op5.documents(df, op5.Model()).collect()
+    want = [(i, sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for i, t in rows]
+    assert [(r.doc_id, r.ids, r.decoded) for r in got] == want
+    assert [(r.n_ids, r.round_trip) for r in got] == [(len(x), d == (t or "")) for (_, t), (_, x, d) in zip(rows, want)]
+
+
 def test_op5_pieces_have_keys_of_their_own(spark):
     keys = [r.key for r in op5.Model().table(spark).collect()]
     assert len(set(keys)) == len(keys)

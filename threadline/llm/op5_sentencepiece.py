@@ -20,8 +20,8 @@ ids of a text are the ids of its units in a row.
    character and go.  Neither the explosion nor the join moves a row, so this
    shuffles nothing and writes nothing.
 3. Fold: behind the edges of some units (`CHUNK` characters) comes one row that
-   holds the units, and behind those of a stretch one with its texts' units by
-   number.  The task folds the edges of all units of a chunk into their best paths,
+   holds the units, and behind those of a stretch one for every `PIECE` bytes of its
+   texts, with their units by number.  The task folds the edges of all units of a chunk into their best paths,
    a position or a merge of every unit at a time.  `viterbi` keeps the best score and last edge
    for every position: the rule of unigram models.  `merges` is the rule of BPE
    models: from single characters, take the best-scored edge that spans exactly
@@ -63,6 +63,7 @@ MODEL = "piece_bpe_32k.model"
 FREQUENT = 131_072
 LONG = 64
 STRETCH = 4 << 20               # bytes of text whose distinct units are encoded once
+PIECE = 1 << 19                 # bytes of text cut into units, held as one row and put together at a time
 CHUNK = 1 << 16                 # characters of units folded side by side
 MARK = "▁"
 # an edge is one number: the unit's number in its task, the substring's place in it, the piece's id
@@ -95,7 +96,8 @@ class Model:
         """(key, id) of the pieces of two characters and more."""
         many = [(p, i) for p, i, _ in self.pieces if len(p) > 1]
         keys = self.keys([p for p, _ in many]).view(np.int64) >> POS_BITS
-        return spark.createDataFrame([(k, i) for k, (_, i) in zip(keys.tolist(), many)], "key long, id int")
+        # an Arrow table goes to the JVM as it is; rows would keep Python workers of their own on the executors
+        return spark.createDataFrame(pa.table({"key": keys, "id": pa.array([i for _, i in many], pa.int32())}))
 
     def keys(self, pieces: list[str]) -> np.ndarray:
         """The hash of each piece of two characters and more."""
@@ -211,11 +213,11 @@ def sieve(keys: np.ndarray) -> np.ndarray:
     return bits
 
 
-def stretch_rows(units: list[str], first: int, longest: int, bits: np.ndarray, held) -> Iterator[pa.RecordBatch]:
+def stretch_rows(units: list[str], first: int, longest: int, bits: np.ndarray, held, behind=()) -> Iterator[pa.RecordBatch]:
     """A stretch's distinct units by chunks, numbered from `first`: their substrings
     that may be pieces, as (upper bits of the hash, place among the unit's), and behind
-    them the row that holds the units.  The last holds `held` as well: whatever the
-    stretch needs after the fold."""
+    them the row that holds the units.  The last holds `held` as well, and behind it comes
+    a row for each of `behind`: whatever the stretch needs after the fold."""
     cuts = list(chunks(map(len, units), CHUNK)) or [(0, 0)]
     for lo, hi in cuts:
         own = units[lo:hi]
@@ -232,6 +234,10 @@ def stretch_rows(units: list[str], first: int, longest: int, bits: np.ndarray, h
         yield pa.RecordBatch.from_arrays(
             [pa.array([first + lo + i for i in short] + [None], pa.int64()), substrings,
              pa.array([None] * len(short) + [rest], pa.binary())], names=["number", "substrings", "held"])
+    for x in behind:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int64())),
+             pa.array([pickle.dumps((None, None, (x,)), protocol=5)], pa.binary())], names=["number", "substrings", "held"])
 
 
 STRETCHES = "number long, substrings array<long>, held binary"
@@ -377,7 +383,8 @@ class Fold:
             unit, self.pieces, self.longest, self.first_byte)
 
     def stretches(self, batches) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, object]]:
-        """(units, their ids in a row, numbers of ids, what was held) a stretch."""
+        """(units, their ids in a row, numbers of ids, what was held) a stretch, and
+        behind it (None, None, None, what was held) for each row behind it."""
         edges: list[np.ndarray] = []
         names, parts, numbers = [], [], []
         for b in batches:
@@ -385,7 +392,13 @@ class Fold:
             lo = 0
             for i in np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 edges.append(edge.slice(lo, i - lo).to_numpy(zero_copy_only=False))
-                first, units, rest = pickle.loads(held[i].as_py())
+                first, units, rest = pickle.loads(memoryview(held[i].as_buffer()))
+                if units is None:
+                    if any(map(len, edges)):
+                        raise RuntimeError("an edge came behind the units it belongs to")
+                    yield None, None, None, rest[0]
+                    edges, lo = [], i + 1
+                    continue
                 ids, counts = Lattice(units, first, np.concatenate(edges).astype(np.int64), self).paths()
                 names, parts, numbers = names + units, [*parts, ids], [*numbers, counts]
                 edges, lo = [], i + 1
@@ -562,13 +575,21 @@ def text_hash(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
+def text_hashes(texts: pa.Array) -> list[bytes]:
+    """`text_hash` of each, null read as the empty text; nothing becomes a Python text."""
+    found = pc.fill_null(texts, "").cast(pa.large_string())
+    places = np.frombuffer(found.buffers()[1], np.int64)[found.offset:][:len(found) + 1].tolist()
+    spelled = memoryview(found.buffers()[2] or b"")
+    return [hashlib.sha256(spelled[lo:hi]).digest() for lo, hi in zip(places, places[1:])]
+
+
 def decoder(model: Model):
     """(ids of some texts in a row, where each text ends) -> the texts."""
     raw = {i: p.encode("utf-8") for p, i, _ in model.pieces} | {model.first_byte + b: bytes([b]) for b in range(256)}
-    table = [raw.get(i, b"") for i in range(max(raw) + 1)]
+    table = pa.array([raw.get(i, b"") for i in range(max(raw) + 1)], pa.large_binary())
 
     def decode(ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
-        found = pa.array(table, pa.large_binary()).take(pa.array(ids))
+        found = table.take(pa.array(ids))
         places = np.frombuffer(found.buffers()[1], np.int64)[found.offset:][np.append(0, ends)].tolist()
         spelled = memoryview(found.buffers()[2] or b"")
         for lo, hi in zip(places, places[1:]):
@@ -603,20 +624,34 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     names = sc.broadcast(pa.array(map(key_of, known.column("unit").to_pylist()), pa.string()))
     dictionary = sc.broadcast((np.array([i for ids in known_ids for i in ids], dtype=np.int32),
                                np.array([len(i) for i in known_ids], dtype=np.int64)))
-    fold = Fold(model)
-
-    marks = model.marks()
+    fold, decode = Fold(model), decoder(model)
+    marks, piece_keys, longest = model.marks(), fold.keys, fold.longest         # no more of them goes to the cutting tasks
+
+    def numbered(b: pa.RecordBatch, seen: int) -> tuple[tuple, pa.Array]:
+        """((ids, units of the texts by number, numbers of units, hashes), units that the dictionary
+        lacks): those are numbered behind it as they occur, the first is number `seen` of its stretch."""
+        keys, n_units, order = keys_in(b.column(1))
+        at = pc.index_in(keys, value_set=names.value)
+        rare = keys.filter(at.is_null())
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        at[at < 0] = len(names.value) + seen + np.arange(len(rare))
+        at = at[ragged((np.cumsum(n_units) - n_units)[order], n_units[order])]
+        return (pa.concat_arrays([b.column(0)]), at, n_units[order], text_hashes(b.column(1))), rare
 
     def cut(batches):
-        first, bits = 0, sieve(fold.keys)
+        first, bits = 0, sieve(piece_keys)
         for b in sized(batches, "text", STRETCH):
-            keys, n_units, order = keys_in(b.column(1))
-            at = pc.index_in(keys, value_set=names.value)
-            rare = keys.filter(at.is_null()).dictionary_encode()
-            at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
-            at[at < 0] = len(names.value) + rare.indices.to_numpy(zero_copy_only=False)
-            at = at[ragged((np.cumsum(n_units) - n_units)[order], n_units[order])]
-            own = list(map(text_hash, texts_of(b, "text")))
+            texts, rare, seen = [], [], 0
+            for piece in sized([b], "text", PIECE):
+                found, more = numbered(piece, seen)
+                texts.append(found)
+                rare.append(more)
+                seen += len(more)
+            rare = pa.concat_arrays(rare).dictionary_encode()
+            indices = rare.indices.to_numpy(zero_copy_only=False)
+            for _, at, _, _ in texts:
+                behind = at >= len(names.value)
+                at[behind] = len(names.value) + indices[at[behind] - len(names.value)]
             parts, counts = parts_of(rare.dictionary, marks)
             parts = parts.dictionary_encode()
             of_part = pc.index_in(parts.dictionary, value_set=names.value)
@@ -624,19 +659,23 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             of_part = pc.fill_null(of_part, -1).to_numpy(zero_copy_only=False).copy()
             of_part[of_part < 0] = len(names.value) + np.arange(len(missing))
             numbers = of_part[parts.indices.to_numpy(zero_copy_only=False)]
-            del keys, rare, parts
-            yield from stretch_rows(missing, first, fold.longest, bits, (b.column(0), at, n_units[order], own, numbers, counts))
+            del rare, parts, indices, of_part
+            yield from stretch_rows(missing, first, longest, bits, (numbers, counts), texts)
             first += len(missing)
 
     def join(batches):
-        decode = decoder(model)
         flat, counts = dictionary.value
-        for _, more, n_more, (doc_ids, at, n_units, own, numbers, n_parts) in fold.stretches(batches):
-            ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, n_more])
-            more = ids[ragged((np.cumsum(sizes) - sizes)[numbers], sizes[numbers])]
-            ends = np.append(0, np.cumsum(sizes[numbers]))[np.append(0, np.cumsum(n_parts))]
-            ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, np.diff(ends)])
-            ids = ids[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        for _, more, n_more, held in fold.stretches(batches):
+            if more is not None:                          # the ids of a stretch's units, by number
+                numbers, n_parts = held
+                ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, n_more])
+                more = ids[ragged((np.cumsum(sizes) - sizes)[numbers], sizes[numbers])]
+                ends = np.append(0, np.cumsum(sizes[numbers]))[np.append(0, np.cumsum(n_parts))]
+                unit_ids, sizes = np.concatenate([flat, more]), np.concatenate([counts, np.diff(ends)])
+                starts = np.cumsum(sizes) - sizes
+                continue
+            doc_ids, at, n_units, own = held
+            ids = unit_ids[ragged(starts[at], sizes[at])]
             ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(n_units))]
             decoded = list(decode(ids, ends[1:]))
             yield pa.RecordBatch.from_arrays(
