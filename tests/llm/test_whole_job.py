@@ -260,6 +260,18 @@ def test_op5_pieces_of_a_stretch_give_the_same_rows(spark, monkeypatch, piece):
     assert [(r.n_ids, r.round_trip) for r in got] == [(len(x), d == (t or "")) for (_, t), (_, x, d) in zip(rows, want)]
 
 
+def test_op5_texts_of_arrow_arrays():
+    import hashlib
+
+    import pyarrow as pa
+    texts = ["", "é", "中😀 x", "\n", "\0a", "", "▁word,"]
+    for lo, hi in ((0, 7), (2, 5), (3, 3)):
+        part = pa.array([None, *texts])[1 + lo:1 + hi]
+        assert op5.strings(part) == texts[lo:hi]
+        assert op5.text_hashes(part) == [hashlib.sha256(t.encode()).digest() for t in texts[lo:hi]]
+    assert op5.text_hashes(pa.array([None, "x"])) == [hashlib.sha256(t).digest() for t in (b"", b"x")]
+
+
 def test_op5_pieces_have_keys_of_their_own(spark):
     keys = [r.key for r in op5.Model().table(spark).collect()]
     assert len(set(keys)) == len(keys)

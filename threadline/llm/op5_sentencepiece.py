@@ -138,6 +138,13 @@ def units_of(keys: pa.Array) -> pa.Array:
                       pc.if_else(behind, keys, pc.binary_join_element_wise(MARK, keys, "")))
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The Python texts of an array without nulls, cut from one."""
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+    return [whole[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+
 def keys_of(text: str) -> list[str]:
     """The units of a text by short names."""
     return list(map(key_of, re.findall(UNIT, MARK + text.replace(" ", MARK)))) if text else []
@@ -571,12 +578,8 @@ def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         (F.col("same") & F.coalesce("all", F.lit(True))).alias("round_trip")))
 
 
-def text_hash(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-
-
 def text_hashes(texts: pa.Array) -> list[bytes]:
-    """`text_hash` of each, null read as the empty text; nothing becomes a Python text."""
+    """SHA-256 of each text, null read as the empty text; nothing becomes a Python text."""
     found = pc.fill_null(texts, "").cast(pa.large_string())
     places = np.frombuffer(found.buffers()[1], np.int64)[found.offset:][:len(found) + 1].tolist()
     spelled = memoryview(found.buffers()[2] or b"")
@@ -655,7 +658,7 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             parts, counts = parts_of(rare.dictionary, marks)
             parts = parts.dictionary_encode()
             of_part = pc.index_in(parts.dictionary, value_set=names.value)
-            missing = units_of(parts.dictionary.filter(of_part.is_null())).to_pylist()
+            missing = strings(units_of(parts.dictionary.filter(of_part.is_null())))
             of_part = pc.fill_null(of_part, -1).to_numpy(zero_copy_only=False).copy()
             of_part[of_part < 0] = len(names.value) + np.arange(len(missing))
             numbers = of_part[parts.indices.to_numpy(zero_copy_only=False)]
@@ -677,10 +680,10 @@ def documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             doc_ids, at, n_units, own = held
             ids = unit_ids[ragged(starts[at], sizes[at])]
             ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(n_units))]
-            decoded = list(decode(ids, ends[1:]))
+            decoded = pa.array(decode(ids, ends[1:]), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, lists(ids, np.diff(ends)), pa.array(decoded, pa.string()), pa.array(n_units), pa.array(np.diff(ends)),
-                 pa.array([text_hash(d) == o for d, o in zip(decoded, own)], pa.bool_())],
+                [doc_ids, lists(ids, np.diff(ends)), decoded, pa.array(n_units), pa.array(np.diff(ends)),
+                 pa.array([d == o for d, o in zip(text_hashes(decoded), own)], pa.bool_())],
                 names=["doc_id", "ids", "decoded", "n_units", "n_ids", "round_trip"])
     return lattice(src.mapInArrow(cut, STRETCHES), model).mapInArrow(
         join, f"doc_id {kind}, ids array<int>, decoded string, n_units long, n_ids long, round_trip boolean")
