@@ -159,6 +159,54 @@ def test_op7_large_values(spark):
                       F.col("vec_id") == 0)
 
 
+def test_op7_sends_no_copies_of_queries_through_the_driver(spark):
+    """Many parts, candidates too large to broadcast, queries small enough: what
+    the tasks hand to the driver stays small."""
+    rng = np.random.default_rng(7)
+    m = rng.integers(-500, 500, (6_000, 64))
+    rows = [(i, (x / 1024).tolist(), 1) for i, x in enumerate(m)]
+    conf = spark.sparkContext._jsc.sc().conf()
+    old = conf.get("spark.driver.maxResultSize", "1g")
+    ours = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "512k"}
+    before = {c: spark.conf.get(c) for c in ours}
+    for c, v in ours.items():
+        spark.conf.set(c, v)
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        got = collections.defaultdict(list)
+        for r in op7.top_k(op7.valid_vectors(frame(spark, rows)), F.col("vec_id") % 10 == 0, k=3).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    finally:
+        conf.set("spark.driver.maxResultSize", old)
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    scores = m[::10] @ m.T
+    assert sorted(got) == list(range(0, 6_000, 10))
+    for q in got:
+        s = scores[q // 10].copy()
+        s[q] = -(1 << 40)
+        first = np.lexsort((np.arange(6_000), -s))[:3].tolist()
+        assert sorted(got[q]) == [(n + 1, i, s[i]) for n, i in enumerate(first)]
+
+
+@pytest.mark.parametrize("group", [op7.GROUP, 5])
+def test_op7_equal_scores_and_groups_of_queries(spark, monkeypatch, group):
+    """Copies of one vector: of equal scores the smaller ids, in every group of queries."""
+    monkeypatch.setattr(op7, "GROUP", group)
+    rng = random.Random(70)
+    some = [[rng.choice((-0.5, 0.0, 0.25)) for _ in range(4)] for _ in range(3)] + [[0.0] * 4, [2e5] * 4, []]
+    rows = [(i, some[i % 6], 1) for i in rng.sample(range(900), 900)] + [(900, [1.0] * 7, 1)]
+    got = collections.defaultdict(list)
+    for r in op7.top_k(op7.valid_vectors(frame(spark, rows)), F.col("vec_id") % 30 < 12, k=4).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    vs = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows}
+    for q in vs:
+        if q % 30 < 12 and q < 900:
+            s = sorted((-sum(a * b for a, b in zip(vs[q], vs[i])), i) for i in vs if i != q and len(vs[i]) == len(vs[q]))
+            assert sorted(got.pop(q)) == [(n + 1, i, -x) for n, (x, i) in enumerate(s[:4])]
+    assert not got
+
+
 def gram_set(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()

@@ -1,14 +1,17 @@
 """Operator 7: exact top-k search by distributed histogram selection.
 
 Every component becomes floor(1024 * x); the score is the integer inner
-product.  All rows are scored against the stated query set, in blocks: query
-vectors lie in blocks of `QUERY_BLOCK`, candidates in blocks of
-`CANDIDATE_BLOCK`, and a block meets a block through an equi-join on the query
-block number and a salt of the candidates.
+product.  All rows are scored against the stated query set, in blocks.  Candidates
+lie in blocks of about `PACKET` bytes that are dealt to salts by their number;
+queries lie in groups of at most `GROUP` rows and `GROUP_BYTES` bytes.  A query goes
+to every salt and a candidate block to every group, each as a row of its own: the
+rows of a salt and group meet in one task, which holds the queries and lets the
+candidates pass, `CANDIDATE_BLOCK` by `QUERY_BLOCK` scores at a time.  No row holds
+a pair, and nothing is broadcast but what Spark finds small by its size.
 
 Selection, round by round: each task scores its blocks and counts scores per
-(query, bin) of the query's current range.  It reports only the bins from its
-own k-th best upwards, since the global k-th value can't lie lower: at most k
+(query, bin) of the query's current range.  It counts only its own k best
+scores, since the global k-th value can't lie lower than their least: at most k
 rows per query and task.  Spark sums the histograms, walks them from the top
 and narrows every query's range to the bin that holds its k-th value, until
 bins are one value wide.  A last pass keeps the scores that reach the k-th
@@ -28,8 +31,12 @@ smallest vector.  Fewer than k candidates: all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +47,11 @@ EVERY = 100
 SCALE = 1024
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
+CELLS = 1 << 22                  # numbers of a matrix to multiply, where vectors are long
+PACKET = 4096                    # bytes of a row of candidates; Spark hands a task 10,000 rows at once
+GROUP, GROUP_BYTES = 32_768, 32 << 20
 BINS = 4096
+NONE = np.iinfo(np.int64).min    # below every score
 
 
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -65,95 +76,218 @@ def score_bound(vectors: DataFrame) -> float:
     return most * 1.000001 + 1
 
 
-def blocks(vectors: DataFrame, size: int, prefix: str) -> DataFrame:
-    """One row per block: (dim, ids, matrix), cut in each task by dimension."""
+def narrowest(m: np.ndarray) -> np.ndarray:
+    """The same whole numbers in 2, 4 or 8 bytes."""
+    lo, hi = int(m.min(initial=0)), int(m.max(initial=0))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max)
+    return m.astype(kind)
+
+
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """One row per block of at most `size` vectors of one dimension and about
+    `PACKET` bytes: (block, first_id, dim, ids, matrix)."""
+    packet = PACKET
+
     def fn(batches):
-        held: dict[int, list] = {}
-
-        def out(dim):
-            ids, mats = zip(*held.pop(dim))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
-                 pa.array([np.concatenate(mats).tobytes()], pa.binary())],
-                names=["dim", prefix + "ids", prefix + "matrix"])
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             col = b.column(1)
             dims = col.value_lengths().to_numpy(zero_copy_only=False)
             flat = col.flatten().to_numpy(zero_copy_only=False)
             start = np.cumsum(dims) - dims
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                for lo in range(0, len(at), size):
-                    part = at[lo:lo + size]
-                    m = flat[start[part][:, None] + np.arange(d)]
-                    held.setdefault(int(d), []).append((ids[part].astype(np.int64), m.astype(np.int64)))
-                    if sum(len(i) for i, _ in held[int(d)]) >= size:
-                        yield out(int(d))
-        for d in list(held):
-            yield out(d)
-    return vectors.mapInArrow(fn, f"dim int, {prefix}ids binary, {prefix}matrix binary")
+                m = narrowest(flat[start[at][:, None] + np.arange(d)])
+                step = max(1, min(size, packet // max(1, int(d) * m.itemsize)))
+                cuts = range(0, len(at), step)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(number, number + len(cuts))), pa.array(ids[at][::step]),
+                     pa.array(np.full(len(cuts), d, np.int32)),
+                     pa.array([ids[at[lo:lo + step]].tobytes() for lo in cuts], pa.binary()),
+                     pa.array([m[lo:lo + step].tobytes() for lo in cuts], pa.binary())],
+                    names=["block", "first_id", "dim", "ids", "matrix"])
+                number += len(cuts)
+    return vectors.mapInArrow(fn, "block long, first_id long, dim int, ids binary, matrix binary")
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; the float product only where it is exact."""
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
-    if big < 2 ** 53:
-        return np.rint(q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return q @ c.T
+def unpacked(ids: pa.Array, matrices: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of each block."""
+    for i, m in zip(ids, matrices):
+        i, m = np.frombuffer(i.as_buffer(), np.int64), m.as_buffer()
+        yield i, np.frombuffer(m, f"i{m.size // (len(i) * dim)}" if dim else np.int16).reshape(len(i), dim)
 
 
-def scored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores) of a pair of blocks; a query's own
-    copies score below every range."""
-    qi, ci = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    d = row["dim"]
-    s = products(np.frombuffer(row["qmatrix"], np.int64).reshape(len(qi), d),
-                 np.frombuffer(row["matrix"], np.int64).reshape(len(ci), d))
-    return qi, ci, np.where(qi[:, None] == ci[None, :], np.iinfo(np.int64).min, s)
+def longest(m: np.ndarray) -> float:
+    """A bound of the vectors' lengths."""
+    x = m.astype(np.float64)
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))) * 1.000001
 
 
-def batch_rows(batches):
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, as floats only where these are exact: every
+    sum of some of the terms is at most the product of the lengths."""
+    big = longest(q) * longest(c)
+    for kind, limit in ((np.float32, 2 ** 24), (np.float64, 2 ** 53)):
+        if big < limit:
+            return q.astype(kind) @ c.T.astype(kind)
+    return q.astype(np.int64) @ c.T.astype(np.int64)
+
+
+def whole(s: np.ndarray) -> np.ndarray:
+    """Scores as integers."""
+    return s if s.dtype == np.int64 else np.where(np.isfinite(s), s, np.nan_to_num(s, neginf=NONE)).astype(np.int64)
+
+
+class Asked:
+    """The queries of a salt, group and dimension, by id."""
+
+    def __init__(self, parts: list[tuple]):
+        ids, mats, lo, width = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ids)
+        self.ids, self.matrix, self.lo, self.width = ids[order], mats[order], lo[order], width[order]
+
+    def scored(self, ids: np.ndarray, matrix: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(from, to, scores) for a block of queries at a time; a query's own copies
+        score below every range."""
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        own = np.flatnonzero(self.ids[at] == ids)
+        for lo in range(0, len(self.ids), size):
+            hi = min(lo + size, len(self.ids))
+            s = products(self.matrix[lo:hi], matrix)
+            mine = own[(at[own] >= lo) & (at[own] < hi)]
+            s[at[mine] - lo, mine] = NONE if s.dtype == np.int64 else -np.inf
+            yield lo, hi, s
+
+
+class Histogram:
+    """Scores per bin among each query's k best of the task, from its range up;
+    bin `bins` = above the range."""
+
+    def __init__(self, asked: Asked, k: int, bins: int):
+        self.asked, self.k, self.bins = asked, k, bins
+        self.held = np.repeat((asked.lo - 1)[:, None], k, axis=1)      # below the range: no score yet
+        self.least = asked.lo - 1
+
+    def add(self, lo: int, hi: int, s: np.ndarray, ids: np.ndarray) -> None:
+        k, held = self.k, self.held[lo:hi]
+        # a bound that s's type doesn't hold lies beyond all scores of s, also when rounded
+        over = s > self.least[lo:hi, None].astype(s.dtype)
+        n = np.count_nonzero(over)
+        if not n:
+            return
+        if n > over.size // 32:
+            rows = np.arange(hi - lo)
+            new = whole(np.partition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else s)
+        else:
+            r, c = np.nonzero(over)
+            rows, first, count = np.unique(r, return_index=True, return_counts=True)
+            new = np.full((len(rows), count.max()), NONE)
+            new[np.repeat(np.arange(len(rows)), count), np.arange(n) - np.repeat(first, count)] = whole(s[r, c])
+        held[rows] = np.partition(np.concatenate([held[rows], new], axis=1), -k, axis=1)[:, -k:]
+        self.least[lo + rows] = held[rows].min(axis=1)
+
+    def found(self) -> list[np.ndarray]:
+        lo, width = self.asked.lo, self.asked.width
+        r, c = np.nonzero(self.held >= lo[:, None])
+        at = np.minimum((self.held[r, c] - lo[r]) // width[r], self.bins)
+        key, n = np.unique(r * (self.bins + 1) + at, return_counts=True)
+        return [self.asked.ids[key // (self.bins + 1)], key % (self.bins + 1), n.astype(np.int64)]
+
+
+class Best:
+    """Each query's k best rows of the task among those that reach its k-th value."""
+
+    def __init__(self, asked: Asked, k: int):
+        self.asked, self.k, self.pending = asked, k, 0
+        self.rows = [(np.zeros(0, np.int64),) * 3]
+
+    def add(self, lo: int, hi: int, s: np.ndarray, ids: np.ndarray) -> None:
+        least = self.asked.lo[lo:hi, None].astype(s.dtype)
+        reach = s >= least
+        many = np.flatnonzero(np.count_nonzero(reach, axis=1) > 8 * self.k)
+        if len(many):                              # of equal scores the smaller ids, which come first
+            tie = s[many] == least[many]
+            reach[many] &= ~tie | (np.cumsum(tie, axis=1, dtype=np.int32) <= self.k)
+        r, c = np.nonzero(reach)
+        self.rows.append((r + lo, whole(s[r, c]), ids[c]))
+        self.pending += len(r)
+        if self.pending > CELLS // 4:
+            self.merge()
+
+    def merge(self) -> None:
+        rows = q, v, i = [np.concatenate(x) for x in zip(*self.rows)]
+        order = np.lexsort((i, -v, q))
+        q = q[order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.rows, self.pending = [(rows[0][order], rows[1][order], rows[2][order])], 0
+
+    def found(self) -> list[np.ndarray]:
+        self.merge()
+        q, v, i = self.rows[0]
+        return [self.asked.ids[q], i, v]
+
+
+def runs(batches) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """((salt, grp, dim), asks, rows): stretches of a task's sorted rows."""
     for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+            if lo < hi:
+                yield tuple(keys[:3, lo].tolist()), int(keys[3, lo]), b.slice(lo, hi - lo)
 
 
-def histogram(pairs: DataFrame, k: int, bins: int) -> DataFrame:
-    """(query_id, bin, n) with n = scores in the bin; bin `bins` = above the range."""
+def meet(rows: DataFrame, fold, schema: str) -> DataFrame:
+    """What `fold` (Histogram or Best) finds for the queries of each salt, group and dimension."""
+    sizes = QUERY_BLOCK, CANDIDATE_BLOCK
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def fn(batches):
-        held: dict[tuple, tuple] = {}
-        for r in batch_rows(batches):
-            qi, _, s = scored(r)
-            lo, width = np.frombuffer(r["lo"], np.int64), np.frombuffer(r["width"], np.int64)
-            key = (r["dim"], r["qids"])
-            if key not in held:
-                held[key] = (qi, [])
-            best = []
-            for i in range(len(qi)):
-                x = s[i][s[i] >= lo[i]]
-                at, n = np.unique(np.minimum((x - lo[i]) // width[i], bins), return_counts=True)
-                keep = np.cumsum(n[::-1])[::-1] - n < k           # from the task's k-th best up
-                best.append((at[keep], n[keep]))
-            merge = held[key][1]
-            if not merge:
-                merge.extend(best)
-            else:
-                for i, (at, n) in enumerate(best):
-                    a, inv = np.unique(np.concatenate([merge[i][0], at]), return_inverse=True)
-                    m = np.bincount(inv, np.concatenate([merge[i][1], n])).astype(np.int64)
-                    keep = np.cumsum(m[::-1])[::-1] - m < k
-                    merge[i] = (a[keep], m[keep])
-        for qi, found in held.values():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qi, [len(a) for a, _ in found])),
-                 pa.array(np.concatenate([a for a, _ in found]).astype(np.int64)),
-                 pa.array(np.concatenate([n for _, n in found]).astype(np.int64))],
-                names=["query_id", "bin", "n"])
-    return (pairs.mapInArrow(fn, "query_id long, bin long, n long")
+        for (_, _, dim), parts in groupby(runs(batches), key=lambda r: r[0]):
+            at_once, limit = (max(1, min(size, CELLS // max(1, dim))) for size in sizes)
+            asking, asked, state, held, n = [], None, None, [], 0
+
+            def score():
+                ids, m = (np.concatenate(x) for x in zip(*held))
+                order = np.argsort(ids)
+                for lo in range(0, n, limit):
+                    part = order[lo:lo + limit]
+                    for found in asked.scored(ids[part], m[part], at_once):
+                        state.add(*found, ids[part])
+                held.clear()
+            for _, asks, b in parts:
+                if asks == 0:
+                    ids, mats = (np.concatenate(x) for x in zip(*unpacked(b.column(4), b.column(5), dim)))
+                    asking.append((ids, mats, b.column(6).to_numpy(), b.column(7).to_numpy()))
+                elif asking:
+                    if state is None:
+                        asked = Asked(asking)
+                        state = fold(asked)
+                    for ids, m in unpacked(b.column(4), b.column(5), dim):
+                        held.append((ids, m))
+                        n += len(ids)
+                        if n >= limit:
+                            score()
+                            n = 0
+            if n:
+                score()
+            if state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.found()], names=names)
+    return rows.mapInArrow(fn, schema)
+
+
+def histogram(rows: DataFrame, k: int, bins: int) -> DataFrame:
+    """(query_id, bin, n) with n = scores in the bin; bin `bins` = above the range."""
+    return (meet(rows, lambda asked: Histogram(asked, k, bins), "query_id long, bin long, n long")
             .groupBy("query_id", "bin").agg(F.sum("n").alias("n")))
 
 
+def best(rows: DataFrame, k: int) -> DataFrame:
+    """Each task's k best rows of a query among those that reach its k-th value."""
+    return meet(rows, lambda asked: Best(asked, k), "query_id long, vec_id long, score long")
+
+
 def narrow(ranges: DataFrame, hist: DataFrame, k: int, bins: int) -> DataFrame:
     """The range of each query after a round: the bin with its k-th value, or,
     with fewer than k candidates, the whole range down to the lowest bin."""
@@ -167,70 +301,50 @@ def narrow(ranges: DataFrame, hist: DataFrame, k: int, bins: int) -> DataFrame:
                     F.greatest(F.lit(1), F.ceil(width / bins)).cast("long").alias("width")))
 
 
-def ask(queries: DataFrame, ranges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Query blocks with their current ranges, against all candidate blocks."""
-    def fn(batches):
-        for r in batch_rows(batches):
-            rows = sorted(r["rows"], key=lambda x: x["query_id"])
-            arr = {c: np.array([x[c] for x in rows], dtype=np.int64).tobytes()
-                   for c in ("query_id", "lo", "width")}
-            m = np.array([x["v"] for x in rows], dtype=np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["dim"]], pa.int32()), pa.array([r["block"]], pa.int64()),
-                 *[pa.array([x], pa.binary()) for x in (arr["query_id"], m, arr["lo"], arr["width"])]],
-                names=["dim", "block", "qids", "qmatrix", "lo", "width"])
+def ask(queries: DataFrame, ranges: DataFrame, candidates: DataFrame, salts: int, groups: int) -> DataFrame:
+    """(salt, grp, dim, asks, ids, matrix, lo, width): queries with their current
+    ranges (asks 0) for every salt, candidate blocks (asks 1) for every group; what
+    shares a salt and group lies in one task, by dimension, queries first."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = (queries.join(ranges.drop("dim"), "query_id")
-         .groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "lo", "width")).alias("rows"))
-         .mapInArrow(fn, "dim int, block long, qids binary, qmatrix binary, lo binary, width binary"))
-    # query blocks go to every one of `salts` parts of the candidates, so a query
-    # block meets the candidates in that many tasks
-    salts = partitions(queries.sparkSession)
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # candidates are dealt by salt once a round, whatever the number of query blocks
-    return (candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-            .join(q, ["dim", "salt"]))
-
-
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    """Each task's k best rows of a query among those that reach its k-th value."""
-    def fn(batches):
-        held: dict[int, list] = {}
-        for r in batch_rows(batches):
-            qi, ci, s = scored(r)
-            lo = np.frombuffer(r["lo"], np.int64)
-            for i, q in enumerate(qi.tolist()):
-                at = np.flatnonzero(s[i] >= lo[i])
-                rows = held.get(q, []) + list(zip((-s[i][at]).tolist(), ci[at].tolist()))
-                rows.sort()
-                held[q] = rows[:k]
-        flat = [(q, i, -s) for q, rows in held.items() for s, i in rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[j] for x in flat], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-    return pairs.mapInArrow(fn, "query_id long, vec_id long, score long")
+         .select(every(salts).alias("salt"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("grp"),
+                 "dim", F.lit(0).alias("asks"), "ids", "matrix", "lo", "width"))
+    c = candidates.select(F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), every(groups).alias("grp"),
+                          "dim", F.lit(1).alias("asks"), "ids", "matrix",
+                          F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("width"))
+    tasks = min(salts * groups, partitions(queries.sparkSession))
+    return (q.union(c).repartition(tasks, "salt", "grp").sortWithinPartitions("salt", "grp", "dim", "asks"))
+
+
+def spread_over(parts: int, candidates: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """(salts, groups): as many salts as there are tasks, but not so many that
+    the queries' copies outnumber those of the candidates."""
+    vectors = lambda: F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0)).cast("long").alias("n")
+    n = candidates.agg(vectors()).first().n
+    q = queries.agg(vectors(), F.coalesce(F.sum(F.octet_length("matrix")), F.lit(0)).alias("size")).first()
+    groups = max(1, -(-q.n // GROUP), -(-q.size // GROUP_BYTES))
+    return max(1, min(parts, max(16, groups * n // max(1, q.n)), -(-n // 256))), groups
 
 
 def top_k(vectors: DataFrame, query_ids, k: int = K, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id, score; `query_ids` is a condition on vec_id."""
     most = score_bound(vectors)
-    candidates = materialize(blocks(vectors, CANDIDATE_BLOCK, ""), "op7-candidates")
-    asked = (vectors.where(query_ids).groupBy(F.col("vec_id").alias("query_id"))
-             .agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    n = asked.count()
-    number = max(1, -(-n // QUERY_BLOCK))
-    queries = materialize(
-        asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(number))), "op7-queries")
+    candidates = materialize(blocks(vectors, CANDIDATE_BLOCK).drop("first_id"), "op7-candidates")
+    asked = vectors.where(query_ids).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = materialize(blocks(asked, 1).drop("block").withColumnRenamed("first_id", "query_id"), "op7-queries")
+    over = spread_over(partitions(vectors.sparkSession), candidates, queries)
     bound = F.lit(int(most)).cast("long")
     ranges = queries.select("query_id", "dim", (-bound).alias("lo"),
                             F.ceil((2 * bound + 1) / bins).cast("long").alias("width"))
     span = ranges.agg(F.max("width").alias("w")).first()
     width = (span.w if span else 1) or 1
     while True:
-        ranges = materialize(narrow(ranges, histogram(ask(queries, ranges, candidates), k, bins), k, bins),
+        ranges = materialize(narrow(ranges, histogram(ask(queries, ranges, candidates, *over), k, bins), k, bins),
                              "op7-ranges")
         if width <= 1:
             break
         width = max(1, -(-width // bins))
-    final = best(ask(queries, ranges, candidates), k)
+    final = best(ask(queries, ranges, candidates, *over), k)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (final.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
