@@ -66,11 +66,10 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             .select("vec_id", F.transform(x, whole).alias("v")))
 
 
-def score_bound(vectors: DataFrame) -> float:
+def score_bound(candidates: DataFrame) -> float:
     """A bound of |score|: the longest vector's squared length (with room for the
     rounding of this sum).  Raises where it doesn't fit 62 bits."""
-    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    most = vectors.agg(F.max(square).alias("m")).first().m or 0.0
+    most = candidates.agg(F.max("square").alias("m")).first().m or 0.0
     if most >= 2.0 ** 62:
         raise OverflowError(f"vectors of squared length {most:.3g}: inner products don't fit 64-bit integers")
     return most * 1.000001 + 1
@@ -83,9 +82,16 @@ def narrowest(m: np.ndarray) -> np.ndarray:
     return m.astype(kind)
 
 
+def squares(m: np.ndarray) -> np.ndarray:
+    """Squared lengths, rounded."""
+    x = m.astype(np.float64)
+    return np.einsum("ij,ij->i", x, x)
+
+
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
     """One row per block of at most `size` vectors of one dimension and about
-    `PACKET` bytes: (block, first_id, dim, ids, matrix)."""
+    `PACKET` bytes: (block, first_id, dim, square, ids, matrix), square = the largest
+    squared length."""
     packet = PACKET
 
     def fn(batches):
@@ -101,37 +107,65 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
                 m = narrowest(flat[start[at][:, None] + np.arange(d)])
                 step = max(1, min(size, packet // max(1, int(d) * m.itemsize)))
                 cuts = range(0, len(at), step)
+                square = np.maximum.reduceat(squares(m), np.array(cuts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(number, number + len(cuts))), pa.array(ids[at][::step]),
-                     pa.array(np.full(len(cuts), d, np.int32)),
+                     pa.array(np.full(len(cuts), d, np.int32)), pa.array(square),
                      pa.array([ids[at[lo:lo + step]].tobytes() for lo in cuts], pa.binary()),
                      pa.array([m[lo:lo + step].tobytes() for lo in cuts], pa.binary())],
-                    names=["block", "first_id", "dim", "ids", "matrix"])
+                    names=["block", "first_id", "dim", "square", "ids", "matrix"])
                 number += len(cuts)
-    return vectors.mapInArrow(fn, "block long, first_id long, dim int, ids binary, matrix binary")
+    return vectors.mapInArrow(fn, "block long, first_id long, dim int, square double, ids binary, matrix binary")
+
+
+def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bytes) of a binary column."""
+    kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    ends = np.frombuffer(col.buffers()[1], kind)[col.offset:col.offset + len(col) + 1]
+    held = col.buffers()[2]
+    return np.diff(ends), np.frombuffer(held, np.uint8)[ends[0]:ends[-1]] if held else np.zeros(0, np.uint8)
 
 
 def unpacked(ids: pa.Array, matrices: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of each block."""
-    for i, m in zip(ids, matrices):
-        i, m = np.frombuffer(i.as_buffer(), np.int64), m.as_buffer()
-        yield i, np.frombuffer(m, f"i{m.size // (len(i) * dim)}" if dim else np.int16).reshape(len(i), dim)
+    """(ids, matrix) of each stretch of blocks whose numbers have one width."""
+    (sizes, i), (spans, m) = bytes_of(ids), bytes_of(matrices)
+    width = spans // (sizes // 8)                              # bytes of a vector
+    cuts = [0, *(np.flatnonzero(np.diff(width)) + 1), len(width)]
+    at, n = np.append(0, np.cumsum(spans)), np.append(0, np.cumsum(sizes))
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = i[n[lo]:n[hi]].view(np.int64)
+        kind = f"i{width[lo] // dim}" if dim else np.int16
+        yield part, m[at[lo]:at[hi]].view(kind).reshape(len(part), dim)
+
+
+def entries(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what is marked, row by row."""
+    return np.divmod(np.flatnonzero(marked), marked.shape[1])
 
 
 def longest(m: np.ndarray) -> float:
     """A bound of the vectors' lengths."""
-    x = m.astype(np.float64)
-    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))) * 1.000001
+    return float(np.sqrt(squares(m).max(initial=0))) * 1.000001
+
+
+class Room:
+    """Arrays that are written again and again: fresh memory costs more than the sums."""
+
+    def __init__(self):
+        self.kept: dict = {}
+
+    def __call__(self, shape: tuple, kind) -> np.ndarray:
+        n, kind = shape[0] * shape[1], np.dtype(kind)
+        if kind not in self.kept or len(self.kept[kind]) < n:
+            self.kept[kind] = np.empty(n, kind)
+        return self.kept[kind][:n].reshape(shape)
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+def products(q: np.ndarray, c: np.ndarray, big: float, room: Room) -> np.ndarray:
     """Exact integer inner products, as floats only where these are exact: every
-    sum of some of the terms is at most the product of the lengths."""
-    big = longest(q) * longest(c)
-    for kind, limit in ((np.float32, 2 ** 24), (np.float64, 2 ** 53)):
-        if big < limit:
-            return q.astype(kind) @ c.T.astype(kind)
-    return q.astype(np.int64) @ c.T.astype(np.int64)
+    sum of some of the terms is at most `big`, the product of the lengths."""
+    kind = np.float32 if big < 2 ** 24 else np.float64 if big < 2 ** 53 else np.int64
+    return np.matmul(q.astype(kind), c.astype(kind).T, out=room((len(q), len(c)), kind))
 
 
 def whole(s: np.ndarray) -> np.ndarray:
@@ -146,15 +180,17 @@ class Asked:
         ids, mats, lo, width = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(ids)
         self.ids, self.matrix, self.lo, self.width = ids[order], mats[order], lo[order], width[order]
+        self.room, self.length = Room(), longest(mats)
 
     def scored(self, ids: np.ndarray, matrix: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(from, to, scores) for a block of queries at a time; a query's own copies
         score below every range."""
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         own = np.flatnonzero(self.ids[at] == ids)
+        big = self.length * longest(matrix)
         for lo in range(0, len(self.ids), size):
             hi = min(lo + size, len(self.ids))
-            s = products(self.matrix[lo:hi], matrix)
+            s = products(self.matrix[lo:hi], matrix, big, self.room)
             mine = own[(at[own] >= lo) & (at[own] < hi)]
             s[at[mine] - lo, mine] = NONE if s.dtype == np.int64 else -np.inf
             yield lo, hi, s
@@ -172,7 +208,7 @@ class Histogram:
     def add(self, lo: int, hi: int, s: np.ndarray, ids: np.ndarray) -> None:
         k, held = self.k, self.held[lo:hi]
         # a bound that s's type doesn't hold lies beyond all scores of s, also when rounded
-        over = s > self.least[lo:hi, None].astype(s.dtype)
+        over = np.greater(s, self.least[lo:hi, None].astype(s.dtype), out=self.asked.room(s.shape, bool))
         n = np.count_nonzero(over)
         if not n:
             return
@@ -180,7 +216,7 @@ class Histogram:
             rows = np.arange(hi - lo)
             new = whole(np.partition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else s)
         else:
-            r, c = np.nonzero(over)
+            r, c = entries(over)
             rows, first, count = np.unique(r, return_index=True, return_counts=True)
             new = np.full((len(rows), count.max()), NONE)
             new[np.repeat(np.arange(len(rows)), count), np.arange(n) - np.repeat(first, count)] = whole(s[r, c])
@@ -189,7 +225,7 @@ class Histogram:
 
     def found(self) -> list[np.ndarray]:
         lo, width = self.asked.lo, self.asked.width
-        r, c = np.nonzero(self.held >= lo[:, None])
+        r, c = entries(self.held >= lo[:, None])
         at = np.minimum((self.held[r, c] - lo[r]) // width[r], self.bins)
         key, n = np.unique(r * (self.bins + 1) + at, return_counts=True)
         return [self.asked.ids[key // (self.bins + 1)], key % (self.bins + 1), n.astype(np.int64)]
@@ -204,12 +240,12 @@ class Best:
 
     def add(self, lo: int, hi: int, s: np.ndarray, ids: np.ndarray) -> None:
         least = self.asked.lo[lo:hi, None].astype(s.dtype)
-        reach = s >= least
+        reach = np.greater_equal(s, least, out=self.asked.room(s.shape, bool))
         many = np.flatnonzero(np.count_nonzero(reach, axis=1) > 8 * self.k)
         if len(many):                              # of equal scores the smaller ids, which come first
             tie = s[many] == least[many]
             reach[many] &= ~tie | (np.cumsum(tie, axis=1, dtype=np.int32) <= self.k)
-        r, c = np.nonzero(reach)
+        r, c = entries(reach)
         self.rows.append((r + lo, whole(s[r, c]), ids[c]))
         self.pending += len(r)
         if self.pending > CELLS // 4:
@@ -328,10 +364,10 @@ def spread_over(parts: int, candidates: DataFrame, queries: DataFrame) -> tuple[
 
 def top_k(vectors: DataFrame, query_ids, k: int = K, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id, score; `query_ids` is a condition on vec_id."""
-    most = score_bound(vectors)
     candidates = materialize(blocks(vectors, CANDIDATE_BLOCK).drop("first_id"), "op7-candidates")
+    most = score_bound(candidates)
     asked = vectors.where(query_ids).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = materialize(blocks(asked, 1).drop("block").withColumnRenamed("first_id", "query_id"), "op7-queries")
+    queries = materialize(blocks(asked, 1).drop("block", "square").withColumnRenamed("first_id", "query_id"), "op7-queries")
     over = spread_over(partitions(vectors.sparkSession), candidates, queries)
     bound = F.lit(int(most)).cast("long")
     ranges = queries.select("query_id", "dim", (-bound).alias("lo"),
